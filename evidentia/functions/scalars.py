@@ -25,8 +25,11 @@ STAGES = {
 }
 
 
-def as_col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def as_col(c: Column | str | float) -> Column:
+    """A column from a name, a number or a column."""
+    if isinstance(c, Column):
+        return c
+    return F.col(c) if isinstance(c, str) else F.lit(c)
 
 
 def stripped(c: Column | str) -> Column:

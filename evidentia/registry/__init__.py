@@ -3,11 +3,6 @@
 
 def load():
     """(queries, checks) with every topic module registered."""
-    from evidentia.registry import base
-    from evidentia.registry import relational  # noqa: F401
-    try:
-        from evidentia.registry import statistics  # noqa: F401
-        from evidentia.registry import modelling  # noqa: F401
-    except ImportError:
-        pass
+    from evidentia.registry import base, modelling, relational, statistics  # noqa: F401
+
     return base.QUERIES, base.ORACLES
