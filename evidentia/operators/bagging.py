@@ -102,37 +102,36 @@ def draws(df: DataFrame, row_id: str, label: str, fold: str | None, plan: Plan)
     model ever fall short of its number, the cut is lifted and all rows are ranked.
     When a pool is smaller than n_pos, its whole pool is taken.
     """
-    ranked, sizes = _ranked_draws(df, row_id, label, fold, plan)
-    wanted = F.array(*[F.lit(p) for p, _ in sizes])
-    split = plan.held_out(F.col("model")) if plan.n_folds else F.lit(0)
-    return ranked.filter(F.col("place") <= F.get(wanted, split)).select("model", "id")
+    sizes = draw_sizes(df, label, fold, plan)
+    edges = F.array(*[F.lit(e) for e in _last_draws(df, row_id, label, fold, plan, sizes)])
+    every = _candidates(df, row_id, label, fold, plan, ["g"] * plan.outer)
+    return every.filter(F.col("draw") <= F.get(edges, F.col("model"))).select("model", "id")
 
 
-def _ranked_draws(df, row_id, label, fold, plan):
-    sizes = draw_sizes(df, label, fold, plan)
-    near = _candidates(df, row_id, label, fold, plan, [_cut(p, u) for p, u in sizes])
-    got = {r["model"]: r["n"] for r in near.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    held = plan.held_out_array()
-    for m in range(plan.n_models):
-        p, u = sizes[max(held[m], 0)]
-        if got.get(m, 0) < min(p, u):
-            near = _candidates(df, row_id, label, fold, plan, ["g"] * len(sizes))
-            break
-    return row_rank(near, [("draw", "asc"), ("id", "asc")], ["model"], "place"), sizes
+def _last_draws(df, row_id, label, fold, plan, sizes) -> list[str]:
+    """Per model the hash of its last drawn row; ``""`` where nothing is drawn."""
+    wanted = [min(sizes[max(h, 0)]) for h in plan.held_out_array()]
+    targets = F.array(*[F.lit(int(n)) for n in wanted])
+
+    def search(cuts: list[str]) -> dict[int, str]:
+        near = _candidates(df, row_id, label, fold, plan, cuts)
+        ranked = row_rank(near, [("draw", "asc"), ("id", "asc")], ["model"], "place")
+        last = ranked.filter(F.col("place") == F.get(targets, F.col("model")))
+        return {r["model"]: r["draw"] for r in last.select("model", "draw").collect()}  # one row per model
+
+    found = search([_cut(p, u) for p, u in sizes])
+    if any(n > 0 and m not in found for m, n in enumerate(wanted)):
+        found = search(["g"] * len(sizes))
+    return [found.get(m, "") for m in range(plan.n_models)]
 
 
 def with_membership(
     df: DataFrame, row_id: str, label: str, fold: str | None, plan: Plan, name: str = "bags"
 ) -> DataFrame:
     """Add the array of models that drew each unlabeled row (repeats when replaced)."""
-    ranked, sizes = _ranked_draws(df, row_id, label, fold, plan)
+    sizes = draw_sizes(df, label, fold, plan)
     held = plan.held_out_array()
-    last = [min(sizes[max(h, 0)]) for h in held]
-    wanted = F.array(*[F.lit(int(n)) for n in last])
-    limits = ranked.filter(F.col("place") == F.get(wanted, F.col("model"))).select("model", "draw").collect()
-    edge = ["" for _ in last]
-    for r in limits:  # one row per model
-        edge[r["model"]] = r["draw"]
+    edge = _last_draws(df, row_id, label, fold, plan, sizes)
     edges = F.array(*[F.lit(e) for e in edge])
     own = F.col(fold) if fold else F.lit(-2)
     models = F.sequence(F.lit(0), F.lit(plan.n_models - 1))
@@ -243,32 +242,52 @@ def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel, many_parts: boo
     return {v: np.stack([np.asarray(a, dtype=float) for a in rows]) for v, rows in out.items()}
 
 
-def _sweep(h, g, b, sd, rounds=500):
-    """Coordinate descent for the penalised quadratic model of every fit at once."""
-    new = b.copy()
+def _penalised_minimum(h, g, b, sd, rounds=100):
+    """Minimise the penalised quadratic model of many fits at once.
+
+    A few coordinate steps settle which coefficients are zero; given those and the
+    signs, the rest is a linear system. A fit is done when that solution keeps the signs
+    and no zero coefficient wants to move.
+    """
     p = b.shape[1] - 1
     l1, l2 = L1_RATIO / C * sd, (1.0 - L1_RATIO) / C * sd**2
-    r = g.copy()  # gradient of the quadratic model at ``new``
+    target = np.einsum("mij,mj->mi", h, b) - g
+    ridge = np.concatenate([l2, np.zeros((len(b), 1))], axis=1)
+    lasso = np.concatenate([l1, np.zeros((len(b), 1))], axis=1)
+    x, todo = b.copy(), np.arange(len(b))
     for _ in range(rounds):
-        moved = 0.0
-        for j in range(p + 1):
-            curve = np.maximum(h[:, j, j], 1e-12)
-            aim = curve * new[:, j] - r[:, j]
-            if j < p:
-                fit = np.sign(aim) * np.maximum(np.abs(aim) - l1[:, j], 0.0) / (curve + l2[:, j])
-            else:
-                fit = aim / curve
-            step = fit - new[:, j]
-            r += h[:, :, j] * step[:, None]
-            new[:, j] = fit
-            moved = max(moved, float(np.max(np.abs(step))))
-        if moved < 1e-9:
+        ht, ct, xt, l1t, l2t = h[todo], target[todo], x[todo], lasso[todo], ridge[todo]
+        pull = ct - np.einsum("mij,mj->mi", ht, xt)
+        for _ in range(3):
+            for k in range(p + 1):
+                curve = np.maximum(ht[:, k, k], 1e-12)
+                aim = pull[:, k] + curve * xt[:, k]
+                fit = np.sign(aim) * np.maximum(np.abs(aim) - l1t[:, k], 0.0) / (curve + l2t[:, k])
+                pull -= ht[:, :, k] * (fit - xt[:, k])[:, None]
+                xt[:, k] = fit
+        x[todo] = xt
+        sign = np.sign(xt)
+        sign[:, p] = 1.0
+        on = sign != 0
+        both = on[:, :, None] & on[:, None, :]
+        system = np.where(both, ht, 0.0)
+        diag = np.arange(p + 1)
+        system[:, diag, diag] += np.where(on, l2t + 1e-12, 1.0)
+        right = np.where(on, ct - l1t * np.where(on, sign, 0.0), 0.0)
+        y = np.linalg.solve(system, right[:, :, None])[:, :, 0]
+        slack = np.abs(ct - np.einsum("mij,mj->mi", ht, y)) <= l1t * (1 + 1e-9) + 1e-9
+        kept = (y * sign >= 0)
+        kept[:, p] = True
+        done = np.where(on, kept, slack).all(1)
+        x[todo[done]] = y[done]
+        todo = todo[~done]
+        if not len(todo):
             break
-    return new
+    return x
 
 
 def fit_linear(
-    train: DataFrame, features: dict[int, list[str]], plan: Plan, tol: float = 1e-6, max_passes: int = 40
+    train: DataFrame, features: dict[int, list[str]], plan: Plan, tol: float = 1e-5, max_passes: int = 40
 ) -> dict[int, LinearModels]:
     """Elastic-net logistic fits of every model of every variant.
 
@@ -328,7 +347,7 @@ def fit_linear(
             worse = now > value[v] + 1e-9 * np.abs(now)
             ok = ~worse
             best[v][ok], value[v][ok] = trial[v][ok], now[ok]
-            ahead = _sweep(s[:, k + 1:].reshape(-1, k, k), s[:, 1:k + 1], trial[v], sd[v])
+            ahead = _penalised_minimum(s[:, k + 1:].reshape(-1, k, k), s[:, 1:k + 1], trial[v], sd[v])
             half = 0.5 * (trial[v] + best[v])
             move = np.where(worse[:, None], half, ahead)
             change = np.max(np.abs(move - best[v]))

@@ -32,8 +32,10 @@ def flatten_targets(pages: DataFrame, descendants: DataFrame, parent: str = PARE
         joined_distinct(F.transform(moa, lambda m: m["mechanismOfAction"])).alias("action"),
         joined_distinct(F.transform(moa, lambda m: m["actionType"])).alias("action_type"),
         F.col("c.maxClinicalStage").alias("max_clinical_stage"),
-        F.explode_outer("c.diseases").alias("d"),
-    ).select(
+        F.col("c.diseases").alias("diseases"),
+    )
+    # The joined texts are made once per candidate, before indications multiply the rows.
+    flat = flat.withColumn("d", F.explode_outer("diseases")).select(
         "target", "drug_name", "action", "action_type",
         F.coalesce(F.nullif("d.disease.name", F.lit("")), "d.diseaseFromSource", F.lit("")).alias("specific_disease"),
         F.coalesce("d.disease.id", F.lit("")).alias("specific_disease_id"),

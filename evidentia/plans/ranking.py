@@ -52,7 +52,11 @@ def _medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def _prepared(df: DataFrame, configs: Mapping[int, RunConfig], key: str, crossed: bool) -> DataFrame:
-    """Rows with fold and draw columns per label set, written down once."""
+    """Rows with fold and draw columns per label set.
+
+    The rows are written down once; folds and draws refer to that copy, and the draw
+    column is an expression on it that only the training table evaluates.
+    """
     out = df
     sets = {c.label_set: c for c in configs.values()}
     for name, cfg in sets.items():
@@ -62,11 +66,16 @@ def _prepared(df: DataFrame, configs: Mapping[int, RunConfig], key: str, crossed
         else:
             out = out.withColumn(f"fold_{name}", F.lit(-2))
     checkpoint_root(df.sparkSession)
-    out = out.checkpoint()
+    # Joins on family leave a hot family in one partition; the unique key spreads it.
+    out = out.repartition(_width(df), key).checkpoint()
     for name, cfg in sets.items():
         fold = f"fold_{name}" if crossed else None
         out = with_membership(out, key, LABEL[name], fold, _plan(cfg, crossed), f"bags_{name}")
-    return out.checkpoint()
+    return out
+
+
+def _width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _plan(cfg: RunConfig, crossed: bool) -> Plan:
@@ -80,9 +89,12 @@ def _long(df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Seque
     raw = {v: feature_expressions(c, polarization_fill(df, c)) for v, c in configs.items()}
     fills: dict[int, dict[str, float]] = {}
     if missing == "median":
-        flat = df.select(*[e.alias(f"v{v}_{f}") for v, fs in raw.items() for f, e in fs.items()])
-        med = _medians(flat, flat.columns)
-        fills = {v: {f: med.get(f"v{v}_{f}", 0.0) or 0.0 for f in fs} for v, fs in raw.items()}
+        # Only features that can be missing, and each distinct expression once.
+        names = {str(e): f"m{i}" for i, e in enumerate(e for fs in raw.values() for e in fs.values())}
+        flat = df.select(*[e.alias(names[str(e)]) for e in {str(e): e for fs in raw.values() for e in fs.values()}.values()])
+        open_ = [f.name for f in flat.schema.fields if f.nullable]
+        med = _medians(flat, open_) if open_ else {}
+        fills = {v: {f: med.get(names[str(e)]) or 0.0 for f, e in fs.items()} for v, fs in raw.items()}
     else:
         fills = {v: {f: TREE_MISSING for f in fs} for v, fs in raw.items()}
     entries = []
@@ -96,7 +108,8 @@ def _long(df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Seque
 
 
 def _fit(long: DataFrame, configs: Mapping[int, RunConfig], crossed: bool) -> dict[int, LinearModels]:
-    train = long.select("variant", "y", "fold", "bags", "x").filter((F.col("y") == 1) | (F.size("bags") > 0))
+    train = long.select("id", "variant", "y", "fold", "bags", "x").filter((F.col("y") == 1) | (F.size("bags") > 0))
+    train = train.repartition(_width(long), "id").drop("id")  # even work for the passes to come
     features = {v: feature_columns(c) for v, c in configs.items()}
     plan = _plan(next(iter(configs.values())), crossed)
     return fit_linear(train.checkpoint(), features, plan)
@@ -117,7 +130,9 @@ def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gen
     linear = {v: c for v, c in by_number.items() if c.learner == "linear"}
     if linear:
         long = _long(prepared, linear, key, [], "median")
-        scored = score_linear(long, _fit(long, linear, True))
+        # Held-out rows are scored by fold alone, so the draws need not be computed again.
+        held_out = long.withColumn("bags", F.array().cast("array<int>"))
+        scored = score_linear(held_out, _fit(long, linear, True))
         parts.append(scored.select("id", "variant", "score"))
     if "trees" in learners:
         for v, c in by_number.items():

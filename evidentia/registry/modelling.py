@@ -79,7 +79,7 @@ def entities(spark, sf):
     return symbols.family_of(labelled, _family_groups(spark, sf), "gene", row_id="row_id")
 
 
-_CONFIG = features.RunConfig(n_bags=8, n_folds=5)
+_CONFIG = features.RunConfig(n_bags=40, n_folds=5)
 
 
 @query("WITH " + _ENTITIES + "SELECT gene, family FROM ent")
