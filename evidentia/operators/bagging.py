@@ -400,7 +400,7 @@ def score_linear(rows: DataFrame, models: dict[int, LinearModels], keep: str = "
     schema = f"{keep} {id_type}, variant int, score double, oob_models bigint, inbag_models bigint"
     scored = rows.mapInPandas(score, schema)
     unscored = F.raise_error(F.lit("a row was never in a scored fold")).cast("double")
-    return scored.withColumn("score", F.when(F.isnan("score"), unscored).otherwise(F.col("score")))
+    return scored.withColumn("score", F.when(F.col("score").isNull() | F.isnan("score"), unscored).otherwise(F.col("score")))
 
 
 # ---------------------------------------------------------------------------- trees

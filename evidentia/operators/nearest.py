@@ -132,7 +132,7 @@ def _by_blocks(rows: DataFrame, anchors: DataFrame, schema: str, blocks: int, ro
 
     def score(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         if not len(lhs) or not len(rhs):
-            return pd.DataFrame({"k": [], "best": [], "nearest": [], "nearest_order": []})
+            return pd.DataFrame({"k": [], "best": [], "nearest": [], "nearest_order": []}, dtype=object)
         rhs = rhs.sort_values("o")
         ids, order = rhs["a"].to_numpy(), rhs["o"].to_numpy()
         k = lhs["k"].to_numpy()

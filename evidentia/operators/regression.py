@@ -54,11 +54,13 @@ def scan_columns(
         usable = usable & ~F.col(entity).eqNullSafe(F.col(column_entity))
     moments = cells.filter(usable).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_reg"),
-        F.corr(x, y).alias("r_xy"),
-        F.corr(x, w).alias("r_xw"),
-        F.corr(y, w).alias("r_yw"),
+        *[F.stddev_pop(c).alias(f"s_{n}") for n, c in (("x", x), ("y", y), ("w", w))],
+        *[F.covar_pop(a, b).alias(f"c_{n}") for n, a, b in (("xy", x, y), ("xw", x, w), ("yw", y, w))],
+    )
+    # corr() fails on a constant column; the quotient is missing there.
+    moments = moments.withColumns(
+        {f"r_{p}{q}": ratio(F.col(f"c_{p}{q}"), F.col(f"s_{p}") * F.col(f"s_{q}")) for p, q in ("xy", "xw", "yw")}
     )
-    moments = moments.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("r_xy", "r_xw", "r_yw")})
     return _solve(moments, by, min_rows)
 
 
