@@ -33,9 +33,14 @@ def _limit(df: DataFrame, key: str, default: int) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate for the plan; costs no job."""
+    """Bytes of the tables a plan reads, by Catalyst's statistics; costs no job.
+
+    The estimate of the plan's root multiplies both sides of every join and is useless
+    as a bound; the inputs are what the lookups and aggregations here start from.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     except AttributeError:  # a session without a JVM handle: treat as large
         return 1 << 62
 
@@ -48,6 +53,7 @@ def hottest_group(df: DataFrame, by: Sequence[str]) -> int:
 
 
 def needs_slices(df: DataFrame, by: Sequence[str] = ()) -> bool:
+    """True when some group is too large for one task; counts rows only on large input."""
     if estimated_bytes(df) <= _limit(df, "smallBytes", SMALL_BYTES):
         return False
     return hottest_group(df, by) > _limit(df, "rowsPerTask", ROWS_PER_TASK)

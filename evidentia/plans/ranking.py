@@ -8,6 +8,7 @@ rows serves every model of every variant.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,43 +169,55 @@ def ablation(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gene")
     )
 
 
-def full_run(df: DataFrame, cfg: RunConfig, key: str = "gene") -> tuple[DataFrame, dict[int, LinearModels], DataFrame]:
-    """Final bagging on all rows: scores with model counts, the models, the feature rows."""
+@dataclass
+class FullRun:
+    """Final run on all rows: the prepared rows, their scores, the models, the feature rows."""
+
+    rows: DataFrame
+    scored: DataFrame
+    models: LinearModels | None
+    long: DataFrame
+
+
+def full_run(df: DataFrame, cfg: RunConfig, key: str = "gene") -> FullRun:
+    """Bagging without folds; unlabeled rows are scored out of bag."""
     configs = {0: cfg}
     prepared = _prepared(df, configs, key, crossed=False)
     if cfg.learner == "trees":
         long = _long(prepared, configs, key, [], "sentinel")
         scored = fit_score_trees(long, _plan(cfg, False), cfg.n_estimators, cfg.max_depth, cfg.learning_rate,
                                  cfg.subsample, cfg.min_rows_per_leaf)
-        return scored, {}, long
+        return FullRun(prepared, scored, None, long)
     long = _long(prepared, configs, key, [], "median")
     models = _fit(long, configs, False)
     scored = score_linear(long, models).select("id", "score", "oob_models", "inbag_models")
-    return scored, models, long
+    return FullRun(prepared, scored, models[0], long)
 
 
-def nominations(df: DataFrame, scored: DataFrame, cfg: RunConfig, key: str = "gene", extra: Sequence[str] = ()) -> DataFrame:
-    """Every row with rank, score, labels, family, presence flags and model count."""
-    present = {n: e for n, e in presence_expressions().items()}
-    label = LABEL[cfg.label_set]
-    base = df.withColumns(present)
-    joined = base.join(scored.select(F.col("id").alias(key), F.col("score").alias("pu_score"), "oob_models"), key)
-    status = F.when(F.col(label) == 1, "positive").otherwise("unlabeled")
-    table = joined.select(
+def nominations(run: FullRun, cfg: RunConfig, key: str = "gene", extra: Sequence[str] = ()) -> DataFrame:
+    """Every row with rank, score, labels, family, presence flags and model count.
+
+    The table is written down before it is ranked, so scoring runs once.
+    """
+    present = presence_expressions()
+    base = run.rows.withColumns(present)
+    scores = run.scored.select(F.col("id").alias(key), F.col("score").alias("pu_score"), "oob_models")
+    status = F.when(F.col(LABEL[cfg.label_set]) == 1, "positive").otherwise("unlabeled")
+    table = base.join(scores, key).select(
         key, *extra, "pu_score", "label_all", "label_immune", status.alias("label_status"), "family",
         *present, "oob_models",
     )
-    return row_rank(table, [("pu_score", "desc"), (key, "asc")])
+    return row_rank(table.checkpoint(), [("pu_score", "desc"), (key, "asc")])
 
 
-def explained(nominated: DataFrame, long: DataFrame, models: LinearModels, cfg: RunConfig, key: str = "gene") -> DataFrame:
+def explained(nominated: DataFrame, run: FullRun, cfg: RunConfig, key: str = "gene") -> DataFrame:
     """Attribution, driver tag and leading features of the top unlabeled rows."""
     top = top_rows(nominated.filter(F.col("label_status") == "unlabeled"), [("rank", "asc")], cfg.top_n_report)
-    rows = long.select(F.col("id").alias(key), "x").join(
+    rows = run.long.select(F.col("id").alias(key), "x").join(
         F.broadcast(top.select(key, "rank", "pu_score", "gwas_present", "perturbseq_measured")), key  # top_n_report rows
     )
     keep = ["rank", key, "pu_score", "gwas_present", "perturbseq_measured"]
-    told = explain(linear_attribution(rows, models, keep))
+    told = explain(linear_attribution(rows, run.models, keep))
     return told.select(
         "rank", key, F.round("pu_score", 6).alias("pu_score"), "driver", "top_features", "gwas_present", "perturbseq_measured"
     )

@@ -200,17 +200,14 @@ def variant_compare(spark, sf):
 
 @query()
 def pu_nominations(spark, sf):
-    ent = entities(spark, sf)
-    scored, _, _ = ranking.full_run(ent, _CONFIG)
-    return shaped(ranking.nominations(ent, scored, _CONFIG, extra=["gene_id"]))
+    run = ranking.full_run(entities(spark, sf), _CONFIG)
+    return shaped(ranking.nominations(run, _CONFIG, extra=["gene_id"]))
 
 
 @query()
 def pu_attribution(spark, sf):
-    ent = entities(spark, sf)
-    scored, models, long = ranking.full_run(ent, _CONFIG)
-    nominated = ranking.nominations(ent, scored, _CONFIG, extra=["gene_id"])
-    return shaped(ranking.explained(nominated, long, models[0], _CONFIG))
+    run = ranking.full_run(entities(spark, sf), _CONFIG)
+    return shaped(ranking.explained(ranking.nominations(run, _CONFIG, extra=["gene_id"]), run, _CONFIG))
 
 
 @query("WITH " + _ENTITIES + "SELECT gene, gene_id, round(gwas_score * 0.5 + 0.25, 6) AS pu_score, CAST(iei AS BIGINT) AS iei FROM ent")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import contingency, nearest, ordering, regression, validation
-from evidentia.operators.sets import membership
 from evidentia.plans import burden, polarization
 from evidentia.registry.base import query, shaped, table
 
@@ -34,16 +33,15 @@ r AS (SELECT c.*, a + b + c + d AS N, a / (a + b)::DOUBLE AS p1, c / (c + d)::DO
 
 
 def _members(spark, sf):
-    part, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
     brands = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#11"]
-    flags = membership({
-        "panel": part.filter(F.col("p_brand").isin(*brands)).select("p_partkey"),
-        "target": li.filter("l_discount >= 0.1D and l_quantity >= 40").select("l_partkey"),
-        "small": part.filter("p_size <= 25").select("p_partkey"),
-        "everything": part.select("p_partkey"),
-    })
-    top = li.groupBy(F.col("l_partkey").alias("entity")).agg(F.max("l_quantity").alias("top"))
-    return flags.join(top, "entity", "left")
+    # One pass over the order lines gives membership and top quantity of every part.
+    bought = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.max("l_quantity").alias("top"),
+        F.max(F.expr("cast(l_discount >= 0.1D and l_quantity >= 40 as int)")).alias("target"),
+    )
+    part = table(spark, sf, "part").select(
+        "p_partkey", F.col("p_brand").isin(*brands).cast("int").alias("panel"), (F.col("p_size") <= 25).cast("int").alias("small"))
+    return part.join(bought, "p_partkey", "left").withColumn("target", F.coalesce("target", F.lit(0)))
 
 
 def _enrichment(spark, sf):

@@ -165,21 +165,21 @@ def test_linear_learner_against_proximal_gradient(spark):
 
 
 def test_full_run_scores_out_of_bag(table):
-    scored, models, long = ranking.full_run(table, CFG)
-    held = {r["id"]: r for r in long.select("id", "y", "bags", "x").collect()}
-    m = models[0]
-    for r in scored.collect():
+    run = ranking.full_run(table, CFG)
+    held = {r["id"]: r for r in run.long.select("id", "y", "bags", "x").collect()}
+    m = run.models
+    for r in run.scored.collect():
         h = held[r["id"]]
         p = 1 / (1 + np.exp(-(np.array(h["x"]) @ m.coef.T + m.intercept)))
         inside = np.array([h["y"] == 1 or b in h["bags"] for b in range(4)])
         want = p[~inside].mean() if (~inside).any() else p.mean()
         assert r["score"] == pytest.approx(want) and r["oob_models"] == (~inside).sum() and r["inbag_models"] == inside.sum()
-    nominated = ranking.nominations(table, scored, CFG, extra=["gene_id"])
+    nominated = ranking.nominations(run, CFG, extra=["gene_id"])
     got = nominated.orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, N + 1))
     assert all(a["pu_score"] >= b["pu_score"] for a, b in zip(got, got[1:]))
     assert all((r["oob_models"] == 0) for r in got if r["label_status"] == "positive")
-    told = ranking.explained(nominated, long, m, CFG).orderBy("rank").collect()
+    told = ranking.explained(nominated, run, CFG).orderBy("rank").collect()
     assert len(told) == 5 and all(r["top_features"].count(";") == 2 for r in told)
     best = told[0]
     x = np.array(held[best["gene"]]["x"])
