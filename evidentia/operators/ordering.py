@@ -93,35 +93,35 @@ def scan(
     by: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     mins: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums / minima of ``order`` inside each ``by`` group.
+    """Add running sums / minima of ``order`` and whole-group totals for each ``by`` group.
 
     ``order`` must be total within a group for a reproducible result.
     """
-    sums, mins = dict(sums or {}), dict(mins or {})
+    sums, mins, totals = dict(sums or {}), dict(mins or {}), dict(totals or {})
+    group = by or [F.lit(0)]
     if not needs_slices(df, by):
-        group = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order_columns(order))
-        running = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ordered = Window.partitionBy(*group).orderBy(*order_columns(order))
+        running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns(
             {n: F.sum(e).over(running) for n, e in sums.items()}
             | {n: F.min(e).over(running) for n, e in mins.items()}
+            | {n: F.sum(e).over(Window.partitionBy(*group)) for n, e in totals.items()}
         )
 
-    measures = {f"__m_{n}": e for n, e in (sums | mins).items()}
+    measures = {f"__m_{n}": e for n, e in (sums | mins | totals).items()}
     laid_out = sliced(df.withColumns(measures), by, order)
     per_slice = laid_out.groupBy(*by, SLICE).agg(
-        *[F.sum(f"__m_{n}").alias(f"__b_{n}") for n in sums],
+        *[F.sum(f"__m_{n}").alias(f"__b_{n}") for n in sums | totals],
         *[F.min(f"__m_{n}").alias(f"__b_{n}") for n in mins],
     )
     # One row per (group, slice): at most groups + slices rows.
-    earlier = (
-        Window.partitionBy(*(by or [F.lit(0)]))
-        .orderBy(SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     before = per_slice.withColumns(
         {f"__b_{n}": F.sum(f"__b_{n}").over(earlier) for n in sums}
         | {f"__b_{n}": F.min(f"__b_{n}").over(earlier) for n in mins}
+        | {f"__b_{n}": F.sum(f"__b_{n}").over(Window.partitionBy(*group)) for n in totals}
     )
     inside = (
         Window.partitionBy(*by, SLICE)
@@ -137,8 +137,9 @@ def scan(
     out = out.withColumns(
         {n: F.coalesce(F.col(f"__b_{n}") + F.col(n), F.col(n), F.col(f"__b_{n}")) for n in sums}
         | {n: F.least(F.col(n), F.col(f"__b_{n}")) for n in mins}
+        | {n: F.col(f"__b_{n}") for n in totals}
     )
-    return out.drop(SLICE, *measures, *[f"__b_{n}" for n in sums | mins])
+    return out.drop(SLICE, *measures, *[f"__b_{n}" for n in sums | mins | totals])
 
 
 def row_rank(df: DataFrame, order: Order, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -177,9 +178,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), name: str
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-300)), F.lit(1.0))
     tagged = df.withColumn("__p", clipped)
     counts = value_counts(tagged.filter(F.col(p).isNotNull()), "__p", by)
-    placed = scan(counts, [("__p", "asc")], by, sums={"__k": F.col("n")})
-    size = counts.groupBy(*by).agg(F.sum("n").alias("__m"))
-    placed = null_safe_join(placed, size, list(by)) if by else placed.withColumn("__m", size.scalar())
+    placed = scan(counts, [("__p", "asc")], by, sums={"__k": F.col("n")}, totals={"__m": F.col("n")})
     placed = placed.withColumn("__q", F.col("__p") * F.col("__m") / F.col("__k"))
     adjusted = scan(placed, [("__p", "desc")], by, mins={name: F.col("__q")})
     adjusted = adjusted.select(*by, "__p", F.least(F.col(name), F.lit(1.0)).alias(name))
@@ -191,9 +190,8 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), name: str
 def qq_points(df: DataFrame, observed: str, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Expected signed -log10 under a uniform null beside each sorted observation."""
     kept = df.filter(F.col(observed).isNotNull())
-    placed = row_rank(kept, [(observed, "asc"), (key, "asc")], by, "k")
-    size = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    placed = null_safe_join(placed, size, list(by)) if by else placed.withColumn("n", size.scalar())
+    one = F.lit(1).cast("bigint")
+    placed = scan(kept, [(observed, "asc"), (key, "asc")], by, sums={"k": one}, totals={"n": one})
     q = (F.col("k") - F.lit(0.5)) / F.col("n")
     gap = q - F.lit(0.5)
     expected = F.signum(gap) * -F.log10(F.lit(1.0) - F.lit(2.0) * F.abs(gap) + F.lit(1e-300))
@@ -209,9 +207,7 @@ def quantiles(
     one task.
     """
     counts = value_counts(df.filter(F.col(value).isNotNull()), value, by)
-    placed = scan(counts, [(value, "asc")], by, sums={"__to": F.col("n")})
-    size = counts.groupBy(*by).agg(F.sum("n").alias("__n"))
-    placed = null_safe_join(placed, size, list(by)) if by else placed.withColumn("__n", size.scalar())
+    placed = scan(counts, [(value, "asc")], by, sums={"__to": F.col("n")}, totals={"__n": F.col("n")})
     picks = []
     for name, q in probs.items():
         at = (F.col("__n") - 1) * F.lit(float(q))

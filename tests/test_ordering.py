@@ -82,7 +82,7 @@ def test_partitioning_does_not_matter(sample):
     for op in (
         lambda d: ordering.benjamini_hochberg(d, "v", ["g"]),
         lambda d: ordering.seeded_sample(d, "id", 20, 5),
-        lambda d: ordering.qq_points(d, "v", "id", ["g"]).drop("__x"),
+        lambda d: ordering.qq_points(d, "v", "id", ["g"]),
     ):
         assert rows(op(sample.repartition(1))) == rows(op(sample.repartition(17)))
 
