@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.ordering import row_rank, seeded_key
+from evidentia.session import checkpoint_root
 
 # Penalty mix and inverse strength of the linear learner.
 L1_RATIO, C = 0.5, 1.0
@@ -406,38 +408,49 @@ def score_linear(rows: DataFrame, models: dict[int, LinearModels], keep: str = "
 # ---------------------------------------------------------------------------- trees
 
 
-def fit_score_trees(
-    rows: DataFrame, plan: Plan, n_trees: int, max_depth: int, step: float, subsample: float,
-    min_rows: int, keep: str = "id", workers: int = 4,
-) -> DataFrame:
-    """Boosted-tree bags through the ML library; same scoring rules as the linear run.
+def fit_trees(
+    rows: DataFrame, plan: Plan, n_trees: int, max_depth: int, step: float, subsample: float, min_rows: int,
+    workers: int = 4,
+) -> list:
+    """Boosted-tree bags through the ML library.
 
     Each fit is a distributed job on that model's training rows; the driver only submits
     several at once. ``rows`` holds one variant, with missing features already encoded.
     """
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     data = rows.select(
-        keep, "y", "fold", "bags", array_to_vector(F.col("x")).alias("features"), F.col("y").cast("double").alias("label")
+        "y", "fold", "bags", array_to_vector(F.col("x")).alias("features"), F.col("y").cast("double").alias("label")
     )
     held = plan.held_out_array()
 
     def fit(m: int):
-        mine = (F.col("y") == 1) & (F.col("fold") != int(held[m])) | F.array_contains("bags", m)
         learner = GBTClassifier(
             maxIter=n_trees, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
             minInstancesPerNode=min_rows, seed=plan.seed + m,
         )
-        return learner.fit(data.filter(mine))
+        return learner.fit(data.filter(_takes_part(m, held)))
 
     with ThreadPoolExecutor(workers) as pool:
-        fitted = list(pool.map(fit, range(plan.n_models)))
-    scored = data
+        return list(pool.map(fit, range(plan.n_models)))
+
+
+def _takes_part(m: int, held: np.ndarray) -> Column:
+    return ((F.col("y") == 1) & (F.col("fold") != int(held[m]))) | F.array_contains("bags", m)
+
+
+def score_trees(rows: DataFrame, plan: Plan, models: list, keep: str = "id") -> DataFrame:
+    """Bag-averaged tree probabilities by the scoring rules of ``score_linear``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    held = plan.held_out_array()
+    scored = rows.select(keep, "y", "fold", "bags", array_to_vector(F.col("x")).alias("features"))
     inside, use = [], []
-    for m, model in enumerate(fitted):
-        scored = model.setProbabilityCol(f"p{m}").setPredictionCol(f"c{m}").setRawPredictionCol(f"r{m}").transform(scored)
-        drawn = ((F.col("y") == 1) & (F.col("fold") != int(held[m]))) | F.array_contains("bags", m)
+    for m, model in enumerate(models):
+        named = model.setProbabilityCol(f"p{m}").setPredictionCol("").setRawPredictionCol("")
+        scored = named.transform(scored)
+        drawn = _takes_part(m, held)
         inside.append(drawn)
         use.append((F.col("fold") == int(held[m])) if plan.n_folds is not None else ~drawn)
     prob = [F.get(vector_to_array(f"p{m}"), F.lit(1)) for m in range(plan.n_models)]
@@ -449,3 +462,21 @@ def fit_score_trees(
     return scored.select(
         keep, score.alias("score"), count.cast("bigint").alias("oob_models"), n_in.cast("bigint").alias("inbag_models")
     )
+
+
+def tree_nodes(models: list, spark) -> DataFrame:
+    """Nodes of every tree of every bag as one table, through the library's saved form."""
+    import uuid
+
+    root = f"{checkpoint_root(spark)}/trees-{uuid.uuid4().hex}"
+    parts = []
+    for m, model in enumerate(models):
+        model.write().save(f"{root}/{m}")
+        weights = spark.read.parquet(f"{root}/{m}/treesMetadata").select(
+            F.col("_1").alias("treeID"), F.col("_3").cast("double").alias("weight"))
+        nodes = spark.read.parquet(f"{root}/{m}/data").select(F.lit(m).alias("model"), "treeID", "nodeData.*")
+        parts.append(nodes.join(weights, "treeID").select(
+            "model", "treeID", "weight", "id", "prediction", "leftChild", "rightChild",
+            F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        ))
+    return reduce(DataFrame.unionByName, parts)

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.attribution import explain, linear_attribution
+from evidentia.operators.attribution import explain, linear_attribution, tree_attribution
 from evidentia.operators.bagging import (
-    LinearModels, Plan, fit_linear, fit_score_trees, score_linear, with_membership,
+    LinearModels, Plan, fit_linear, fit_trees, score_linear, score_trees, tree_nodes, with_membership,
 )
 from evidentia.operators.features import (
     RunConfig, feature_columns, feature_expressions, polarization_fill, presence_expressions, with_family_size,
@@ -116,6 +116,10 @@ def _fit(long: DataFrame, configs: Mapping[int, RunConfig], crossed: bool) -> di
     return fit_linear(train.checkpoint(), features, plan)
 
 
+def _fit_trees(long: DataFrame, cfg: RunConfig, plan: Plan) -> list:
+    return fit_trees(long, plan, cfg.n_estimators, cfg.max_depth, cfg.learning_rate, cfg.subsample, cfg.min_rows_per_leaf)
+
+
 def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gene") -> DataFrame:
     """(variant, id, y, score) of every row under grouped cross-validation.
 
@@ -139,8 +143,8 @@ def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gen
         for v, c in by_number.items():
             if c.learner == "trees":
                 long = _long(prepared, {v: c}, key, [], "sentinel")
-                scored = fit_score_trees(long, _plan(c, True), c.n_estimators, c.max_depth, c.learning_rate,
-                                         c.subsample, c.min_rows_per_leaf)
+                plan = _plan(c, True)
+                scored = score_trees(long, plan, _fit_trees(long, c, plan))
                 parts.append(scored.select("id", F.lit(v).alias("variant"), "score"))
     scores = parts[0]
     for p in parts[1:]:
@@ -175,7 +179,7 @@ class FullRun:
 
     rows: DataFrame
     scored: DataFrame
-    models: LinearModels | None
+    models: LinearModels | list  # one object for all linear bags, or one tree model per bag
     long: DataFrame
 
 
@@ -185,9 +189,9 @@ def full_run(df: DataFrame, cfg: RunConfig, key: str = "gene") -> FullRun:
     prepared = _prepared(df, configs, key, crossed=False)
     if cfg.learner == "trees":
         long = _long(prepared, configs, key, [], "sentinel")
-        scored = fit_score_trees(long, _plan(cfg, False), cfg.n_estimators, cfg.max_depth, cfg.learning_rate,
-                                 cfg.subsample, cfg.min_rows_per_leaf)
-        return FullRun(prepared, scored, None, long)
+        plan = _plan(cfg, False)
+        trees = _fit_trees(long, cfg, plan)
+        return FullRun(prepared, score_trees(long, plan, trees), trees, long)
     long = _long(prepared, configs, key, [], "median")
     models = _fit(long, configs, False)
     scored = score_linear(long, models).select("id", "score", "oob_models", "inbag_models")
@@ -217,7 +221,11 @@ def explained(nominated: DataFrame, run: FullRun, cfg: RunConfig, key: str = "ge
         F.broadcast(top.select(key, "rank", "pu_score", "gwas_present", "perturbseq_measured")), key  # top_n_report rows
     )
     keep = ["rank", key, "pu_score", "gwas_present", "perturbseq_measured"]
-    told = explain(linear_attribution(rows, run.models, keep))
+    if isinstance(run.models, LinearModels):
+        told = linear_attribution(rows, run.models, keep)
+    else:
+        told = tree_attribution(rows, tree_nodes(run.models, rows.sparkSession), feature_columns(cfg), keep, key)
+    told = explain(told)
     return told.select(
         "rank", key, F.round("pu_score", 6).alias("pu_score"), "driver", "top_features", "gwas_present", "perturbseq_measured"
     )

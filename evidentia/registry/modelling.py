@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evidentia.operators import attribution, bagging, features, folds, metrics, symbols
@@ -210,6 +211,53 @@ def pu_attribution(spark, sf):
     return shaped(ranking.explained(ranking.nominations(run, _CONFIG, extra=["gene_id"]), run, _CONFIG))
 
 
+# Scoring and attribution with fixed coefficients, so that SQL can state the result.
+
+_GIVEN_BAGS = 4
+_GIVEN_X = {"gwas_score": "gwas_score", "iei": "iei", "mis_z_score": "coalesce(mis_z_score, 0)", "polarization_score": "coalesce(polarization_score, 0)"}
+_GIVEN_COEF = [[0.5 + 0.1 * b, -0.3 + 0.2 * b, 0.05 * b, 0.02] for b in range(_GIVEN_BAGS)]
+_GIVEN_INTERCEPT = [-1.0 + 0.25 * b for b in range(_GIVEN_BAGS)]
+_GIVEN_MEAN = [[0.2 * b, 0.3, -0.1, 0.01 * b] for b in range(_GIVEN_BAGS)]
+_GIVEN_MODELS = "(VALUES " + ", ".join(
+    f"({b}, {i}::DOUBLE, " + ", ".join(f"{v}::DOUBLE" for v in c + m) + ")"
+    for b, (i, c, m) in enumerate(zip(_GIVEN_INTERCEPT, _GIVEN_COEF, _GIVEN_MEAN))
+) + ") mo(model, b0, c0, c1, c2, c3, m0, m1, m2, m3)"
+_GIVEN_ROWS = "gx AS (SELECT gene, label_immune AS y, " + ", ".join(f"({e})::DOUBLE AS x{i}" for i, e in enumerate(_GIVEN_X.values())) + " FROM ent)"
+
+
+def _given(spark, sf):
+    plan = bagging.Plan(_GIVEN_BAGS, None, 77)
+    fitted = bagging.LinearModels(
+        list(_GIVEN_X), plan, np.array(_GIVEN_COEF), np.array(_GIVEN_INTERCEPT), np.array(_GIVEN_MEAN))
+    ent = bagging.with_membership(entities(spark, sf), "gene", "label_immune", None, plan)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in _GIVEN_X])
+    rows = ent.select(F.col("gene").alias("id"), F.lit(0).alias("variant"), F.col("label_immune").alias("y"), F.lit(-2).alias("fold"), "bags", x.alias("x"))
+    return rows, fitted
+
+
+@query("WITH " + _ENTITIES + ", " + _GIVEN_ROWS + f""",
+dr AS (SELECT model, gene, row_number() OVER (PARTITION BY model ORDER BY md5('77:' || model || ':' || gene), gene) <= (SELECT sum(y) FROM gx) AS drawn
+  FROM gx, range(0, {_GIVEN_BAGS}) b(model) WHERE y = 0),
+pr AS (SELECT gx.gene, model, y = 1 OR coalesce(drawn, false) AS inside, 1 / (1 + exp(-(b0 + c0 * x0 + c1 * x1 + c2 * x2 + c3 * x3))) AS p
+  FROM gx CROSS JOIN {_GIVEN_MODELS} LEFT JOIN dr USING (gene, model))
+SELECT gene AS id, round(coalesce(avg(p) FILTER (WHERE NOT inside), avg(p)), 6) AS score,
+  CAST(count(*) FILTER (WHERE NOT inside) AS BIGINT) AS oob_models, CAST(count(*) FILTER (WHERE inside) AS BIGINT) AS inbag_models FROM pr GROUP BY 1
+""")
+def out_of_bag_scores(spark, sf):
+    rows, fitted = _given(spark, sf)
+    return shaped(bagging.score_linear(rows, {0: fitted}).drop("variant"))
+
+
+@query("WITH " + _ENTITIES + ", " + _GIVEN_ROWS + f"""
+SELECT gene AS id, """ + ", ".join(
+    f"round(avg(c{i} * (x{i} - m{i})), 6) + 0.0 AS {f}" for i, f in enumerate(_GIVEN_X)
+) + f" FROM gx CROSS JOIN {_GIVEN_MODELS} GROUP BY 1")
+def linear_attribution(spark, sf):
+    rows, fitted = _given(spark, sf)
+    told = attribution.linear_attribution(rows, fitted, ["id"])
+    return shaped(told.select("id", *[F.get("contributions", F.lit(i))["value"].alias(f) for i, f in enumerate(_GIVEN_X)]))
+
+
 @query("WITH " + _ENTITIES + "SELECT gene, gene_id, round(gwas_score * 0.5 + 0.25, 6) AS pu_score, CAST(iei AS BIGINT) AS iei FROM ent")
 def scored_entity_table(spark, sf):
     """Scores joined back on the stable id with row and completeness guards."""

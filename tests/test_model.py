@@ -210,6 +210,29 @@ def test_tree_learner(table):
     assert r["enrichment"] > 1.5
 
 
+def test_tree_attribution_adds_up(table):
+    cfg = CFG.having(learner="trees", n_bags=2, n_estimators=3, max_depth=3, min_rows_per_leaf=2)
+    run = ranking.full_run(table, cfg)
+    rows_ = run.long.select("id", "x").limit(20).cache()
+    cols = features.feature_columns(cfg)
+    told = attribution.tree_attribution(rows_, bagging.tree_nodes(run.models, table.sparkSession), cols, ["id"], "id")
+    got = {r["id"]: {c["feature"]: c["value"] for c in r["contributions"]} for r in told.collect()}
+    assert len(got) == 20 and all(set(v) == set(cols) for v in got.values())
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = rows_.select("id", array_to_vector("x").alias("features"))
+    margins, bases = {}, 0.0
+    for m in run.models:
+        bases += sum(w * t._call_java("rootNode").prediction() for t, w in zip(m.trees, m.treeWeights))
+        out = m.setRawPredictionCol("raw").setPredictionCol("").setProbabilityCol("").transform(vectors)
+        for r in out.collect():
+            margins[r["id"]] = margins.get(r["id"], 0.0) + r["raw"][1]
+    for k, v in got.items():
+        assert sum(v.values()) == pytest.approx((2 * margins[k] - 2 * bases) / 2, abs=1e-9)
+    told = ranking.explained(ranking.nominations(run, cfg), run, cfg).collect()
+    assert len(told) == 5 and all(r["driver"] and r["top_features"] for r in told)
+
+
 def test_perfect_ranking(spark):
     df = spark.createDataFrame([(i, s, y) for i, (s, y) in enumerate(zip([9.0, 8.0] + [1.0] * 8, [1, 1] + [0] * 8))], "id int, s double, y int")
     r = metrics.at_top(df, "s", "y", "id", [2]).first()
