@@ -78,8 +78,8 @@ def tokens(c: Column | str, sep: str = "|") -> Column:
 
 def joined_distinct(arr: Column, sep: str = "; ") -> Column:
     """Distinct non-empty elements in first-seen order, joined; empty text for none."""
-    kept = F.filter(arr, lambda t: t.isNotNull() & (t != ""))
-    return F.coalesce(F.array_join(F.array_distinct(kept), sep), F.lit(""))
+    kept = F.array_except(arr, F.array(F.lit(""), F.lit(None).cast("string")))
+    return F.coalesce(F.array_join(kept, sep), F.lit(""))
 
 
 def first_match(arr: Column, wanted, field: str) -> Column:

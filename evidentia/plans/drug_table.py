@@ -22,15 +22,11 @@ def flatten_targets(pages: DataFrame, descendants: DataFrame, parent: str = PARE
         F.col("target.approvedSymbol").alias("target"),
         F.explode("target.drugAndClinicalCandidates.rows").alias("c"),
     )
-    moa = F.coalesce(
-        F.col("c.drug.mechanismsOfAction.rows"),
-        F.array().cast("array<struct<mechanismOfAction:string,actionType:string>>"),
-    )
     flat = candidates.select(
         "target",
         F.col("c.drug.name").alias("drug_name"),
-        joined_distinct(F.transform(moa, lambda m: m["mechanismOfAction"])).alias("action"),
-        joined_distinct(F.transform(moa, lambda m: m["actionType"])).alias("action_type"),
+        joined_distinct(F.col("c.drug.mechanismsOfAction.rows.mechanismOfAction")).alias("action"),
+        joined_distinct(F.col("c.drug.mechanismsOfAction.rows.actionType")).alias("action_type"),
         F.col("c.maxClinicalStage").alias("max_clinical_stage"),
         F.col("c.diseases").alias("diseases"),
     )
