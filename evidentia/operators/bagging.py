@@ -130,7 +130,10 @@ def _last_draws(df, row_id, label, fold, plan, sizes) -> list[str]:
 def with_membership(
     df: DataFrame, row_id: str, label: str, fold: str | None, plan: Plan, name: str = "bags"
 ) -> DataFrame:
-    """Add the array of models that drew each unlabeled row (repeats when replaced)."""
+    """Add ``<name>``: the models that drew each unlabeled row, and ``<name>_times``.
+
+    ``_times`` holds how often each of them drew it; it is empty when all draws are single.
+    """
     sizes = draw_sizes(df, label, fold, plan)
     held = plan.held_out_array()
     edge = _last_draws(df, row_id, label, fold, plan, sizes)
@@ -142,7 +145,8 @@ def with_membership(
         lambda m: (own != plan.held_out(m)) & (_draw(plan, m, row_id) <= F.get(edges, m)),
     )
     short = [m for m, h in enumerate(held) if sizes[max(h, 0)][1] < sizes[max(h, 0)][0]]
-    out = df.withColumn(name, F.when(F.col(label) == 0, member).otherwise(F.array().cast("array<int>")))
+    none = F.array().cast("array<int>")
+    out = df.withColumns({name: F.when(F.col(label) == 0, member).otherwise(none), f"{name}_times": none})
     if not short:
         return out
     return _with_replacement(out, row_id, label, fold, plan, name, short, sizes)
@@ -151,11 +155,13 @@ def with_membership(
 def _with_replacement(df, row_id, label, fold, plan, name, short, sizes):
     """Models whose pool is smaller than their draw pick rows with replacement.
 
-    The pool of a held-out fold is numbered once, each draw hashes to a number, and
-    the two meet in an equi-join.
+    The pool of a held-out fold is numbered once, each draw hashes to a number, and the
+    two meet in an equi-join. Repeats are counted before rows are listed, so a row's
+    list never exceeds the number of models.
     """
     held = plan.held_out_array()
-    splits = sorted({max(int(held[m]), 0) for m in short})
+    split_of = [max(int(h), 0) for h in held]
+    splits = sorted({split_of[m] for m in short})
     outside = F.col(fold) if fold else F.lit(-2)
     pool = df.filter(F.col(label) == 0).select(
         F.col(row_id).alias("id"), outside.alias("f"), F.explode(F.array(*[F.lit(s) for s in splits])).alias("split")
@@ -164,21 +170,25 @@ def _with_replacement(df, row_id, label, fold, plan, name, short, sizes):
         pool = pool.filter(F.col("f") != F.col("split"))
     pool = row_rank(pool, [("id", "asc")], ["split"], "number")
     ask = F.array(*[
-        F.struct(F.lit(m).alias("model"), F.lit(max(int(held[m]), 0)).alias("split"),
-                 F.lit(sizes[max(int(held[m]), 0)][0]).alias("want"), F.lit(sizes[max(int(held[m]), 0)][1]).alias("have"))
+        F.struct(F.lit(m).alias("model"), F.lit(split_of[m]).alias("split"),
+                 F.lit(sizes[split_of[m]][0]).alias("want"), F.lit(sizes[split_of[m]][1]).alias("have"))
         for m in short
     ])
     picks = (
         df.sparkSession.range(max(sizes[s][0] for s in splits)).select(F.col("id").alias("j"), F.explode(ask).alias("a"))
         .select("j", "a.*").filter("j < want and have > 0")
         .withColumn("number", F.pmod(F.xxhash64(F.lit(plan.seed), "model", "j"), F.col("have")) + 1)
+        .groupBy("model", "split", "number").agg(F.count(F.lit(1)).cast("int").alias("n"))
     )
-    extra = picks.join(pool, ["split", "number"]).groupBy("id").agg(F.collect_list("model").alias("__again"))
+    extra = picks.join(pool, ["split", "number"]).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("model", "n"))).alias("__again"))
     joined = df.join(extra, F.col(row_id) == F.col("id"), "left")
     plain = F.filter(name, lambda m: ~m.isin(*short))
-    return joined.withColumn(
-        name, F.concat(plain, F.coalesce("__again", F.array().cast("array<int>")))
-    ).select(*df.columns)
+    again = F.coalesce("__again", F.array().cast("array<struct<model:int,n:int>>"))
+    return joined.withColumns({
+        name: F.concat(plain, again["model"]),
+        f"{name}_times": F.concat(F.transform(plain, lambda m: F.lit(1)), again["n"]),
+    }).select(*df.columns)
 
 
 # --------------------------------------------------------------------------- linear
@@ -195,12 +205,13 @@ class LinearModels:
     mean: np.ndarray  # models x features: training mean, for attribution
 
 
-def _weights(y, fold, bags, held: np.ndarray) -> np.ndarray:
+def _weights(part: pd.DataFrame, held: np.ndarray) -> np.ndarray:
     """Rows x models: how often each row takes part in each model's training set."""
+    y, fold = part["y"].to_numpy(), part["fold"].to_numpy()
     out = ((y[:, None] == 1) & (fold[:, None] != held[None, :])).astype(float)
-    for i, models in enumerate(bags):
+    for i, (models, times) in enumerate(zip(part["bags"].to_numpy(), part["bags_times"].to_numpy())):
         if len(models):
-            np.add.at(out[i], np.asarray(models, dtype=int), 1.0)
+            out[i, np.asarray(models, dtype=int)] = times if len(times) else 1.0
     return out
 
 
@@ -219,13 +230,10 @@ def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel, many_parts: boo
         totals: dict[int, np.ndarray] = {}
         for pdf in batches:
             for v, part in pdf.groupby("variant", sort=False):
-                x = np.stack(part["x"].to_numpy()).astype(float)
-                y, fold = part["y"].to_numpy(), part["fold"].to_numpy()
-                bags = part["bags"].to_numpy()
                 for s in range(0, len(part), _CHUNK):
-                    cut = slice(s, s + _CHUNK)
-                    w = _weights(y[cut], fold[cut], bags[cut], shared.value[v])
-                    got = kernel(int(v), x[cut], y[cut].astype(float), w)
+                    cut = part.iloc[s:s + _CHUNK]
+                    x = np.stack(cut["x"].to_numpy()).astype(float)
+                    got = kernel(int(v), x, cut["y"].to_numpy(dtype=float), _weights(cut, shared.value[v]))
                     totals[v] = totals[v] + got if v in totals else got
         for v, m in totals.items():
             yield pd.DataFrame({"variant": v, "model": np.arange(len(m)), "sums": list(m)})
@@ -293,7 +301,7 @@ def fit_linear(
 ) -> dict[int, LinearModels]:
     """Elastic-net logistic fits of every model of every variant.
 
-    ``train`` holds ``variant, y, fold, bags, x``. Newton steps with step halving; a
+    ``train`` holds ``variant, y, fold, bags, bags_times, x``. Newton steps with step halving; a
     pass over the rows also yields the objective that accepts or shortens the step.
     Features are scaled inside each model's own training set, as a pipeline with a
     scaler would.
@@ -369,7 +377,7 @@ def fit_linear(
 def score_linear(rows: DataFrame, models: dict[int, LinearModels], keep: str = "id") -> DataFrame:
     """Bag-averaged probability per row and variant, with model counts.
 
-    ``rows`` holds ``id, variant, y, fold, bags, x``. Under cross-validation a row is
+    ``rows`` holds ``id, variant, y, fold, bags, bags_times, x``. Under cross-validation a row is
     scored by the models that held its fold out. In the full run an unlabeled row is
     scored by the models that did not draw it, falling back to all when every model
     did; a positive takes part in all of them and is scored by all.
@@ -384,12 +392,11 @@ def score_linear(rows: DataFrame, models: dict[int, LinearModels], keep: str = "
                 coef, intercept, held, crossed = shared.value[v]
                 x = np.stack(part["x"].to_numpy()).astype(float)
                 prob = 1.0 / (1.0 + np.exp(-np.clip(x @ coef.T + intercept, -500, 500)))
-                y, fold = part["y"].to_numpy(), part["fold"].to_numpy()
                 if crossed:
-                    use = fold[:, None] == held[None, :]
+                    use = part["fold"].to_numpy()[:, None] == held[None, :]
                     inside = np.zeros_like(use)
                 else:
-                    inside = _weights(y, fold, part["bags"].to_numpy(), held) > 0
+                    inside = _weights(part, held) > 0
                     use = ~inside
                     use[~use.any(1)] = True
                 count = use.sum(1)
@@ -421,16 +428,18 @@ def fit_trees(
     from pyspark.ml.functions import array_to_vector
 
     data = rows.select(
-        "y", "fold", "bags", array_to_vector(F.col("x")).alias("features"), F.col("y").cast("double").alias("label")
+        "y", "fold", "bags", "bags_times", array_to_vector(F.col("x")).alias("features"), F.col("y").cast("double").alias("label")
     )
     held = plan.held_out_array()
 
     def fit(m: int):
         learner = GBTClassifier(
             maxIter=n_trees, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
-            minInstancesPerNode=min_rows, seed=plan.seed + m,
+            minInstancesPerNode=min_rows, seed=plan.seed + m, weightCol="times",
         )
-        return learner.fit(data.filter(_takes_part(m, held)))
+        times = F.get("bags_times", (F.array_position("bags", m) - 1).cast("int"))
+        mine = data.filter(_takes_part(m, held)).withColumn("times", F.coalesce(times, F.lit(1)).cast("double"))
+        return learner.fit(mine)
 
     with ThreadPoolExecutor(workers) as pool:
         return list(pool.map(fit, range(plan.n_models)))

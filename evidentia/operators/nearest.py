@@ -126,7 +126,7 @@ def _by_blocks(rows: DataFrame, anchors: DataFrame, schema: str, blocks: int, ro
     left = rows.withColumn("rb", F.pmod(F.xxhash64("k"), F.lit(row_blocks))).withColumn(
         "ab", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
     )
-    right = anchors.withColumn("ab", F.pmod(F.xxhash64("a"), F.lit(blocks))).withColumn(
+    right = anchors.select("a", "o", F.col("unit").alias("au")).withColumn("ab", F.pmod(F.xxhash64("a"), F.lit(blocks))).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<bigint>"))
     )
 
@@ -136,7 +136,7 @@ def _by_blocks(rows: DataFrame, anchors: DataFrame, schema: str, blocks: int, ro
         rhs = rhs.sort_values("o")
         ids, order = rhs["a"].to_numpy(), rhs["o"].to_numpy()
         k = lhs["k"].to_numpy()
-        got = _best(k, np.stack(lhs["unit"].to_numpy()), ids, np.stack(rhs["unit"].to_numpy()))
+        got = _best(k, np.stack(lhs["unit"].to_numpy()), ids, np.stack(rhs["au"].to_numpy()))
         return _frame(k, *got, ids, order)
 
     pairs = left.groupBy("rb", "ab").cogroup(right.groupBy("rb", "ab")).applyInPandas(score, schema)

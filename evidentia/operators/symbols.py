@@ -117,7 +117,9 @@ def format_profile(df: DataFrame, key: str) -> DataFrame:
     def rows(cond):
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
 
-    specials = F.array_distinct(F.regexp_extract_all(F.col("s"), F.lit(r"([^\p{L}\p{N}])"), F.lit(1)))
+    # Characters become distinct rows before they are listed, so the list stays short.
+    char = F.explode(F.array_distinct(F.regexp_extract_all(F.col("s"), F.lit(r"([^\p{L}\p{N}])"), F.lit(1))))
+    specials = spelled.select(char.alias("ch")).distinct().agg(F.array_join(F.array_sort(F.collect_set("ch")), ""))
     return spelled.agg(
         F.sum("n").cast("bigint").alias("n"),
         F.count("s").alias("unique_n"),
@@ -126,8 +128,7 @@ def format_profile(df: DataFrame, key: str) -> DataFrame:
         rows((stripped("s") == "") | (F.col("s") == "NA")).alias("empty_or_na"),
         (F.sum("n") - F.count(F.lit(1))).cast("bigint").alias("duplicates"),
         F.count_if(~well_formed("s")).alias("nonstandard_n"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(specials)))), "").alias("special_chars"),
-    )
+    ).withColumn("special_chars", specials.scalar())
 
 
 def nonstandard_symbols(df: DataFrame, key: str) -> DataFrame:

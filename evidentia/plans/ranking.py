@@ -84,7 +84,7 @@ def _plan(cfg: RunConfig, crossed: bool) -> Plan:
 
 
 def _long(df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Sequence[str], missing: str) -> DataFrame:
-    """(variant, id, y, fold, bags, x): one row per entity and variant."""
+    """(variant, id, y, fold, bags, bags_times, x): one row per entity and variant."""
     if any(c.use_druggability for c in configs.values()):
         df = with_family_size(df)
     raw = {v: feature_expressions(c, polarization_fill(df, c)) for v, c in configs.items()}
@@ -103,13 +103,14 @@ def _long(df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Seque
         x = F.array(*[F.coalesce(e.cast("double"), F.lit(float(fills[v][f]))) for f, e in raw[v].items()])
         entries.append(F.struct(
             F.lit(v).alias("variant"), F.col(LABEL[c.label_set]).cast("int").alias("y"),
-            F.col(f"fold_{c.label_set}").alias("fold"), F.col(f"bags_{c.label_set}").alias("bags"), x.alias("x"),
+            F.col(f"fold_{c.label_set}").alias("fold"), F.col(f"bags_{c.label_set}").alias("bags"),
+            F.col(f"bags_{c.label_set}_times").alias("bags_times"), x.alias("x"),
         ))
     return df.select(F.col(key).alias("id"), *keep, F.inline(F.array(*entries)))
 
 
 def _fit(long: DataFrame, configs: Mapping[int, RunConfig], crossed: bool) -> dict[int, LinearModels]:
-    train = long.select("id", "variant", "y", "fold", "bags", "x").filter((F.col("y") == 1) | (F.size("bags") > 0))
+    train = long.select("id", "variant", "y", "fold", "bags", "bags_times", "x").filter((F.col("y") == 1) | (F.size("bags") > 0))
     train = train.repartition(_width(long), "id").drop("id")  # even work for the passes to come
     features = {v: feature_columns(c) for v, c in configs.items()}
     plan = _plan(next(iter(configs.values())), crossed)
@@ -136,7 +137,8 @@ def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gen
     if linear:
         long = _long(prepared, linear, key, [], "median")
         # Held-out rows are scored by fold alone, so the draws need not be computed again.
-        held_out = long.withColumn("bags", F.array().cast("array<int>"))
+        none = F.array().cast("array<int>")
+        held_out = long.withColumns({"bags": none, "bags_times": none})
         scored = score_linear(held_out, _fit(long, linear, True))
         parts.append(scored.select("id", "variant", "score"))
     if "trees" in learners:

@@ -231,7 +231,7 @@ def _given(spark, sf):
         list(_GIVEN_X), plan, np.array(_GIVEN_COEF), np.array(_GIVEN_INTERCEPT), np.array(_GIVEN_MEAN))
     ent = bagging.with_membership(entities(spark, sf), "gene", "label_immune", None, plan)
     x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in _GIVEN_X])
-    rows = ent.select(F.col("gene").alias("id"), F.lit(0).alias("variant"), F.col("label_immune").alias("y"), F.lit(-2).alias("fold"), "bags", x.alias("x"))
+    rows = ent.select(F.col("gene").alias("id"), F.lit(0).alias("variant"), F.col("label_immune").alias("y"), F.lit(-2).alias("fold"), "bags", "bags_times", x.alias("x"))
     return rows, fitted
 
 

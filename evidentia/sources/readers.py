@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,10 @@ def read_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     ordered = sorted(paths)
     if not ordered:
         raise ValueError("no shards given")
-    first = spark.read.parquet(ordered[0]).schema
-    for p in ordered[1:]:
-        found = spark.read.parquet(p).schema
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(lambda p: spark.read.parquet(p).schema, ordered))
+    first = schemas[0]
+    for p, found in zip(ordered, schemas):
         if found.names != first.names:
             raise ValueError(f"schema mismatch in {p}: {found.names} != {first.names}")
     return spark.read.schema(first).parquet(*ordered)

@@ -122,8 +122,19 @@ def test_small_pool_draws_with_replacement(table):
     flipped = table.withColumn("y", 1 - F.col("label_all"))  # now positives outnumber the pool
     plan = bagging.Plan(3, None, 1)
     out = bagging.with_membership(flipped, "gene", "y", None, plan)
-    drawn = out.select("y", F.explode("bags").alias("m")).groupBy("m", "y").count().collect()
-    assert {(r["m"], r["y"], r["count"]) for r in drawn} == {(m, 0, N - N // 8) for m in range(3)}
+    pairs = out.select("gene", "y", F.explode(F.arrays_zip("bags", "bags_times")).alias("e")).select("gene", "y", "e.*").cache()
+    drawn = pairs.groupBy("bags", "y").agg(F.sum("bags_times").alias("n")).collect()
+    assert {(r["bags"], r["y"], r["n"]) for r in drawn} == {(m, 0, N - N // 8) for m in range(3)}
+    assert pairs.filter("bags_times > 1").count() > 0 and pairs.count() == pairs.distinct().count()
+    # Repeats weigh in the fit as if the rows were repeated.
+    rows_ = out.select(F.lit(0).alias("variant"), "y", F.lit(-2).alias("fold"), "bags", "bags_times",
+                       F.array("gwas_score", "mis_z_score").alias("x"))
+    fitted = bagging.fit_linear(rows_, {0: ["a", "b"]}, plan)[0]
+    data = rows_.collect()
+    x = [list(r["x"]) for r in data for _ in range(1 if r["y"] else dict(zip(r["bags"], r["bags_times"])).get(1, 0))]
+    y = [r["y"] for r in data for _ in range(1 if r["y"] else dict(zip(r["bags"], r["bags_times"])).get(1, 0))]
+    coef, intercept = _direct_fit(np.array(x), np.array(y, dtype=float))
+    assert fitted.coef[1] == pytest.approx(coef, abs=1e-3) and fitted.intercept[1] == pytest.approx(intercept, abs=1e-3)
 
 
 def _direct_fit(x, y):
@@ -151,8 +162,8 @@ def test_linear_learner_against_proximal_gradient(spark):
     x = np.c_[x, x[:, 0] + rng.normal(0, 0.5, 300)]
     y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 5 + 120 * x[:, 1])))).astype(int)
     bags = [[] if y[i] else [m for m in range(2) if (i + m) % 2] for i in range(300)]
-    df = spark.createDataFrame([(3, int(y[i]), -2, bags[i], [float(v) for v in x[i]]) for i in range(300)],
-                               "variant int, y int, fold int, bags array<int>, x array<double>").repartition(4)
+    df = spark.createDataFrame([(3, int(y[i]), -2, bags[i], [], [float(v) for v in x[i]]) for i in range(300)],
+                               "variant int, y int, fold int, bags array<int>, bags_times array<int>, x array<double>").repartition(4)
     fitted = bagging.fit_linear(df, {3: list("abcde")}, bagging.Plan(2, None, 0))[3]
     for m in range(2):
         rows_ = [i for i in range(300) if y[i] or m in bags[i]]
@@ -280,7 +291,7 @@ def test_driver_tags(spark):
 
 
 def test_unscored_row_raises(spark):
-    rows_ = spark.createDataFrame([(1, 0, 1, 7, [], [1.0])], "id int, variant int, y int, fold int, bags array<int>, x array<double>")
+    rows_ = spark.createDataFrame([(1, 0, 1, 7, [], [], [1.0])], "id int, variant int, y int, fold int, bags array<int>, bags_times array<int>, x array<double>")
     m = bagging.LinearModels(["a"], bagging.Plan(1, 2, 0), np.ones((2, 1)), np.zeros(2), np.zeros((2, 1)))
     with pytest.raises(PySparkException, match="never in a scored fold"):
         bagging.score_linear(rows_, {0: m}).collect()
