@@ -18,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.session import checkpoint_root
 
@@ -203,25 +204,92 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name.
 
-    Found on the distinct values and their running counts, so no group is held in
-    one task.
+    Found on the distinct values and their running counts, so no group is held in one
+    task. Large input is first narrowed to the values around each quantile.
     """
-    counts = value_counts(df.filter(F.col(value).isNotNull()), value, by)
+    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    if needs_slices(known, by):
+        narrowed = _narrowed_quantiles(known, value, probs, by)
+        if narrowed is not None:
+            return narrowed
+    counts = value_counts(known, value, by)
     placed = scan(counts, [(value, "asc")], by, sums={"__to": F.col("n")}, totals={"__n": F.col("n")})
     picks = []
     for name, q in probs.items():
-        at = (F.col("__n") - 1) * F.lit(float(q))
-        picks += [
-            F.min(F.when(F.col("__to") > F.floor(at), F.col(value))).alias(f"__lo_{name}"),
-            F.min(F.when(F.col("__to") > F.ceil(at), F.col(value))).alias(f"__hi_{name}"),
-        ]
+        picks += _neighbours(name, F.col("__to"), F.col(value), _position(q))
     picked = placed.groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
-    cols = []
-    for name, q in probs.items():
-        at = (F.col("__n") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        cols.append((lo + (at - F.floor(at)) * (hi - lo)).cast("double").alias(name))
-    return picked.select(*by, *cols)
+    return picked.select(*by, *[_interpolated(name, _position(q)).alias(name) for name, q in probs.items()])
+
+
+def _position(q: float) -> Column:
+    return (F.col("__n") - 1) * F.lit(float(q))
+
+
+def _neighbours(name: str, to: Column, value: Column, at: Column) -> list[Column]:
+    """The two order statistics around a fractional position."""
+    return [
+        F.min(F.when(to > F.floor(at), value)).alias(f"__lo_{name}"),
+        F.min(F.when(to > F.ceil(at), value)).alias(f"__hi_{name}"),
+    ]
+
+
+def _interpolated(name: str, at: Column) -> Column:
+    lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+    return lo + (at - F.floor(at)) * (hi - lo)
+
+
+BRACKET = 0.001  # share of the rows kept on either side of a quantile
+SKETCH = 20_000  # sketch accuracy: its rank error, n / SKETCH, is far inside the bracket
+WHOLE_BELOW = 100_000  # smaller groups are not narrowed
+MAX_BRACKETS = 100_000  # brackets (groups x quantiles) a broadcast may carry
+
+
+def _narrowed_quantiles(known: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame | None:
+    """Exact quantiles from the values a mergeable sketch brackets.
+
+    Values below a bracket are only counted and those above it dropped, so next to
+    nothing is shuffled. None when there are too many groups to broadcast brackets.
+    """
+    names = list(probs)
+    ends = [max(0.0, q - BRACKET) for q in probs.values()] + [min(1.0, q + BRACKET) for q in probs.values()]
+    sketch = known.groupBy(*by).agg(
+        F.percentile_approx(value, [float(e) for e in ends], SKETCH).alias("ends"), F.count(F.lit(1)).alias("n")
+    )
+    most = MAX_BRACKETS // len(names)
+    held = sketch.limit(most + 1).collect()
+    if len(held) > most:
+        return None
+    k, inf = len(names), float("inf")
+    rows = []
+    for r in held:
+        whole = r["n"] < WHOLE_BELOW
+        ends_ = r["ends"] or [None] * (2 * k)
+        brackets = [(i, -inf if whole else ends_[i], inf if whole else ends_[k + i]) for i in range(k)]
+        rows.append((*[r[c] for c in by], r["n"], brackets))
+    if by:
+        schema = T.StructType(
+            [known.schema[c] for c in by]
+            + [T.StructField("__n", T.LongType()), T.StructField("__b", T.ArrayType(T.StructType([
+                T.StructField("i", T.IntegerType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])))]
+        )
+        table = F.broadcast(known.sparkSession.createDataFrame(rows, schema))  # at most MAX_BRACKETS entries
+        tagged = null_safe_join(known, table, list(by), "inner")
+    else:
+        n, brackets = rows[0]
+        tagged = known.withColumns({"__n": F.lit(n), "__b": F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, lo, hi in brackets
+        ])})
+    near = tagged.select(*by, "__n", value, F.explode("__b").alias("b")).filter(F.col(value) <= F.col("b.hi"))
+    inside = F.when(F.col(value) >= F.col("b.lo"), F.col(value)).alias("__v")
+    counts = near.groupBy(*by, "__n", F.col("b.i").alias("__i"), inside).agg(F.count(F.lit(1)).alias("n"))
+    # The count of everything below sits in the NULL row, which sorts first.
+    placed = scan(counts, [("__v", "asc")], [*by, "__n", "__i"], sums={"__to": F.col("n")})
+    picks = []
+    for i, (name, q) in enumerate(probs.items()):
+        mine = F.when((F.col("__i") == i) & F.col("__v").isNotNull(), F.col("__to"))
+        picks += _neighbours(name, mine, F.col("__v"), _position(q))
+    picked = placed.groupBy(*by, "__n").agg(*picks)
+    return picked.select(*by, *[_interpolated(name, _position(q)).alias(name) for name, q in probs.items()])
 
 
 def top_rows(df: DataFrame, order: Order, k: int) -> DataFrame:

@@ -112,3 +112,22 @@ def test_top_rows(sample):
     want = sorted(sample.collect(), key=lambda r: (r["v"] is None, -(r["v"] or 0), r["id"]))[:3]
     assert [r["id"] for r in top] == [r["id"] for r in want]
     assert sample.filter(F.col("v").isNull()).count() == 14
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_narrowed_quantiles_are_exact(spark, forced_slices, monkeypatch, by):
+    monkeypatch.setattr(ordering, "WHOLE_BELOW", 200)
+    monkeypatch.setattr(ordering, "BRACKET", 0.05)
+    rng = np.random.default_rng(4)
+    data = [("a", float(v)) for v in rng.normal(0, 1, 900)] + [("a", 0.25)] * 400
+    data += [("b", float(v)) for v in rng.integers(0, 5, 50)] + [(None, 7.0), ("c", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    probs = {"lo": 0.02, "mid": 0.5, "up": 0.77, "top": 1.0}
+    got = ordering.quantiles(df, "v", probs, by).collect()
+    assert len(got) == (3 if by else 1)
+    for r in got:
+        vals = [v for g, v in data if v is not None and (not by or g == r["g"])]
+        assert [r[n] for n in probs] == pytest.approx(list(np.quantile(vals, list(probs.values()))), abs=1e-12)
+    monkeypatch.setattr(ordering, "MAX_BRACKETS", 4)  # too many groups: the general way
+    again = ordering.quantiles(df, "v", probs, by).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
