@@ -45,7 +45,7 @@ def tree_attribution(
     node value. ``rows`` is the short list to explain; every bag is one task that holds
     its own nodes, whose number the learner settings bound.
     """
-    held = rows.select(key, x).toPandas()
+    held = rows.select(key, x).toArrow().to_pandas()
     ids, matrix = held[key].to_numpy(), np.stack(held[x].to_numpy()) if len(held) else np.zeros((0, len(features)))
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
     id_type = rows.schema[key].dataType.simpleString()

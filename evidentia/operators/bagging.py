@@ -246,8 +246,8 @@ def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel, many_parts: boo
     if many_parts:
         parts = parts.groupBy("variant", "model").applyInPandas(add_up, _SUMS)
     out: dict[int, list] = {v: [0.0] * len(h) for v, h in held.items()}
-    for r in parts.toPandas().itertuples(index=False):
-        out[r.variant][r.model] = out[r.variant][r.model] + r.sums
+    for r in parts.toArrow().to_pandas().itertuples(index=False):
+        out[r.variant][r.model] = out[r.variant][r.model] + np.asarray(r.sums)
     shared.unpersist()
     return {v: np.stack([np.asarray(a, dtype=float) for a in rows]) for v, rows in out.items()}
 

@@ -105,7 +105,7 @@ def _frame(k, best, at, anchor_ids, anchor_order) -> pd.DataFrame:
 
 
 def _by_broadcast(rows: DataFrame, anchors: DataFrame, schema: str) -> DataFrame:
-    held = anchors.orderBy("o").toPandas()  # within the checked bound
+    held = anchors.orderBy("o").toArrow().to_pandas()  # within the checked bound
     ids, order = held["a"].to_numpy(), held["o"].to_numpy()
     matrix = np.stack(held["unit"].to_numpy()) if len(held) else np.zeros((0, 1))
     shared = rows.sparkSession.sparkContext.broadcast((ids, order, matrix))
@@ -113,9 +113,9 @@ def _by_broadcast(rows: DataFrame, anchors: DataFrame, schema: str) -> DataFrame
     def score(batches):
         anchor_ids, anchor_order, m = shared.value
         for pdf in batches:
-            if len(pdf):
-                k = pdf["k"].to_numpy()
-                x = np.stack(pdf["unit"].to_numpy())
+            for s in range(0, len(pdf), _BLOCK):
+                part = pdf.iloc[s:s + _BLOCK]
+                k, x = part["k"].to_numpy(), np.stack(part["unit"].to_numpy())
                 yield _frame(k, *_best(k, x, anchor_ids, m), anchor_ids, anchor_order)
 
     return rows.mapInPandas(score, schema).withColumn("best", F.nanvl("best", F.lit(None).cast("double")))

@@ -60,6 +60,13 @@ def needs_slices(df: DataFrame, by: Sequence[str] = ()) -> bool:
     return hottest_group(df, by) > _limit(df, "rowsPerTask", ROWS_PER_TASK)
 
 
+def partition_count(df: DataFrame) -> int:
+    """Partitions for an explicit repartition: the session's number, fewer on small input."""
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(wanted, max(spark.sparkContext.defaultParallelism, estimated_bytes(df) // (4 << 20)))
+
+
 def order_columns(order: Order) -> list[Column]:
     return [
         F.col(c).asc_nulls_first() if way == "asc" else F.col(c).desc_nulls_last()
@@ -83,7 +90,7 @@ def sliced(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
     same files, and a lost executor costs no recomputation.
     """
     checkpoint_root(df.sparkSession)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partition_count(df)
     keys = [F.col(c) for c in by] + order_columns(order)
     return df.repartitionByRange(parts, *keys).withColumn(SLICE, F.spark_partition_id()).checkpoint()
 

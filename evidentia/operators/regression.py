@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import is_finite, ratio, signed_log10
-from evidentia.functions.tails import normal_upper_tail, student_t_two_sided
+from evidentia.functions.tails import rank_sum_p, student_t_two_sided
 from evidentia.operators.ordering import average_rank, benjamini_hochberg, scan, value_counts
 
 MIN_ROWS = 100
 COLLINEAR = 1e-8
+_CELLS = 2_000_000
 
 
 def _solve(moments: DataFrame, by: Sequence[str], min_rows: int) -> DataFrame:
@@ -67,26 +68,31 @@ def scan_columns(
 _PARTIAL = "condition string, col_id int, n double, mx double, my double, mw double, xx double, yy double, ww double, xy double, xw double, yw double"
 
 
+def _chunk_moments(part: pd.DataFrame) -> np.ndarray:
+    """(n, means, centred second moments) of every column over a few rows."""
+    x = np.stack(part["values"].to_numpy()).astype(float)
+    own = part["own_col"].to_numpy(dtype=float)
+    hit = np.flatnonzero(~np.isnan(own))
+    x[hit, own[hit].astype(int)] = np.nan
+    y = part["y"].to_numpy(dtype=float)[:, None]
+    w = part["w"].to_numpy(dtype=float)[:, None]
+    ok = np.isfinite(x)
+    n = ok.sum(0).astype(float)
+    safe = np.maximum(n, 1.0)
+    means = [np.where(ok, v, 0.0).sum(0) / safe for v in (x, y, w)]
+    dx, dy, dw = (np.where(ok, v - m, 0.0) for v, m in zip((x, y, w), means))
+    return np.stack([n, *means, *((p * q).sum(0) for p, q in ((dx, dx), (dy, dy), (dw, dw), (dx, dy), (dx, dw), (dy, dw)))])
+
+
 def _partial_moments(batches):
     """Centred second moments of every matrix column over the rows of one partition."""
     held: dict = {}
     for pdf in batches:
         for cond, part in pdf.groupby("condition", sort=False):
-            x = np.stack(part["values"].to_numpy()).astype(float)
-            own = part["own_col"].to_numpy(dtype=float)
-            hit = np.flatnonzero(~np.isnan(own))
-            x[hit, own[hit].astype(int)] = np.nan
-            y = part["y"].to_numpy(dtype=float)[:, None]
-            w = part["w"].to_numpy(dtype=float)[:, None]
-            ok = np.isfinite(x) & np.isfinite(y) & np.isfinite(w)
-            n = ok.sum(0).astype(float)
-            safe = np.maximum(n, 1.0)
-            xm, ym, wm = (np.where(ok, v, 0.0) for v in (x, y, w))
-            mx, my, mw = xm.sum(0) / safe, ym.sum(0) / safe, wm.sum(0) / safe
-            dx, dy, dw = np.where(ok, x - mx, 0.0), np.where(ok, y - my, 0.0), np.where(ok, w - mw, 0.0)
-            new = np.stack([n, mx, my, mw, (dx * dx).sum(0), (dy * dy).sum(0), (dw * dw).sum(0),
-                            (dx * dy).sum(0), (dx * dw).sum(0), (dy * dw).sum(0)])
-            held[cond] = _merge(held[cond], new) if cond in held else new
+            rows = max(16, _CELLS // max(1, len(part["values"].iloc[0])))  # bounds the working memory
+            for s in range(0, len(part), rows):
+                new = _chunk_moments(part.iloc[s:s + rows])
+                held[cond] = _merge(held[cond], new) if cond in held else new
     for cond, m in held.items():
         keep = np.flatnonzero(m[0] > 0)
         yield pd.DataFrame(
@@ -157,8 +163,8 @@ def with_p_values(fits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def rank_sum(df: DataFrame, value: str, member: str) -> DataFrame:
     """Mann-Whitney U of members (1) over the rest (0), one-sided greater.
 
-    Ranks come from the distinct values and their counts; normal approximation with
-    tie and continuity correction.
+    Ranks come from the distinct values and their counts. Without ties and with a small
+    group the exact law is used, else the normal one with tie and continuity correction.
     """
     known = df.filter(F.col(value).isNotNull() & F.col(member).isNotNull())
     counts = value_counts(
@@ -179,6 +185,6 @@ def rank_sum(df: DataFrame, value: str, member: str) -> DataFrame:
     return (
         sums.withColumn("u", u)
         .withColumn("z", ratio(F.col("u") - n1 * n0 / 2.0 - 0.5, sd))
-        .withColumn("p", normal_upper_tail("z"))
+        .withColumn("p", rank_sum_p("u", "z", "n_members", "n_rest", "ties"))
         .select("n_members", "n_rest", "u", "z", "p")
     )

@@ -22,7 +22,7 @@ from evidentia.operators.features import (
 )
 from evidentia.operators.folds import with_folds
 from evidentia.operators.metrics import at_top, average_precision, tidy
-from evidentia.operators.ordering import quantiles, row_rank, top_rows
+from evidentia.operators.ordering import partition_count, quantiles, row_rank, top_rows
 from evidentia.session import checkpoint_root
 
 LABEL = {"immune": "label_immune", "all": "label_all"}
@@ -68,17 +68,13 @@ def _prepared(df: DataFrame, configs: Mapping[int, RunConfig], key: str, crossed
             out = out.withColumn(f"fold_{name}", F.lit(-2))
     checkpoint_root(df.sparkSession)
     # Joins on family leave a hot family in one partition; the unique key spreads it.
-    out = out.repartition(_width(df), key).checkpoint()
+    out = out.repartition(partition_count(df), key).checkpoint()
     for name, cfg in sets.items():
         fold = f"fold_{name}" if crossed else None
         out = with_membership(out, key, LABEL[name], fold, _plan(cfg, crossed), f"bags_{name}")
     return out
 
 
-def _width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _plan(cfg: RunConfig, crossed: bool) -> Plan:
     return Plan(cfg.n_bags, cfg.n_folds if crossed else None, cfg.seed)
 
@@ -111,7 +107,7 @@ def _long(df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Seque
 
 def _fit(long: DataFrame, configs: Mapping[int, RunConfig], crossed: bool) -> dict[int, LinearModels]:
     train = long.select("id", "variant", "y", "fold", "bags", "bags_times", "x").filter((F.col("y") == 1) | (F.size("bags") > 0))
-    train = train.repartition(_width(long), "id").drop("id")  # even work for the passes to come
+    train = train.repartition(partition_count(long), "id").drop("id")  # even work for the passes to come
     features = {v: feature_columns(c) for v, c in configs.items()}
     plan = _plan(next(iter(configs.values())), crossed)
     return fit_linear(train.checkpoint(), features, plan)

@@ -172,6 +172,22 @@ def test_rank_sum(spark):
     assert (r["z"], r["p"]) == pytest.approx((z, 0.5 * math.erfc(z / math.sqrt(2))))
 
 
+@pytest.mark.parametrize("n1,n0", [(3, 5), (6, 2), (1, 7), (4, 4)])
+def test_rank_sum_exact_for_small_samples(spark, n1, n0):
+    from itertools import combinations
+
+    rng = np.random.default_rng(n1 * 10 + n0)
+    v = rng.permutation(n1 + n0).astype(float)
+    df = spark.createDataFrame([(float(x), int(i < n1)) for i, x in enumerate(v)], "v double, g int")
+    r = regression.rank_sum(df, "v", "g").first()
+
+    def u_of(chosen):
+        return sum(a > b for a in chosen for b in range(n1 + n0) if b not in chosen)
+
+    every = [u_of(set(c)) for c in combinations(range(n1 + n0), n1)]
+    assert r["p"] == pytest.approx(sum(u >= r["u"] for u in every) / len(every), rel=1e-12)
+
+
 def test_polarization_edges(spark):
     data = [
         (1, "a", "Stim8hr", "ota", 2.0, 1.0, True, "Th2 regulator"), (2, "a", "Stim48hr", "ota", 4.0, 2.0, True, None),
