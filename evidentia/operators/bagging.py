@@ -311,7 +311,7 @@ def fit_linear(
     def moments(v, x, y, w):
         return np.concatenate([w.sum(0)[:, None], w.T @ x, w.T @ (x * x)], axis=1)
 
-    many = train.rdd.getNumPartitions() > 16  # then partial sums are added on the cluster
+    many = train.rdd.getNumPartitions() > 8  # then partial sums are added on the cluster
     base = _pass(train, held, moments, many)
     centre, scale, sd, mean, n = {}, {}, {}, {}, {}
     for v, m in base.items():

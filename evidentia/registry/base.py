@@ -36,6 +36,8 @@ def shaped(df: DataFrame, places: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType, T.DecimalType)):
             c = c.cast("bigint") if not isinstance(f.dataType, T.BooleanType) else c.cast("int").cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), places) + F.lit(0.0)
+            # Scale, round, scale back: decimal rounding of the printed form would treat
+            # values half way between two results differently from other engines.
+            c = F.round(c.cast("double") * F.lit(10.0**places), 0) / F.lit(10.0**places) + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(*out)
