@@ -374,42 +374,52 @@ def fit_linear(
     return out
 
 
-def score_linear(rows: DataFrame, models: dict[int, LinearModels], keep: str = "id") -> DataFrame:
-    """Bag-averaged probability per row and variant, with model counts.
+_SCORE = "score double, oob_models bigint, inbag_models bigint"
 
-    ``rows`` holds ``id, variant, y, fold, bags, bags_times, x``. Under cross-validation a row is
-    scored by the models that held its fold out. In the full run an unlabeled row is
-    scored by the models that did not draw it, falling back to all when every model
-    did; a positive takes part in all of them and is scored by all.
+
+def score_linear(rows: DataFrame, models: dict[int, LinearModels]) -> DataFrame:
+    """Add the bag-averaged probability and model counts to every row.
+
+    ``rows`` holds ``variant, y, fold, bags, bags_times, x`` beside any other columns,
+    which never leave the JVM. Under cross-validation a row is scored by the models that
+    held its fold out. In the full run an unlabeled row is scored by the models that did
+    not draw it, falling back to all when every model did; a positive takes part in all
+    of them and is scored by all.
     """
     packed = {v: (m.coef, m.intercept, m.plan.held_out_array(), m.plan.n_folds is not None) for v, m in models.items()}
     shared = rows.sparkSession.sparkContext.broadcast(packed)
-    id_type = rows.schema[keep].dataType.simpleString()
 
-    def score(batches):
-        for pdf in batches:
-            for v, part in pdf.groupby("variant", sort=False):
-                coef, intercept, held, crossed = shared.value[v]
-                x = np.stack(part["x"].to_numpy()).astype(float)
-                prob = 1.0 / (1.0 + np.exp(-np.clip(x @ coef.T + intercept, -500, 500)))
-                if crossed:
-                    use = part["fold"].to_numpy()[:, None] == held[None, :]
-                    inside = np.zeros_like(use)
-                else:
-                    inside = _weights(part, held) > 0
-                    use = ~inside
-                    use[~use.any(1)] = True
-                count = use.sum(1)
-                mean = np.divide((prob * use).sum(1), count, out=np.full(len(part), np.nan), where=count > 0)
-                yield pd.DataFrame({
-                    keep: part[keep].to_numpy(), "variant": int(v), "score": mean,
-                    "oob_models": (use & ~inside).sum(1), "inbag_models": inside.sum(1),
-                })
-
-    schema = f"{keep} {id_type}, variant int, score double, oob_models bigint, inbag_models bigint"
-    scored = rows.mapInPandas(score, schema)
+    def block(v: int, part: pd.DataFrame) -> pd.DataFrame:
+        coef, intercept, held, crossed = shared.value[v]
+        x = np.stack(part["x"].to_numpy()).astype(float)
+        prob = 1.0 / (1.0 + np.exp(-np.clip(x @ coef.T + intercept, -500, 500)))
+        if crossed:
+            use = part["fold"].to_numpy()[:, None] == held[None, :]
+            inside = np.zeros_like(use)
+        else:
+            inside = _weights(part, held) > 0
+            use = ~inside
+            use[~use.any(1)] = True
+        count = use.sum(1)
+        mean = np.divide((prob * use).sum(1), count, out=np.full(len(part), np.nan), where=count > 0)
+        return pd.DataFrame(
+            {"score": mean, "oob_models": (use & ~inside).sum(1), "inbag_models": inside.sum(1)}, index=part.index)
+
+    @F.pandas_udf(_SCORE)
+    def score(variant: pd.Series, y: pd.Series, fold: pd.Series, bags: pd.Series, bags_times: pd.Series,
+              x: pd.Series) -> pd.DataFrame:
+        pdf = pd.DataFrame({"variant": variant, "y": y, "fold": fold, "bags": bags, "bags_times": bags_times, "x": x})
+        parts = [block(int(v), part.iloc[s:s + _CHUNK]) for v, part in pdf.groupby("variant", sort=False)
+                 for s in range(0, len(part), _CHUNK)]
+        return pd.concat(parts).reindex(pdf.index)
+
+    got = rows.withColumn("__s", score("variant", "y", "fold", "bags", "bags_times", "x"))
     unscored = F.raise_error(F.lit("a row was never in a scored fold")).cast("double")
-    return scored.withColumn("score", F.when(F.col("score").isNull() | F.isnan("score"), unscored).otherwise(F.col("score")))
+    value = F.col("__s.score")
+    return got.withColumns({
+        "score": F.when(value.isNull() | F.isnan(value), unscored).otherwise(value),
+        "oob_models": F.col("__s.oob_models"), "inbag_models": F.col("__s.inbag_models"),
+    }).drop("__s")
 
 
 # ---------------------------------------------------------------------------- trees
@@ -449,12 +459,12 @@ def _takes_part(m: int, held: np.ndarray) -> Column:
     return ((F.col("y") == 1) & (F.col("fold") != int(held[m]))) | F.array_contains("bags", m)
 
 
-def score_trees(rows: DataFrame, plan: Plan, models: list, keep: str = "id") -> DataFrame:
+def score_trees(rows: DataFrame, plan: Plan, models: list) -> DataFrame:
     """Bag-averaged tree probabilities by the scoring rules of ``score_linear``."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     held = plan.held_out_array()
-    scored = rows.select(keep, "y", "fold", "bags", array_to_vector(F.col("x")).alias("features"))
+    scored = rows.withColumn("features", array_to_vector(F.col("x")))
     inside, use = [], []
     for m, model in enumerate(models):
         named = model.setProbabilityCol(f"p{m}").setPredictionCol("").setRawPredictionCol("")
@@ -469,7 +479,7 @@ def score_trees(rows: DataFrame, plan: Plan, models: list, keep: str = "id") ->
     score = F.when(count > 0, total / count).otherwise(every)
     n_in = sum((F.when(d, 1).otherwise(0) for d in inside), F.lit(0))
     return scored.select(
-        keep, score.alias("score"), count.cast("bigint").alias("oob_models"), n_in.cast("bigint").alias("inbag_models")
+        *rows.columns, score.alias("score"), count.cast("bigint").alias("oob_models"), n_in.cast("bigint").alias("inbag_models")
     )
 
 

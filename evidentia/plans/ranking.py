@@ -136,29 +136,23 @@ def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gen
         none = F.array().cast("array<int>")
         held_out = long.withColumns({"bags": none, "bags_times": none})
         scored = score_linear(held_out, _fit(long, linear, True))
-        parts.append(scored.select("id", "variant", "score"))
+        parts.append(scored.select("id", "variant", "y", "score"))
     if "trees" in learners:
         for v, c in by_number.items():
             if c.learner == "trees":
                 long = _long(prepared, {v: c}, key, [], "sentinel")
                 plan = _plan(c, True)
                 scored = score_trees(long, plan, _fit_trees(long, c, plan))
-                parts.append(scored.select("id", F.lit(v).alias("variant"), "score"))
+                parts.append(scored.select("id", "variant", "y", "score"))
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)
     names = F.array(*[
-        F.struct(F.lit(unique[c]).alias("v"), F.lit(n).alias("name"), F.lit(c.label_set).alias("set"))
-        for n, c in configs.items()
+        F.struct(F.lit(unique[c]).alias("v"), F.lit(n).alias("name")) for n, c in configs.items()
     ])
-    # One name per setting: the list is fixed by the call, so this is a filter, not a join.
+    # The names of a setting are a short literal list, so no join is needed.
     named = scores.withColumn("n", F.explode(F.filter(names, lambda e: e["v"] == F.col("variant"))))
-    labels = prepared.select(F.col(key).alias("id"), *[LABEL[s] for s in {c.label_set for c in configs.values()}])
-    joined = named.join(labels, "id")
-    y = F.lit(None).cast("int")
-    for s in {c.label_set for c in configs.values()}:
-        y = F.when(F.col("n.set") == s, F.col(LABEL[s])).otherwise(y)
-    return joined.select(F.col("n.name").alias("variant"), "id", y.alias("y"), "score")
+    return named.select(F.col("n.name").alias("variant"), "id", "y", "score")
 
 
 def ablation(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gene") -> DataFrame:
@@ -173,27 +167,24 @@ def ablation(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gene")
 
 @dataclass
 class FullRun:
-    """Final run on all rows: the prepared rows, their scores, the models, the feature rows."""
+    """Final run on all rows: every row with its score, and the models behind it."""
 
-    rows: DataFrame
     scored: DataFrame
     models: LinearModels | list  # one object for all linear bags, or one tree model per bag
-    long: DataFrame
 
 
 def full_run(df: DataFrame, cfg: RunConfig, key: str = "gene") -> FullRun:
     """Bagging without folds; unlabeled rows are scored out of bag."""
     configs = {0: cfg}
     prepared = _prepared(df, configs, key, crossed=False)
+    missing = "sentinel" if cfg.learner == "trees" else "median"
+    long = _long(prepared, configs, key, df.columns, missing)
     if cfg.learner == "trees":
-        long = _long(prepared, configs, key, [], "sentinel")
         plan = _plan(cfg, False)
         trees = _fit_trees(long, cfg, plan)
-        return FullRun(prepared, score_trees(long, plan, trees), trees, long)
-    long = _long(prepared, configs, key, [], "median")
+        return FullRun(score_trees(long, plan, trees), trees)
     models = _fit(long, configs, False)
-    scored = score_linear(long, models).select("id", "score", "oob_models", "inbag_models")
-    return FullRun(prepared, scored, models[0], long)
+    return FullRun(score_linear(long, models), models[0])
 
 
 def nominations(run: FullRun, cfg: RunConfig, key: str = "gene", extra: Sequence[str] = ()) -> DataFrame:
@@ -202,12 +193,10 @@ def nominations(run: FullRun, cfg: RunConfig, key: str = "gene", extra: Sequence
     The table is written down before it is ranked, so scoring runs once.
     """
     present = presence_expressions()
-    base = run.rows.withColumns(present)
-    scores = run.scored.select(F.col("id").alias(key), F.col("score").alias("pu_score"), "oob_models")
     status = F.when(F.col(LABEL[cfg.label_set]) == 1, "positive").otherwise("unlabeled")
-    table = base.join(scores, key).select(
-        key, *extra, "pu_score", "label_all", "label_immune", status.alias("label_status"), "family",
-        *present, "oob_models",
+    table = run.scored.withColumns(present).select(
+        key, *extra, F.col("score").alias("pu_score"), "label_all", "label_immune", status.alias("label_status"),
+        "family", *present, "oob_models",
     )
     return row_rank(table.checkpoint(), [("pu_score", "desc"), (key, "asc")])
 
@@ -215,7 +204,7 @@ def nominations(run: FullRun, cfg: RunConfig, key: str = "gene", extra: Sequence
 def explained(nominated: DataFrame, run: FullRun, cfg: RunConfig, key: str = "gene") -> DataFrame:
     """Attribution, driver tag and leading features of the top unlabeled rows."""
     top = top_rows(nominated.filter(F.col("label_status") == "unlabeled"), [("rank", "asc")], cfg.top_n_report)
-    rows = run.long.select(F.col("id").alias(key), "x").join(
+    rows = run.scored.select(key, "x").join(
         F.broadcast(top.select(key, "rank", "pu_score", "gwas_present", "perturbseq_measured")), key  # top_n_report rows
     )
     keep = ["rank", key, "pu_score", "gwas_present", "perturbseq_measured"]

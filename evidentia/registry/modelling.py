@@ -245,7 +245,7 @@ SELECT gene AS id, round(coalesce(avg(p) FILTER (WHERE NOT inside), avg(p)), 6)
 """)
 def out_of_bag_scores(spark, sf):
     rows, fitted = _given(spark, sf)
-    return shaped(bagging.score_linear(rows, {0: fitted}).drop("variant"))
+    return shaped(bagging.score_linear(rows, {0: fitted}).select("id", "score", "oob_models", "inbag_models"))
 
 
 @query("WITH " + _ENTITIES + ", " + _GIVEN_ROWS + f"""

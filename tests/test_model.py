@@ -177,7 +177,7 @@ def test_linear_learner_against_proximal_gradient(spark):
 
 def test_full_run_scores_out_of_bag(table):
     run = ranking.full_run(table, CFG)
-    held = {r["id"]: r for r in run.long.select("id", "y", "bags", "x").collect()}
+    held = {r["id"]: r for r in run.scored.select("id", "y", "bags", "x").collect()}
     m = run.models
     for r in run.scored.collect():
         h = held[r["id"]]
@@ -224,7 +224,7 @@ def test_tree_learner(table):
 def test_tree_attribution_adds_up(table):
     cfg = CFG.having(learner="trees", n_bags=2, n_estimators=3, max_depth=3, min_rows_per_leaf=2)
     run = ranking.full_run(table, cfg)
-    rows_ = run.long.select("id", "x").limit(20).cache()
+    rows_ = run.scored.select("id", "x").limit(20).cache()
     cols = features.feature_columns(cfg)
     told = attribution.tree_attribution(rows_, bagging.tree_nodes(run.models, table.sparkSession), cols, ["id"], "id")
     got = {r["id"]: {c["feature"]: c["value"] for c in r["contributions"]} for r in told.collect()}
