@@ -23,11 +23,13 @@ def collapse(
     Empty and missing entries are left out of lists and counts. A constant column
     that varies inside a group raises. Values are made distinct per partition
     (``collect_set`` combines before the shuffle); what reaches one task is the
-    distinct list itself, which is the value asked for.
+    distinct list itself, which is the value asked for. A column that is only counted
+    is never listed.
     """
     counts = dict(counts or {})
-    needed = list(dict.fromkeys([*lists, *counts.values()]))
-    aggs = [F.collect_set(F.nullif(F.col(c), F.lit(""))).alias(f"__s_{c}") for c in needed]
+    filled = {c: F.nullif(F.col(c), F.lit("")) for c in (*lists, *counts.values())}
+    aggs = [F.collect_set(filled[c]).alias(f"__s_{c}") for c in dict.fromkeys(lists)]
+    aggs += [F.count_distinct(filled[c]).alias(f"__d_{n}") for n, c in counts.items() if c not in lists]
     for c in constants:
         aggs += [
             F.min(F.col(c)).alias(f"__lo_{c}"), F.max(F.col(c)).alias(f"__hi_{c}"),
@@ -36,7 +38,10 @@ def collapse(
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *aggs)
     out = [F.col(k) for k in keys]
     out += [F.array_join(F.array_sort(F.col(f"__s_{c}")), sep).alias(c) for c in lists]
-    out += [F.size(F.col(f"__s_{c}")).cast("bigint").alias(name) for name, c in counts.items()]
+    out += [
+        (F.size(F.col(f"__s_{c}")).cast("bigint") if c in lists else F.col(f"__d_{name}")).alias(name)
+        for name, c in counts.items()
+    ]
     for c in constants:
         lo, hi, known = F.col(f"__lo_{c}"), F.col(f"__hi_{c}"), F.col(f"__k_{c}")
         steady = ((lo == hi) & (known == F.col("__n"))) | (known == 0)

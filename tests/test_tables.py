@@ -75,6 +75,8 @@ def test_collapse_lists_counts_and_constants(spark):
         [("t", "b", "x", 1), ("t", "a", "", 1), ("t", "a", None, 1), ("u", None, None, 2)], "k string, l string, m string, c int")
     out = grouping.collapse(df, ["k"], ["l", "m"], {"n": "l"}, ["c"])
     assert rows(out) == [("t", "a; b", "x", 2, 1), ("u", "", "", 0, 2)]
+    counted = grouping.collapse(df, ["k"], ["l"], {"n": "l", "m_n": "m"}, ["c"])
+    assert rows(counted) == [("t", "a; b", 2, 1, 1), ("u", "", 0, 0, 2)]
     broken = df.withColumn("c", F.when(F.col("l") == "b", 9).otherwise(F.col("c")))
     with pytest.raises(PySparkException, match="not constant"):
         grouping.collapse(broken, ["k"], [], {}, ["c"]).collect()
