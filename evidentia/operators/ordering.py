@@ -1,14 +1,11 @@
 """Ranks, running totals and quantiles that do not depend on one task.
 
-An ordered window sorts a whole partition key in one task. That is right for
-groups of ordinary size and fatal for a table-wide rank or a group that holds a
-third of the rows. ``scan`` therefore looks at the size first:
-
-* small input, or no group above ``ROWS_PER_TASK`` rows: one ordinary window;
-* otherwise: range-partition on (group, order), so a hot group spreads over many
-  slices, keep that layout with a reliable checkpoint, run the window inside each
-  slice and add what the earlier slices of the group contribute. Only one total
-  per (group, slice) is exchanged for that.
+An ordered window sorts a whole partition key in one task, which a table-wide rank or a
+group with a third of the rows cannot afford. ``scan`` range-partitions on (group, order)
+instead, so a hot group spreads over many slices, keeps that layout with a reliable
+checkpoint, runs the window inside each slice and adds what the earlier slices of the group
+contribute. Only one total per (group, slice) is exchanged for that. Every size of input
+takes this one path; small input merely gets few slices.
 """
 
 from __future__ import annotations
@@ -18,21 +15,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidentia.session import checkpoint_root
 
 SLICE = "__slice"
-SMALL_BYTES = 64 << 20
-ROWS_PER_TASK = 4_000_000
 
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
 
 
-def _limit(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(f"spark.evidentia.{key}", str(default)))
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Bytes of the tables a plan reads, by Catalyst's statistics; costs no job.
 
@@ -46,20 +36,6 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def hottest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the largest group (of the table when ``by`` is empty)."""
-    if not by:
-        return df.count()
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
-def needs_slices(df: DataFrame, by: Sequence[str] = ()) -> bool:
-    """True when some group is too large for one task; counts rows only on large input."""
-    if estimated_bytes(df) <= _limit(df, "smallBytes", SMALL_BYTES):
-        return False
-    return hottest_group(df, by) > _limit(df, "rowsPerTask", ROWS_PER_TASK)
-
-
 def partition_count(df: DataFrame) -> int:
     """Partitions for an explicit repartition: the session's number, fewer on small input."""
     spark = df.sparkSession
@@ -109,15 +85,6 @@ def scan(
     """
     sums, mins, totals = dict(sums or {}), dict(mins or {}), dict(totals or {})
     group = by or [F.lit(0)]
-    if not needs_slices(df, by):
-        ordered = Window.partitionBy(*group).orderBy(*order_columns(order))
-        running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns(
-            {n: F.sum(e).over(running) for n, e in sums.items()}
-            | {n: F.min(e).over(running) for n, e in mins.items()}
-            | {n: F.sum(e).over(Window.partitionBy(*group)) for n, e in totals.items()}
-        )
-
     measures = {f"__m_{n}": e for n, e in (sums | mins | totals).items()}
     laid_out = sliced(df.withColumns(measures), by, order)
     per_slice = laid_out.groupBy(*by, SLICE).agg(
@@ -211,14 +178,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name.
 
-    Found on the distinct values and their running counts, so no group is held in one
-    task. Large input is first narrowed to the values around each quantile.
+    Found on the distinct values and their running counts, so no group is held in one task.
     """
     known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
-    if needs_slices(known, by):
-        narrowed = _narrowed_quantiles(known, value, probs, by)
-        if narrowed is not None:
-            return narrowed
     counts = value_counts(known, value, by)
     placed = scan(counts, [(value, "asc")], by, sums={"__to": F.col("n")}, totals={"__n": F.col("n")})
     picks = []
@@ -245,60 +207,6 @@ def _interpolated(name: str, at: Column) -> Column:
     return lo + (at - F.floor(at)) * (hi - lo)
 
 
-BRACKET = 0.001  # share of the rows kept on either side of a quantile
-SKETCH = 20_000  # sketch accuracy: its rank error, n / SKETCH, is far inside the bracket
-WHOLE_BELOW = 100_000  # smaller groups are not narrowed
-MAX_BRACKETS = 100_000  # brackets (groups x quantiles) a broadcast may carry
-
-
-def _narrowed_quantiles(known: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame | None:
-    """Exact quantiles from the values a mergeable sketch brackets.
-
-    Values below a bracket are only counted and those above it dropped, so next to
-    nothing is shuffled. None when there are too many groups to broadcast brackets.
-    """
-    names = list(probs)
-    ends = [max(0.0, q - BRACKET) for q in probs.values()] + [min(1.0, q + BRACKET) for q in probs.values()]
-    sketch = known.groupBy(*by).agg(
-        F.percentile_approx(value, [float(e) for e in ends], SKETCH).alias("ends"), F.count(F.lit(1)).alias("n")
-    )
-    most = MAX_BRACKETS // len(names)
-    held = sketch.limit(most + 1).collect()
-    if len(held) > most:
-        return None
-    k, inf = len(names), float("inf")
-    rows = []
-    for r in held:
-        whole = r["n"] < WHOLE_BELOW
-        ends_ = r["ends"] or [None] * (2 * k)
-        brackets = [(i, -inf if whole else ends_[i], inf if whole else ends_[k + i]) for i in range(k)]
-        rows.append((*[r[c] for c in by], r["n"], brackets))
-    if by:
-        schema = T.StructType(
-            [known.schema[c] for c in by]
-            + [T.StructField("__n", T.LongType()), T.StructField("__b", T.ArrayType(T.StructType([
-                T.StructField("i", T.IntegerType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])))]
-        )
-        table = F.broadcast(known.sparkSession.createDataFrame(rows, schema))  # at most MAX_BRACKETS entries
-        tagged = null_safe_join(known, table, list(by), "inner")
-    else:
-        n, brackets = rows[0]
-        tagged = known.withColumns({"__n": F.lit(n), "__b": F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, lo, hi in brackets
-        ])})
-    near = tagged.select(*by, "__n", value, F.explode("__b").alias("b")).filter(F.col(value) <= F.col("b.hi"))
-    inside = F.when(F.col(value) >= F.col("b.lo"), F.col(value)).alias("__v")
-    counts = near.groupBy(*by, "__n", F.col("b.i").alias("__i"), inside).agg(F.count(F.lit(1)).alias("n"))
-    # The count of everything below sits in the NULL row, which sorts first.
-    placed = scan(counts, [("__v", "asc")], [*by, "__n", "__i"], sums={"__to": F.col("n")})
-    picks = []
-    for i, (name, q) in enumerate(probs.items()):
-        mine = F.when((F.col("__i") == i) & F.col("__v").isNotNull(), F.col("__to"))
-        picks += _neighbours(name, mine, F.col("__v"), _position(q))
-    picked = placed.groupBy(*by, "__n").agg(*picks)
-    return picked.select(*by, *[_interpolated(name, _position(q)).alias(name) for name, q in probs.items()])
-
-
 def top_rows(df: DataFrame, order: Order, k: int) -> DataFrame:
     """The k first rows of a total order (``TakeOrderedAndProject``)."""
     return df.orderBy(*order_columns(order)).limit(k)

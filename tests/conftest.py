@@ -15,16 +15,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture
-def forced_slices(spark):
-    """Make every ordered scan take the range-partitioned path."""
-    spark.conf.set("spark.evidentia.smallBytes", "0")
-    spark.conf.set("spark.evidentia.rowsPerTask", "0")
-    yield
-    spark.conf.unset("spark.evidentia.smallBytes")
-    spark.conf.unset("spark.evidentia.rowsPerTask")
-
-
 def rows(df, *order):
     """Collected rows as tuples, sorted for comparison."""
     out = [tuple(r) for r in df.collect()]

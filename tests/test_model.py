@@ -260,10 +260,7 @@ def test_metric_identities(spark):
     assert r[1]["recall"] == 1.0 and r[1]["enrichment"] == pytest.approx(1.0)  # k is capped at n
 
 
-@pytest.mark.parametrize("force", [False, True])
-def test_average_precision_with_ties(spark, request, force):
-    if force:
-        request.getfixturevalue("forced_slices")
+def test_average_precision_with_ties(spark):
     rng = np.random.default_rng(1)
     s, y = rng.integers(0, 15, 200) / 10, rng.integers(0, 2, 200)
     df = spark.createDataFrame([(int(i), float(a), int(b)) for i, (a, b) in enumerate(zip(s, y))], "id int, s double, y int")
