@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import exact_dedup, mixing, packing
+from evidentia.llm import exact_dedup, html_text, mixing, packing
 from evidentia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
