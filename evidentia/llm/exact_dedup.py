@@ -26,6 +26,10 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+#: Every part of the state is a database of its own with some MB of fixed files, and their number
+#: stays as it was at the first start. So it follows the documents, not the shuffle partitions.
+STATE_PARTS = "spark.sql.streaming.internal.stateStore.partitions"
+ROWS_PER_PART = 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -83,7 +87,9 @@ def state_after(
     def keep_changes(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
 
-    with _conf(spark, STATE_CONF):
+    held = spark.read.parquet(path).count() // ROWS_PER_PART
+    parts = max(spark.sparkContext.defaultParallelism, held + 1)
+    with _conf(spark, STATE_CONF | {STATE_PARTS: str(parts)}):
         writer = state.writeStream.outputMode("update").foreachBatch(keep_changes)
         running = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         running.awaitTermination()
