@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import exact_dedup, html_text, mixing, packing, secrets
+from evidentia.llm import exact_dedup, html_text, mixing, nearest_tiles, packing, secrets
 from evidentia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("random").alias("n_random"), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
         secrets.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query(
+    """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1),
+                 lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM p)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """
+)
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every hundredth vector."""
+    return nearest_tiles.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
