@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import exact_dedup, html_text, mixing, nearest_tiles, packing, secrets
+from evidentia.llm import exact_dedup, html_text, mixing, near_dedup, nearest_tiles, packing, secrets
 from evidentia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows of every hundredth vector."""
     return nearest_tiles.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
