@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import exact_dedup, html_text, mixing, near_dedup, nearest_tiles, packing, secrets
+from evidentia.llm import exact_dedup, html_text, mixing, near_dedup, nearest_tiles, packing, secrets, substring_dedup
 from evidentia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates."""
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings of earlier ones."""
+    cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
