@@ -42,6 +42,11 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return held[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base, to hash sequences by place."""
+    return _power("base", _BASE, n)
+
+
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, bytes, offsets) of runs of texts of at most BLOCK_BYTES, or of one longer text."""
     texts = texts.cast(pa.large_binary())
