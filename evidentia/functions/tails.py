@@ -42,8 +42,11 @@ def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = d * c
             h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
+        if not np.any(np.abs(step - 1.0) >= 1e-15):
             break
+    else:
+        if np.any(np.abs(step - 1.0) >= 1e-12):
+            raise ArithmeticError("the continued fraction did not converge")
     with np.errstate(divide="ignore"):
         front = np.exp(p * np.log(xs) + q * np.log1p(-xs) - log_beta(p, q)) / p
     value = front * h
@@ -197,7 +200,6 @@ def rank_sum_exact_p(u: float, n1: int, n0: int) -> float:
 
 # Fixed value: up to this smaller group, and without ties, the exact law is used.
 RANK_SUM_EXACT = 8
-RANK_SUM_CELLS = 20_000_000  # beyond this table length the normal law is used throughout
 
 
 @F.pandas_udf(DoubleType())
@@ -207,7 +209,7 @@ def rank_sum_p(u: pd.Series, z: pd.Series, n1: pd.Series, n0: pd.Series, ties: p
     for uu, zz, a, b, t in zip(u, z, n1, n0, ties):
         if pd.isna(uu) or pd.isna(a) or pd.isna(b) or min(a, b) == 0:
             out.append(None)
-        elif t == 0 and min(a, b) <= RANK_SUM_EXACT and a * b <= RANK_SUM_CELLS:
+        elif t == 0 and min(a, b) <= RANK_SUM_EXACT:
             out.append(rank_sum_exact_p(uu, int(a), int(b)))
         else:
             out.append(None if pd.isna(zz) else 0.5 * math.erfc(zz / math.sqrt(2.0)))

@@ -292,8 +292,8 @@ def _penalised_minimum(h, g, b, sd, rounds=100):
         x[todo[done]] = y[done]
         todo = todo[~done]
         if not len(todo):
-            break
-    return x
+            return x
+    raise ArithmeticError(f"{len(todo)} of {len(b)} fits did not settle in {rounds} rounds")
 
 
 def fit_linear(
@@ -367,6 +367,8 @@ def fit_linear(
                 live.discard(v)
         if not live:
             break
+    else:
+        raise ArithmeticError(f"variants {sorted(live)} did not converge in {max_passes} passes")
     out = {}
     for v, f in features.items():
         coef = best[v][:, :-1] / scale[v]

@@ -94,7 +94,8 @@ def equal_width_bins(
 ) -> DataFrame:
     """Histogram with right-closed bins, the lowest edge included; empty bins are absent.
 
-    Without explicit limits the finite minimum and maximum of the column are used.
+    Without explicit limits the finite minimum and maximum of the column are used, and values
+    that are not finite have no bin. With explicit limits a value outside them is an error.
     """
     if lo is None or hi is None:
         tagged = df.withColumn("__b", finite_bounds(df, value))
@@ -104,7 +105,12 @@ def equal_width_bins(
     width = (high - low) / F.lit(float(bins))
     place = F.ceil((F.col(value) - low) / width)
     bucket = F.greatest(F.lit(1), F.least(F.lit(bins), place)).cast("bigint")
-    inside = F.col(value).isNotNull() & (F.col(value) >= low) & (F.col(value) <= high)
+    inside = (F.col(value) >= low) & (F.col(value) <= high)
+    if lo is not None and hi is not None:
+        inside = F.when(F.col(value).isNull() | inside, inside).otherwise(
+            F.raise_error(F.lit(f"{value} lies outside the limits {lo} to {hi}")).cast("boolean")
+        )
+    inside = F.col(value).isNotNull() & inside
     binned = tagged.filter(inside).select(
         *by, bucket.alias("bin"), (low + (bucket - 0.5) * width).alias("mid")
     )

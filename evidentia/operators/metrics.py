@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import ratio
-from evidentia.operators.ordering import null_safe_join, scan, value_counts
+from evidentia.operators.ordering import null_safe_join, row_rank, scan, value_counts
 
 
 def at_top(
@@ -16,12 +16,10 @@ def at_top(
 ) -> DataFrame:
     """hits@k, recall@k, enrichment@k and the base rate, one row per group and k.
 
-    Ties go by key. Only the largest k rows of a group are ever ranked: with a
-    ``row_number() <= k`` filter every task forwards at most k rows per group.
+    Ties go by key. Ranks come from the ordered scan, so any k costs the same and no group
+    is ranked in one task.
     """
-    deepest = max(ks)
-    ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc_nulls_last(score), F.asc(key))
-    top = df.select(*by, label, F.row_number().over(ahead).alias("__r"), score, key).filter(F.col("__r") <= deepest)
+    top = row_rank(df.select(*by, label, score, key), [(score, "desc"), (key, "asc")], by, "__r")
     hits = top.groupBy(*by).agg(
         *[F.count_if((F.col("__r") <= k) & (F.col(label) == 1)).alias(f"__h{k}") for k in ks]
     )

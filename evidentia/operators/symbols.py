@@ -85,12 +85,12 @@ def canonical(df: DataFrame, index: DataFrame, key: str, name: str | None = None
 
 
 def harmonize(
-    df: DataFrame, index: DataFrame, key: str, check: bool = True
+    df: DataFrame, index: DataFrame, key: str
 ) -> tuple[DataFrame, DataFrame]:
     """Rename previous symbols; drop a deprecated row whose target is already present.
 
-    Returns the table and a one-row report (renamed, dropped, dropped_names). With
-    ``check`` a job makes sure that no two rows ended on one symbol.
+    Returns the table and a one-row report (renamed, dropped, dropped_names). The table's
+    plan itself raises, naming all of them, if rows ended on one symbol.
     """
     joined = df.join(_renames(df, index, key), F.col(key) == F.col("__old"), "left")
     collides = F.coalesce(F.col("__taken"), F.lit(False))
@@ -100,11 +100,10 @@ def harmonize(
         F.count_distinct(F.when(collides, F.col(key))).alias("dropped"),
         F.array_join(F.array_sort(F.collect_set(F.when(collides, F.col(key)))), "; ").alias("dropped_names"),
     )
-    if check:
-        clash = out.groupBy(key).count().filter("count > 1").orderBy(key).limit(20).collect()
-        if clash:
-            raise ValueError(f"harmonize produced duplicate symbols: {[r[0] for r in clash]}")
-    return out, report
+    clash = out.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
+    names = clash.agg(F.array_join(F.array_sort(F.collect_list(key)), "; ")).scalar()
+    failed = F.raise_error(F.concat(F.lit("harmonize produced duplicate symbols: "), names))
+    return out.filter(F.when(F.length(names) == 0, F.lit(True)).otherwise(failed.cast("boolean"))), report
 
 
 def format_profile(df: DataFrame, key: str) -> DataFrame:

@@ -65,10 +65,10 @@ def score_counts(scores: DataFrame) -> DataFrame:
     )
 
 
-def wide(scores: DataFrame, index: DataFrame, check: bool = True) -> DataFrame:
+def wide(scores: DataFrame, index: DataFrame) -> DataFrame:
     """One row per gene with every condition's metrics, symbols harmonised."""
     flat = pivot_once(scores, "gene", "condition", list(CONDITIONS), METRICS, CONDITIONS)
-    return harmonize(flat, index, "gene", check=check)[0]
+    return harmonize(flat, index, "gene")[0]
 
 
 def list_overlap(scores: DataFrame, condition: str, reference: DataFrame, ends: Sequence[str] = ("positive", "negative"),

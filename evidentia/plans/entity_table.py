@@ -30,15 +30,14 @@ def row_filters() -> dict:
 
 def build(
     constraint: DataFrame, index: DataFrame, panel: DataFrame, sources: Sequence[Source], panel_key: str = "gene",
-    check: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns the table, the match counts per source and the row audit per step."""
     masks = row_filters()
     kept = constraint.filter(masks["ensg"] & masks["autosomal"] & masks["named"])
     unique = drop_all_copies(kept, ["gene"])
-    renamed, report = harmonize(unique, index, "gene", check=check)
+    renamed, report = harmonize(unique, index, "gene")
     flagged = flag_members(renamed, "gene", panel, panel_key, "iei").select(*KEPT)
-    current = [s._replace(df=harmonize(s.df, index, "gene", check=check)[0]) for s in sources]
+    current = [s._replace(df=harmonize(s.df, index, "gene")[0]) for s in sources]
     table, matched = attach_sources(flagged, current, "gene")
 
     steps = constraint.agg(
@@ -62,21 +61,21 @@ def build(
     return table, matched, audit
 
 
-def association_scores(pages: DataFrame, index: DataFrame, datasource: str = DATASOURCE, check: bool = True) -> DataFrame:
+def association_scores(pages: DataFrame, index: DataFrame, datasource: str = DATASOURCE) -> DataFrame:
     """Nested score pages to a ranked table: rank, gene, ensembl_id, gwas_score."""
     score = F.get(F.filter("datasourceScores", lambda d: d["id"] == datasource), F.lit(0))["score"]
     flat = pages.select(
         F.col("target.approvedSymbol").alias("gene"), F.col("target.id").alias("ensembl_id"), score.alias("gwas_score")
     )
-    current, _ = harmonize(flat, index, "gene", check=check)
+    current, _ = harmonize(flat, index, "gene")
     ranked = row_rank(current, [("gwas_score", "desc"), ("gene", "asc")])
     return ranked.select("rank", "gene", "ensembl_id", "gwas_score")
 
 
-def zero_filled_scores(universe: DataFrame, scores: DataFrame, index: DataFrame, check: bool = True) -> DataFrame:
+def zero_filled_scores(universe: DataFrame, scores: DataFrame, index: DataFrame) -> DataFrame:
     """Every named entity of the universe with its score, 0 where there is none."""
     named = universe.filter(is_named("gene")).select("gene").distinct()
-    current, _ = harmonize(named, index, "gene", check=check)
+    current, _ = harmonize(named, index, "gene")
     return attach_zero_filled(current, scores, "gene", "gwas_score")
 
 

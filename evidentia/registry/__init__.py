@@ -3,6 +3,6 @@
 
 def load():
     """(queries, checks) with every topic module registered."""
-    from evidentia.registry import base, modelling, relational, statistics  # noqa: F401
+    from evidentia.registry import base, files, modelling, relational, statistics  # noqa: F401
 
     return base.QUERIES, base.ORACLES

@@ -123,11 +123,11 @@ def complete_rows(spark, sf):
 
 # ----------------------------------------------------------------------- joins
 
-_SPEND = "SELECT o_custkey, sum(o_totalprice) AS spend FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1"
+_SPEND = "SELECT o_custkey, sum(o_totalprice) AS spend FROM orders GROUP BY 1"
 
 
 def _sources(spark, sf):
-    orders = table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    orders = table(spark, sf, "orders")
     spend = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spend"))
     use = table(spark, sf, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(
         F.max("value").alias("top_value"), F.count(F.lit(1)).alias("n_events")
@@ -223,15 +223,15 @@ def zero_filled_universe(spark, sf):
 # ------------------------------------------------------------------------ sets
 
 _YEARS = """
-WITH a AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE year(o_orderdate) = 1997 AND o_orderstatus = 'F'),
-     b AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE year(o_orderdate) = 1998 AND o_orderstatus = 'F'),
+WITH a AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE year(o_orderdate) = 1997),
+     b AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE year(o_orderdate) = 1998),
      n AS (SELECT (SELECT count(*) FROM a) AS l, (SELECT count(*) FROM b) AS r,
                   (SELECT count(*) FROM a WHERE c IN (SELECT c FROM b)) AS k)
 """
 
 
 def _year_sets(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'")
+    orders = table(spark, sf, "orders")
     return sets.membership({
         "y97": orders.filter(F.year("o_orderdate") == 1997).select("o_custkey"),
         "y98": orders.filter(F.year("o_orderdate") == 1998).select("o_custkey"),
@@ -270,11 +270,10 @@ def fact_overlap(spark, sf):
 
 
 @query("""
-SELECT 'F' AS condition, o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL
-UNION ALL SELECT 'O', o_custkey, CAST(count(*) AS BIGINT) FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL
+SELECT o_orderstatus AS condition, o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL
 """)
 def stacked_conditions(spark, sf):
-    orders = table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    orders = table(spark, sf, "orders")
     return orders.groupBy(F.col("o_orderstatus").alias("condition"), "o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -351,13 +350,12 @@ def pivot_first_value(spark, sf):
 
 
 @query("""
-SELECT lang, CAST(greatest(1, least(45, ceil(n_chars / (45000.0::DOUBLE / 45)))) AS BIGINT) AS bin,
-  round(any_value((greatest(1, least(45, ceil(n_chars / (45000.0::DOUBLE / 45)))) - 0.5) * (45000.0::DOUBLE / 45)), 6) AS mid,
-  CAST(count(*) AS BIGINT) AS n
-FROM documents WHERE n_chars BETWEEN 0 AND 45000 GROUP BY 1, 2
+WITH b AS (SELECT CAST(min(n_chars) AS DOUBLE) AS lo, (max(n_chars) - min(n_chars)) / 45.0::DOUBLE AS w FROM documents),
+h AS (SELECT lang, CAST(greatest(1, least(45, ceil((n_chars - lo) / w))) AS BIGINT) AS bin, lo, w FROM documents, b WHERE n_chars IS NOT NULL)
+SELECT lang, bin, round(any_value(lo + (bin - 0.5) * w), 4) AS mid, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY 1, 2
 """)
 def histogram_by_group(spark, sf):
-    return shaped(grouping.equal_width_bins(table(spark, sf, "documents"), "n_chars", 45, ["lang"], 0, 45000))
+    return shaped(grouping.equal_width_bins(table(spark, sf, "documents"), "n_chars", 45, ["lang"]), 4)
 
 
 @query("""
@@ -433,7 +431,7 @@ prevs AS (SELECT p AS name, arg_min(symbol, row_id) AS target
   FROM (SELECT row_id, symbol, unnest(string_split(prev, '|')) AS p FROM auth WHERE status = 'Approved')
   WHERE trim(p) <> '' GROUP BY 1),
 alis AS (SELECT DISTINCT p AS name FROM (SELECT unnest(string_split(ali, '|')) AS p FROM auth WHERE status = 'Approved') WHERE trim(p) <> ''),
-genes AS (SELECT 'S' || o_custkey AS gene, CAST(count(*) AS BIGINT) AS n_large FROM orders WHERE o_totalprice > 430000 GROUP BY 1),
+genes AS (SELECT 'S' || o_custkey AS gene, CAST(count(*) AS BIGINT) AS n_large FROM orders GROUP BY 1),
 cls AS (SELECT gene, n_large, CASE
     WHEN gene IN (SELECT symbol FROM auth WHERE status = 'Approved') THEN 'approved'
     WHEN gene IN (SELECT name FROM prevs) THEN 'previous_symbol'
@@ -453,7 +451,7 @@ def _authority(spark, sf):
 
 
 def _genes(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_totalprice > 430000")
+    orders = table(spark, sf, "orders")
     return orders.groupBy(F.concat(F.lit("S"), "o_custkey").alias("gene")).agg(F.count(F.lit(1)).alias("n_large"))
 
 
@@ -480,7 +478,7 @@ WHERE NOT (status = 'previous_symbol' AND target IN (SELECT gene FROM genes))
 """)
 def harmonize_symbols(spark, sf):
     index = symbols.symbol_index(_authority(spark, sf))
-    return symbols.harmonize(_genes(spark, sf), index, "gene", check=False)[0]
+    return symbols.harmonize(_genes(spark, sf), index, "gene")[0]
 
 
 @query("WITH " + _AUTHORITY + """,
@@ -490,7 +488,7 @@ SELECT CAST(count(*) FILTER (WHERE NOT taken) AS BIGINT) AS renamed, CAST(count(
 """)
 def harmonize_report(spark, sf):
     index = symbols.symbol_index(_authority(spark, sf))
-    return symbols.harmonize(_genes(spark, sf), index, "gene", check=False)[1]
+    return symbols.harmonize(_genes(spark, sf), index, "gene")[1]
 
 
 @query("WITH " + _AUTHORITY + """
@@ -628,11 +626,11 @@ def anchor_drugs(spark, sf):
     return drug_table.with_anchor_drugs(cand, drug_table.approved_pairs(flat), "nearest", "anchor_drugs")
 
 
-_RETAIL = "SELECT l_partkey, max(l_extendedprice) AS top FROM lineitem WHERE l_discount > 0.05 GROUP BY 1"
+_RETAIL = "SELECT l_partkey, max(l_extendedprice) AS top FROM lineitem GROUP BY 1"
 
 
 def _score_pages(spark, sf):
-    top = table(spark, sf, "lineitem").filter("l_discount > 0.05").groupBy("l_partkey").agg(F.max("l_extendedprice").alias("top"))
+    top = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.max("l_extendedprice").alias("top"))
     score = lambda name, v: F.struct(F.lit(name).alias("id"), v.alias("score"))
     return top.select(
         F.struct(F.concat(F.lit("E"), "l_partkey").alias("id"), F.concat(F.lit("S"), "l_partkey").alias("approvedSymbol")).alias("target"),
@@ -655,7 +653,7 @@ SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, gene) AS rank, gene, e
 """)
 def association_scores(spark, sf):
     index = symbols.symbol_index(_authority(spark, sf))
-    return entity_table.association_scores(_score_pages(spark, sf), index, check=False)
+    return entity_table.association_scores(_score_pages(spark, sf), index)
 
 
 @query(_RANKED + """,
@@ -667,9 +665,9 @@ SELECT un.gene, coalesce(score, 0) AS gwas_score FROM un LEFT JOIN kept USING (g
 """)
 def zero_filled_scores(spark, sf):
     index = symbols.symbol_index(_authority(spark, sf))
-    scores = entity_table.association_scores(_score_pages(spark, sf), index, check=False)
+    scores = entity_table.association_scores(_score_pages(spark, sf), index)
     universe = table(spark, sf, "part").select(F.concat(F.lit("S"), "p_partkey").alias("gene"))
-    return entity_table.zero_filled_scores(universe, scores, index, check=False)
+    return entity_table.zero_filled_scores(universe, scores, index)
 
 
 # ------------------------------------------------------------ the entity table
@@ -700,7 +698,7 @@ uq AS (SELECT * FROM f QUALIFY count(*) OVER (PARTITION BY gene) = 1),
 k AS (SELECT uq.*, target, gene NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL AS moved
     FROM uq LEFT JOIN prevs ON gene = name),
 h AS (SELECT * REPLACE (CASE WHEN moved THEN target ELSE gene END AS gene) FROM k WHERE NOT (moved AND target IN (SELECT gene FROM uq))),
-src AS (SELECT 'S' || l_partkey AS gene, max(l_quantity) AS score FROM lineitem WHERE l_discount > 0.09 GROUP BY 1),
+src AS (SELECT 'S' || l_partkey AS gene, max(l_quantity) AS score FROM lineitem GROUP BY 1),
 sk AS (SELECT src.*, target, gene NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL AS moved
     FROM src LEFT JOIN prevs ON gene = name),
 s AS (SELECT CASE WHEN moved THEN target ELSE gene END AS gene, score FROM sk WHERE NOT (moved AND target IN (SELECT gene FROM src))),
@@ -710,13 +708,13 @@ panel AS (SELECT DISTINCT 'S' || c_custkey AS gene FROM customer WHERE c_nationk
 
 def _build(spark, sf):
     index = symbols.symbol_index(_authority(spark, sf))
-    li = table(spark, sf, "lineitem").filter("l_discount > 0.09")
+    li = table(spark, sf, "lineitem")
     score = li.groupBy(F.concat(F.lit("S"), "l_partkey").alias("gene")).agg(F.max("l_quantity").alias("score"))
     cust = joins.only_members(table(spark, sf, "customer"), "c_nationkey", _panel(spark, sf), "n_nationkey")
     panel = cust.select(F.concat(F.lit("S"), "c_custkey").alias("gene"))
     src = [joins.Source(score.withColumnRenamed("score", "gwas_score"), ["gwas_score"], 0.0, "filled"),
            joins.Source(score.withColumnRenamed("score", "assay"), None, None, "measured")]
-    return entity_table.build(_constraint(spark, sf), index, panel, src, check=False)
+    return entity_table.build(_constraint(spark, sf), index, panel, src)
 
 
 @query(_BUILD + """
@@ -815,16 +813,14 @@ SELECT c_name, c_mktsegment, printf('%.6f', c_acctbal) AS balance, CASE WHEN c_a
 """)
 def delimited_round_trip(spark, sf):
     """Write a TSV with NA cells, then read it both ways: as text, and with NA as missing."""
-    import uuid
-
-    from evidentia.session import checkpoint_root
+    from evidentia.session import scratch_folder
 
     cust = table(spark, sf, "customer").select(
         "c_name", "c_mktsegment", F.col("c_acctbal").alias("balance"),
         F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("code"),
         F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("guarded"),
     )
-    path = f"{checkpoint_root(spark)}/export-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "export")
     cols = ["c_name", "c_mktsegment", "balance", "code", "guarded"]
     writers.write_delimited(cust, path, places=6)
     text = readers.read_delimited(spark, path, cols, keep=["c_name", "c_mktsegment", "balance", "code"])

@@ -286,13 +286,15 @@ def matrix_regression_scan(spark, sf):
 
 @query(_MATRIX + f""",
 d AS (SELECT *, abs(coef / se) AS t, (n - 3)::DOUBLE AS dof FROM f),
-p AS (SELECT *, {_T_TWO_SIDED} AS p FROM d)
-SELECT condition, CAST(count(*) AS BIGINT) AS n_scored, CAST(count(*) FILTER (WHERE p < 0.05) AS BIGINT) AS n_p05 FROM p GROUP BY 1
+p AS (SELECT *, {_T_TWO_SIDED} AS p FROM d),
+r AS (SELECT condition, p, row_number() OVER (PARTITION BY condition ORDER BY p) AS k, count(p) OVER (PARTITION BY condition) AS m FROM p)
+SELECT condition, CAST(count(*) AS BIGINT) AS n_scored, CAST(coalesce(max(k) FILTER (WHERE p * m / k < 0.05), 0) AS BIGINT) AS n_fdr,
+  CAST(count(*) FILTER (WHERE p < 0.05) AS BIGINT) AS n_p05 FROM r GROUP BY 1
 """)
 def burden_score_counts(spark, sf):
     cols = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("col_id", "v")).select("col_id").distinct()
     cols = cols.select("col_id", F.concat(F.lit("E"), "col_id").alias("gene_ids"), F.concat(F.lit("g"), "col_id").alias("gene_name"))
-    return burden.score_counts(burden.score(_matrix_rows(spark, sf), cols)).drop("n_fdr")
+    return burden.score_counts(burden.score(_matrix_rows(spark, sf), cols))
 
 
 @query("""

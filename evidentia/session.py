@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_scratch: list[tuple[SparkSession, str]] = []
+
 
 def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
     """A single-machine session for tests and benches; clusters bring their own."""
@@ -46,3 +50,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     fallback = tempfile.mkdtemp(prefix="evidentia-checkpoint-")
     context.setCheckpointDir(fallback)
     return fallback
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the driver ends."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _remove_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: BLE001 - the session has ended before the driver
+            return
+
+
+atexit.register(_remove_scratch)

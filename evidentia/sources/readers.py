@@ -73,9 +73,10 @@ def read_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     with ThreadPoolExecutor(16) as pool:
         schemas = list(pool.map(lambda p: spark.read.parquet(p).schema, ordered))
     first = schemas[0]
+    shape = lambda s: [(f.name, f.dataType.simpleString()) for f in s.fields]
     for p, found in zip(ordered, schemas):
-        if found.names != first.names:
-            raise ValueError(f"schema mismatch in {p}: {found.names} != {first.names}")
+        if shape(found) != shape(first):
+            raise ValueError(f"schema mismatch in {p}: {shape(found)} != {shape(first)}")
     return spark.read.schema(first).parquet(*ordered)
 
 

@@ -1,6 +1,7 @@
 """Symbol index, classification, harmonisation, families."""
 
 import pytest
+from pyspark.errors import PySparkException
 
 from evidentia.operators import symbols
 from tests.conftest import rows
@@ -48,8 +49,8 @@ def test_harmonize_renames_and_drops_collisions(spark, index):
 
 def test_harmonize_rejects_two_names_for_one_target(spark, index):
     df = spark.createDataFrame([("OLD6",), ("OLD7",)], "g string")
-    with pytest.raises(ValueError, match="NEW4"):
-        symbols.harmonize(df, index, "g")
+    with pytest.raises(PySparkException, match="NEW4"):
+        symbols.harmonize(df, index, "g")[0].collect()
 
 
 def test_format_profile(spark):

@@ -93,6 +93,8 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 0.1, 0.5, 0.50001, 1.0, None)], "v double")
     got = {r["bin"]: r["n"] for r in grouping.equal_width_bins(df, "v", 2, lo=0, hi=1).collect()}
     assert got == {1: 3, 2: 2}
+    with pytest.raises(PySparkException, match="outside"):
+        grouping.equal_width_bins(df, "v", 2, lo=0, hi=0.9).collect()
 
 
 def test_frequent_values_break_ties_alphabetically(spark):
