@@ -209,9 +209,11 @@ def _weights(part: pd.DataFrame, held: np.ndarray) -> np.ndarray:
     """Rows x models: how often each row takes part in each model's training set."""
     y, fold = part["y"].to_numpy(), part["fold"].to_numpy()
     out = ((y[:, None] == 1) & (fold[:, None] != held[None, :])).astype(float)
-    for i, (models, times) in enumerate(zip(part["bags"].to_numpy(), part["bags_times"].to_numpy())):
-        if len(models):
-            out[i, np.asarray(models, dtype=int)] = times if len(times) else 1.0
+    bags, times = part["bags"].to_numpy(), part["bags_times"].to_numpy()
+    n = np.fromiter(map(len, bags), dtype=np.int64, count=len(bags))
+    if n.any():
+        often = [t if len(t) else np.ones(k) for t, k in zip(times, n) if k]
+        out[np.repeat(np.arange(len(part)), n), np.concatenate([b for b in bags if len(b)]).astype(int)] = np.concatenate(often)
     return out
 
 
@@ -439,9 +441,11 @@ def fit_trees(
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    data = rows.select(
+    checkpoint_root(rows.sparkSession)
+    training = rows.filter((F.col("y") == 1) | (F.size("bags") > 0))  # all that any model trains on, written once
+    data = training.select(
         "y", "fold", "bags", "bags_times", array_to_vector(F.col("x")).alias("features"), F.col("y").cast("double").alias("label")
-    )
+    ).checkpoint()
     held = plan.held_out_array()
 
     def fit(m: int):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import contingency, nearest, ordering, regression, validation
-from evidentia.plans import burden, polarization
+from evidentia.operators import contingency, nearest, ordering, regression, symbols, validation
+from evidentia.plans import burden, neighbours, polarization
 from evidentia.registry.base import query, shaped, table
+from evidentia.registry.relational import _AUTHORITY, _authority
 
 # ------------------------------------------------------------------ enrichment
 
@@ -421,6 +422,35 @@ def nearest_anchor_hubs(spark, sf):
     return shaped(hubs.withColumn("hub", F.col("hub").cast("bigint").cast("string")))
 
 
+@query("WITH " + _AUTHORITY + """,
+raw AS (SELECT vec_id, 'S' || (vec_id % 400) AS gene, embedding FROM embeddings
+  WHERE label % 2 = 0 AND coalesce(nullif(vec_id % 7, 3) <> 0, false) AND vec_id % 200 >= 50),
+firsts AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY gene ORDER BY vec_id) = 1),
+v AS (SELECT vec_id, gene, list_transform(embedding, lambda x, i: CASE WHEN 'S' || (i - 1) = gene THEN 0 ELSE x::DOUBLE * 20 END)::DOUBLE[] AS x,
+    CASE WHEN gene NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL THEN target ELSE gene END AS cur
+  FROM firsts LEFT JOIN prevs ON gene = name),
+f AS (SELECT *, cur IN (SELECT 'S' || (k * 10) FROM range(40) t(k)) AS is_fda FROM v),
+pr AS (SELECT q.gene, a.gene AS anchor, list_cosine_similarity(q.x, a.x) AS c FROM f q JOIN f a ON a.is_fda AND a.gene <> q.gene),
+b AS (SELECT gene, max(c) AS best, arg_max(anchor, c) AS nearest FROM pr GROUP BY 1)
+SELECT f.gene, round(best, 6) AS knn_max_score, nearest AS nearest_fda_target,
+  CASE WHEN nearest NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL THEN target ELSE nearest END AS nearest_fda_target_current,
+  CAST(is_fda AS BIGINT) AS is_fda_target, CAST(len(list_filter(x, lambda e: abs(e) > 3)) AS BIGINT) AS n_downstream_z3, 'even' AS culture_condition
+FROM f LEFT JOIN b USING (gene) LEFT JOIN prevs ON nearest = name
+""")
+def nearest_candidates(spark, sf):
+    """The whole plan: quality filter, first row, own column, anchors by current symbol, nearest anchor."""
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.concat(F.lit("S"), F.col("vec_id") % 400).alias("target_contrast_gene_name"),
+        F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("culture_condition"),
+        (F.nullif(F.col("vec_id") % 7, F.lit(3)) != 0).alias("ontarget_significant"), (F.col("vec_id") % 200).alias("n_cells_target"),
+        F.transform("embedding", lambda v: v.cast("double") * 20).alias("values"),
+    )
+    columns = spark.range(64).select(F.col("id").cast("int").alias("col_id"), F.concat(F.lit("S"), "id").alias("gene_name"))
+    anchors = spark.range(40).select(F.concat(F.lit("S"), F.col("id") * 10).alias("gene"))
+    index = symbols.symbol_index(_authority(spark, sf))
+    return shaped(neighbours.candidates(rows, columns, anchors, index, "even"))
+
+
 @query()
 def signature_pca(spark, sf):
     pcs, shares = nearest.principal_components(_signatures(spark, sf), "vec_id", 8)
