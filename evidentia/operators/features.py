@@ -24,7 +24,10 @@ RESPONSIVE_AT = 1.0
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Every switch that changes a modelling decision."""
+    """Every switch that changes a modelling decision.
+
+    Fixed values: names and defaults are those of the published runs.
+    """
 
     use_gwas: bool = True
     label_set: Literal["immune", "all"] = "immune"

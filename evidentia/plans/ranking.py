@@ -32,14 +32,14 @@ TREE_MISSING = -1e6  # below every real feature value: missing is its own branch
 def ablation_configs(base: RunConfig) -> dict[str, RunConfig]:
     """The eight compared settings (several coincide under default switches)."""
     return {
-        "(iv) label=immune [PRIMARY]": base.having(label_set="immune"),
-        "(iv) label=all [sensitivity]": base.having(label_set="all"),
-        "(i)  with gwas_score": base.having(use_gwas=True),
-        "(i)  without gwas_score": base.having(use_gwas=False),
-        "(ii) assay impute0+indicator": base.having(assay_na_mode="impute0_indicator"),
-        "(ii) assay NA-native": base.having(assay_na_mode="native"),
-        "(iii) without family/druggability": base.having(use_druggability=False),
-        "(iii) with family/druggability": base.having(use_druggability=True),
+        "label_immune": base.having(label_set="immune"),
+        "label_all": base.having(label_set="all"),
+        "gwas_in": base.having(use_gwas=True),
+        "gwas_out": base.having(use_gwas=False),
+        "assay_zero_filled": base.having(assay_na_mode="impute0_indicator"),
+        "assay_missing": base.having(assay_na_mode="native"),
+        "druggability_out": base.having(use_druggability=False),
+        "druggability_in": base.having(use_druggability=True),
     }
 
 

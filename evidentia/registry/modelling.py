@@ -194,7 +194,7 @@ def pu_ablation(spark, sf):
 
 @query()
 def variant_compare(spark, sf):
-    configs = {n: c for n, c in ranking.ablation_configs(_CONFIG).items() if n.startswith("(i)  ")}
+    configs = {n: c for n, c in ranking.ablation_configs(_CONFIG).items() if n.startswith("gwas_")}
     table_ = ranking.ablation(entities(spark, sf), configs)
     return shaped(metrics.compare_variants(table_, "enrichment", 100, list(configs)))
 

@@ -206,10 +206,10 @@ def test_out_of_fold_recovers_the_signal_and_ablation_moves_it(table):
     assert counts == {v: N for v in configs}
     tidy = ranking.ablation(table, configs)
     got = {(r["variant"], r["k"], r["metric"]): r["value"] for r in tidy.collect()}
-    with_, without = got[("(i)  with gwas_score", 50, "enrichment")], got[("(i)  without gwas_score", 50, "enrichment")]
+    with_, without = got[("gwas_in", 50, "enrichment")], got[("gwas_out", 50, "enrichment")]
     assert with_ > 2 and with_ > without
-    assert got[("(iv) label=immune [PRIMARY]", 50, "hits")] == got[("(i)  with gwas_score", 50, "hits")]
-    side = metrics.compare_variants(tidy, "enrichment", 50, ["(i)  with gwas_score", "(i)  without gwas_score"]).first()
+    assert got[("label_immune", 50, "hits")] == got[("gwas_in", 50, "hits")]
+    side = metrics.compare_variants(tidy, "enrichment", 50, ["gwas_in", "gwas_out"]).first()
     assert tuple(side) == (with_, without)
 
 
