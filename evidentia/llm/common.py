@@ -28,6 +28,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that every executor reaches; removed when the driver ends."""
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -11,10 +11,11 @@ darts and changes none of the earlier ones.
 
 Signatures are cut into bands. Documents that share a band meet in its bucket, and are compared
 there with two pivots of the bucket by exact weighted Jaccard similarity of whole texts. Linked
-documents form classes. A bucket whose members still belong to several classes is completed:
-members of different classes are compared unless the triangle inequality of the Jaccard distance
-over a pivot proves them too far apart. Equal texts are one node throughout, so a group of copies
-costs one comparison, and no bucket is ever held whole in a task.
+documents form classes. A bucket whose other members still belong to several classes is completed in
+tiles of bounded size: members of different classes are compared until their classes are linked,
+unless the triangle inequality of the Jaccard distance over a pivot proves them too far apart.
+Equal texts are one node throughout, so a group of copies costs one comparison; only links leave
+a tile, and no bucket is ever held whole in a task.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACE, single_threaded, stored, text_of
+from evidentia.llm.common import SPACE, single_threaded, stored, text_of, unused
 from evidentia.llm.shingles import U, WIDTH, blocks, counted, mixed, shingles, words
 
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5  # coordinates a band; 24 bands of 5 miss a pair of similarity 0.8 once in 14,000
 SALT_EVERY = 500  # members compared with one copy of a pivot
+TILE = 512  # members of a bucket on one side of a tile
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -132,6 +134,48 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _settled(tile: pa.Table, at_least: float) -> pa.Table:
+    """Links between members of different classes in one tile of a bucket.
+
+    A pair is looked at in the first band it shares, unless its classes are linked by now or the
+    distances to the pivot, or the sizes, rule the similarity out.
+    """
+    node, label = tile.column("node").to_pylist(), tile.column("class").to_pylist()
+    _, once = np.unique(np.array(node, dtype=object), return_index=True)
+    tile = tile.take(pa.array(once))
+    node, label, own = (tile.column(c).to_pylist() for c in ("node", "class", "own"))
+    low, high = tile.column("low")[0].as_py(), tile.column("high")[0].as_py()
+    bands, band = np.array(tile.column("bands").to_pylist(), dtype=np.int64), tile.column("band")[0].as_py()
+    to_x = np.array([np.nan if x is None else x for x in tile.column("to_x").to_pylist()], dtype=float)
+    bags = [_bag(t) for t in tile.column("text").to_pylist()]
+    size = np.array([len(b) for b in bags])
+    own = np.array(own)
+    name, root = {}, list(range(len(node)))
+    group = np.array([name.setdefault(c, len(name)) for c in label])
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found: list[tuple[bytes, bytes]] = []
+    # Members of small classes ask, all others of the tile answer.
+    counts = np.bincount(group)
+    for i in sorted(range(len(node)), key=lambda i: (counts[group[i]], i)):
+        ours = find(group[i])
+        roots = np.array([find(g) for g in range(len(name))])[group]
+        far = np.abs(to_x - to_x[i]) > 1.0 - at_least + 1e-9
+        apart = np.minimum(size, size[i]) < at_least * np.maximum(size, size[i]) - 1e-9
+        earlier = (bands[:, :band] == bands[i, :band]).any(axis=1)
+        mine = (own == high) if own[i] == low else (own == low)
+        for j in np.flatnonzero((roots != ours) & mine & ~far & ~apart & ~earlier):
+            if find(group[j]) != find(group[i]) and similarity(bags[i], bags[j]) >= at_least:
+                found.append((min(node[i], node[j]), max(node[i], node[j])))
+                root[find(group[j])] = find(group[i])
+    return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+
 def node_of(text: Column) -> Column:
     """Texts equal up to white space are one node."""
     return F.unhex(F.md5(F.regexp_replace(F.trim(F.regexp_replace(text, SPACE, " ")), SPACE, " ")))
@@ -190,7 +234,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, nodes: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """All found links (a, b) between different ``nodes`` (node, least, bands) of ``docs`` (node, key, text)."""
     members = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(
-        F.xxhash64("band", "hash").alias("bucket"), "node"
+        F.xxhash64("band", "hash").alias("bucket"), "band", "node"
     )
     draw = lambda seed: F.min(F.struct(F.xxhash64("node", "bucket", F.lit(seed)).alias("h"), F.col("node").alias("p")))
     pivots = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), draw(1).alias("x"), draw(2).alias("y")).where("n > 1")
@@ -201,26 +245,23 @@ def near_links(docs: DataFrame, nodes: DataFrame, at_least: float = SIMILARITY)
     known = stored(compared(docs, nodes, pairs), "near-compared")
     links = known.where(F.col("sim") >= at_least).select("a", "b")
 
-    # Buckets whose members lie in several classes: whom did the pivots not settle?
-    label = components(links).select("node", F.col("class"))
-    labelled = crowded.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    open_ = labelled.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    rest = labelled.join(open_, "bucket")
-    to_x = known.select(F.col("a").alias("p"), F.col("b").alias("q"), "sim")
-    to_x = to_x.unionAll(to_x.select(F.col("q").alias("p"), F.col("p").alias("q"), "sim"))
-    to_x = to_x.select(F.col("p").alias("x"), F.col("q").alias("node"), F.col("sim").alias("to_x"))
-    rest = rest.join(to_x, ["x", "node"], "left").withColumn("to_x", F.coalesce("to_x", F.lit(1.0)))  # x itself
-    rest = stored(rest.select("bucket", "node", "class", "to_x", "x", "y"), "near-open")
-    # The pivots were compared with everyone, so only other members meet here.
-    others = rest.where("node <> x AND node <> y").drop("x", "y")
-    left, right = (others.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "class", "to_x")]) for s in "ab")
-    more = left.join(right, "bucket").where(
-        (F.col("a_class") != F.col("b_class")) & (F.col("a_node") < F.col("b_node"))
-        & (F.abs(F.col("a_to_x") - F.col("b_to_x")) <= 1.0 - at_least + 1e-9)
+    # Members other than the pivots that lie in several classes: nobody has compared them yet.
+    label = components(links)
+    others = crowded.where("node <> x AND node <> y").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    open_ = others.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n"))
+    open_ = open_.where("lo <> hi").select("bucket", (F.col("n") / TILE).cast("int").alias("most"))
+    to_x = known.select(F.col("a").alias("x"), F.col("b").alias("node"), F.col("sim").alias("to_x"))
+    to_x = to_x.unionAll(known.select(F.col("b").alias("x"), F.col("a").alias("node"), F.col("sim").alias("to_x")))
+    rest = others.join(open_, "bucket").join(to_x, ["x", "node"], "left").select(
+        "node", "bucket", "band", "class", "to_x", "most", F.pmod(F.xxhash64("node"), (F.col("most") + 1).cast("bigint")).cast("int").alias("own")
     )
-    more = more.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    more = stored(more.join(known, ["a", "b"], "left_anti"), "near-more")
-    late = compared(docs, nodes, more).where(F.col("sim") >= at_least).select("a", "b")
+    rest = stored(rest.join(nodes.select("node", "least", "bands"), "node").withColumnRenamed("node", "of"), "near-open")
+    texts = docs.join(rest, (F.col("node") == F.col("of")) & F.col("key").eqNullSafe(F.col("least")))
+    # Every member meets every tile of its bucket, as a row or as a column of the tile.
+    tiles = texts.select(
+        "node", "bucket", "band", "class", "to_x", "bands", "text", "own", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("other")
+    ).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    late = tiles.groupBy("bucket", "low", "high").applyInArrow(lambda t: _settled(t, at_least), "a binary, b binary").distinct()
     return stored(links.unionAll(late), "near-links")
 
 
@@ -237,18 +278,43 @@ def classes(
     are named by null only in a class of nothing else. An empty table gives an empty result.
     Other columns are not read.
     """
+    signed, names = _named(docs, key, text, at_least, bands, rows)
+    return signed.select("node", F.col("key").alias(key)).join(names, "node").select(key, "class_id", "class_size")
+
+
+def _named(
+    docs: DataFrame, key: str, text: str, at_least: float, bands: int, rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows as (node, key), and nodes as (node, class_id, class_size, keeper), keeper being the node that stays."""
     kind = docs.schema[key].dataType.simpleString()
-    plain = docs.select(text_of(text).alias("text"), F.col(key).alias("key"))
-    plain = plain.select(node_of(F.col("text")).alias("node"), "key", "text")
+    plain = docs.select(node_of(text_of(text)).alias("node"), F.col(key).alias("key"), text_of(text).alias("text"))
     signed = stored(
         plain.mapInArrow(lambda b: _banded(b, bands, rows), f"node binary, key {kind}, bands array<long>"), "near-signatures"
     )
     # One row per node carries its bands on; of its texts the one of the smallest key is compared.
     nodes = signed.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes, "near-nodes")
-    links = near_links(plain, nodes, at_least)
-    label = stored(components(links), "near-classes")
-    named = nodes.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    sized = named.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").cast("bigint").alias("class_size"))
-    names = named.select("node", "class").join(sized, "class").select("node", "class_id", "class_size")
-    return signed.select("node", F.col("key").alias(key)).join(names, "node").select(key, "class_id", "class_size")
+    label = stored(components(near_links(plain, nodes, at_least)), "near-classes")
+    named = nodes.drop("bands").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    order = F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))
+    sized = named.groupBy("class").agg(F.min(order).alias("first"), F.sum("n").cast("bigint").alias("class_size"))
+    names = named.select("node", "class").join(sized, "class")
+    return signed, names.select("node", F.col("first.least").alias("class_id"), "class_size", F.col("first.node").alias("keeper"))
+
+
+def representatives(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = SIMILARITY,
+    bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: of each class the one of the smallest key.
+
+    All columns come back unchanged; of rows that repeat key and text one stays. The cases of
+    ``classes`` hold here too.
+    """
+    _, names = _named(docs, key, text, at_least, bands, rows)
+    node, keeper, least, nth = (unused(docs.columns, n) for n in ("__node", "__keeper", "__least", "__nth"))
+    kept = names.where("node = keeper").select(F.col("node").alias(keeper), F.col("class_id").alias(least))
+    marked = docs.withColumn(node, node_of(text_of(text)))
+    chosen = marked.join(kept, (F.col(node) == F.col(keeper)) & F.col(key).eqNullSafe(F.col(least)))
+    one = Window.partitionBy(keeper, least).orderBy(node)
+    return chosen.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(docs.columns)
