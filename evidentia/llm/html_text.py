@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evidentia.llm.common import text_of
+from evidentia.llm.common import text_of, unused
 
 # Names of HTML elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,5 +240,5 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
 
     kept = pages.select(*keep)
     schema = kept.schema.add("text", "string").add("n_chars", "long")
-    return pages.select(*keep, text_of(page).alias("__html")).mapInArrow(texts, schema)
+    return pages.select(*keep, text_of(page).alias(unused(list(keep), "__html"))).mapInArrow(texts, schema)
 

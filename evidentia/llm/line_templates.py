@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import stored, text_of
+from evidentia.llm.common import stored, text_of, unused
 from evidentia.llm.shingles import U, blocks, mixed, powers, words
 
 DEPTH = 3  # leading tokens of a path
@@ -136,11 +136,12 @@ def drop_recurring(
     back unchanged, whatever their names; columns named as the added ones are replaced.
     """
     carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    doc, lost = unused(carried, "__doc"), unused(carried, "__gone")
     marked = docs.select(
         *carried,
-        F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("null")), text_of(text)))).alias("__doc"),
+        F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("null")), text_of(text)))).alias(doc),
     )
-    plain = marked.select(F.col("__doc").alias("doc"), text_of(text).alias("text"))
+    plain = marked.select(F.col(doc).alias("doc"), text_of(text).alias("text"))
     every = stored(plain.mapInArrow(lambda b: _leaves(b, depth, least_tokens), "doc binary, leaf long"), "line-leaves")
     common = every.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
     wanted = every.join(common, "leaf").groupBy("doc").agg(F.collect_set("leaf").alias("leaves"))
@@ -149,17 +150,17 @@ def drop_recurring(
     )
     picked = stored(picked, "line-picked")
     ours = picked.select("doc", "shape").join(templates(picked, least, constant), "shape").distinct()
-    keys = marked.select(F.col("__doc").alias("doc"), F.col(key).isNull().alias("none"), F.col(key).alias("key")).distinct()
+    keys = marked.select(F.col(doc).alias("doc"), F.col(key).isNull().alias("none"), F.col(key).alias("key")).distinct()
     ours = stored(ours.join(keys, "doc"), "line-templates")
     recurring = ours.select("template", "doc", "none", "key").distinct().groupBy("template").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("none", "key", "doc")).alias("first")
     )
     recurring = recurring.where(F.col("n") >= least).select("template", F.col("first.doc").alias("first"))
-    gone = ours.join(recurring, "template").where("doc <> first").groupBy(F.col("doc").alias("__doc")).agg(
-        F.collect_set("shape").alias("__gone")
+    gone = ours.join(recurring, "template").where("doc <> first").groupBy(F.col("doc").alias(doc)).agg(
+        F.collect_set("shape").alias(lost)
     )
-    out = marked.join(gone, "__doc", "left").drop("__doc")
-    schema = marked.drop("__doc").schema.add("n_lines", "long").add("n_dropped", "long")
+    out = marked.join(gone, doc, "left").drop(doc)
+    schema = marked.drop(doc).schema.add("n_lines", "long").add("n_dropped", "long")
     at_text = carried.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

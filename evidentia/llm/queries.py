@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evidentia.llm import exact_dedup, html_text, line_templates, mixing, near_dedup, nearest_tiles, packing, secrets, substring_dedup, toxicity
 from evidentia.llm.common import table
 
@@ -135,3 +136,9 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs across documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five stages of the corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import single_threaded, text_of
+from evidentia.llm.common import single_threaded, text_of, unused
 
 TRAIN_ROWS = 8_000  # labelled rows the dictionaries and weights are fitted on
 ORDINARY_BYTES = 32_768
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             found = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(found, pa.float64())], [*carried, name])
 
-    return docs.select(*carried, text_of(text).alias("__scored_text")).mapInArrow(scored, schema)
+    return docs.select(*carried, text_of(text).alias(unused(carried, "__text"))).mapInArrow(scored, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
