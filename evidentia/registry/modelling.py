@@ -307,6 +307,66 @@ def cumulative_hits(spark, sf):
     return metrics.cumulative_hits(_scored(spark, sf), "score", "quality", "doc_id").select("doc_id", "rank", "hits")
 
 
+# ------------------------------------------- comparisons and nominations of given scores
+
+_COMPARED = """,
+s AS (SELECT 'gwas' AS variant, gene AS id, label_immune AS y, gwas_score AS score FROM ent
+  UNION ALL SELECT 'mis', gene, label_immune, mis_z_score FROM ent),
+rk AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY score DESC NULLS LAST, id) AS r FROM s),
+n AS (SELECT variant, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p FROM s GROUP BY 1),
+h AS (SELECT variant, k, sum(CASE WHEN r <= k THEN y ELSE 0 END)::DOUBLE AS hits FROM rk, (SELECT unnest([50, 100, 1200]) AS k) GROUP BY ALL),
+m AS (SELECT h.variant, k, hits, hits / p AS recall, (hits / least(k, n)) / (p / n) AS enrichment, p / n AS base_rate FROM h JOIN n USING (variant)),
+t AS (SELECT variant, score, sum(y) AS pos, count(*) AS c FROM s GROUP BY 1, 2),
+q AS (SELECT variant, pos, sum(pos) OVER w AS tp, sum(c) OVER w AS seen FROM t WINDOW w AS (PARTITION BY variant ORDER BY score DESC NULLS LAST)),
+tidy AS (SELECT variant, k::BIGINT AS k, metric, value FROM (SELECT variant, k, unnest(['hits', 'recall', 'enrichment', 'base_rate']) AS metric,
+    unnest([hits, recall, enrichment, base_rate]) AS value FROM m)
+  UNION ALL SELECT variant, NULL, 'average_precision', sum(pos * tp / seen)::DOUBLE / sum(pos) FROM q GROUP BY 1)
+"""
+
+
+def _compared(spark, sf):
+    """The tidy metrics of two given scores, as an ablation computes them for fitted ones."""
+    ent = entities(spark, sf)
+    kinds = F.array(*[
+        F.struct(F.lit(n).alias("variant"), F.col(c).alias("score")) for n, c in (("gwas", "gwas_score"), ("mis", "mis_z_score"))
+    ])
+    scored = ent.select(F.col("gene").alias("id"), F.col("label_immune").alias("y"), F.inline(kinds))
+    ks = [50, 100, 1200]
+    return metrics.tidy(
+        metrics.at_top(scored, "score", "y", "id", ks, ["variant"]), metrics.average_precision(scored, "score", "y", ["variant"]), ["variant"]
+    )
+
+
+@query("WITH " + _ENTITIES + _COMPARED + "SELECT variant, k, metric, round(value, 6) AS value FROM tidy")
+def metrics_of_given_scores(spark, sf):
+    return shaped(_compared(spark, sf))
+
+
+@query("WITH " + _ENTITIES + _COMPARED + """
+SELECT round(max(value) FILTER (WHERE variant = 'gwas'), 6) AS gwas, round(max(value) FILTER (WHERE variant = 'mis'), 6) AS mis
+FROM tidy WHERE metric = 'enrichment' AND k = 1200
+""")
+def compare_given_scores(spark, sf):
+    return shaped(metrics.compare_variants(_compared(spark, sf), "enrichment", 1200, ["gwas", "mis"]))
+
+
+@query("WITH " + _ENTITIES + """
+SELECT row_number() OVER (ORDER BY gwas_score + coalesce(mis_z_score, 0) DESC, gene) AS rank, gene, gene_id,
+  round(gwas_score + coalesce(mis_z_score, 0), 6) AS pu_score, CAST(label_all AS BIGINT) AS label_all, CAST(label_immune AS BIGINT) AS label_immune,
+  CASE WHEN label_immune = 1 THEN 'positive' ELSE 'unlabeled' END AS label_status, family, CAST(length(family) AS BIGINT) AS oob_models,
+  CAST(gwas_score <> 0 AS BIGINT) AS gwas_present, CAST(coalesce(""" + ", ".join(features.ASSAY) + """) IS NOT NULL AS BIGINT) AS perturbseq_measured
+FROM ent
+""")
+def nominations_of_given_scores(spark, sf):
+    """The nomination table of given scores: rank, labels, presence flags."""
+    scored = entities(spark, sf).withColumns(
+        {"score": F.col("gwas_score") + F.coalesce("mis_z_score", F.lit(0.0)), "oob_models": F.length("family").cast("bigint")}
+    )
+    out = ranking.nominations(ranking.FullRun(scored, None), _CONFIG, extra=["gene_id"])
+    return shaped(out.select("rank", "gene", "gene_id", "pu_score", "label_all", "label_immune", "label_status", "family", "oob_models",
+                             "gwas_present", "perturbseq_measured"))
+
+
 # ------------------------------------------------------------------- driver tags
 
 _TAG_FEATURES = ("gwas_score", "iei", "mis_z_score", "gene_family_size", "rest_signed_log10p")
