@@ -84,9 +84,11 @@ def mix(
     """
     random = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
     rows = docs.select(
-        F.col(key), F.col(source).alias("source"), words(text).alias("size"), random.alias("__random"), *carry
+        F.monotonically_increasing_id().alias("__row"), F.col(key), F.col(source).alias("source"), words(text).alias("size"),
+        random.alias("__random"), *carry,
     )
-    rows = stored(rows, "mix-sizes")
+    whole_rows = stored(rows, "mix-sizes")
+    rows = whole_rows.drop(*carry)  # what is carried waits in the table until the places are known
     totals = rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
     aims = targets(totals, weights, most)
     placed = scan(
@@ -104,6 +106,8 @@ def mix(
     placed = placed.withColumn("__budget", budget).withColumn("epochs", full)
     placed = placed.withColumn("at_cut", part.cast("bigint"))
     taken = F.col("epochs") * F.col("size") + F.col("at_cut")
+    if carry:
+        placed = placed.join(whole_rows.select("__row", *carry), "__row")
     return placed.withColumn("taken", taken.cast("bigint")).select(
         key, "size", "source", "source_size", "target", "taken", "epochs", "at_cut", *carry
     )
