@@ -14,6 +14,8 @@ the sequences and then into sequences of its own, so almost nothing is padded.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ END = 2
 
 #: Pre-tokens of this tokenizer; a fixed value from its description.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-KEPT_WORDS = 1_000_000  # entries of a task's word memory before it starts anew
+KEPT_WORDS = 1_000_000  # entries of a worker's word memory before it starts anew
 LONGEST_KEPT = 64
 
 
@@ -53,6 +55,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.find = regex.compile(PIECES).findall
@@ -85,6 +88,19 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def _worker_words(path: str) -> WordIds:
+    """The word memory of this Python worker, kept from one task to the next.
+
+    Code travels with its task, so a module's own variables start anew in each; what is to last
+    as long as the process hangs on a module that belongs to the process.
+    """
+    state = sys.modules.setdefault("evidentia_worker", types.ModuleType("evidentia_worker"))
+    held = getattr(state, "words", None)
+    if held is None or held.path != path:
+        held = state.words = WordIds(path)
+    return held
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -92,7 +108,7 @@ def _packed(ids: list[int]) -> bytes:
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, capacity: int, short: int, share: float) -> Iterator[pa.RecordBatch]:
     """key, row, text -> key, row, tokens, crcs of the full stretches and of the rest, ids of the rest if it is streamed."""
     single_threaded()
-    words = WordIds(path)
+    words = _worker_words(path)
     end, width = _packed([END]), 4 * capacity
     for batch in batches:
         tokens, crcs, streams = [], [], []
