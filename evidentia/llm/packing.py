@@ -38,7 +38,7 @@ END = 2
 
 #: Pre-tokens of this tokenizer; a fixed value from its description.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-KEPT_WORDS = 1_000_000  # entries of a worker's word memory before it starts anew
+KEPT_WORDS = 400_000  # entries of a worker's word memory; frequent words come early, later ones are worked out again
 LONGEST_KEPT = 64
 
 
@@ -67,9 +67,7 @@ class WordIds(dict):
             ids = b"".join(map(self._piece, self.find(word.lower())))
         else:
             ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
+        if len(word) <= LONGEST_KEPT and len(self) < KEPT_WORDS:
             self[word] = ids
         return ids
 
@@ -78,9 +76,7 @@ class WordIds(dict):
         if ids is None:
             letters = piece if piece.isascii() else self.bytes_as_letters(piece)[0][0]
             ids = _packed([t.id for t in self.model.tokenize(letters)])
-            if len(piece) <= LONGEST_KEPT:
-                if len(self.pieces) >= KEPT_WORDS:
-                    self.pieces.clear()
+            if len(piece) <= LONGEST_KEPT and len(self.pieces) < KEPT_WORDS:
                 self.pieces[piece] = ids
         return ids
 

@@ -40,7 +40,7 @@ LEVEL = 3
 SAVED = (1, 2, 3, 4, 5, 6, 7, 8, 9)
 RIDGE = 1e-2
 FOLDS = 5
-KEPT_WINDOWS = 1_000_000
+KEPT_WINDOWS = 250_000
 LONGEST_KEPT = 64
 MARKS = ".,*%&$#!|?;:\"'()"
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -68,9 +68,7 @@ class Savings(dict):
     def __missing__(self, window: bytes) -> int:
         framed = LEAD + window + TRAIL
         saved = len(self.plain(framed)) - len(self.other(framed))
-        if len(window) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WINDOWS:
-                self.clear()
+        if len(window) <= LONGEST_KEPT and len(self) < KEPT_WINDOWS:
             self[window] = saved
         return saved
 
