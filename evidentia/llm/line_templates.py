@@ -2,13 +2,18 @@
 
 A line's path in the tree has a fixed depth: the number of its tokens, then its leading tokens,
 with tokens that hold a digit read as a variable. Lines of one leaf generalise position by
-position: a token that ``least`` documents of the leaf have in that place is part of the
-template, any other is a variable field. What results does not depend on the order of lines, so
-leaves need not be worked through by one task: counts per (leaf, position, token) and per template
-are aggregations that combine before they shuffle, however often a line occurs.
-
-A template recurs if ``least`` documents have it and enough of its tokens are constant. The first
-document keeps its lines; in the others they are dropped.
+position: a token that enough documents of the leaf have in that place is part of the
+template, any other is a variable field. Enough is judged at ``least`` documents and at every
+doubling of it, up to the size of the leaf: in a large leaf each value of a variable field has many
+documents, but far fewer than the constant tokens beside it, so some level tells them apart whatever
+the size of the table. A line has one template per level that changes it. What results does not
+depend on the order of lines, so leaves need not be worked through by one task: counts per (leaf,
+position, token) and per template are aggregations that combine before they shuffle, however often
+a line occurs.
+
+A template recurs for a line if as many documents have it as the lowest level that gives it asks
+for, and enough of its tokens are constant. The first document keeps its lines; in the others
+they are dropped.
 
 Leaves too few documents reach are left out after one count of leaf hashes, so only lines that
 could recur send their tokens on.
@@ -108,18 +113,31 @@ def _without(text: str, shapes: list[int], depth: int, least_tokens: int) -> tup
 
 
 def templates(picked: DataFrame, least: int, constant: float) -> DataFrame:
-    """(shape, template) of lines whose template is constant enough, from (doc, leaf, shape, tokens)."""
+    """(shape, template, need) of lines whose template is constant enough, from (doc, leaf, shape, tokens).
+
+    ``need`` is the number of documents at which the template recurs for the shape. Templates that
+    cannot reach it are left out.
+    """
     shapes = stored(picked.groupBy("leaf", "shape").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "line-shapes")
     each = shapes.select("leaf", "shape", "n", F.posexplode("tokens").alias("at", "token"))
     fixed = each.where(F.col("token") != F.lit(int(VARIABLE.view(np.int64)))).groupBy("leaf", "at", "token").agg(F.sum("n").alias("seen"))
-    fixed = fixed.where(F.col("seen") >= least).select("leaf", "at", "token", F.lit(True).alias("fixed"))
+    # The highest doubling of ``least`` that a token reaches: as many as the quotient has binary digits, less one.
+    level = F.length(F.bin(F.floor(F.col("seen") / least))) - 1
+    fixed = fixed.where(F.col("seen") >= least).select("leaf", "at", "token", level.alias("level"))
     marked = each.join(fixed, ["leaf", "at", "token"], "left").select(
-        "leaf", "shape", F.struct("at", F.when(F.col("fixed"), F.col("token")).alias("token")).alias("t")
+        "leaf", "shape", "n", F.struct("at", "token", F.coalesce("level", F.lit(-1)).alias("level")).alias("t")
+    )
+    built = marked.groupBy("leaf", "shape").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("t")).alias("t"))
+    changes = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("t.level", lambda v: v + 1)))
+    built = built.select("leaf", "shape", "n", "t", F.explode(changes).alias("from"))
+    body = F.transform("t", lambda x: F.when(x["level"] >= F.col("from"), x["token"].cast("string")).otherwise(F.lit("*")))
+    constants = F.size(F.filter("t", lambda x: x["level"] >= F.col("from")))
+    built = built.where(constants >= F.size("t") * F.lit(constant)).select(
+        "shape", "n", F.xxhash64("leaf", F.concat_ws(" ", body)).alias("template"), (F.lit(least) * F.pow(2, "from")).cast("long").alias("need")
     )
-    built = marked.groupBy("leaf", "shape").agg(F.array_sort(F.collect_list("t")).alias("t"), F.count("t.token").alias("constants"))
-    built = built.where(F.col("constants") >= F.size("t") * F.lit(constant))
-    body = F.transform("t", lambda x: F.coalesce(x["token"].cast("string"), F.lit("*")))
-    return built.select("shape", F.xxhash64("leaf", F.concat_ws(" ", body)).alias("template"))
+    built = stored(built, "line-levels")
+    most = built.groupBy("template").agg(F.sum("n").alias("most"))
+    return built.join(most, "template").where("most >= need").select("shape", "template", "need")
 
 
 def drop_recurring(
@@ -128,7 +146,7 @@ def drop_recurring(
 ) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` added.
 
-    A template recurs if at least ``least`` documents have it. Lines of fewer than
+    A template recurs if at least ``least`` documents have it, or more where only a higher level gives it. Lines of fewer than
     ``least_tokens`` tokens never count: short ones recur by chance. The document with the
     smallest key (nulls last) keeps its lines. Null texts count as empty and stay null; an empty
     text has one empty line. Very long texts are read whole. Rows that repeat both key and text
@@ -149,14 +167,14 @@ def drop_recurring(
         lambda b: _picked(b, depth, least_tokens), "doc binary, leaf long, shape long, tokens array<long>"
     )
     picked = stored(picked, "line-picked")
-    ours = picked.select("doc", "shape").join(templates(picked, least, constant), "shape").distinct()
+    ours = picked.select("doc", "shape").distinct().join(templates(picked, least, constant), "shape")
     keys = marked.select(F.col(doc).alias("doc"), F.col(key).isNull().alias("none"), F.col(key).alias("key")).distinct()
     ours = stored(ours.join(keys, "doc"), "line-templates")
     recurring = ours.select("template", "doc", "none", "key").distinct().groupBy("template").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("none", "key", "doc")).alias("first")
     )
-    recurring = recurring.where(F.col("n") >= least).select("template", F.col("first.doc").alias("first"))
-    gone = ours.join(recurring, "template").where("doc <> first").groupBy(F.col("doc").alias(doc)).agg(
+    recurring = recurring.where(F.col("n") >= least).select("template", "n", F.col("first.doc").alias("first"))
+    gone = ours.join(recurring, "template").where("n >= need AND doc <> first").groupBy(F.col("doc").alias(doc)).agg(
         F.collect_set("shape").alias(lost)
     )
     out = marked.join(gone, doc, "left").drop(doc)

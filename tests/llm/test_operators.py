@@ -168,6 +168,16 @@ def test_line_templates(spark):
     assert lost[1] == 0 and lost[2] == 2 and lost[8] == 0
 
 
+@pytest.mark.parametrize("size", [60, 600])
+def test_a_template_recurs_at_any_size(spark, size):
+    """Two word fields of 20 values each: their combinations are rare at one size and values frequent at the other."""
+    rng = np.random.default_rng(size)
+    line = lambda i: f"Visit was made by n{'abcdefghijklmnopqrst'[rng.integers(20)]} to the town of t{'abcdefghijklmnopqrst'[rng.integers(20)]} as noted here"
+    rows = [(i, f"{prose(i, 20)}\n{line(i)}\nVisit was made by somebody who came {prose(5000 + i, 4)}") for i in range(size)]
+    out = line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: "as noted here" in r["text"] for r in out} == {i: i == 0 for i in range(size)}
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=/>x</a></nav><article><h1>T</h1><p>Some words of text here.</p></article></body></html>"
     df = spark.createDataFrame([(1, "u", page, "clash"), (1, "u", page, "clash"), (2, None, None, "c"), (None, "v", "", "c"), (3, "w", "<p>" + "y " * 200_000, "c")],
