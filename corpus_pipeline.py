@@ -22,14 +22,22 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template recurs; lengths follow the text."""
-    kept = line_templates.drop_recurring(docs.select(COLUMNS))
+    """All documents, without lines whose template recurs; lengths follow the text.
+
+    Long lines of two documents wait for ``near_duplicates``, which needs both copies whole.
+    """
+    kept = line_templates.drop_recurring(docs.select(COLUMNS), kinds=("template", "short"))
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest identifier."""
-    return near_dedup.representatives(docs.select(COLUMNS))
+    """One document of each class of near duplicates: the one with the smallest identifier.
+
+    Of long lines that two of these still share, the first document keeps its own.
+    """
+    kept = stored(near_dedup.representatives(docs.select(COLUMNS)), "pipeline-representatives")
+    kept = line_templates.drop_recurring(kept, kinds=("long",))
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

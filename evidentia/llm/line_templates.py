@@ -15,6 +15,9 @@ A template recurs for a line if as many documents have it as the lowest level th
 for, and enough of its tokens are constant. The first document keeps its lines; in the others
 they are dropped.
 
+Lines too short for a template and lines too long to recur by chance count verbatim: a long one
+recurs in two documents, a short one in more the fewer tokens it has.
+
 Leaves too few documents reach are left out after one count of leaf hashes, so only lines that
 could recur send their tokens on.
 """
@@ -22,6 +25,7 @@ could recur send their tokens on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ from evidentia.llm.shingles import U, blocks, mixed, powers, words
 DEPTH = 3  # leading tokens of a path
 LEAST_DOCUMENTS = 3
 LEAST_TOKENS = 5
+LONG_TOKENS = 50  # a line of as many tokens recurs verbatim in two documents
+SHORT_DOCUMENTS = 2  # documents a short line needs beyond the least for each token it lacks
 CONSTANT = 0.6  # share of a template's tokens that must be constant
 VARIABLE = U(0x5851F42D4C957F2D)
 
@@ -41,7 +47,8 @@ VARIABLE = U(0x5851F42D4C957F2D)
 def lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS) -> dict[str, np.ndarray]:
     """Long enough lines of a block of texts: text, number in it, leaf, shape, and where their tokens lie.
 
-    ``shape`` is the hash of all tokens, variables as one; equal lines have equal shapes.
+    ``shape`` is the hash of all tokens, variables as one; equal lines have equal shapes. ``exact``
+    is the hash of all tokens as they are.
     """
     word, first, start = words(data, offsets)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -54,7 +61,8 @@ def lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, least_token
     begin = np.flatnonzero(fresh)
     size = np.diff(np.append(begin, len(token)))
     place = np.arange(len(token)) - np.repeat(begin, size)
-    whole = np.add.reduceat(token * powers(int(size.max(initial=0)) + 1)[place], begin) if len(token) else token
+    weight = powers(int(size.max(initial=0)) + 1)[place]
+    whole, exact = (np.add.reduceat(x * weight, begin) if len(x) else x for x in (token, word))
     long = size >= max(least_tokens, depth)
     begin, size = begin[long], size[long]
     leaf = size.astype(np.uint64)
@@ -62,7 +70,7 @@ def lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, least_token
         leaf = mixed(leaf + token[begin + j])
     return {
         "text": text[begin], "number": number[begin], "leaf": leaf.view(np.int64), "shape": mixed(whole[long]).view(np.int64),
-        "begin": begin, "size": size, "token": token.view(np.int64),
+        "exact": mixed(exact[long]).view(np.int64), "begin": begin, "size": size, "token": token.view(np.int64),
     }
 
 
@@ -77,6 +85,21 @@ def _leaves(batches: Iterator[pa.RecordBatch], depth: int, least_tokens: int) ->
             )
 
 
+def _verbatim(batches: Iterator[pa.RecordBatch], least: int, least_tokens: int, long_tokens: int, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """doc, text -> (doc, exact, need) of the lines that count as they are, once per document and line."""
+    for batch in batches:
+        for at, data, offsets in blocks(batch.column(1)):
+            found = lines(data, offsets, 0, 1)
+            size = found["size"]
+            short, long = (size < least_tokens) & ("short" in kinds), (size >= long_tokens) & ("long" in kinds)
+            need, counted = np.where(long, 2, least + SHORT_DOCUMENTS * (least_tokens - size)), short | long
+            rows = np.unique(np.stack([found["text"], found["exact"], need], axis=1)[counted], axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows[:, 0] + at)), pa.array(rows[:, 1], pa.int64()), pa.array(rows[:, 2], pa.int64())],
+                ["doc", "exact", "need"],
+            )
+
+
 def _picked(batches: Iterator[pa.RecordBatch], depth: int, least_tokens: int) -> Iterator[pa.RecordBatch]:
     """doc, text, leaves -> (doc, leaf, shape, tokens) of the lines in these leaves, once per document and shape."""
     for batch in batches:
@@ -104,11 +127,12 @@ def _picked(batches: Iterator[pa.RecordBatch], depth: int, least_tokens: int) ->
             )
 
 
-def _without(text: str, shapes: list[int], depth: int, least_tokens: int) -> tuple[str, int]:
-    """The text without its lines of these shapes, and their number."""
+def _without(text: str, hashes: list[int], least_tokens: int) -> tuple[str, int]:
+    """The text without its lines of these shapes or exact hashes, and their number."""
     (_, data, offsets), *_ = blocks(pa.array([text]))
-    found = lines(data, offsets, depth, least_tokens)
-    gone = set(found["number"][np.isin(found["shape"], shapes)].tolist())
+    found = lines(data, offsets, 0, 1)
+    whole = np.isin(found["shape"], hashes) & (found["size"] >= least_tokens)
+    gone = set(found["number"][whole | np.isin(found["exact"], hashes)].tolist())
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), len(gone)
 
 
@@ -142,13 +166,15 @@ def templates(picked: DataFrame, least: int, constant: float) -> DataFrame:
 
 def drop_recurring(
     docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCUMENTS, depth: int = DEPTH,
-    least_tokens: int = LEAST_TOKENS, constant: float = CONSTANT,
+    least_tokens: int = LEAST_TOKENS, constant: float = CONSTANT, long_tokens: int = LONG_TOKENS,
+    kinds: tuple[str, ...] = ("template", "short", "long"),
 ) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` added.
 
-    A template recurs if at least ``least`` documents have it, or more where only a higher level gives it. Lines of fewer than
-    ``least_tokens`` tokens never count: short ones recur by chance. The document with the
-    smallest key (nulls last) keeps its lines. Null texts count as empty and stay null; an empty
+    A template recurs if at least ``least`` documents have it, or more where only a higher level
+    gives it. Lines of ``long_tokens`` tokens recur verbatim in two documents. Lines of fewer than
+    ``least_tokens`` recur by chance: they count verbatim, in ``SHORT_DOCUMENTS`` more documents for
+    every token they lack. ``kinds`` names the rules that hold. The document with the smallest key (nulls last) keeps its lines. Null texts count as empty and stay null; an empty
     text has one empty line. Very long texts are read whole. Rows that repeat both key and text
     are one document and fare alike. An empty table gives an empty result. Other columns come
     back unchanged, whatever their names; columns named as the added ones are replaced.
@@ -160,20 +186,28 @@ def drop_recurring(
         F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("null")), text_of(text)))).alias(doc),
     )
     plain = marked.select(F.col(doc).alias("doc"), text_of(text).alias("text"))
-    every = stored(plain.mapInArrow(lambda b: _leaves(b, depth, least_tokens), "doc binary, leaf long"), "line-leaves")
-    common = every.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
-    wanted = every.join(common, "leaf").groupBy("doc").agg(F.collect_set("leaf").alias("leaves"))
-    picked = plain.join(wanted, "doc").mapInArrow(
-        lambda b: _picked(b, depth, least_tokens), "doc binary, leaf long, shape long, tokens array<long>"
-    )
-    picked = stored(picked, "line-picked")
-    ours = picked.select("doc", "shape").distinct().join(templates(picked, least, constant), "shape")
+    parts = []
+    if "template" in kinds:
+        every = stored(plain.mapInArrow(lambda b: _leaves(b, depth, least_tokens), "doc binary, leaf long"), "line-leaves")
+        common = every.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
+        wanted = every.join(common, "leaf").groupBy("doc").agg(F.collect_set("leaf").alias("leaves"))
+        picked = plain.join(wanted, "doc").mapInArrow(
+            lambda b: _picked(b, depth, least_tokens), "doc binary, leaf long, shape long, tokens array<long>"
+        )
+        picked = stored(picked, "line-picked")
+        parts.append(picked.select("doc", "shape").distinct().join(templates(picked, least, constant), "shape").select("doc", "shape", "template", "need"))
+    if {"short", "long"} & set(kinds):
+        exact = plain.mapInArrow(lambda b: _verbatim(b, least, least_tokens, long_tokens, kinds), "doc binary, exact long, need long")
+        exact = stored(exact.distinct(), "line-verbatim")
+        again = exact.groupBy("exact").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).where("n >= least").select("exact")
+        parts.append(exact.join(again, "exact").select("doc", F.col("exact").alias("shape"), F.col("exact").alias("template"), "need"))
+    ours = reduce(DataFrame.unionAll, parts)
     keys = marked.select(F.col(doc).alias("doc"), F.col(key).isNull().alias("none"), F.col(key).alias("key")).distinct()
     ours = stored(ours.join(keys, "doc"), "line-templates")
     recurring = ours.select("template", "doc", "none", "key").distinct().groupBy("template").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("none", "key", "doc")).alias("first")
     )
-    recurring = recurring.where(F.col("n") >= least).select("template", "n", F.col("first.doc").alias("first"))
+    recurring = recurring.where("n >= 2").select("template", "n", F.col("first.doc").alias("first"))
     gone = ours.join(recurring, "template").where("n >= need AND doc <> first").groupBy(F.col("doc").alias(doc)).agg(
         F.collect_set("shape").alias(lost)
     )
@@ -186,7 +220,7 @@ def drop_recurring(
             kept, total, dropped = [], [], []
             for value, shapes in zip(batch.column(at_text).to_pylist(), batch.column(len(carried)).to_pylist()):
                 total.append(1 if value is None else value.count("\n") + 1)
-                value, n = (value, 0) if shapes is None else _without(value, shapes, depth, least_tokens)
+                value, n = (value, 0) if shapes is None else _without(value, shapes, least_tokens)
                 kept.append(value)
                 dropped.append(n)
             columns = list(batch.columns[: len(carried)])

@@ -178,6 +178,16 @@ def test_a_template_recurs_at_any_size(spark, size):
     assert {r["doc_id"]: "as noted here" in r["text"] for r in out} == {i: i == 0 for i in range(size)}
 
 
+def test_long_and_short_lines_recur_verbatim(spark):
+    passage, fewer = prose(77, 55), prose(78, 40)
+    rows = [(i, "\n".join([prose(i, 20), *([passage, fewer] if i in (3, 6) else []), "All rights reserved.", *(["two words"] if i < 8 else [])])) for i in range(9)]
+    out = line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lines = {r["doc_id"]: r["text"].split("\n") for r in out}
+    having = lambda x: [i for i in range(9) if x in lines[i]]
+    assert having(passage) == [3] and having(fewer) == [3, 6] and having("All rights reserved.") == [0] and having("two words") == list(range(8))
+    assert {r["doc_id"]: r["n_dropped"] for r in out} == {i: (i > 0) + (i == 6) for i in range(9)}
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=/>x</a></nav><article><h1>T</h1><p>Some words of text here.</p></article></body></html>"
     df = spark.createDataFrame([(1, "u", page, "clash"), (1, "u", page, "clash"), (2, None, None, "c"), (None, "v", "", "c"), (3, "w", "<p>" + "y " * 200_000, "c")],
