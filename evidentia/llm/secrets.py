@@ -9,7 +9,8 @@ smallest of the three p-values, corrected for being the smallest, is the candida
 Ordinary strings pile up at small p, random ones spread evenly over 0 to 1. So per encoding and
 length class the number of random ones is read off the upper half of the p-values, and the
 threshold is the smallest p at which the share of ordinary strings among those above it stays
-within the wanted false-discovery rate. Short strings give weak tests: in their classes the
+within the wanted false-discovery rate. Each distinct string counts once there, so copies of one
+do not move the threshold of its class; the threshold then holds for all occurrences. Short strings give weak tests: in their classes the
 ordinary ones reach higher p and the threshold moves up.
 
 All of it is DataFrame functions. One pass reads the texts; only matches and the lengths between
@@ -180,11 +181,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float =
         .otherwise(F.lit(True))
     )
     each = stored(tested(each.where(counts)).where("kind <> 'random' OR p IS NOT NULL"), "secret-tests")
-    binned = each.where(F.col("kind") == "random").groupBy(
-        _class().alias("class"), F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")
-    )
+    distinct = each.where(F.col("kind") == "random").select(
+        _class().alias("class"), F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin"), F.sha2("found", 256).alias("string")
+    ).distinct()
     histogram: dict[str, dict[int, int]] = {}
-    for r in binned.count().collect():  # classes times bins
+    for r in distinct.groupBy("class", "bin").count().collect():  # classes times bins
         histogram.setdefault(r["class"], {})[r["bin"]] = r["count"]
     limits = thresholds(histogram, rate)
     if limits:

@@ -220,6 +220,23 @@ def test_secrets(spark, docs, rows):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_string_move_no_threshold(spark):
+    rng = np.random.default_rng(9)
+    random = ["".join(rng.choice(list(secrets.ALPHABETS["base64"]), 40)) for _ in range(120)]
+    ordinary = ["Aa1" + f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 18 + "b" for i in range(400)]
+    once = random + ordinary
+    p = {r["found"]: r["p"] for r in secrets.tested(spark.createDataFrame([("random", x) for x in random], "kind string, found string")).collect() if r["p"]}
+    copied = min(p, key=lambda x: abs(p[x] - 0.65))
+
+    def spans(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {r["doc_id"]: len([s for s in r["spans"] if s["kind"] == "random"]) for r in secrets.scan(df).collect()}
+
+    few, many = spans(once), spans(once + [copied] * 3000)
+    assert {i: many[i] for i in few} == few and sum(few[i] for i in range(120)) >= 90 and sum(few.values()) < 140
+    assert all(many[i] == 1 for i in range(len(once), len(once) + 3000))
+
+
 def _levels(sizes, weights, most):
     """Targets by sharing again and again."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
