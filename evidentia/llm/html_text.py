@@ -3,7 +3,7 @@
 Every page is parsed once into a tree. A node's composite density is its characters per tag,
 adjusted by how much of the text is links; a node's score is the sum of its children's
 densities. The subtree with the largest score holds the article; the smallest density on the
-path from it up to the body is the threshold that its parts must reach. Parts that by name are
+path from it up to the body is the threshold that its parts must reach. Parts that by element or name are
 not the article (menus, headers and footers of the page, sidebars, notices, adverts, forms,
 comments by readers) take no part in any sum and give no text.
 
@@ -39,13 +39,17 @@ SAME_ENDS = {
     "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
 }
 SCOPES = frozenset("table ul ol dl select body html article section div td th".split())
-#: Words in class, id or role that mark a part as something else than the article.
-OTHER_PARTS = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar|side-bar|"
-    r"footer|masthead|site-header|page-header|cookie\w*|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|share|sharing|social|related|recommend\w*|comment|comments|commentlist|disqus|respond|reply|replies|"
-    r"widget\w*|pagination|pager|login|signup|search|toolbar|skip-link|copyright|disclaimer|legal|tag-?cloud)(?:$|[^a-z])"
+#: A class or id of these words, and of words that say where or in what such a part stands, marks something else than the article.
+_OTHER = (
+    r"(?:ads?|advert|adverts|advertis(?:ement|ements|ing)|adsense|sponsor(?:ed|s)?|promo|promos|promotion|banner|banners|nav|navbar|navigation|menu|menus|"
+    r"breadcrumbs?|sidebar|side-bar|footer|masthead|site-header|page-header|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|"
+    r"subscribe|subscription|share|sharing|social|related|recommended|recommendations?|comments?|commentlist|disqus|respond|reply|replies|"
+    r"widgets?|pagination|pager|login|signup|search|toolbar|skip-link|copyright|disclaimer|legal|tag-?cloud)"
 )
+_PLACE = r"(?:site|page|main|primary|secondary|top|bottom|left|right|global|container|wrapper|wrap|box|bar|list|links|area|buttons|block)"
+OTHER_PARTS = re.compile(rf"(?:{_PLACE}[-_]+)*{_OTHER}(?:[-_]+(?:{_OTHER}|{_PLACE}|\d+))*")
+#: Inside an article ids are names of places to link to; only these elements are judged by them.
+HOLDERS = frozenset("div ul ol".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 TOKEN = re.compile(
@@ -56,27 +60,67 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "other", "chars", "tags", "links", "link_tags", "density", "score")
+    __slots__ = ("name", "parent", "children", "other", "chars", "tags", "links", "link_tags", "density", "score", "named")
 
-    def __init__(self, name: str, parent: Node | None, other: bool):
-        self.name, self.parent, self.other = name, parent, other
+    def __init__(self, name: str, parent: Node | None, other: bool, named: bool = False):
+        self.name, self.parent, self.other, self.named = name, parent, other, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.score = 0.0
 
 
-def _other(name: str, attributes: str, inside_article: bool) -> bool:
+def _other(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """(whether a part is not the article, whether only its class or id says so)."""
     if name in SILENT or (name == "header" and not inside_article):
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return False, False
+    named = False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "role" and value in OTHER_ROLES or key in ("class", "id") and OTHER_PARTS.search(value):
-            return True
-    return False
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or key == "role" and value in OTHER_ROLES:
+            return True, False
+        if key == "class" or key == "id" and (not inside_article or name in HOLDERS):
+            named = named or any(OTHER_PARTS.fullmatch(x) for x in value.split())
+    return named, named
+
+
+def _spare_article(root: Node) -> None:
+    """Take back what only a name drops, where it holds the page's article.
+
+    The article is the article or main element with the most unlinked text. Without one, and within
+    it, a part with most of the body's unlinked text is not dropped either.
+    """
+    order, stack, body = [], [(root, False)], root
+    plain: dict[int, int] = {}
+    while stack:
+        node, linked = stack.pop()
+        if node.other and not node.named:
+            continue
+        linked = linked or node.name == "a"
+        body = node if node.name == "body" and body is root else body
+        order.append(node)
+        plain[id(node)] = 0 if linked else sum(len(SPACES.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        stack.extend((c, linked) for c in node.children if isinstance(c, Node))
+    if not any(n.named for n in order):
+        return
+    for node in reversed(order):
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+    article = max((n for n in order if n.name in ("article", "main")), key=lambda n: plain[id(n)], default=None)
+    article = article if article is not None and plain[id(article)] else None
+    around, node = set(), article
+    while node is not None:
+        around.add(id(node))
+        node = node.parent
+    within = {id(article)}
+    for node in order:
+        if id(node.parent) in within:
+            within.add(id(node))
+        if node.named and (
+            id(node) in around or (article is None or id(node) in within) and 2 * plain[id(node)] > plain[id(body)]
+        ):
+            node.other = node.named = False
 
 
 def parse(page: str) -> Node:
@@ -117,7 +161,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not root and node.name in ends:
                 top = node.parent
-        node = Node(name, top, _other(name, attributes, articles > 0))
+        node = Node(name, top, *_other(name, attributes, articles > 0))
         top.children.append(node)
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path", "use", "math"):
             continue
@@ -128,6 +172,7 @@ def parse(page: str) -> Node:
             continue
         articles += name == "article"
         top = node
+    _spare_article(root)
     return root
 
 

@@ -139,6 +139,19 @@ def test_pages():
     assert html_text.main_text("<article>" + "<p>w</p>" * 20_000 + "</article>").count("w") == 20_000
 
 
+def test_names_drop_no_part_of_an_article():
+    words = "Plain words of the article that say quite a lot of things about it."
+    article = f"<article><h2 id=legal>Head</h2><section id='related-work'><p>{words}</p></section><p class='navy'>{words}</p><div class='notice-period'>{words}</div></article>"
+    whole = f"Head {words} {words} {words}"
+    for around in ("layout has-sidebar", "no-sidebar", "sidebar", "modal", "page"):
+        assert html_text.main_text(f"<body><div class='{around}'>{article}</div><div class='sidebar-left'>{words}</div></body>") == whole
+    assert html_text.main_text(f"<body><div class='overlay'><p>{words}</p><p>{words}</p></div><ul class=nav><li>Home</ul></body>") == f"{words} {words}"
+    replies = f"<div id=comments class='comment-list'><article><p>{words}</p></article>" + f"<p>{words}</p>" * 9 + "</div>"
+    assert html_text.main_text(f"<body>{article}{replies}</body>") == whole
+    for name in ("ad", "ads", "cookie-notice", "main-nav", "related", "site-footer", "share-buttons", "ad-1"):
+        assert html_text.main_text(f"<body><article><p>{words}</p><div class='x {name}'>Other.</div></article></body>") == words
+
+
 def test_tiles_keep_every_near_pair():
     rng = np.random.default_rng(5)
     q, c = rng.normal(size=(7, 12)), np.round(rng.normal(size=(300, 12)), 1)
