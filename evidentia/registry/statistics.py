@@ -451,6 +451,37 @@ def nearest_candidates(spark, sf):
     return shaped(neighbours.candidates(rows, columns, anchors, index, "even"))
 
 
+@query("WITH " + _AUTHORITY + """,
+raw AS (SELECT vec_id, 'S' || vec_id AS gene, embedding FROM embeddings
+  WHERE label % 2 = 0 AND coalesce(embedding[1] > embedding[2], false) AND floor(abs(embedding[3]::DOUBLE) * 2000) >= 50),
+firsts AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY gene ORDER BY vec_id) = 1),
+v AS (SELECT vec_id, gene, list_transform(embedding, lambda x, i: CASE WHEN 'S' || (i - 1) = gene THEN 0 ELSE x::DOUBLE * 20 END)::DOUBLE[] AS x,
+    CASE WHEN gene NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL THEN target ELSE gene END AS cur
+  FROM firsts LEFT JOIN prevs ON gene = name),
+f AS (SELECT *, cur IN (SELECT 'S' || vec_id FROM embeddings WHERE label = 0) AS is_fda FROM v),
+pr AS (SELECT q.gene, a.gene AS anchor, list_cosine_similarity(q.x, a.x) AS c FROM f q JOIN f a ON a.is_fda AND a.gene <> q.gene),
+b AS (SELECT gene, max(c) AS best, arg_max(anchor, c) AS nearest FROM pr GROUP BY 1)
+SELECT f.gene, round(best, 6) AS knn_max_score, nearest AS nearest_fda_target,
+  CASE WHEN nearest NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL THEN target ELSE nearest END AS nearest_fda_target_current,
+  CAST(is_fda AS BIGINT) AS is_fda_target, CAST(len(list_filter(x, lambda e: abs(e) > 3)) AS BIGINT) AS n_downstream_z3, 'even' AS culture_condition
+FROM f LEFT JOIN b USING (gene) LEFT JOIN prevs ON nearest = name
+""")
+def nearest_candidates_per_vector(spark, sf):
+    """The whole plan where every vector is an entity: anchors and quality come from the data and grow with the table."""
+    vectors = table(spark, sf, "embeddings")
+    at = lambda i: F.get("embedding", F.lit(i))
+    rows = vectors.select(
+        F.col("vec_id").alias("row_id"), F.concat(F.lit("S"), "vec_id").alias("target_contrast_gene_name"),
+        F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("culture_condition"),
+        (at(0) > at(1)).alias("ontarget_significant"), F.floor(F.abs(at(2).cast("double")) * 2000).alias("n_cells_target"),
+        F.transform("embedding", lambda v: v.cast("double") * 20).alias("values"),
+    )
+    columns = spark.range(64).select(F.col("id").cast("int").alias("col_id"), F.concat(F.lit("S"), "id").alias("gene_name"))
+    anchors = vectors.where("label = 0").select(F.concat(F.lit("S"), "vec_id").alias("gene"))
+    index = symbols.symbol_index(_authority(spark, sf))
+    return shaped(neighbours.candidates(rows, columns, anchors, index, "even"))
+
+
 @query()
 def signature_pca(spark, sf):
     pcs, shares = nearest.principal_components(_signatures(spark, sf), "vec_id", 8)

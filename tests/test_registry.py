@@ -27,3 +27,13 @@ def test_query_matches_sql(spark, con, name):
 def test_every_query_is_known():
     assert set(SQL) <= set(QUERIES)
     assert {"pu_ablation", "pu_out_of_fold", "pu_nominations", "pu_attribution", "signature_pca"} <= set(QUERIES) - set(SQL)
+
+
+def test_candidates_grow_with_the_table(spark, con):
+    """Every usable vector is searched, beyond the 400 keys and 40 anchors of nearest_candidates."""
+    one = QUERIES["nearest_candidates_per_vector"](spark, "/root/testdata/sf0.1")
+    ((n,),) = con.sql(
+        "SELECT count(*) FROM '/root/testdata/sf0.1/embeddings.parquet' "
+        "WHERE label % 2 = 0 AND embedding[1] > embedding[2] AND floor(abs(embedding[3]::DOUBLE) * 2000) >= 50").fetchall()
+    got = one.selectExpr("count(*)", "count_if(is_fda_target = 1)", "count(knn_max_score)").first()
+    assert got[0] == got[2] == n > 400 and got[1] > 40
