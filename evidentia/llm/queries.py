@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidentia.llm import exact_dedup, html_text, line_templates, mixing, near_dedup, nearest_tiles, packing, secrets, substring_dedup, toxicity
+from evidentia.llm import exact_dedup, html_text, line_templates, mixing, near_dedup, nearest_tiles, packing, secrets, spelling, substring_dedup, toxicity
 from evidentia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,12 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with its commoner form, one letter away."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five stages of the corpus pipeline over all documents."""
