@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,56 +23,19 @@ FAMILY_TAG, EVIDENCE_TAG, MIXED_TAG, WEAK_TAG = (
 def linear_attribution(rows: DataFrame, models: LinearModels, keep: Sequence[str], x: str = "x") -> DataFrame:
     """Mean over bags of ``coef * (x - training mean)`` per feature (log-odds scale).
 
-    The bag average is itself linear in x, so two short vectors give it exactly.
+    The bag average is itself linear in x and in the flags of missing values, so two short
+    vectors give it exactly.
     """
-    slope = models.coef.mean(0)
+    slope = models.slopes().mean(0)
     offset = (models.coef * models.mean).mean(0)
-    terms = [
-        F.struct(F.lit(f).alias("feature"), (F.get(x, F.lit(i)) * F.lit(float(slope[i])) - F.lit(float(offset[i]))).alias("value"))
-        for i, f in enumerate(models.features)
-    ]
-    return rows.select(*keep, F.array(*terms).alias("contributions"))
-
+    flag_of = {j: len(models.features) + k for k, j in enumerate(models.missing)}
 
-def tree_attribution(
-    rows: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str], key: str, x: str = "x"
-) -> DataFrame:
-    """Mean over bags of the path contributions per feature (log-odds scale).
+    def term(i: int) -> Column:
+        held = F.get(x, F.lit(i)) * F.lit(float(slope[i])) - F.lit(float(offset[i]))
+        return held + F.get(x, F.lit(flag_of[i])) * F.lit(float(slope[flag_of[i]])) if i in flag_of else held
 
-    Along a row's path through a tree, each split is credited with the change of the
-    node value. ``rows`` is the short list to explain; every bag is one task that holds
-    its own nodes, whose number the learner settings bound.
-    """
-    held = rows.select(key, x).toArrow().to_pandas()
-    ids, matrix = held[key].to_numpy(), np.stack(held[x].to_numpy()) if len(held) else np.zeros((0, len(features)))
-    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
-    id_type = rows.schema[key].dataType.simpleString()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, values = shared.value
-        credit = np.zeros(values.shape)
-        at_row = np.arange(len(values))
-        for _, tree in pdf.groupby("treeID", sort=False):
-            tree = tree.sort_values("id")
-            value, left, right = (tree[c].to_numpy() for c in ("prediction", "leftChild", "rightChild"))
-            feature, threshold = tree["feature"].to_numpy(), tree["threshold"].to_numpy(dtype=float)
-            scale, node = 2.0 * tree["weight"].iloc[0], np.zeros(len(values), dtype=int)
-            while True:
-                go = left[node] >= 0
-                if not go.any():
-                    break
-                r, here = at_row[go], node[go]
-                down = np.where(values[r, feature[here]] <= threshold[here], left[here], right[here])
-                credit[r, feature[here]] += scale * (value[down] - value[here])
-                node[r] = down
-        return pd.DataFrame({key: keys, "credit": list(credit)})
-
-    per_bag = nodes.groupBy("model").applyInPandas(walk, f"{key} {id_type}, credit array<double>")
-    means = per_bag.select(key, F.posexplode("credit").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("v"))
-    names = F.array(*[F.lit(f) for f in features])
-    told = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))  # one entry per feature
-    told = told.select(key, F.transform("c", lambda e: F.struct(F.get(names, e["i"]).alias("feature"), e["v"].alias("value"))).alias("contributions"))
-    return rows.select(*keep).join(told, key).select(*keep, "contributions")
+    terms = [F.struct(F.lit(f).alias("feature"), term(i).alias("value")) for i, f in enumerate(models.features)]
+    return rows.select(*keep, F.array(*terms).alias("contributions"))
 
 
 def _mass(contributions: Column, wanted) -> Column:

@@ -1,4 +1,4 @@
-"""Positive-unlabeled bagging with linear or tree base learners.
+"""Positive-unlabeled bagging: draws, linear base learners and scores (trees: ``boosting``).
 
 A *model* is one (held-out fold, bag) pair, numbered ``fold * n_bags + bag``; the
 final full-data run has one pseudo-fold nothing belongs to. Every model trains on all
@@ -16,17 +16,15 @@ number of models and features, never on the number of rows.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.ordering import row_rank, seeded_key
-from evidentia.session import checkpoint_root
+from evidentia.operators.ordering import quantiles, row_rank, seeded_key
 
 # Penalty mix and inverse strength of the linear learner.
 L1_RATIO, C = 0.5, 1.0
@@ -177,7 +175,7 @@ def _with_replacement(df, row_id, label, fold, plan, name, short, sizes):
     picks = (
         df.sparkSession.range(max(sizes[s][0] for s in splits)).select(F.col("id").alias("j"), F.explode(ask).alias("a"))
         .select("j", "a.*").filter("j < want and have > 0")
-        .withColumn("number", F.pmod(F.xxhash64(F.lit(plan.seed), "model", "j"), F.col("have")) + 1)
+        .withColumn("number", F.conv(F.substring(seeded_key(plan.seed, "model", "j"), 1, 12), 16, 10).cast("bigint") % F.col("have") + 1)
         .groupBy("model", "split", "number").agg(F.count(F.lit(1)).cast("int").alias("n"))
     )
     extra = picks.join(pool, ["split", "number"]).groupBy("id").agg(
@@ -196,13 +194,25 @@ def _with_replacement(df, row_id, label, fold, plan, name, short, sizes):
 
 @dataclass
 class LinearModels:
-    """Fitted coefficients of every model of one variant, on the raw feature scale."""
+    """Fitted coefficients of every model of one variant, on the raw feature scale.
+
+    Rows hold 0 for a missing value and, behind the features, a flag for each of ``missing``;
+    a flag stands for the model's own fill, so filling stays linear in what rows hold.
+    """
 
     features: list[str]
     plan: Plan
     coef: np.ndarray  # models x features
     intercept: np.ndarray  # models
     mean: np.ndarray  # models x features: training mean, for attribution
+    missing: Sequence[int] = ()  # features with a flag
+    fill: np.ndarray | None = None  # models x flags
+
+    def slopes(self) -> np.ndarray:
+        """Models x (features and flags)."""
+        if not len(self.missing):
+            return self.coef
+        return np.concatenate([self.coef, self.coef[:, list(self.missing)] * self.fill], axis=1)
 
 
 def _weights(part: pd.DataFrame, held: np.ndarray) -> np.ndarray:
@@ -217,10 +227,45 @@ def _weights(part: pd.DataFrame, held: np.ndarray) -> np.ndarray:
     return out
 
 
+def bag_medians(train: DataFrame, features: Mapping[int, list[str]], plan: Plan, missing: Mapping[int, Sequence[int]]) -> DataFrame:
+    """(variant, model, feature, median): medians of each model's own training rows, drawn rows as often as drawn.
+
+    One grouped scan over (variant, model, feature, value); no held-out row takes part. ``x`` of ``train``
+    holds the features and then a flag for each of ``missing`` that is 1 where the value is not known.
+    """
+    once = F.filter(F.sequence(F.lit(0), F.lit(plan.n_models - 1)), lambda m: plan.held_out(m) != F.col("fold"))
+    entry = lambda m, t: F.named_struct(F.lit("model"), m, F.lit("times"), t)
+    single = lambda ms: F.transform(ms, lambda m: entry(m, F.lit(1)))
+    drawn = F.when(F.size("bags_times") == 0, single(F.col("bags"))).otherwise(
+        F.zip_with("bags", "bags_times", entry)
+    )
+    takes_part = F.when(F.col("y") == 1, single(once)).otherwise(drawn)
+    none = F.array().cast("array<struct<feature:int,v:double>>")
+    values = none
+    for v, at in missing.items():
+        p = len(features[v])
+        known = [
+            F.struct(F.lit(j).alias("feature"), F.when(F.get("x", F.lit(p + k)) == 0, F.get("x", F.lit(j))).alias("v")) for k, j in enumerate(at)
+        ]
+        values = F.when(F.col("variant") == v, F.array(*known) if known else none).otherwise(values)
+    long = train.select("variant", takes_part.alias("e"), F.inline(values)).where("v IS NOT NULL")
+    long = long.select("variant", F.inline("e"), "feature", "v")
+    return quantiles(long, "v", {"median": 0.5}, ["variant", "model", "feature"], F.col("times"))
+
+
+def _fills(train: DataFrame, features: dict[int, list[str]], plan: Plan, missing: Mapping[int, Sequence[int]]) -> dict[int, np.ndarray]:
+    """Models x flags per variant; 0 where a model knows no value. One number per model and flag reaches the driver."""
+    out = {v: np.zeros((plan.n_models, len(at))) for v, at in missing.items()}
+    if any(len(at) for at in missing.values()):
+        for r in bag_medians(train, features, plan, missing).collect():
+            out[r["variant"]][r["model"], list(missing[r["variant"]]).index(r["feature"])] = r["median"]
+    return out
+
+
 _SUMS = "variant int, model int, sums array<double>"
 
 
-def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel, many_parts: bool) -> dict[int, np.ndarray]:
+def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel) -> dict[int, np.ndarray]:
     """Run ``kernel`` over all training rows; add up its per-model sums.
 
     Partials leave a task once, are added by Spark per (variant, model) and reach the
@@ -244,9 +289,7 @@ def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel, many_parts: boo
         total = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)
         return pd.DataFrame({"variant": [key[0]], "model": [key[1]], "sums": [total]})
 
-    parts = train.mapInPandas(partial, _SUMS)
-    if many_parts:
-        parts = parts.groupBy("variant", "model").applyInPandas(add_up, _SUMS)
+    parts = train.mapInPandas(partial, _SUMS).groupBy("variant", "model").applyInPandas(add_up, _SUMS)
     out: dict[int, list] = {v: [0.0] * len(h) for v, h in held.items()}
     for r in parts.toArrow().to_pandas().itertuples(index=False):
         out[r.variant][r.model] = out[r.variant][r.model] + np.asarray(r.sums)
@@ -303,39 +346,55 @@ def _penalised_minimum(h, g, b, sd, rounds=100):
 
 
 def fit_linear(
-    train: DataFrame, features: dict[int, list[str]], plan: Plan, tol: float = 1e-5, max_passes: int = 40
+    train: DataFrame, features: dict[int, list[str]], plan: Plan, missing: Mapping[int, Sequence[int]] | None = None,
+    tol: float = 1e-5, max_passes: int = 40,
 ) -> dict[int, LinearModels]:
     """Elastic-net logistic fits of every model of every variant.
 
-    ``train`` holds ``variant, y, fold, bags, bags_times, x``. Newton steps with step halving; a
-    pass over the rows also yields the objective that accepts or shortens the step.
-    Features are scaled inside each model's own training set, as a pipeline with a
-    scaler would.
+    ``train`` holds ``variant, y, fold, bags, bags_times, x``; ``x`` holds the features and a flag for
+    each of ``missing``. Newton steps with step halving; a pass over the rows also yields the objective
+    that accepts or shortens the step. As a pipeline of imputer and scaler would, each model
+    fills a missing value with the median of its own training rows and scales by them. Sums are
+    kept over features and flags; what a model fills in is put in their place afterwards.
     """
+    missing = {v: list((missing or {}).get(v, ())) for v in features}
     held = {v: plan.held_out_array() for v in features}
+    fill = _fills(train, features, plan, missing)
 
     def moments(v, x, y, w):
         return np.concatenate([w.sum(0)[:, None], w.T @ x, w.T @ (x * x)], axis=1)
 
-    many = train.rdd.getNumPartitions() > 8  # then partial sums are added on the cluster
-    base = _pass(train, held, moments, many)
-    centre, scale, sd, mean, n = {}, {}, {}, {}, {}
+    base = _pass(train, held, moments)
+    centre, scale, sd, mean, put = {}, {}, {}, {}, {}
     for v, m in base.items():
-        p = len(features[v])
-        n[v] = np.maximum(m[:, :1], 1.0)
-        mean[v] = m[:, 1:p + 1] / n[v]
+        p, at = len(features[v]), missing[v]
+        n = np.maximum(m[:, :1], 1.0)
+        first, second = m[:, 1:p + 1].copy(), m[:, p + len(at) + 1:2 * p + len(at) + 1].copy()
+        flags = m[:, p + 1:p + len(at) + 1]
+        first[:, at] += flags * fill[v]
+        second[:, at] += flags * fill[v] ** 2
+        mean[v] = first / n
         total = np.maximum(m[:, 0].sum(), 1.0)
-        centre[v] = m[:, 1:p + 1].sum(0) / total
-        spread = np.sqrt(np.maximum(m[:, p + 1:].sum(0) / total - centre[v] ** 2, 0.0))
+        centre[v] = first.sum(0) / total
+        spread = np.sqrt(np.maximum(second.sum(0) / total - centre[v] ** 2, 0.0))
         scale[v] = np.where(spread > 1e-12, spread, 1.0)
-        var = np.maximum(m[:, p + 1:] / n[v] - mean[v] ** 2, 0.0)
-        own = np.sqrt(var) / scale[v]
+        own = np.sqrt(np.maximum(second / n - mean[v] ** 2, 0.0)) / scale[v]
         sd[v] = np.where(own > 1e-9, own, 1.0)  # a constant column is left unscaled
+        # From what rows hold (features, flags, 1) to the scaled columns of each model. A row without
+        # a value holds 0, so a flag moves it from the scaled 0 to the scaled fill.
+        put[v] = np.zeros((plan.n_models, p + 1, p + len(at) + 1))
+        put[v][:, np.arange(p + 1), np.append(np.arange(p), p + len(at))] = 1.0
+        for k, j in enumerate(at):
+            put[v][:, j, p + k] = fill[v][:, k] / scale[v][j]
 
     def kernel(coef):
+        held_in = {v: np.einsum("mij,mi->mj", put[v], b) for v, b in coef.items()}
+        sizes, middle, spread = {v: len(f) for v, f in features.items()}, centre, scale
+
         def newton(v, x, y, w):
-            z = np.concatenate([(x - centre[v]) / scale[v], np.ones((len(x), 1))], axis=1)
-            eta = np.clip(z @ coef[v].T, -500, 500)
+            p = sizes[v]
+            z = np.concatenate([(x[:, :p] - middle[v]) / spread[v], x[:, p:], np.ones((len(x), 1))], axis=1)
+            eta = np.clip(z @ held_in[v].T, -500, 500)
             prob = 1.0 / (1.0 + np.exp(-eta))
             loss = np.logaddexp(0.0, eta) - y[:, None] * eta
             grad = (w * (prob - y[:, None])).T @ z
@@ -355,15 +414,16 @@ def fit_linear(
     live = set(features)
     for _ in range(max_passes):
         rows = train if live == set(features) else train.filter(F.col("variant").isin(*live))
-        sums = _pass(rows, {v: held[v] for v in live}, kernel(trial), many)
+        sums = _pass(rows, {v: held[v] for v in live}, kernel({v: trial[v] for v in live}))
         for v in list(live):
-            k = len(features[v]) + 1
+            k = put[v].shape[2]
             s = sums[v]
             now = s[:, 0] + penalty(v, trial[v])
             worse = now > value[v] + 1e-9 * np.abs(now)
             ok = ~worse
             best[v][ok], value[v][ok] = trial[v][ok], now[ok]
-            ahead = _penalised_minimum(s[:, k + 1:].reshape(-1, k, k), s[:, 1:k + 1], trial[v], sd[v])
+            curve = np.einsum("mij,mjk,mlk->mil", put[v], s[:, k + 1:].reshape(-1, k, k), put[v])
+            ahead = _penalised_minimum(curve, np.einsum("mij,mj->mi", put[v], s[:, 1:k + 1]), trial[v], sd[v])
             half = 0.5 * (trial[v] + best[v])
             move = np.where(worse[:, None], half, ahead)
             change = np.max(np.abs(move - best[v]))
@@ -378,36 +438,40 @@ def fit_linear(
     out = {}
     for v, f in features.items():
         coef = best[v][:, :-1] / scale[v]
-        out[v] = LinearModels(f, plan, coef, best[v][:, -1] - coef @ centre[v], mean[v])
+        out[v] = LinearModels(f, plan, coef, best[v][:, -1] - coef @ centre[v], mean[v], missing[v], fill[v])
     return out
 
 
 _SCORE = "score double, oob_models bigint, inbag_models bigint"
 
 
-def score_linear(rows: DataFrame, models: dict[int, LinearModels]) -> DataFrame:
+def averaged(rows: DataFrame, plans: dict[int, tuple[np.ndarray, bool]], probability) -> DataFrame:
     """Add the bag-averaged probability and model counts to every row.
 
     ``rows`` holds ``variant, y, fold, bags, bags_times, x`` beside any other columns,
-    which never leave the JVM. Under cross-validation a row is scored by the models that
-    held its fold out. In the full run an unlabeled row is scored by the models that did
-    not draw it, falling back to all when every model did; a positive takes part in all
-    of them and is scored by all.
+    which never leave the JVM. ``plans`` gives, per variant, the fold each model held out and
+    whether that is cross-validation; ``probability(variant, x, models)`` is rows x models.
+    Under cross-validation a row is scored by the models that held its fold out. In the full
+    run an unlabeled row is scored by the models that did not draw it, falling back to
+    all when every model did; a positive takes part in all of them and is scored by all.
     """
-    packed = {v: (m.coef, m.intercept, m.plan.held_out_array(), m.plan.n_folds is not None) for v, m in models.items()}
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+
+    def crossed(v: int, held: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        pieces = []
+        for fold, some in part.groupby("fold", sort=False):
+            models = np.flatnonzero(held == fold)
+            mean = probability(v, _matrix(some), models).mean(1) if len(models) else np.full(len(some), np.nan)
+            pieces.append(pd.DataFrame({"score": mean, "oob_models": len(models), "inbag_models": 0}, index=some.index))
+        return pd.concat(pieces)
 
     def block(v: int, part: pd.DataFrame) -> pd.DataFrame:
-        coef, intercept, held, crossed = shared.value[v]
-        x = np.stack(part["x"].to_numpy()).astype(float)
-        prob = 1.0 / (1.0 + np.exp(-np.clip(x @ coef.T + intercept, -500, 500)))
-        if crossed:
-            use = part["fold"].to_numpy()[:, None] == held[None, :]
-            inside = np.zeros_like(use)
-        else:
-            inside = _weights(part, held) > 0
-            use = ~inside
-            use[~use.any(1)] = True
+        held, is_crossed = plans[v]
+        if is_crossed:
+            return crossed(v, held, part)
+        prob = probability(v, _matrix(part), np.arange(len(held)))
+        inside = _weights(part, held) > 0
+        use = ~inside
+        use[~use.any(1)] = True
         count = use.sum(1)
         mean = np.divide((prob * use).sum(1), count, out=np.full(len(part), np.nan), where=count > 0)
         return pd.DataFrame(
@@ -430,82 +494,16 @@ def score_linear(rows: DataFrame, models: dict[int, LinearModels]) -> DataFrame:
     }).drop("__s")
 
 
-# ---------------------------------------------------------------------------- trees
+def _matrix(part: pd.DataFrame) -> np.ndarray:
+    return np.stack(part["x"].to_numpy()).astype(float)
 
 
-def fit_trees(
-    rows: DataFrame, plan: Plan, n_trees: int, max_depth: int, step: float, subsample: float, min_rows: int,
-    workers: int = 4,
-) -> list:
-    """Boosted-tree bags through the ML library.
-
-    Each fit is a distributed job on that model's training rows; the driver only submits
-    several at once. ``rows`` holds one variant, with missing features already encoded.
-    """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    checkpoint_root(rows.sparkSession)
-    training = rows.filter((F.col("y") == 1) | (F.size("bags") > 0))  # all that any model trains on, written once
-    data = training.select(
-        "y", "fold", "bags", "bags_times", array_to_vector(F.col("x")).alias("features"), F.col("y").cast("double").alias("label")
-    ).checkpoint()
-    held = plan.held_out_array()
-
-    def fit(m: int):
-        learner = GBTClassifier(
-            maxIter=n_trees, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
-            minInstancesPerNode=min_rows, seed=plan.seed + m, weightCol="times",
-        )
-        times = F.get("bags_times", (F.array_position("bags", m) - 1).cast("int"))
-        mine = data.filter(_takes_part(m, held)).withColumn("times", F.coalesce(times, F.lit(1)).cast("double"))
-        return learner.fit(mine)
-
-    with ThreadPoolExecutor(workers) as pool:
-        return list(pool.map(fit, range(plan.n_models)))
-
-
-def _takes_part(m: int, held: np.ndarray) -> Column:
-    return ((F.col("y") == 1) & (F.col("fold") != int(held[m]))) | F.array_contains("bags", m)
-
-
-def score_trees(rows: DataFrame, plan: Plan, models: list) -> DataFrame:
-    """Bag-averaged tree probabilities by the scoring rules of ``score_linear``."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    held = plan.held_out_array()
-    scored = rows.withColumn("features", array_to_vector(F.col("x")))
-    inside, use = [], []
-    for m, model in enumerate(models):
-        named = model.setProbabilityCol(f"p{m}").setPredictionCol("").setRawPredictionCol("")
-        scored = named.transform(scored)
-        drawn = _takes_part(m, held)
-        inside.append(drawn)
-        use.append((F.col("fold") == int(held[m])) if plan.n_folds is not None else ~drawn)
-    prob = [F.get(vector_to_array(f"p{m}"), F.lit(1)) for m in range(plan.n_models)]
-    total = sum((F.when(u, p).otherwise(0.0) for u, p in zip(use, prob)), F.lit(0.0))
-    count = sum((F.when(u, 1).otherwise(0) for u in use), F.lit(0))
-    every = sum(prob, F.lit(0.0)) / F.lit(plan.n_models)
-    score = F.when(count > 0, total / count).otherwise(every)
-    n_in = sum((F.when(d, 1).otherwise(0) for d in inside), F.lit(0))
-    return scored.select(
-        *rows.columns, score.alias("score"), count.cast("bigint").alias("oob_models"), n_in.cast("bigint").alias("inbag_models")
-    )
+def score_linear(rows: DataFrame, models: dict[int, LinearModels]) -> DataFrame:
+    """Bag-averaged probabilities of linear models, by the rules of ``averaged``."""
+    shared = rows.sparkSession.sparkContext.broadcast({v: (m.slopes(), m.intercept) for v, m in models.items()})
 
+    def probability(v: int, x: np.ndarray, use: np.ndarray) -> np.ndarray:
+        coef, intercept = shared.value[v]
+        return 1.0 / (1.0 + np.exp(-np.clip(x @ coef[use].T + intercept[use], -500, 500)))
 
-def tree_nodes(models: list, spark) -> DataFrame:
-    """Nodes of every tree of every bag as one table, through the library's saved form."""
-    import uuid
-
-    root = f"{checkpoint_root(spark)}/trees-{uuid.uuid4().hex}"
-    parts = []
-    for m, model in enumerate(models):
-        model.write().save(f"{root}/{m}")
-        weights = spark.read.parquet(f"{root}/{m}/treesMetadata").select(
-            F.col("_1").alias("treeID"), F.col("_3").cast("double").alias("weight"))
-        nodes = spark.read.parquet(f"{root}/{m}/data").select(F.lit(m).alias("model"), "treeID", "nodeData.*")
-        parts.append(nodes.join(weights, "treeID").select(
-            "model", "treeID", "weight", "id", "prediction", "leftChild", "rightChild",
-            F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
+    return averaged(rows, {v: (m.plan.held_out_array(), m.plan.n_folds is not None) for v, m in models.items()}, probability)

@@ -45,7 +45,9 @@ class RunConfig:
     max_depth: int = 5
     learning_rate: float = 0.05
     subsample: float = 0.8
+    colsample_bytree: float = 0.8
     min_rows_per_leaf: int = 50
+    n_bins: int = 64
 
     def having(self, **changes) -> "RunConfig":
         return replace(self, **changes)

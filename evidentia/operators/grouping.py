@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.ordering import null_safe_join, quantiles
+from evidentia.operators.ordering import null_safe_join, quantiles, scan
 
 
 def collapse(
@@ -50,6 +50,20 @@ def collapse(
     return grouped.select(*out)
 
 
+def list_parts(df: DataFrame, keys: Sequence[str], value: str, part_chars: int = 1 << 20, sep: str = "; ") -> DataFrame:
+    """(keys, part, values): the sorted distinct values of every group as texts of about ``part_chars``.
+
+    The form of ``collapse`` for groups of any size: values become rows, are numbered by their
+    running length, and only a bounded part is joined to one text. Parts count from 0 and follow each
+    other in order; empty and missing values are left out.
+    """
+    rows = df.select(*keys, F.nullif(F.col(value).cast("string"), F.lit("")).alias("__v")).filter("__v is not null").distinct()
+    placed = scan(rows, [("__v", "asc")], keys, sums={"__to": (F.length("__v") + len(sep)).cast("bigint")})
+    begin = F.col("__to") - F.length("__v") - len(sep)
+    parts = placed.withColumn("part", F.floor(begin / part_chars).cast("bigint")).groupBy(*keys, "part")
+    return parts.agg(F.array_join(F.array_sort(F.collect_list("__v")), sep).alias("values"))
+
+
 def pivot_once(
     df: DataFrame, key: str, column: str, values: Sequence, metrics: Sequence[str],
     prefixes: Mapping | None = None,

@@ -6,16 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.components import Components, fit_components, with_scores
 from evidentia.operators.dedup import keep_first
+from evidentia.session import checkpoint_root
 
 EPS = 1e-12  # fixed value: added to the norm before dividing
 BREADTH = 3.0  # fixed value: |z| above which a column counts as affected
-ANCHOR_BYTES = 256 << 20  # anchor matrix size up to which every executor gets a copy
+BLOCK_BYTES = 32 << 20  # of rows or anchors that one task holds
 _BLOCK = 2048
 
 
@@ -61,18 +61,18 @@ def _best(ids: np.ndarray, x: np.ndarray, anchor_ids: np.ndarray, anchors: np.nd
 
 
 def nearest_anchor(
-    sig: DataFrame, key: str, anchor_flag: str, order: str, max_bytes: int = ANCHOR_BYTES
+    sig: DataFrame, key: str, anchor_flag: str, order: str, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Best cosine to any anchor other than the row itself, and that anchor.
 
     ``sig`` comes from ``signatures`` and carries a 0/1 anchor flag; ``order`` is the
-    source order that settles ties. Pairs are never materialised: a task multiplies
-    its block of rows with the anchor matrix and keeps one maximum per row.
-
-    The size of the anchor matrix is measured first. Up to ``max_bytes`` it is sent to
-    every executor; a larger set is cut into blocks that meet blocks of rows, each
-    task holding one of either, and the block maxima are reduced per row.
+    source order that settles ties. Pairs are never materialised: blocks of rows meet blocks of
+    anchors, each of at most about ``block_bytes``; a task multiplies one of either and keeps one
+    maximum per row, and the block maxima are reduced per row. Every size takes this path.
+    The signatures are written down once, as sizes, anchors and rows are read from them.
     """
+    checkpoint_root(sig.sparkSession)
+    sig = sig.checkpoint()
     anchors = sig.filter(F.col(anchor_flag) == 1).select(F.col(key).alias("a"), F.col(order).alias("o"), "unit")
     n, dim, n_rows = sig.agg(
         F.count_if(F.col(anchor_flag) == 1), F.max(F.size("unit")), F.count(F.lit(1))
@@ -80,12 +80,10 @@ def nearest_anchor(
     nearest_type = sig.schema[key].dataType.simpleString()
     schema = f"k {nearest_type}, best double, nearest {nearest_type}, nearest_order bigint"
     rows = sig.select(F.col(key).alias("k"), "unit")
-    size = (n or 0) * (dim or 1) * 8
-    if size <= max_bytes:
-        found = _by_broadcast(rows, anchors, schema)
-    else:
-        row_blocks = -(-(n_rows * dim * 8) // max_bytes)
-        found = _by_blocks(rows, anchors, schema, -(-size // max_bytes), row_blocks)
+    width = (dim or 1) * 8
+    blocks = max(1, -(-(n or 0) * width // block_bytes))
+    row_blocks = max(sig.sparkSession.sparkContext.defaultParallelism, -(-n_rows * width // block_bytes))
+    found = _by_blocks(rows, anchors, schema, blocks, row_blocks)
     found = found.select(F.col("k").alias("__k"), "best", "nearest")
     return sig.join(found, F.col(key) == F.col("__k"), "left").drop("__k")
 
@@ -104,23 +102,6 @@ def _frame(k, best, at, anchor_ids, anchor_order) -> pd.DataFrame:
     )
 
 
-def _by_broadcast(rows: DataFrame, anchors: DataFrame, schema: str) -> DataFrame:
-    held = anchors.orderBy("o").toArrow().to_pandas()  # within the checked bound
-    ids, order = held["a"].to_numpy(), held["o"].to_numpy()
-    matrix = np.stack(held["unit"].to_numpy()) if len(held) else np.zeros((0, 1))
-    shared = rows.sparkSession.sparkContext.broadcast((ids, order, matrix))
-
-    def score(batches):
-        anchor_ids, anchor_order, m = shared.value
-        for pdf in batches:
-            for s in range(0, len(pdf), _BLOCK):
-                part = pdf.iloc[s:s + _BLOCK]
-                k, x = part["k"].to_numpy(), np.stack(part["unit"].to_numpy())
-                yield _frame(k, *_best(k, x, anchor_ids, m), anchor_ids, anchor_order)
-
-    return rows.mapInPandas(score, schema).withColumn("best", F.nanvl("best", F.lit(None).cast("double")))
-
-
 def _by_blocks(rows: DataFrame, anchors: DataFrame, schema: str, blocks: int, row_blocks: int) -> DataFrame:
     """Row blocks meet anchor blocks; each pair of blocks is one bounded task."""
     left = rows.withColumn("rb", F.pmod(F.xxhash64("k"), F.lit(row_blocks))).withColumn(
@@ -151,22 +132,19 @@ def hub_summary(df: DataFrame, nearest: str, coords: Sequence[str], k: int = 8)
     from evidentia.operators.grouping import frequent_or_other
     from evidentia.operators.ordering import null_safe_join, quantiles
 
-    tagged = frequent_or_other(df.filter(F.col(nearest).isNotNull()), nearest, k, "hub").filter("hub <> 'other'")
-    out = tagged.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    for c in coords:
-        out = null_safe_join(out, quantiles(tagged, c, {f"median_{c}": 0.5}, ["hub"]), ["hub"])
-    return out
-
-
-def principal_components(sig: DataFrame, key: str, k: int = 50) -> tuple[DataFrame, list[float]]:
-    """Top-k components of the centred unit signatures and their variance shares.
-
-    The covariance is built by the ML library over the distributed rows; its side is
-    the number of columns, not the number of rows.
-    """
-    vectors = sig.select(key, array_to_vector(F.col("unit")).alias("v"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(vectors).transform(vectors)
-    model = PCA(k=k, inputCol="c", outputCol="pc").fit(centred)
-    scored = model.transform(centred).withColumn("pc", vector_to_array("pc"))
-    out = scored.select(key, *[F.get("pc", F.lit(i)).alias(f"pc{i + 1}") for i in range(k)])
-    return out, [float(v) for v in model.explainedVariance]
+    checkpoint_root(df.sparkSession)
+    held = df.select(nearest, *coords).filter(F.col(nearest).isNotNull()).checkpoint()  # the search runs once
+    tagged = frequent_or_other(held, nearest, k, "hub").filter("hub <> 'other'")
+    lines = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in coords])
+    medians = quantiles(tagged.select("hub", F.inline(lines)), "v", {"median": 0.5}, ["hub", "c"])
+    wide = medians.groupBy("hub").agg(*[F.max(F.when(F.col("c") == c, F.col("median"))).alias(f"median_{c}") for c in coords])
+    return null_safe_join(tagged.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), wide, ["hub"])
+
+
+def principal_components(sig: DataFrame, key: str, k: int = 50, labels: Sequence[str] = ()) -> tuple[DataFrame, Components]:
+    """Top-k components of the centred unit signatures, with label columns, and the fit behind them."""
+    fitted = fit_components(sig, "unit", k)
+    if fitted is None:
+        raise ValueError("no signature to take components of")
+    scored = with_scores(sig.select(key, *labels, "unit"), "unit", fitted)
+    return scored.select(key, *labels, *[F.get("pc", F.lit(i)).alias(f"pc{i + 1}") for i in range(fitted.directions.shape[1])]), fitted

@@ -174,14 +174,16 @@ def qq_points(df: DataFrame, observed: str, key: str, by: Sequence[str] = ()) ->
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), times: Column | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name.
 
     Found on the distinct values and their running counts, so no group is held in one task.
+    ``times`` says how often a row counts.
     """
-    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
-    counts = value_counts(known, value, by)
+    often = (F.lit(1) if times is None else times).cast("bigint").alias("__times")
+    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), often)
+    counts = value_counts(known, value, by, n=F.sum("__times"))
     placed = scan(counts, [(value, "asc")], by, sums={"__to": F.col("n")}, totals={"__n": F.col("n")})
     picks = []
     for name, q in probs.items():

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import is_finite, ratio, signed_log10
@@ -65,91 +65,85 @@ def scan_columns(
     return _solve(moments, by, min_rows)
 
 
-_PARTIAL = "condition string, col_id int, n double, mx double, my double, mw double, xx double, yy double, ww double, xy double, xw double, yw double"
+_NAMES = ("n", "x", "y", "w", "xx", "yy", "ww", "xy", "xw", "yw")
+_PARTIAL = "condition string, col_id int, " + ", ".join(f"{n} double" for n in _NAMES)
 
 
-def _chunk_moments(part: pd.DataFrame) -> np.ndarray:
-    """(n, means, centred second moments) of every column over a few rows."""
+def _cell_sums(part: pd.DataFrame, shift: tuple[np.ndarray, float, float]) -> np.ndarray:
+    """Sums of every column over a few rows of what cells, y and w differ from a fixed shift, and of the products."""
     x = np.stack(part["values"].to_numpy()).astype(float)
-    own = part["own_col"].to_numpy(dtype=float)
-    hit = np.flatnonzero(~np.isnan(own))
-    x[hit, own[hit].astype(int)] = np.nan
-    y = part["y"].to_numpy(dtype=float)[:, None]
-    w = part["w"].to_numpy(dtype=float)[:, None]
+    own = part["own_cols"].to_numpy()
+    at = np.repeat(np.arange(len(part)), [len(o) for o in own])
+    if len(at):
+        x[at, np.concatenate([o for o in own if len(o)]).astype(int)] = np.nan
     ok = np.isfinite(x)
-    n = ok.sum(0).astype(float)
-    safe = np.maximum(n, 1.0)
-    means = [np.where(ok, v, 0.0).sum(0) / safe for v in (x, y, w)]
-    dx, dy, dw = (np.where(ok, v - m, 0.0) for v, m in zip((x, y, w), means))
-    return np.stack([n, *means, *((p * q).sum(0) for p, q in ((dx, dx), (dy, dy), (dw, dw), (dx, dy), (dx, dw), (dy, dw)))])
-
-
-def _partial_moments(batches):
-    """Centred second moments of every matrix column over the rows of one partition."""
-    held: dict = {}
-    for pdf in batches:
-        for cond, part in pdf.groupby("condition", sort=False):
-            rows = max(16, _CELLS // max(1, len(part["values"].iloc[0])))  # bounds the working memory
-            for s in range(0, len(part), rows):
-                new = _chunk_moments(part.iloc[s:s + rows])
-                held[cond] = _merge(held[cond], new) if cond in held else new
-    for cond, m in held.items():
-        keep = np.flatnonzero(m[0] > 0)
-        yield pd.DataFrame(
-            {"condition": cond, "col_id": keep.astype("int32")}
-            | {name: m[i, keep] for i, name in enumerate(
-                ("n", "mx", "my", "mw", "xx", "yy", "ww", "xy", "xw", "yw"))}
-        )
-
-
-def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pool two sets of (n, means, centred moments) column by column."""
-    n = a[0] + b[0]
-    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
-    delta = b[1:4] - a[1:4]
-    out = np.empty_like(a)
-    out[0], out[1:4] = n, a[1:4] + delta * share
-    cross = a[0] * share
-    for i, (p, q) in enumerate(((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))):
-        out[4 + i] = a[4 + i] + b[4 + i] + cross * delta[p] * delta[q]
+    dx = np.where(ok, x - shift[0], 0.0)
+    y = part["y"].to_numpy(dtype=float) - shift[1]
+    w = part["w"].to_numpy(dtype=float) - shift[2]
+    here = ok.astype(float)
+    return np.stack([
+        here.sum(0), dx.sum(0), y @ here, w @ here, (dx * dx).sum(0), (y * y) @ here, (w * w) @ here, y @ dx, w @ dx, (y * w) @ here
+    ])
+
+
+def _shifts(rows: DataFrame) -> dict[str, tuple[np.ndarray, float, float]]:
+    """Per condition one row: its values, y and w.
+
+    Sums about a fixed value near the data can be added in any order and keep the digits that sums of
+    plain squares lose.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("y", "w"))
+    least = hashed.groupBy("condition").agg(F.min("h").alias("h"))  # reads y and w only
+    found = hashed.join(least, ["condition", "h"], "left_semi").groupBy("condition")
+    order = F.xxhash64("values")
+    picked = found.agg(F.min_by("values", order).alias("v"), F.min_by("y", order).alias("y"), F.min_by("w", order).alias("w"))
+    out = {}
+    for r in picked.collect():
+        v = np.array([np.nan if c is None else c for c in r["v"]], dtype=float)
+        out[r["condition"]] = (np.where(np.isfinite(v), v, 0.0), r["y"], r["w"])
     return out
 
 
 def scan_matrix(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The scan on matrix rows ``condition, values array, own_col, y, w``.
+    """The scan on matrix rows ``condition, values array, own_cols, y, w``.
 
-    Every partition sends one set of moments per column instead of one row per cell,
-    so the shuffle is columns x partitions however tall the matrix is. Partial sets
-    are pooled around the pooled mean, which keeps the digits a plain sum of squares
-    would lose. ``own_col`` is the column of the row's own entity (or NULL).
+    Every task sends one set of sums per column instead of one row per cell; sums are about a shift that is
+    fixed per condition and column, so Spark adds them before and after the shuffle like
+    any others. ``own_cols`` lists the columns of the row's own entity, all of which are left out.
     """
+    own = F.coalesce("own_cols", F.array().cast("array<int>"))
     usable = rows.filter(is_finite("y") & is_finite("w")).select(
-        F.col("condition").cast("string").alias("condition"), "values", "own_col",
+        F.col("condition").cast("string").alias("condition"), "values", own.alias("own_cols"),
         F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"),
     )
-    parts = usable.mapInPandas(_partial_moments, _PARTIAL)
+    shared = rows.sparkSession.sparkContext.broadcast(_shifts(usable))
+
+    def sums(batches):
+        held: dict = {}
+        for pdf in batches:
+            for cond, part in pdf.groupby("condition", sort=False):
+                step = max(16, _CELLS // max(1, len(part["values"].iloc[0])))  # bounds the working memory
+                for s in range(0, len(part), step):
+                    new = _cell_sums(part.iloc[s:s + step], shared.value[cond])
+                    held[cond] = held[cond] + new if cond in held else new
+        for cond, m in held.items():
+            keep = np.flatnonzero(m[0] > 0)
+            yield pd.DataFrame({"condition": cond, "col_id": keep.astype("int32")} | {n: m[i, keep] for i, n in enumerate(_NAMES)})
+
     by = ["condition", "col_id"]
-    means = parts.groupBy(*by).agg(
-        F.sum("n").alias("N"),
-        *[(F.sum(F.col("n") * F.col(m)) / F.sum("n")).alias(f"g{m}") for m in ("mx", "my", "mw")],
-        F.collect_list(F.struct("n", "mx", "my", "mw", "xx", "yy", "ww", "xy", "xw", "yw")).alias("ps"),
-    )  # one entry per partition, each of fixed size
-
-    def pooled(cell: str, p: str, q: str) -> Column:
-        return F.aggregate(
-            "ps", F.lit(0.0),
-            lambda acc, e: acc + e[cell] + e["n"] * (e[p] - F.col(f"g{p}")) * (e[q] - F.col(f"g{q}")),
-        )
-
-    co = means.select(
-        *by, F.col("N").cast("bigint").alias("n_reg"),
-        *[pooled(f"{p}{q}", f"m{p}", f"m{q}").alias(f"c{p}{q}") for p, q in ("xx", "yy", "ww", "xy", "xw", "yw")],
-    )
+    total = usable.mapInPandas(sums, _PARTIAL).groupBy(*by).agg(*[F.sum(n).alias(n) for n in _NAMES])
+    centred = {
+        f"c_{p}{q}": F.greatest(F.col(p + q) - F.col(p) * F.col(q) / F.col("n"), F.lit(0.0 if p == q else float("-inf")))
+        for p, q in ("xx", "yy", "ww", "xy", "xw", "yw")
+    }
+    co = total.select(*by, F.col("n").cast("bigint").alias("n_reg"), *[e.alias(n) for n, e in centred.items()])
+    # What rounding leaves of a constant column is no variance.
+    flat = {f"c_{p}{p}": F.when(F.col(f"c_{p}{p}") > 0, F.col(f"c_{p}{p}")).otherwise(0.0) for p in "xyw"}
     corr = {
-        f"r_{p}{q}": ratio(F.col(f"c{p}{q}"), F.sqrt(F.col(f"c{p}{p}") * F.col(f"c{q}{q}")))
+        f"r_{p}{q}": ratio(F.col(f"c_{p}{q}"), F.sqrt(F.col(f"c_{p}{p}") * F.col(f"c_{q}{q}")))
         for p, q in ("xy", "xw", "yw")
     }
-    return _solve(co.withColumns(corr), by, min_rows)
+    return _solve(co.withColumns(flat).withColumns(corr), by, min_rows)
 
 
 def with_p_values(fits: DataFrame, by: Sequence[str] = ()) -> DataFrame:

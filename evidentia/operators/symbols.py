@@ -62,17 +62,32 @@ def status_summary(classified: DataFrame, status: str = "status") -> DataFrame:
 
 
 def _renames(df: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """Previous names with their target and whether the target is already a row of df.
+    """Symbols of df that are previous names: (old, new, taken, clash, rows).
 
-    Computed on the index side, so the data is joined once and keys that need no
-    renaming never travel as NULLs.
+    ``taken``: the target is a row of df already, so the old row goes. ``clash``: rows end on one
+    symbol, because two names or two rows share it. All of it is judged on one count per symbol, so
+    the data is read once for the counts and once for the rows.
     """
-    moved = index.filter((F.col("status") == PREVIOUS) & (F.col("name") != F.col("target")))
-    present = df.select(F.col(key).alias("__p")).filter("__p is not null").distinct()
-    return moved.join(present, F.col("target") == F.col("__p"), "left").select(
-        F.col("name").alias("__old"), F.col("target").alias("__new"),
-        F.col("__p").isNotNull().alias("__taken"),
+    counts = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).filter("__k is not null")
+    moved = index.filter((F.col("status") == PREVIOUS) & (F.col("name") != F.col("target"))).select(
+        F.col("name").alias("__old"), F.col("target").alias("__new"))
+    named = counts.join(moved, F.col("__k") == F.col("__old"), "left")
+    # Every symbol with its own rows, whether these stay, and the names that are renamed to it.
+    old = F.col("__old").isNotNull()
+    sides = F.array(
+        F.struct(F.col("__k").alias("s"), F.col("__n").alias("here"), F.when(old, 0).otherwise(F.col("__n")).alias("stay"), F.lit(None).cast("string").alias("old"), F.lit(0).cast("bigint").alias("n")),
+        F.struct(F.col("__new").alias("s"), F.lit(0).cast("bigint").alias("here"), F.lit(0).cast("bigint").alias("stay"), F.col("__old").cast("string").alias("old"), F.col("__n").alias("n")),
     )
+    each = named.select(F.inline(F.when(old, sides).otherwise(F.slice(sides, 1, 1))))
+    ends = each.groupBy(F.col("s").alias("__new")).agg(
+        F.sum("here").alias("__here"), F.sum("stay").alias("__stay"), F.sum("n").alias("__come"),
+        F.collect_list(F.when(F.col("old").isNotNull(), F.struct("old", "n"))).alias("__olds"),  # previous names of one symbol in the index
+    )
+    # A row whose target is present goes, so it cannot clash.
+    clash = F.col("__stay") + F.when(F.col("__here") > 0, 0).otherwise(F.col("__come")) > 1
+    touched = ends.withColumn("__clash", clash).filter(F.col("__clash") | (F.size("__olds") > 0))
+    found = touched.select(F.explode_outer("__olds").alias("o"), "__new", (F.col("__here") > 0).alias("__taken"), "__clash")
+    return found.select(F.coalesce("o.old", "__new").alias("__old"), "__new", "__taken", "__clash", F.col("o.n").alias("__n"))
 
 
 def canonical(df: DataFrame, index: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -89,21 +104,24 @@ def harmonize(
 ) -> tuple[DataFrame, DataFrame]:
     """Rename previous symbols; drop a deprecated row whose target is already present.
 
-    Returns the table and a one-row report (renamed, dropped, dropped_names). The table's
-    plan itself raises, naming all of them, if rows ended on one symbol.
+    Returns the table and the changes: one row per previous symbol of df with its target, whether it
+    was dropped, and its rows. The table's plan itself raises, naming the symbol, if rows ended on one.
     """
-    joined = df.join(_renames(df, index, key), F.col(key) == F.col("__old"), "left")
-    collides = F.coalesce(F.col("__taken"), F.lit(False))
-    out = joined.filter(~collides).withColumn(key, F.coalesce("__new", F.col(key))).select(*df.columns)
-    report = joined.filter(F.col("__old").isNotNull()).agg(
-        F.count_if(~collides).alias("renamed"),
-        F.count_distinct(F.when(collides, F.col(key))).alias("dropped"),
-        F.array_join(F.array_sort(F.collect_set(F.when(collides, F.col(key)))), "; ").alias("dropped_names"),
-    )
-    clash = out.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
-    names = clash.agg(F.array_join(F.array_sort(F.collect_list(key)), "; ")).scalar()
-    failed = F.raise_error(F.concat(F.lit("harmonize produced duplicate symbols: "), names))
-    return out.filter(F.when(F.length(names) == 0, F.lit(True)).otherwise(failed.cast("boolean"))), report
+    renames = _renames(df, index, key)
+    joined = df.join(renames, F.col(key) == F.col("__old"), "left")
+    failed = F.raise_error(F.concat(F.lit("harmonize produced duplicate symbols: "), F.col("__new"))).cast("boolean")
+    sound = F.when(F.coalesce(F.col("__clash"), F.lit(False)), failed).otherwise(F.lit(True))
+    out = joined.filter(sound & F.coalesce(~F.col("__taken"), F.lit(True)))
+    out = out.withColumn(key, F.coalesce("__new", F.col(key))).select(*df.columns)
+    changes = renames.filter("__n is not null").select(
+        F.col("__old").alias("name"), F.col("__new").alias("target"), F.col("__taken").alias("dropped"), F.col("__n").alias("n_rows"))
+    return out, changes
+
+
+def rename_counts(changes: DataFrame) -> DataFrame:
+    """(renamed, dropped) of the changes ``harmonize`` reports."""
+    return changes.agg(
+        F.coalesce(F.sum(F.when(~F.col("dropped"), F.col("n_rows"))), F.lit(0)).alias("renamed"), F.count_if("dropped").alias("dropped"))
 
 
 def format_profile(df: DataFrame, key: str) -> DataFrame:
@@ -153,7 +171,3 @@ def family_of(
         F.concat(F.lit("PFX:"), F.upper(F.substring(key, 1, 3))),
     )
     return joined.withColumn(name, family).drop("__g", "__first")
-
-
-def distinct_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.scalars import clip, is_finite
+from evidentia.functions.scalars import clip
 from evidentia.operators.dedup import keep_first
 from evidentia.operators.grouping import finite_bounds, pivot_once
 from evidentia.operators.joins import keyed_values, look_up, only_members
@@ -31,10 +31,10 @@ def clipped_first(df: DataFrame, key: str, value: str, row_id: str) -> DataFrame
 def scan_inputs(
     rows: DataFrame, columns: DataFrame, gamma: DataFrame, shet: DataFrame, gene_map: DataFrame
 ) -> DataFrame:
-    """Matrix rows with covariates and the position of their own column.
+    """Matrix rows with covariates and the positions of their own columns.
 
     The symbol of a perturbed entity maps to its id (the last mapping wins, the symbol
-    itself if unknown); covariates and the own column follow by that id.
+    itself if unknown); covariates and all columns of that id follow by it.
     """
     ids = keyed_values(gene_map, "symbol", "ensg", "row_id", wins="last")
     named = look_up(rows, "target_contrast_gene_name", ids, "symbol", "ensg", "entity",
@@ -43,9 +43,9 @@ def scan_inputs(
     w = keep_first(shet.select("ensg", "shet", "row_id"), ["ensg"], "row_id")
     full = look_up(named, "entity", y, "ensg", "post_mean", "y")
     full = look_up(full, "entity", w, "ensg", "shet", "w")
-    own = columns.groupBy(F.col("gene_ids").alias("__id")).agg(F.min("col_id").alias("__own"))
-    full = look_up(full, "entity", own, "__id", "__own", "own_col")
-    return full.select(F.col("culture_condition").alias("condition"), "entity", "values", "own_col", "y", "w")
+    own = columns.groupBy(F.col("gene_ids").alias("__id")).agg(F.collect_set("col_id").alias("__own"))  # at most all columns
+    full = look_up(full, "entity", own, "__id", "__own", "own_cols")
+    return full.select(F.col("culture_condition").alias("condition"), "entity", "values", "own_cols", "y", "w")
 
 
 def score(inputs: DataFrame, columns: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -71,6 +71,14 @@ def wide(scores: DataFrame, index: DataFrame) -> DataFrame:
     return harmonize(flat, index, "gene")[0]
 
 
+def table(
+    rows: DataFrame, columns: DataFrame, gamma: DataFrame, shet: DataFrame, gene_map: DataFrame, index: DataFrame, min_rows: int = MIN_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Scored tests of all conditions and the wide table, from the raw inputs."""
+    scores = score(scan_inputs(rows, columns, gamma, shet, gene_map), columns, min_rows)
+    return scores, wide(scores, index)
+
+
 def list_overlap(scores: DataFrame, condition: str, reference: DataFrame, ends: Sequence[str] = ("positive", "negative"),
                  k: int = 50) -> DataFrame:
     """How many of the k strongest genes at either end a reference list holds.
@@ -87,10 +95,3 @@ def list_overlap(scores: DataFrame, condition: str, reference: DataFrame, ends:
         line = hits.select(F.lit(direction).alias("direction"), "overlap")
         out = line if out is None else out.unionByName(line)
     return out
-
-
-def finite_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cond = F.lit(True)
-    for c in columns:
-        cond = cond & is_finite(c)
-    return df.filter(cond)

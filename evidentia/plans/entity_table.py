@@ -11,7 +11,7 @@ from evidentia.functions.scalars import has_prefix, is_named, not_in
 from evidentia.operators.dedup import drop_all_copies, duplicated_keys
 from evidentia.operators.joins import Source, attach_sources, attach_zero_filled, flag_members
 from evidentia.operators.ordering import row_rank
-from evidentia.operators.symbols import canonical, harmonize
+from evidentia.operators.symbols import canonical, harmonize, rename_counts
 
 # Accepted id prefix, excluded chromosomes, kept columns, score datasource.
 ID_PREFIX = "ENSG"
@@ -35,7 +35,7 @@ def build(
     masks = row_filters()
     kept = constraint.filter(masks["ensg"] & masks["autosomal"] & masks["named"])
     unique = drop_all_copies(kept, ["gene"])
-    renamed, report = harmonize(unique, index, "gene")
+    renamed, changes = harmonize(unique, index, "gene")
     flagged = flag_members(renamed, "gene", panel, panel_key, "iei").select(*KEPT)
     current = [s._replace(df=harmonize(s.df, index, "gene")[0]) for s in sources]
     table, matched = attach_sources(flagged, current, "gene")
@@ -51,7 +51,7 @@ def build(
     audit = steps.withColumns(
         {
             "dup": copies.select(F.struct("*").alias("s")).scalar(),
-            "ren": report.select(F.struct("renamed", "dropped").alias("s")).scalar(),
+            "ren": rename_counts(changes).select(F.struct("renamed", "dropped").alias("s")).scalar(),
         }
     ).select(
         "input", "keep_ensg", "keep_autosomal", "keep_named", "kept", "dup.*", "ren.*",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.joins import flag_members, look_up
-from evidentia.operators.nearest import nearest_anchor, signatures, usable_rows
+from evidentia.operators.components import Components
+from evidentia.operators.nearest import nearest_anchor, principal_components, signatures, usable_rows
 from evidentia.operators.symbols import canonical
 
 
@@ -37,3 +38,14 @@ def candidates(rows: DataFrame, columns: DataFrame, anchors: DataFrame, index: D
         F.col("nearest").alias("nearest_fda_target"), F.col("nearest_current").alias("nearest_fda_target_current"),
         "is_fda_target", F.col("breadth").alias("n_downstream_z3"), F.lit(condition).alias("culture_condition"),
     )
+
+
+def signature_components(rows: DataFrame, columns: DataFrame, found: DataFrame, condition: str, k: int = 50,
+                         min_cells: int = 50) -> tuple[DataFrame, Components]:
+    """Components of one condition's unit signatures, labelled from the table of ``candidates``.
+
+    The signatures are those the search uses, so each has its row there.
+    """
+    sig = condition_signatures(rows, columns, condition, min_cells).withColumnRenamed("target_contrast_gene_name", "gene")
+    labelled = sig.select("gene", "unit").join(found.select("gene", "is_fda_target", "nearest_fda_target"), "gene", "left")
+    return principal_components(labelled, "gene", k, ["is_fda_target", "nearest_fda_target"])

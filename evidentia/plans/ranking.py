@@ -13,20 +13,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.attribution import explain, linear_attribution, tree_attribution
-from evidentia.operators.bagging import (
-    LinearModels, Plan, fit_linear, fit_trees, score_linear, score_trees, tree_nodes, with_membership,
-)
+from evidentia.operators.attribution import explain, linear_attribution
+from evidentia.operators.bagging import LinearModels, Plan, fit_linear, score_linear, with_membership
+from evidentia.operators.boosting import Forest, TreeSettings, fit_forests, forest_attribution, score_forests
 from evidentia.operators.features import (
     RunConfig, feature_columns, feature_expressions, polarization_fill, presence_expressions, with_family_size,
 )
-from evidentia.operators.folds import with_folds
+from evidentia.operators.folds import with_balanced_folds
 from evidentia.operators.metrics import at_top, average_precision, tidy
-from evidentia.operators.ordering import partition_count, quantiles, row_rank, top_rows
+from evidentia.operators.ordering import partition_count, row_rank, top_rows
 from evidentia.session import checkpoint_root
 
 LABEL = {"immune": "label_immune", "all": "label_all"}
-TREE_MISSING = -1e6  # below every real feature value: missing is its own branch
 
 
 def ablation_configs(base: RunConfig) -> dict[str, RunConfig]:
@@ -43,15 +41,6 @@ def ablation_configs(base: RunConfig) -> dict[str, RunConfig]:
     }
 
 
-def _medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians of all columns in one job; one number per column reaches the driver."""
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns
-    ])))
-    rows = quantiles(long, "v", {"median": 0.5}, ["c"]).collect()
-    return {r["c"]: r["median"] for r in rows}
-
-
 def _prepared(df: DataFrame, configs: Mapping[int, RunConfig], key: str, crossed: bool) -> DataFrame:
     """Rows with fold and draw columns per label set.
 
@@ -63,7 +52,7 @@ def _prepared(df: DataFrame, configs: Mapping[int, RunConfig], key: str, crossed
     for name, cfg in sets.items():
         label = LABEL[name]
         if crossed:
-            out = with_folds(out, "family", label, cfg.n_folds, cfg.seed, f"fold_{name}")
+            out = with_balanced_folds(out, "family", label, cfg.n_folds, cfg.seed, f"fold_{name}")
         else:
             out = out.withColumn(f"fold_{name}", F.lit(-2))
     checkpoint_root(df.sparkSession)
@@ -79,42 +68,57 @@ def _plan(cfg: RunConfig, crossed: bool) -> Plan:
     return Plan(cfg.n_bags, cfg.n_folds if crossed else None, cfg.seed)
 
 
-def _long(df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Sequence[str], missing: str) -> DataFrame:
-    """(variant, id, y, fold, bags, bags_times, x): one row per entity and variant."""
+def _long(
+    df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Sequence[str], flagged: bool
+) -> tuple[DataFrame, dict[int, list[int]]]:
+    """(variant, id, y, fold, bags, bags_times, x): one row per entity and variant, and the flagged features.
+
+    With ``flagged``, ``x`` holds 0 for a missing value and, behind the features, a flag for every
+    feature that can be missing; otherwise missing values stay null.
+    """
     if any(c.use_druggability for c in configs.values()):
         df = with_family_size(df)
     raw = {v: feature_expressions(c, polarization_fill(df, c)) for v, c in configs.items()}
-    fills: dict[int, dict[str, float]] = {}
-    if missing == "median":
-        # Only features that can be missing, and each distinct expression once.
-        names = {str(e): f"m{i}" for i, e in enumerate(e for fs in raw.values() for e in fs.values())}
-        flat = df.select(*[e.alias(names[str(e)]) for e in {str(e): e for fs in raw.values() for e in fs.values()}.values()])
-        open_ = [f.name for f in flat.schema.fields if f.nullable]
-        med = _medians(flat, open_) if open_ else {}
-        fills = {v: {f: med.get(names[str(e)]) or 0.0 for f, e in fs.items()} for v, fs in raw.items()}
-    else:
-        fills = {v: {f: TREE_MISSING for f in fs} for v, fs in raw.items()}
-    entries = []
+    missing, entries = {}, []
     for v, c in configs.items():
-        x = F.array(*[F.coalesce(e.cast("double"), F.lit(float(fills[v][f]))) for f, e in raw[v].items()])
+        values = [e.cast("double") for e in raw[v].values()]
+        nullable = [f.nullable for f in df.select(*[e.alias(f) for f, e in raw[v].items()]).schema.fields]
+        missing[v] = [j for j, can in enumerate(nullable) if can and flagged]
+        if flagged:
+            flags = [F.when(values[j].isNull(), 1.0).otherwise(0.0) for j in missing[v]]
+            values = [F.coalesce(e, F.lit(0.0)) for e in values] + flags
         entries.append(F.struct(
             F.lit(v).alias("variant"), F.col(LABEL[c.label_set]).cast("int").alias("y"),
             F.col(f"fold_{c.label_set}").alias("fold"), F.col(f"bags_{c.label_set}").alias("bags"),
-            F.col(f"bags_{c.label_set}_times").alias("bags_times"), x.alias("x"),
+            F.col(f"bags_{c.label_set}_times").alias("bags_times"), F.array(*values).alias("x"),
         ))
-    return df.select(F.col(key).alias("id"), *keep, F.inline(F.array(*entries)))
+    return df.select(F.col(key).alias("id"), *keep, F.inline(F.array(*entries))), missing
 
 
-def _fit(long: DataFrame, configs: Mapping[int, RunConfig], crossed: bool) -> dict[int, LinearModels]:
+def _fit(long: DataFrame, configs: Mapping[int, RunConfig], crossed: bool, missing: Mapping[int, list[int]]) -> dict[int, LinearModels]:
     train = long.select("id", "variant", "y", "fold", "bags", "bags_times", "x").filter((F.col("y") == 1) | (F.size("bags") > 0))
     train = train.repartition(partition_count(long), "id").drop("id")  # even work for the passes to come
     features = {v: feature_columns(c) for v, c in configs.items()}
     plan = _plan(next(iter(configs.values())), crossed)
-    return fit_linear(train.checkpoint(), features, plan)
+    return fit_linear(train.checkpoint(), features, plan, missing)
+
+
+def _settings(cfg: RunConfig) -> TreeSettings:
+    return TreeSettings(
+        cfg.n_estimators, cfg.max_depth, cfg.learning_rate, cfg.subsample, cfg.colsample_bytree, cfg.min_rows_per_leaf, cfg.n_bins, cfg.seed
+    )
 
 
-def _fit_trees(long: DataFrame, cfg: RunConfig, plan: Plan) -> list:
-    return fit_trees(long, plan, cfg.n_estimators, cfg.max_depth, cfg.learning_rate, cfg.subsample, cfg.min_rows_per_leaf)
+def _fit_forests(long: DataFrame, configs: Mapping[int, RunConfig], crossed: bool) -> dict[int, Forest]:
+    """Forests of all variants with equal tree settings, fitted together."""
+    train = long.select("id", "variant", "y", "fold", "bags", "bags_times", "x").filter((F.col("y") == 1) | (F.size("bags") > 0))
+    train = train.repartition(partition_count(long), "id").checkpoint()
+    out: dict[int, Forest] = {}
+    for settings in {_settings(c) for c in configs.values()}:
+        mine = {v: c for v, c in configs.items() if _settings(c) == settings}
+        plan = _plan(next(iter(mine.values())), crossed)
+        out |= fit_forests(train.where(F.col("variant").isin(*mine)), {v: feature_columns(c) for v, c in mine.items()}, plan, settings)
+    return out
 
 
 def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gene") -> DataFrame:
@@ -127,23 +131,22 @@ def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gen
         unique.setdefault(cfg, len(unique))
     by_number = {v: c for c, v in unique.items()}
     prepared = _prepared(df, by_number, key, crossed=True)
-    learners = {c.learner for c in by_number.values()}
     parts = []
     linear = {v: c for v, c in by_number.items() if c.learner == "linear"}
     if linear:
-        long = _long(prepared, linear, key, [], "median")
+        long, missing = _long(prepared, linear, key, [], True)
         # Held-out rows are scored by fold alone, so the draws need not be computed again.
         none = F.array().cast("array<int>")
         held_out = long.withColumns({"bags": none, "bags_times": none})
-        scored = score_linear(held_out, _fit(long, linear, True))
+        scored = score_linear(held_out, _fit(long, linear, True, missing))
+        parts.append(scored.select("id", "variant", "y", "score"))
+    trees = {v: c for v, c in by_number.items() if c.learner == "trees"}
+    if trees:
+        long, _ = _long(prepared, trees, key, [], False)
+        none = F.array().cast("array<int>")
+        held_out = long.withColumns({"bags": none, "bags_times": none})
+        scored = score_forests(held_out, _fit_forests(long, trees, True))
         parts.append(scored.select("id", "variant", "y", "score"))
-    if "trees" in learners:
-        for v, c in by_number.items():
-            if c.learner == "trees":
-                long = _long(prepared, {v: c}, key, [], "sentinel")
-                plan = _plan(c, True)
-                scored = score_trees(long, plan, _fit_trees(long, c, plan))
-                parts.append(scored.select("id", "variant", "y", "score"))
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)
@@ -170,20 +173,18 @@ class FullRun:
     """Final run on all rows: every row with its score, and the models behind it."""
 
     scored: DataFrame
-    models: LinearModels | list  # one object for all linear bags, or one tree model per bag
+    models: LinearModels | Forest  # all bags
 
 
 def full_run(df: DataFrame, cfg: RunConfig, key: str = "gene") -> FullRun:
     """Bagging without folds; unlabeled rows are scored out of bag."""
     configs = {0: cfg}
     prepared = _prepared(df, configs, key, crossed=False)
-    missing = "sentinel" if cfg.learner == "trees" else "median"
-    long = _long(prepared, configs, key, df.columns, missing)
+    long, missing = _long(prepared, configs, key, df.columns, cfg.learner == "linear")
     if cfg.learner == "trees":
-        plan = _plan(cfg, False)
-        trees = _fit_trees(long, cfg, plan)
-        return FullRun(score_trees(long, plan, trees), trees)
-    models = _fit(long, configs, False)
+        forests = _fit_forests(long, configs, False)
+        return FullRun(score_forests(long, forests), forests[0])
+    models = _fit(long, configs, False, missing)
     return FullRun(score_linear(long, models), models[0])
 
 
@@ -211,7 +212,7 @@ def explained(nominated: DataFrame, run: FullRun, cfg: RunConfig, key: str = "ge
     if isinstance(run.models, LinearModels):
         told = linear_attribution(rows, run.models, keep)
     else:
-        told = tree_attribution(rows, tree_nodes(run.models, rows.sparkSession), feature_columns(cfg), keep, key)
+        told = forest_attribution(rows, run.models, keep, key)
     told = explain(told)
     return told.select(
         "rank", key, F.round("pu_score", 6).alias("pu_score"), "driver", "top_features", "gwas_present", "perturbseq_measured"

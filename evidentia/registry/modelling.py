@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from evidentia.operators import attribution, bagging, features, folds, metrics, symbols
+from evidentia.operators import attribution, bagging, boosting, features, folds, metrics, symbols
 from evidentia.operators.joins import attach_checked, place_after
 from evidentia.plans import ranking
 from evidentia.registry.base import query, shaped, table
@@ -150,6 +152,32 @@ def grouped_folds(spark, sf):
     return shaped(out.select("gene", "family", "fold"))
 
 
+@query("WITH " + _ENTITIES + """,
+b AS (SELECT gene, label_immune, CASE WHEN ('0x' || substr(md5(gene), 1, 4))::INT % 10 < 3 THEN 'HGNC:dominant' ELSE family END AS family FROM ent),
+g AS (SELECT family, sum(label_immune) AS p, count(*) AS n FROM b GROUP BY 1),
+t AS (SELECT sum(p) AS p, sum(n) AS n, max(p) FILTER (WHERE family <> 'HGNC:dominant') AS big_p, max(n) FILTER (WHERE family <> 'HGNC:dominant') AS big_n,
+  max(p) FILTER (WHERE family = 'HGNC:dominant') AS dom_p, max(n) FILTER (WHERE family = 'HGNC:dominant') AS dom_n FROM g)
+SELECT CAST(f AS BIGINT) AS fold, CAST(1 AS BIGINT) AS even_load, CAST(0 AS BIGINT) AS split_families FROM range(0, 5) r(f)
+""")
+def balanced_folds(spark, sf):
+    """Folds where one family holds 30 % of all rows: whole families, and no fold but that family's carries
+    more than an even share of what it leaves, give or take the largest other family."""
+    ent = entities(spark, sf).select("gene", "label_immune", "family")
+    dominant = F.conv(F.substring(F.md5("gene"), 1, 4), 16, 10).cast("int") % 10 < 3
+    ent = ent.withColumn("family", F.when(dominant, "HGNC:dominant").otherwise(F.col("family")))
+    out = folds.with_balanced_folds(ent, "family", "label_immune", 5, 1234)
+    sizes = out.groupBy("family", "fold").agg(F.sum("label_immune").alias("p"), F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.struct(F.sum("p").alias("p"), F.sum("n").alias("n")).alias("t")).scalar()
+    weighed = sizes.withColumn("t", total).withColumn("w", F.col("p") / F.col("t.p") + F.col("n") / F.col("t.n"))
+    per = weighed.groupBy("fold").agg(F.sum("w").alias("load"), F.max(F.when(F.col("family") == "HGNC:dominant", F.col("w"))).alias("own"))
+    largest = weighed.filter("family <> 'HGNC:dominant'").agg(F.max("w")).scalar()
+    alone = weighed.filter("family = 'HGNC:dominant'").agg(F.max("w")).scalar()
+    even = F.greatest((2 - F.col("alone")) / 4, F.lit(2 / 5))
+    fair = F.when(F.col("own").isNotNull(), F.col("load") <= F.greatest(F.col("own"), even) + F.col("largest")).otherwise(F.col("load") <= even + F.col("largest"))
+    split = sizes.groupBy("family").agg(F.count_distinct("fold").alias("k")).filter("k > 1").agg(F.count(F.lit(1))).scalar()
+    return shaped(per.withColumns({"alone": alone, "largest": largest}).select("fold", fair.alias("even_load"), split.alias("split_families")))
+
+
 _BAGS = 6
 
 
@@ -267,6 +295,215 @@ def scored_entity_table(spark, sf):
     return shaped(place_after(out, "pu_score", "gene_id"))
 
 
+# ------------------------------------------------------------------------- trees
+
+# Each fixed tree: (feature, bin of the split, left, right), a leaf is its margin. Edges give the thresholds.
+_TREE_EDGES = [[0.05, 0.2, 0.5], [0.5], [-0.5, 0.0, 0.75], [-0.25, 0.25]]
+_TREES = [
+    [(0, 2, (2, 1, -0.4, 0.15), (1, 1, 0.3, 0.9)), (3, 0, -0.1, (0, 1, -0.2, 0.35))],
+    [(2, 3, (0, 3, -0.25, 0.5), (3, 2, 0.1, 0.6)), (1, 1, (2, 0, -0.3, 0.05), 0.45)],
+]
+_TREE_X = {"gwas_score": "gwas_score", "iei": "iei::DOUBLE", "mis_z_score": "mis_z_score", "polarization_score": "polarization_score"}
+
+
+def _tree_forest():
+    plan = bagging.Plan(len(_TREES), None, 77)
+    shape = (len(_TREES), len(_TREES[0]), 7)
+    arrays = {"feature": np.full(shape, -1, np.int16), "split": np.zeros(shape, np.uint8), "value": np.zeros(shape), "cover": np.zeros(shape)}
+
+    def put(m, t, node, tree, cover):
+        arrays["cover"][m, t, node] = cover
+        if not isinstance(tree, tuple):
+            arrays["value"][m, t, node] = tree
+            return
+        arrays["feature"][m, t, node], arrays["split"][m, t, node] = tree[:2]
+        put(m, t, 2 * node + 1, tree[2], cover * 0.75)
+        put(m, t, 2 * node + 2, tree[3], cover * 0.25)
+
+    for m, trees in enumerate(_TREES):
+        for t, tree in enumerate(trees):
+            put(m, t, 0, tree, 64.0)
+    return boosting.Forest(list(_TREE_X), plan, [np.array(e) for e in _TREE_EDGES], **arrays)
+
+
+def _tree_rows(spark, sf):
+    ent = bagging.with_membership(entities(spark, sf), "gene", "label_immune", None, bagging.Plan(len(_TREES), None, 77))
+    x = F.array(*[F.col(c).cast("double") for c in _TREE_X])
+    return ent.select(F.col("gene").alias("id"), F.lit(0).alias("variant"), F.col("label_immune").alias("y"), F.lit(-2).alias("fold"), "bags", "bags_times", x.alias("x"))
+
+
+def _tree_sql(tree, known=None):
+    """A tree as nested cases; with ``known`` only these features decide, others take the share of rows (3 : 1)."""
+    if not isinstance(tree, tuple):
+        return f"{tree}::DOUBLE"
+    f, b, left, right = tree
+    one, other = _tree_sql(left, known), _tree_sql(right, known)
+    if known is not None and f not in known:
+        return f"(0.75::DOUBLE * {one} + 0.25::DOUBLE * {other})"
+    test = f"x{f} IS NULL" + (f" OR x{f} <= {_TREE_EDGES[f][b - 1]}" if b else "")
+    return f"(CASE WHEN {test} THEN {one} ELSE {other} END)"
+
+
+def _shapley_sql(f):
+    """Shapley value of one feature over all trees by all subsets of the other three, per model averaged."""
+    others, terms = [g for g in range(4) if g != f], []
+    for size, weight in ((0, 1 / 4), (1, 1 / 12), (2, 1 / 12), (3, 1 / 4)):
+        for some in itertools.combinations(others, size):
+            for tree in (t for trees in _TREES for t in trees):
+                terms.append(f"{weight!r}::DOUBLE * ({_tree_sql(tree, {*some, f})} - {_tree_sql(tree, set(some))})")
+    return "(" + " + ".join(terms) + f") / {len(_TREES)}"
+
+
+_TREE_SELECT = "tx AS (SELECT gene, label_immune AS y, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(_TREE_X.values())) + " FROM ent)"
+
+
+@query("WITH " + _ENTITIES + ", " + _TREE_SELECT + f""",
+dr AS (SELECT model, gene, row_number() OVER (PARTITION BY model ORDER BY md5('77:' || model || ':' || gene), gene) <= (SELECT sum(y) FROM tx) AS drawn
+  FROM tx, range(0, {len(_TREES)}) b(model) WHERE y = 0),
+pr AS (SELECT tx.gene, model, y = 1 OR coalesce(drawn, false) AS inside, 1 / (1 + exp(-(CASE model
+  """ + " ".join(f"WHEN {m} THEN " + " + ".join(_tree_sql(t) for t in trees) for m, trees in enumerate(_TREES)) + f""" END))) AS p
+  FROM tx CROSS JOIN range(0, {len(_TREES)}) b(model) LEFT JOIN dr USING (gene, model))
+SELECT gene AS id, round(coalesce(avg(p) FILTER (WHERE NOT inside), avg(p)), 6) AS score,
+  CAST(count(*) FILTER (WHERE NOT inside) AS BIGINT) AS oob_models, CAST(count(*) FILTER (WHERE inside) AS BIGINT) AS inbag_models FROM pr GROUP BY 1
+""")
+def tree_scores_given(spark, sf):
+    """Scores of fixed trees by the out-of-bag rules."""
+    scored = boosting.score_forests(_tree_rows(spark, sf), {0: _tree_forest()})
+    return shaped(scored.select("id", "score", "oob_models", "inbag_models"))
+
+
+@query("WITH " + _ENTITIES + ", " + _TREE_SELECT + " SELECT gene AS id, " + ", ".join(
+    f"round({_shapley_sql(i)}, 6) + 0.0 AS {f}" for i, f in enumerate(_TREE_X)) + " FROM tx")
+def tree_attribution_given(spark, sf):
+    """Shapley values of fixed trees, by all subsets in SQL."""
+    told = boosting.forest_attribution(_tree_rows(spark, sf).select("id", "x"), _tree_forest(), ["id"], "id")
+    return shaped(told.select("id", *[F.get("contributions", F.lit(i))["value"].alias(f) for i, f in enumerate(_TREE_X)]))
+
+
+_GROWN = boosting.TreeSettings(n_trees=1, max_depth=2, step=0.1, subsample=1.0, columns=1.0, min_rows=5, n_bins=8)
+_GROWN_BAGS = 3
+
+
+def _level_sql(name, rows):
+    """The best split of every node in ``rows`` (model, node, gene, w, y): one of equal gains by feature, then bin."""
+    return f"""
+{name}_h AS (SELECT model, node, j, bin, sum(w * (0.5 - y)) AS g, sum(w * 0.25) AS h, sum(w) AS c FROM {rows} JOIN bins USING (gene) GROUP BY ALL),
+{name}_l AS (SELECT *, sum(g) OVER t AS gl, sum(h) OVER t AS hl, sum(c) OVER t AS cl, sum(g) OVER a AS gt, sum(h) OVER a AS ht, sum(c) OVER a AS ct FROM {name}_h
+  WINDOW t AS (PARTITION BY model, node, j ORDER BY bin), a AS (PARTITION BY model, node, j)),
+{name} AS (SELECT * FROM (SELECT *, gl * gl / hl + (gt - gl) * (gt - gl) / nullif(ht - hl, 0) - gt * gt / ht AS gain FROM {name}_l)
+  WHERE cl >= {_GROWN.min_rows} AND ct - cl >= {_GROWN.min_rows} AND gain::FLOAT > 1e-10
+  QUALIFY row_number() OVER (PARTITION BY model, node ORDER BY gain::FLOAT DESC, j, bin) = 1)"""
+
+
+@query("WITH " + _ENTITIES + ", " + _TREE_SELECT + f""",
+dr AS (SELECT model, gene, y, 1.0::DOUBLE AS w FROM tx, range(0, {_GROWN_BAGS}) b(model) WHERE y = 0
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY md5('77:' || model || ':' || gene), gene) <= (SELECT sum(y) FROM tx)),
+bag AS (SELECT * FROM dr UNION ALL SELECT model, gene, y, 1.0 FROM tx, range(0, {_GROWN_BAGS}) b(model) WHERE y = 1),
+xl AS (SELECT gene, unnest([x0, x1, x2, x3]) AS x, unnest([0, 1, 2, 3]) AS j FROM tx WHERE gene IN (SELECT gene FROM bag)),
+ed AS (SELECT j, unnest(list_distinct(quantile_cont(x, [{", ".join(f"{i}/7.0::DOUBLE" for i in range(1, 7))}]))) AS e FROM xl WHERE x IS NOT NULL GROUP BY j),
+rk AS (SELECT j, e, row_number() OVER (PARTITION BY j ORDER BY e) AS bin FROM ed),
+bins AS (SELECT gene, j, CASE WHEN x IS NULL THEN 0 ELSE 1 + (SELECT count(*) FROM ed WHERE ed.j = xl.j AND e < x) END AS bin FROM xl),
+r0 AS (SELECT model, 0 AS node, gene, y, w FROM bag),
+{_level_sql("s0", "r0")},
+r1 AS (SELECT model, CASE WHEN b.bin <= s0.bin THEN 1 ELSE 2 END AS node, gene, y, w FROM r0 JOIN s0 USING (model, node) JOIN bins b USING (gene, j)),
+{_level_sql("s1", "r1")},
+r2 AS (SELECT model, 2 * node + CASE WHEN b.bin <= s1.bin THEN 1 ELSE 2 END AS node, gene, y, w FROM r1 JOIN s1 USING (model, node) JOIN bins b USING (gene, j)),
+every AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2),
+v AS (SELECT model, node, -{_GROWN.step} * sum(w * (0.5 - y)) / sum(w * 0.25) AS value, sum(w) AS cover FROM every GROUP BY ALL),
+s AS (SELECT model, node, j, bin FROM s0 UNION ALL SELECT model, node, j, bin FROM s1)
+SELECT CAST(model AS BIGINT) AS model, CAST(node AS BIGINT) AS node, ['gwas_score', 'iei', 'mis_z_score', 'polarization_score'][j + 1] AS feature,
+  round(CASE WHEN bin = 0 THEN -1e6 ELSE e END, 6) + 0.0 AS threshold, round(value, 6) + 0.0 AS value, CAST(cover AS BIGINT) AS cover
+FROM v LEFT JOIN s USING (model, node) LEFT JOIN rk USING (j, bin)
+""")
+def pu_first_trees(spark, sf):
+    """The first tree of every bag: bins, splits, values and counts of its nodes."""
+    plan = bagging.Plan(_GROWN_BAGS, None, 77)
+    ent = bagging.with_membership(entities(spark, sf), "gene", "label_immune", None, plan)
+    x = F.array(*[F.col(c).cast("double") for c in _TREE_X])
+    train = ent.where("label_immune = 1 OR size(bags) > 0").select(
+        F.col("gene").alias("id"), F.lit(0).alias("variant"), F.col("label_immune").alias("y"), F.lit(-2).alias("fold"), "bags", "bags_times", x.alias("x"))
+    forest = boosting.fit_forests(train, {0: list(_TREE_X)}, plan, _GROWN)[0]
+    nodes = boosting.forest_nodes(spark, forest)
+    threshold = F.when(F.col("threshold") == float("-inf"), -1e6).otherwise(F.col("threshold"))
+    return shaped(nodes.select("model", "node", "feature", threshold.alias("threshold"), "value", F.col("cover").cast("bigint").alias("cover")))
+
+
+@query()
+def pu_tree_ablation(spark, sf):
+    """The compared settings with boosted trees at their published numbers of trees, folds and bags."""
+    return shaped(ranking.ablation(entities(spark, sf), ranking.ablation_configs(_CONFIG.having(learner="trees"))))
+
+
+# ------------------------------------------------------- bags: medians, draws, fits
+
+_DRAWN = """
+dr AS (SELECT model, gene, label_immune AS y FROM ent, range(0, {bags}) b(model) WHERE label_immune = 0
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY md5('77:' || model || ':' || gene), gene) <= (SELECT sum(label_immune) FROM ent)),
+bag AS (SELECT * FROM dr UNION ALL SELECT model, gene, label_immune FROM ent, range(0, {bags}) b(model) WHERE label_immune = 1)
+"""
+
+
+def _bag_train(spark, sf, bags, columns):
+    """Training rows of the full run with flags for the ``columns`` that can be missing."""
+    plan = bagging.Plan(bags, None, 77)
+    ent = bagging.with_membership(entities(spark, sf), "gene", "label_immune", None, plan)
+    value = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    missing = [j for j, c in enumerate(columns) if c in ("mis_z_score", "lof_oe_ci_upper", "polarization_score")]
+    flags = [F.when(F.col(columns[j]).isNull(), 1.0).otherwise(0.0) for j in missing]
+    rows = ent.where("label_immune = 1 OR size(bags) > 0").select(
+        F.col("gene").alias("id"), F.lit(0).alias("variant"), F.col("label_immune").alias("y"), F.lit(-2).alias("fold"),
+        "bags", "bags_times", F.array(*value, *flags).alias("x"))
+    return rows, plan, {0: missing}
+
+
+@query("WITH " + _ENTITIES + ", " + _DRAWN.format(bags=5) + """,
+x AS (SELECT model, unnest(['mis_z_score', 'lof_oe_ci_upper']) AS feature, unnest([mis_z_score, lof_oe_ci_upper]) AS v FROM bag JOIN ent USING (gene))
+SELECT CAST(model AS BIGINT) AS model, feature, round(quantile_cont(v, 0.5), 6) + 0.0 AS median FROM x WHERE v IS NOT NULL GROUP BY ALL
+""")
+def pu_bag_medians(spark, sf):
+    """What each bag fills missing values with: the median of its own training rows."""
+    columns = ["mis_z_score", "gwas_score", "lof_oe_ci_upper"]
+    train, plan, missing = _bag_train(spark, sf, 5, columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    return shaped(bagging.bag_medians(train, {0: columns}, plan, missing).select("model", F.get(names, F.col("feature")).alias("feature"), "median"))
+
+
+@query("WITH RECURSIVE " + _ENTITIES.lstrip() + ", " + _DRAWN.format(bags=1) + """,
+x AS (SELECT bag.y, gwas_score AS x1, iei::DOUBLE AS x2, coalesce(mis_z_score, (SELECT quantile_cont(mis_z_score, 0.5) FROM bag JOIN ent USING (gene))) AS x3
+  FROM bag JOIN ent USING (gene)),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3, count(*) AS n FROM x),
+z AS (SELECT y, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3, 1.0 / (n + 1) AS t FROM x, m),
+it AS (SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3
+  UNION ALL SELECT i + 1, b0 - t * g0, """ + ", ".join(
+    f"sign(b{k} - t * (g{k} + 0.5 * b{k})) * greatest(abs(b{k} - t * (g{k} + 0.5 * b{k})) - 0.5 * t, 0)" for k in (1, 2, 3)) + """
+  FROM (SELECT i, b0, b1, b2, b3, t, sum(p - y) AS g0, sum((p - y) * z1) AS g1, sum((p - y) * z2) AS g2, sum((p - y) * z3) AS g3
+    FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2 + b3 * z3))) AS p FROM it, z WHERE i < 1500) GROUP BY ALL)),
+e AS (SELECT b1 / s1 AS c1, b2 / s2 AS c2, b3 / s3 AS c3, b0 - b1 / s1 * m1 - b2 / s2 * m2 - b3 / s3 * m3 AS c0 FROM it, m WHERE i = 1500)
+SELECT unnest(['intercept', 'gwas_score', 'iei', 'mis_z_score']) AS term, round(unnest([c0, c1, c2, c3]), 4) + 0.0 AS value FROM e
+""")
+def linear_fit_of_one_bag(spark, sf):
+    """Coefficients of one bag's elastic net: its own median, scaling and penalty, against plain descent in SQL."""
+    columns = ["gwas_score", "iei", "mis_z_score"]
+    train, plan, missing = _bag_train(spark, sf, 1, columns)
+    fitted = bagging.fit_linear(train, {0: columns}, plan, missing, tol=1e-9)[0]
+    values = [("intercept", float(fitted.intercept[0])), *zip(columns, map(float, fitted.coef[0]))]
+    return shaped(spark.createDataFrame(values, "term string, value double"), 4)
+
+
+@query("WITH " + _ENTITIES + """,
+pool AS (SELECT gene, CAST(row_number() OVER (ORDER BY gene) AS BIGINT) AS number, count(*) OVER () AS have FROM ent WHERE label_immune = 1),
+asked AS (SELECT model, j FROM range(0, 3) b(model), range(0, (SELECT count(*) FROM ent WHERE label_immune = 0)) a(j)),
+picks AS (SELECT model, ('0x' || substr(md5('77:' || model || ':' || j), 1, 12))::BIGINT % (SELECT count(*) FROM pool) + 1 AS number FROM asked)
+SELECT CAST(model AS BIGINT) AS model, gene AS id, CAST(count(*) AS BIGINT) AS times FROM picks JOIN pool USING (number) GROUP BY ALL
+""")
+def pu_replacement_draw(spark, sf):
+    """Draws from a pool smaller than their number: rows with how often each model drew them."""
+    rare = entities(spark, sf).select("gene", (1 - F.col("label_immune")).alias("label"))
+    out = bagging.with_membership(rare, "gene", "label", None, bagging.Plan(3, None, 77)).where("size(bags) > 0")
+    both = F.arrays_zip(F.col("bags").alias("model"), F.col("bags_times").alias("times"))
+    return shaped(out.select(F.col("gene").alias("id"), F.explode(both).alias("e")).select(F.col("e.model").alias("model"), "id", F.col("e.times").alias("times")))
+
+
 # ----------------------------------------------------------------------- metrics
 
 _SCORED = """
@@ -384,7 +621,7 @@ s AS (SELECT gene, sum(greatest(v, 0)) AS total, sum(CASE WHEN f IN ('gwas_score
 o AS (SELECT gene, f, v, row_number() OVER (PARTITION BY gene ORDER BY abs(v) DESC, i) AS r FROM c)
 SELECT s.gene, CASE WHEN total <= 0 THEN 'weak/mixed' WHEN fam / total > 0.5 THEN 'family/druggability-driven'
     WHEN ev / total >= 0.5 THEN 'genetics+perturbseq-driven' ELSE 'mixed' END AS driver,
-  (SELECT string_agg(f || CASE WHEN v >= 0 THEN '+' ELSE '-' END, '; ' ORDER BY r) FROM o WHERE o.gene = s.gene AND r <= 3) AS top_features
+  (SELECT string_agg(f || CASE WHEN v >= 0 THEN '+' ELSE '-' END || round(abs(v)::VARCHAR::DECIMAL(38, 20), 3)::DECIMAL(28, 3)::VARCHAR, '; ' ORDER BY r) FROM o WHERE o.gene = s.gene AND r <= 3) AS top_features
 FROM s
 """)
 def driver_tags(spark, sf):
@@ -397,5 +634,4 @@ def driver_tags(spark, sf):
     told = attribution.explain(ent.select("gene", F.array(*[
         F.struct(F.lit(f).alias("feature"), values[f].cast("double").alias("value")) for f in _TAG_FEATURES
     ]).alias("contributions")))
-    # Sign and name are compared; the printed digits are covered by unit tests.
-    return told.select("gene", "driver", F.regexp_replace("top_features", r"([+-])[0-9.]+", "$1").alias("top_features"))
+    return told.select("gene", "driver", "top_features")

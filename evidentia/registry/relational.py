@@ -297,6 +297,17 @@ def collapse_lists(spark, sf):
     ))
 
 
+@query("""
+WITH v AS (SELECT DISTINCT c_nationkey, c_mktsegment || ':' || c_name AS v FROM customer),
+p AS (SELECT c_nationkey, v, CAST((sum(length(v) + 2) OVER (PARTITION BY c_nationkey ORDER BY v) - length(v) - 2) // 400 AS BIGINT) AS part FROM v)
+SELECT c_nationkey, part, string_agg(v, '; ' ORDER BY v) AS values FROM p GROUP BY ALL
+""")
+def list_parts(spark, sf):
+    """Long lists as numbered parts of bounded length."""
+    cust = table(spark, sf, "customer").select("c_nationkey", F.concat_ws(":", "c_mktsegment", "c_name").alias("v"))
+    return grouping.list_parts(cust, ["c_nationkey"], "v", 400)
+
+
 @query("""
 SELECT l_partkey, l_suppkey, max(l_quantity) AS top FROM lineitem
 WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY ALL
@@ -482,13 +493,13 @@ def harmonize_symbols(spark, sf):
 
 
 @query("WITH " + _AUTHORITY + """,
-moved AS (SELECT gene, target IN (SELECT gene FROM genes) AS taken FROM cls JOIN prevs ON gene = name WHERE status = 'previous_symbol')
-SELECT CAST(count(*) FILTER (WHERE NOT taken) AS BIGINT) AS renamed, CAST(count(*) FILTER (WHERE taken) AS BIGINT) AS dropped,
-  coalesce(string_agg(CASE WHEN taken THEN gene END, '; ' ORDER BY gene), '') AS dropped_names FROM moved
+moved AS (SELECT gene, target, target IN (SELECT gene FROM genes) AS taken FROM cls JOIN prevs ON gene = name WHERE status = 'previous_symbol')
+SELECT gene AS name, target, CAST(taken AS BIGINT) AS dropped, CAST(1 AS BIGINT) AS n_rows FROM moved
 """)
 def harmonize_report(spark, sf):
+    """Every previous symbol met, one row each: its target and whether its row was dropped for it."""
     index = symbols.symbol_index(_authority(spark, sf))
-    return symbols.harmonize(_genes(spark, sf), index, "gene")[1]
+    return shaped(symbols.harmonize(_genes(spark, sf), index, "gene")[1])
 
 
 @query("WITH " + _AUTHORITY + """

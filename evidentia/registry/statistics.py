@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import contingency, nearest, ordering, regression, symbols, validation
-from evidentia.plans import burden, neighbours, polarization
+from evidentia.plans import burden, enrichment, neighbours, polarization
 from evidentia.registry.base import query, shaped, table
 from evidentia.registry.relational import _AUTHORITY, _authority
 
@@ -104,6 +104,38 @@ def fisher_two_sided(spark, sf):
     return shaped(contingency.exact_p(cells, "two-sided"))
 
 
+_RAW_LISTS = """
+WITH ex AS (SELECT 'P' || l_partkey AS gene_name, max(CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_quantity / 10.0::DOUBLE END) AS top
+  FROM lineitem WHERE l_partkey % 11 <> 0 GROUP BY 1),
+pa AS (SELECT DISTINCT 'P' || p_partkey AS g FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#11')),
+ta AS (SELECT DISTINCT 'P' || l_partkey AS g FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 40),
+dr AS (SELECT DISTINCT 'P' || p_partkey AS g FROM part WHERE p_size <= 25),
+al AS (SELECT g FROM pa UNION SELECT g FROM ta UNION SELECT g FROM dr UNION SELECT gene_name FROM ex),
+m AS (SELECT al.g, al.g IN (SELECT g FROM pa) AS p, al.g IN (SELECT g FROM ta) AS t, al.g IN (SELECT g FROM dr) AS s, coalesce(top, -1) AS top FROM al LEFT JOIN ex ON gene_name = al.g),
+""" + "u AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS universe, p, t FROM m WHERE {cond}" for name, cond in zip(enrichment.UNIVERSES, ("true", "top >= 1", "top >= 5", "s", "s AND top >= 1"))
+) + """),
+c AS (SELECT universe, CAST(count(*) FILTER (WHERE p AND t) AS BIGINT) AS a, CAST(count(*) FILTER (WHERE p AND NOT t) AS BIGINT) AS b,
+    CAST(count(*) FILTER (WHERE t AND NOT p) AS BIGINT) AS c, CAST(count(*) FILTER (WHERE NOT p AND NOT t) AS BIGINT) AS d FROM u GROUP BY 1)
+"""
+
+
+@query(_RAW_LISTS + """
+SELECT universe, a, b, c, d, a + b + c + d AS N, round((a * d)::DOUBLE / nullif(b * c, 0), 6) AS "OR" FROM c
+""")
+def enrichment_from_raw_lists(spark, sf):
+    """The whole plan: panel, targets, druggable list and expression in, counts of every universe out."""
+    li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    name = lambda c: F.concat(F.lit("P"), c).alias("entity")
+    brands = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#11"]
+    expression = li.where("l_partkey % 11 <> 0").select(
+        name("l_partkey").alias("gene"), name("l_partkey").alias("gene_name"), F.when(F.col("l_orderkey") % 9 != 0, F.col("l_quantity") / 10.0).alias("ntpm"))
+    result, _, _ = enrichment.build(
+        part.where(F.col("p_brand").isin(*brands)).select(name("p_partkey")), li.filter("l_discount >= 0.1D and l_quantity >= 40").select(name("l_partkey")),
+        part.where("p_size <= 25").select(name("p_partkey")), expression)
+    return shaped(result.select("universe", "a", "b", "c", "d", "N", "OR"))
+
+
 # --------------------------------------------------------------- rank statistics
 
 _PSEUDO_P = "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 97 = 5 THEN NULL ELSE ((o_orderkey * 7919) % 1009)::DOUBLE / 1009.0::DOUBLE END AS p FROM orders"
@@ -259,14 +291,14 @@ def regression_pvalues_fdr(spark, sf):
 
 
 def _matrix_rows(spark, sf):
-    """Embeddings as matrix rows, covariates from two other tables, own column masked."""
+    """Embeddings as matrix rows, covariates from two other tables, up to two own columns masked."""
     y = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.log1p("n_chars").alias("y"))
     w = table(spark, sf, "customer").select(F.col("c_custkey").alias("vec_id"), F.col("c_acctbal").alias("w"))
     emb = table(spark, sf, "embeddings")
     full = emb.join(y, "vec_id", "left").join(w, "vec_id", "left")
     return full.select(
         F.when(F.col("label") < 5, "low").otherwise("high").alias("condition"), F.col("embedding").alias("values"),
-        F.when(F.col("label") != 3, F.col("vec_id") % 64).cast("int").alias("own_col"), "y", "w",
+        F.when(F.col("label") != 3, F.array((F.col("vec_id") % 64).cast("int"), (F.col("vec_id") % 5).cast("int"))).alias("own_cols"), "y", "w",
     )
 
 
@@ -274,7 +306,7 @@ _MATRIX = f"""
 WITH v AS (SELECT vec_id, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS condition, label, i - 1 AS col_id, embedding[i]::DOUBLE AS x,
     ln(1 + n_chars) AS y, c_acctbal AS w FROM embeddings LEFT JOIN documents ON doc_id = vec_id LEFT JOIN customer ON c_custkey = vec_id, range(1, 65) r(i)),
 m AS (SELECT condition, col_id, count(*) AS n, corr(x, y) AS xy, corr(x, w) AS xw, corr(y, w) AS yw FROM v
-    WHERE x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND NOT (label <> 3 AND vec_id % 64 = col_id) GROUP BY 1, 2 HAVING count(*) >= 100),
+    WHERE x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND NOT (label <> 3 AND (vec_id % 64 = col_id OR vec_id % 5 = col_id)) GROUP BY 1, 2 HAVING count(*) >= 100),
 f AS (SELECT condition, CAST(col_id AS BIGINT) AS col_id, CAST(n AS BIGINT) AS n_reg, n, {_COEF} FROM m)
 """
 
@@ -310,6 +342,70 @@ def clipped_covariates(spark, sf):
     return burden.clipped_first(raw, "ensg", "post_mean", "row_id")
 
 
+# The whole burden plan: vectors are rows of perturbed entities; symbols, ids and covariates come from
+# customers, suppliers and documents with repeats, infinities and unknown names among them.
+
+_BURDEN = "WITH " + _AUTHORITY + f""",
+gm AS (SELECT c_custkey AS row_id, 'S' || (c_custkey % 500) AS symbol, 'E' || (c_custkey % 120) AS ensg FROM customer WHERE c_custkey % 500 < 450),
+g1 AS (SELECT symbol, arg_max(ensg, row_id) AS ensg FROM gm GROUP BY 1),
+gy AS (SELECT 'E' || (doc_id % 120) AS ensg, doc_id AS row_id, CASE WHEN doc_id % 40 = 3 THEN 'Infinity'::DOUBLE WHEN doc_id % 40 = 5 THEN '-Infinity'::DOUBLE ELSE ln(1 + n_chars) END AS v FROM documents),
+g2 AS (SELECT ensg, arg_min(v, row_id) AS v FROM gy GROUP BY 1), gb AS (SELECT min(v) AS lo, max(v) AS hi FROM g2 WHERE abs(v) < 'Infinity'::DOUBLE),
+gw AS (SELECT 'E' || (s_suppkey % 130) AS ensg, arg_min(s_acctbal, s_suppkey) AS w FROM supplier GROUP BY 1),
+co AS (SELECT j AS col_id, 'E' || (j % 50) AS ensg, 'S' || j AS gene FROM range(0, 64) t(j)),
+rw AS (SELECT vec_id, CASE label % 3 WHEN 0 THEN 'Rest' WHEN 1 THEN 'Stim8hr' ELSE 'Stim48hr' END AS condition, coalesce(g1.ensg, 'S' || (vec_id % 500)) AS entity, embedding
+  FROM embeddings LEFT JOIN g1 ON symbol = 'S' || (vec_id % 500)),
+ce AS (SELECT condition, col_id, embedding[col_id + 1]::DOUBLE AS x, least(greatest(g2.v, lo), hi) AS y, gw.w FROM rw JOIN g2 ON g2.ensg = entity JOIN gw ON gw.ensg = entity, gb, co
+  WHERE co.ensg <> entity),
+m AS (SELECT condition, col_id, count(*) AS n, corr(x, y) AS xy, corr(x, w) AS xw, corr(y, w) AS yw FROM ce GROUP BY 1, 2 HAVING count(*) >= 30),
+f AS (SELECT condition, col_id, CAST(n AS BIGINT) AS n_reg, n, {_COEF} FROM m),
+d AS (SELECT *, abs(coef / se) AS t, (n - 3)::DOUBLE AS dof FROM f),
+p AS (SELECT *, {_T_TWO_SIDED} AS p FROM d),
+wd AS (SELECT gene, """ + ", ".join(
+    f"max({e}) FILTER (WHERE condition = '{c}') AS {pre}_{n}"
+    for c, pre in burden.CONDITIONS.items() for n, e in (("coef_beta", "coef"), ("se_beta", "se"), ("signed_log10p", "sign(coef) * -log10(greatest(p, 1e-300))"))
+) + """ FROM p JOIN co USING (col_id) GROUP BY 1),
+mv AS (SELECT wd.*, target, gene NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL AS moved FROM wd LEFT JOIN prevs ON gene = name)
+"""
+
+
+def _burden_table(spark, sf):
+    cust, docs, supp = (table(spark, sf, t) for t in ("customer", "documents", "supplier"))
+    rows = table(spark, sf, "embeddings").select(
+        F.when(F.col("label") % 3 == 0, "Rest").when(F.col("label") % 3 == 1, "Stim8hr").otherwise("Stim48hr").alias("culture_condition"),
+        F.concat(F.lit("S"), F.col("vec_id") % 500).alias("target_contrast_gene_name"), F.col("embedding").alias("values"),
+    )
+    columns = spark.range(64).select(F.col("id").cast("int").alias("col_id"), F.concat(F.lit("E"), F.col("id") % 50).alias("gene_ids"), F.concat(F.lit("S"), "id").alias("gene_name"))
+    at = F.col("doc_id") % 40
+    mean = F.when(at == 3, float("inf")).when(at == 5, float("-inf")).otherwise(F.log1p("n_chars"))
+    gamma = docs.select(F.col("doc_id").alias("row_id"), F.concat(F.lit("E"), F.col("doc_id") % 120).alias("ensg"), mean.alias("post_mean"))
+    shet = supp.select(F.col("s_suppkey").alias("row_id"), F.concat(F.lit("E"), F.col("s_suppkey") % 130).alias("ensg"), F.col("s_acctbal").alias("shet"))
+    genes = cust.where("c_custkey % 500 < 450").select(
+        F.col("c_custkey").alias("row_id"), F.concat(F.lit("S"), F.col("c_custkey") % 500).alias("symbol"), F.concat(F.lit("E"), F.col("c_custkey") % 120).alias("ensg"))
+    index = symbols.symbol_index(_authority(spark, sf))
+    return burden.table(rows, columns, gamma, shet, genes, index, 30)
+
+
+@query(_BURDEN + """
+SELECT CASE WHEN moved THEN target ELSE gene END AS gene, """ + ", ".join(
+    f"round({pre}_{n}, {d}) + 0.0 AS {pre}_{n}" for pre in burden.CONDITIONS.values() for n, d in (("coef_beta", 6), ("se_beta", 6), ("signed_log10p", 4))
+) + """ FROM mv WHERE NOT (moved AND target IN (SELECT gene FROM wd))
+""")
+def burden_wide(spark, sf):
+    """From raw inputs to one row per gene: mapping, covariates, all own columns masked, scan, reshape, current symbols."""
+    out = _burden_table(spark, sf)[1]
+    return shaped(out.withColumns({f"{p}_signed_log10p": F.round(F.col(f"{p}_signed_log10p") * 1e4, 0) / 1e4 + F.lit(0.0) for p in burden.CONDITIONS.values()}))
+
+
+@query(_BURDEN + """
+SELECT condition, 'S' || col_id AS gene, n_reg, round(coef, 6) + 0.0 AS coef_beta, round(se, 6) AS se_beta, round(-log10(greatest(p, 1e-300)), 4) + 0.0 AS log10p FROM p
+""")
+def burden_scores(spark, sf):
+    """The long scores behind the wide table; p is compared on the log scale."""
+    out = _burden_table(spark, sf)[0]
+    logged = F.round(-F.log10(F.greatest("p_beta", F.lit(1e-300))) * 1e4, 0) / 1e4 + F.lit(0.0)
+    return shaped(out.select("condition", "gene", "n_reg", "coef_beta", "se_beta", logged.alias("log10p")))
+
+
 # ----------------------------------------------------------------- polarization
 
 _Z = """
@@ -390,8 +486,8 @@ def _signatures(spark, sf):
         "anchor", (F.col("label") == 0).cast("int"))
 
 
-def _nearest(spark, sf, max_bytes=nearest.ANCHOR_BYTES):
-    return nearest.nearest_anchor(_signatures(spark, sf), "vec_id", "anchor", "row_id", max_bytes)
+def _nearest(spark, sf, block_bytes=nearest.BLOCK_BYTES):
+    return nearest.nearest_anchor(_signatures(spark, sf), "vec_id", "anchor", "row_id", block_bytes)
 
 
 @query(_SIG + """
@@ -406,8 +502,8 @@ def nearest_anchor(spark, sf):
 SELECT v.vec_id, round(best, 6) AS best, nearest FROM v JOIN b USING (vec_id)
 """)
 def nearest_anchor_in_blocks(spark, sf):
-    """The same search with an anchor set beyond the broadcast bound."""
-    return shaped(_nearest(spark, sf, max_bytes=8 * 64 * 20).select("vec_id", "best", "nearest"))
+    """The same search with many small blocks."""
+    return shaped(_nearest(spark, sf, block_bytes=8 * 64 * 20).select("vec_id", "best", "nearest"))
 
 
 @query(_SIG + """,
@@ -451,7 +547,7 @@ def nearest_candidates(spark, sf):
     return shaped(neighbours.candidates(rows, columns, anchors, index, "even"))
 
 
-@query("WITH " + _AUTHORITY + """,
+_VECTOR_PLAN = "WITH " + _AUTHORITY + """,
 raw AS (SELECT vec_id, 'S' || vec_id AS gene, embedding FROM embeddings
   WHERE label % 2 = 0 AND coalesce(embedding[1] > embedding[2], false) AND floor(abs(embedding[3]::DOUBLE) * 2000) >= 50),
 firsts AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY gene ORDER BY vec_id) = 1),
@@ -461,13 +557,10 @@ v AS (SELECT vec_id, gene, list_transform(embedding, lambda x, i: CASE WHEN 'S'
 f AS (SELECT *, cur IN (SELECT 'S' || vec_id FROM embeddings WHERE label = 0) AS is_fda FROM v),
 pr AS (SELECT q.gene, a.gene AS anchor, list_cosine_similarity(q.x, a.x) AS c FROM f q JOIN f a ON a.is_fda AND a.gene <> q.gene),
 b AS (SELECT gene, max(c) AS best, arg_max(anchor, c) AS nearest FROM pr GROUP BY 1)
-SELECT f.gene, round(best, 6) AS knn_max_score, nearest AS nearest_fda_target,
-  CASE WHEN nearest NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL THEN target ELSE nearest END AS nearest_fda_target_current,
-  CAST(is_fda AS BIGINT) AS is_fda_target, CAST(len(list_filter(x, lambda e: abs(e) > 3)) AS BIGINT) AS n_downstream_z3, 'even' AS culture_condition
-FROM f LEFT JOIN b USING (gene) LEFT JOIN prevs ON nearest = name
-""")
-def nearest_candidates_per_vector(spark, sf):
-    """The whole plan where every vector is an entity: anchors and quality come from the data and grow with the table."""
+"""
+
+
+def _vector_plan(spark, sf):
     vectors = table(spark, sf, "embeddings")
     at = lambda i: F.get("embedding", F.lit(i))
     rows = vectors.select(
@@ -479,18 +572,84 @@ def nearest_candidates_per_vector(spark, sf):
     columns = spark.range(64).select(F.col("id").cast("int").alias("col_id"), F.concat(F.lit("S"), "id").alias("gene_name"))
     anchors = vectors.where("label = 0").select(F.concat(F.lit("S"), "vec_id").alias("gene"))
     index = symbols.symbol_index(_authority(spark, sf))
-    return shaped(neighbours.candidates(rows, columns, anchors, index, "even"))
+    return rows, columns, anchors, index
+
+
+@query(_VECTOR_PLAN + """
+SELECT f.gene, round(best, 6) AS knn_max_score, nearest AS nearest_fda_target,
+  CASE WHEN nearest NOT IN (SELECT symbol FROM auth WHERE status = 'Approved') AND target IS NOT NULL THEN target ELSE nearest END AS nearest_fda_target_current,
+  CAST(is_fda AS BIGINT) AS is_fda_target, CAST(len(list_filter(x, lambda e: abs(e) > 3)) AS BIGINT) AS n_downstream_z3, 'even' AS culture_condition
+FROM f LEFT JOIN b USING (gene) LEFT JOIN prevs ON nearest = name
+""")
+def nearest_candidates_per_vector(spark, sf):
+    """The whole plan where every vector is an entity: anchors and quality come from the data and grow with the table."""
+    return shaped(neighbours.candidates(*_vector_plan(spark, sf), "even"))
 
 
 @query()
 def signature_pca(spark, sf):
-    pcs, shares = nearest.principal_components(_signatures(spark, sf), "vec_id", 8)
+    pcs, fitted = nearest.principal_components(_signatures(spark, sf), "vec_id", 8)
+    shares = (fitted.variances / fitted.total_variance).tolist()
     lines = F.array(*[F.struct(F.lit(i + 1).alias("component"), F.lit(s).alias("share")) for i, s in enumerate(shares)])
-    spread = pcs.agg(*[F.var_samp(f"pc{i + 1}").alias(f"v{i + 1}") for i in range(8)])
-    return spread.select(F.inline(lines), F.array(*[F.col(f"v{i + 1}") for i in range(8)]).alias("vs")).select(
+    spread = pcs.agg(*[F.var_samp(f"pc{i + 1}").alias(f"v{i + 1}") for i in range(len(shares))])
+    return spread.select(F.inline(lines), F.array(*[F.col(f"v{i + 1}") for i in range(len(shares))]).alias("vs")).select(
         "component", "share", F.get("vs", F.col("component") - 1).alias("variance"))
 
 
+_UNIT = _SIG + """,
+u AS (SELECT vec_id, list_transform(x, lambda e: e / (sqrt(list_sum(list_transform(x, lambda y: y * y))) + 1e-12)) AS e FROM v),
+c AS (SELECT vec_id, unnest(e) AS e, unnest(range(1, 65)) AS j FROM u),
+m AS (SELECT j, avg(e) AS m, var_samp(e) AS s FROM c GROUP BY 1)
+"""
+
+
+@query(_UNIT + """
+SELECT CAST(component AS BIGINT) AS component, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS variance_gap, 0.0::DOUBLE AS overlap,
+  (SELECT round(sum(s), 6) FROM m) AS total_variance FROM range(1, 9) t(component)
+""")
+def signature_components(spark, sf):
+    """What makes directions principal, measured on the rows: each is mapped to itself times its variance
+    by the covariance, and scores along different ones are uncorrelated."""
+    sig = _signatures(spark, sf)
+    pcs, fitted = nearest.principal_components(sig, "vec_id", 8)
+    k = len(fitted.variances)
+    mean, directions = F.array(*[F.lit(float(x)) for x in fitted.mean]), fitted.directions
+    scored = sig.select("vec_id", F.zip_with("unit", mean, lambda x, m: x - m).alias("d")).join(pcs, "vec_id")
+    # The covariance times a direction, column by column, against the direction times its variance.
+    names = [f"pc{i + 1}" for i in range(k)]
+    long = scored.select(F.posexplode("d").alias("j", "d"), *names)
+    mapped = long.groupBy("j").agg(*[F.covar_samp("d", c).alias(c) for c in names])
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in directions])
+    gaps = mapped.select(*[(F.col(c) - F.get(F.get(rows, F.col("j")), F.lit(i)) * float(fitted.variances[i])).alias(c) for i, c in enumerate(names)])
+    residual = gaps.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"r{i}") for i, c in enumerate(names)])
+    spread = scored.agg(
+        *[(F.var_samp(c) - float(fitted.variances[i])).alias(f"v{i}") for i, c in enumerate(names)],
+        *[F.greatest(*[F.abs(F.corr(c, d)) for d in names if d != c]).alias(f"o{i}") for i, c in enumerate(names)],
+    )
+    lines = F.array(*[
+        F.struct(F.lit(i + 1).alias("component"), F.col(f"r{i}").alias("residual"), F.abs(f"v{i}").alias("variance_gap"), F.col(f"o{i}").alias("overlap"))
+        for i in range(k)
+    ])
+    both = residual.join(F.broadcast(spread)).select(F.inline(lines), F.lit(float(fitted.total_variance)).alias("total_variance"))  # one row each
+    return shaped(both)
+
+
+@query(_VECTOR_PLAN + """,
+un AS (SELECT gene, list_transform(x, lambda e: e / (sqrt(list_sum(list_transform(x, lambda y: y * y))) + 1e-12)) AS e FROM v),
+cu AS (SELECT gene, unnest(e) AS e, unnest(range(1, 65)) AS j FROM un),
+mu AS (SELECT j, avg(e) AS m FROM cu GROUP BY 1),
+en AS (SELECT gene, sum((e - m) * (e - m)) AS energy FROM cu JOIN mu USING (j) GROUP BY 1)
+SELECT gene, CAST(is_fda AS BIGINT) AS is_fda_target, nearest AS nearest_fda_target, round(energy, 6) AS energy FROM en JOIN f USING (gene) LEFT JOIN b USING (gene)
+""")
+def signature_embedding(spark, sf):
+    """All components of the signatures of one condition with their labels: over all of them a row keeps its distance from the mean."""
+    rows, columns, anchors, index = _vector_plan(spark, sf)
+    found = neighbours.candidates(rows, columns, anchors, index, "even")
+    pcs, fitted = neighbours.signature_components(rows, columns, found, "even", 64)
+    energy = sum(F.col(f"pc{i + 1}") * F.col(f"pc{i + 1}") for i in range(fitted.directions.shape[1]))
+    return shaped(pcs.select("gene", "is_fda_target", "nearest_fda_target", energy.alias("energy")))
+
+
 # -------------------------------------------------------------------- validation
 
 _STAGE = "CASE o_orderpriority WHEN '1-URGENT' THEN 4.0::DOUBLE WHEN '2-HIGH' THEN 3.0::DOUBLE WHEN '3-MEDIUM' THEN 1.5::DOUBLE WHEN '4-NOT SPECIFIED' THEN 0.0::DOUBLE END"

@@ -5,10 +5,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from evidentia.operators import attribution, bagging, features, folds, metrics
+from evidentia.operators import attribution, bagging, boosting, features, folds, metrics
 from evidentia.operators.features import RunConfig
 from evidentia.plans import ranking
 from tests.conftest import rows
+from tests.test_boosting import expected
 
 N = 400
 
@@ -181,7 +182,10 @@ def test_full_run_scores_out_of_bag(table):
     m = run.models
     for r in run.scored.collect():
         h = held[r["id"]]
-        p = 1 / (1 + np.exp(-(np.array(h["x"]) @ m.coef.T + m.intercept)))
+        x, flags = np.array(h["x"][:len(m.features)]), np.array(h["x"][len(m.features):])
+        filled = np.tile(x, (4, 1))
+        filled[:, list(m.missing)] += flags * m.fill  # every model fills in its own medians
+        p = 1 / (1 + np.exp(-((filled * m.coef).sum(1) + m.intercept)))
         inside = np.array([h["y"] == 1 or b in h["bags"] for b in range(4)])
         want = p[~inside].mean() if (~inside).any() else p.mean()
         assert r["score"] == pytest.approx(want) and r["oob_models"] == (~inside).sum() and r["inbag_models"] == inside.sum()
@@ -193,8 +197,10 @@ def test_full_run_scores_out_of_bag(table):
     told = ranking.explained(nominated, run, CFG).orderBy("rank").collect()
     assert len(told) == 5 and all(r["top_features"].count(";") == 2 for r in told)
     best = told[0]
-    x = np.array(held[best["gene"]]["x"])
-    values = (m.coef * (x - m.mean)).mean(0)
+    x, flags = (np.array(part) for part in np.split(np.array(held[best["gene"]]["x"]), [len(m.features)]))
+    filled = np.tile(x, (4, 1))
+    filled[:, list(m.missing)] += flags * m.fill
+    values = (m.coef * (filled - m.mean)).mean(0)
     top = m.features[int(np.abs(values).argmax())]
     assert best["top_features"].startswith(f"{top}{'+' if values[np.abs(values).argmax()] >= 0 else '-'}")
 
@@ -226,20 +232,16 @@ def test_tree_attribution_adds_up(table):
     run = ranking.full_run(table, cfg)
     rows_ = run.scored.select("id", "x").limit(20).cache()
     cols = features.feature_columns(cfg)
-    told = attribution.tree_attribution(rows_, bagging.tree_nodes(run.models, table.sparkSession), cols, ["id"], "id")
+    told = boosting.forest_attribution(rows_, run.models, ["id"], "id")
     got = {r["id"]: {c["feature"]: c["value"] for c in r["contributions"]} for r in told.collect()}
     assert len(got) == 20 and all(set(v) == set(cols) for v in got.values())
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = rows_.select("id", array_to_vector("x").alias("features"))
-    margins, bases = {}, 0.0
-    for m in run.models:
-        bases += sum(w * t._call_java("rootNode").prediction() for t, w in zip(m.trees, m.treeWeights))
-        out = m.setRawPredictionCol("raw").setPredictionCol("").setProbabilityCol("").transform(vectors)
-        for r in out.collect():
-            margins[r["id"]] = margins.get(r["id"], 0.0) + r["raw"][1]
-    for k, v in got.items():
-        assert sum(v.values()) == pytest.approx((2 * margins[k] - 2 * bases) / 2, abs=1e-9)
+    forest = run.models
+    held = rows_.collect()
+    x = np.array([[np.nan if v is None else v for v in r["x"]] for r in held])
+    margin = boosting.margins(forest, boosting.binned(x, forest.edges), np.arange(2)).mean(1)
+    base = sum(expected(forest, m, t, 0) for m in range(2) for t in range(3)) / 2
+    for r, m in zip(held, margin):
+        assert sum(got[r["id"]].values()) == pytest.approx(m - base, abs=1e-9)
     told = ranking.explained(ranking.nominations(run, cfg), run, cfg).collect()
     assert len(told) == 5 and all(r["driver"] and r["top_features"] for r in told)
 

@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_is_known():
     assert set(SQL) <= set(QUERIES)
-    assert {"pu_ablation", "pu_out_of_fold", "pu_nominations", "pu_attribution", "signature_pca"} <= set(QUERIES) - set(SQL)
+    assert {"pu_ablation", "pu_tree_ablation", "pu_out_of_fold", "pu_nominations", "pu_attribution", "signature_pca"} <= set(QUERIES) - set(SQL)
 
 
 def test_candidates_grow_with_the_table(spark, con):

@@ -102,9 +102,9 @@ def matrix(spark):
     ]).astype(np.float32)
     cols[5, 1] = np.nan
     y[7] = np.nan
-    data = [(i, "Rest" if i % 3 else "Stim8hr", [float(v) for v in cols[i]], i % 4 if i < 40 else None,
+    data = [(i, "Rest" if i % 3 else "Stim8hr", [float(v) for v in cols[i]], i % 4 if i < 40 else None, [i % 4] if i < 40 else None if i % 2 else [],
              None if math.isnan(y[i]) else float(y[i]), float(w[i])) for i in range(n)]
-    df = spark.createDataFrame(data, "id int, condition string, values array<float>, own_col int, y double, w double")
+    df = spark.createDataFrame(data, "id int, condition string, values array<float>, own_col int, own_cols array<int>, y double, w double")
     return df.repartition(6), cols.astype(float), y, w
 
 
@@ -136,6 +136,15 @@ def test_long_scan_equals_matrix_scan(matrix):
             assert (r["coef_beta"], r["se_beta"]) == pytest.approx((m["coef_beta"], m["se_beta"]), rel=1e-7)
 
 
+def test_every_own_column_is_left_out(spark, matrix):
+    df, *_ = matrix
+    two = df.withColumn("own_cols", F.when(F.col("id") < 40, F.array(F.lit(0), F.lit(3))))
+    got = {(r["condition"], r["col_id"]): r["n_reg"] for r in regression.scan_matrix(two, 50).collect()}
+    none = {(r["condition"], r["col_id"]): r["n_reg"] for r in regression.scan_matrix(df.withColumn("own_cols", F.lit(None).cast("array<int>")), 50).collect()}
+    gone = {"Rest": 26 - 1, "Stim8hr": 14}  # row 7 has no y
+    assert {k: none[k] - got[k] for k in none} == {(c, j): gone[c] if j in (0, 3) else 0 for c in gone for j in range(4)}
+
+
 def test_planted_signal(spark, matrix):
     df, *_ = matrix
     cols = spark.createDataFrame([(0, "ES", "SIGNAL"), (1, "EN", "NULL"), (2, "EC", "CONST"), (3, "EF", "FLAT")], "col_id int, gene_ids string, gene_name string")
@@ -147,13 +156,13 @@ def test_planted_signal(spark, matrix):
 
 def test_scan_inputs_follow_mapping_rules(spark):
     rows = spark.createDataFrame([("Rest", "symA", [1.0, 2.0]), ("Rest", "symB", [3.0, 4.0])], "culture_condition string, target_contrast_gene_name string, values array<float>")
-    cols = spark.createDataFrame([(0, "E2", "symA"), (1, "symB", "symB")], "col_id int, gene_ids string, gene_name string")
+    cols = spark.createDataFrame([(0, "E2", "symA"), (1, "symB", "symB"), (2, "E2", "symC")], "col_id int, gene_ids string, gene_name string")
     gamma = spark.createDataFrame([(1, "E2", float("inf")), (2, "E2", 5.0), (3, "x", 2.0), (4, "y", -1.0)], "row_id int, ensg string, post_mean double")
     shet = spark.createDataFrame([(1, "E2", 0.3)], "row_id int, ensg string, shet double")
     gmap = spark.createDataFrame([(1, "symA", "E1"), (2, "symA", "E2")], "row_id int, symbol string, ensg string")
     got = {r["entity"]: r for r in burden.scan_inputs(rows, cols, gamma, shet, gmap).collect()}
-    assert (got["E2"]["y"], got["E2"]["w"], got["E2"]["own_col"]) == (2.0, 0.3, 0)
-    assert (got["symB"]["y"], got["symB"]["own_col"]) == (None, 1)
+    assert (got["E2"]["y"], got["E2"]["w"], sorted(got["E2"]["own_cols"])) == (2.0, 0.3, [0, 2])
+    assert (got["symB"]["y"], got["symB"]["own_cols"]) == (None, [1])
 
 
 def test_rank_sum(spark):
@@ -242,7 +251,8 @@ def test_single_anchor_has_no_neighbour(signature_rows):
 def test_principal_components_match_svd(signature_rows):
     df, _ = signature_rows
     sig = nearest.signatures(df, "gene", "values", "row_id", "own_col")
-    pcs, shares = nearest.principal_components(sig, "gene", 3)
+    pcs, fitted = nearest.principal_components(sig, "gene", 3)
+    shares = list(fitted.variances / fitted.total_variance)
     unit = np.array([r["unit"] for r in sig.collect()])
     s = np.linalg.svd(unit - unit.mean(0), compute_uv=False) ** 2
     assert shares == pytest.approx(list(s[:3] / s.sum()), rel=1e-6)

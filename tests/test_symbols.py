@@ -40,9 +40,10 @@ def test_classify(spark, index):
 
 def test_harmonize_renames_and_drops_collisions(spark, index):
     df = spark.createDataFrame([("OLD1", 1), ("NEW1", 2), ("OLD3", 3), ("ALI1", 4), ("NA", 5)], "g string, v int")
-    out, report = symbols.harmonize(df, index, "g")
+    out, changes = symbols.harmonize(df, index, "g")
     assert rows(out) == [("ALI1", 4), ("NA", 5), ("NEW1", 2), ("NEW2", 3)]
-    assert tuple(report.first()) == (1, 1, "OLD1")
+    assert rows(changes) == [("OLD1", "NEW1", True, 1), ("OLD3", "NEW2", False, 1)]
+    assert tuple(symbols.rename_counts(changes).first()) == (1, 1)
     kept = symbols.canonical(df, index, "g", "g_current")
     assert {r["g_current"] for r in kept.collect()} == {"NEW1", "NEW2", "ALI1", "NA"} and kept.count() == 5
 
@@ -53,6 +54,21 @@ def test_harmonize_rejects_two_names_for_one_target(spark, index):
         symbols.harmonize(df, index, "g")[0].collect()
 
 
+@pytest.mark.parametrize("names", [["A", "A"], ["OLD6", "OLD6"], ["NEW1", "NEW1", "OLD1"]])
+def test_harmonize_rejects_repeated_rows(spark, index, names):
+    df = spark.createDataFrame([(n,) for n in names], "g string")
+    with pytest.raises(PySparkException, match="duplicate symbols"):
+        symbols.harmonize(df, index, "g")[0].collect()
+
+
+def test_harmonize_keeps_unnamed_rows_and_repeats_of_dropped_ones(spark, index):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("NEW1", 3), ("OLD1", 4), ("OLD1", 5)], "g string, v int")
+    out, changes = symbols.harmonize(df, index, "g")
+    assert rows(out) == [("NEW1", 3), (None, 1), (None, 2)] and rows(changes) == [("OLD1", "NEW1", True, 2)]
+    empty, none = symbols.harmonize(df.filter("false"), index, "g")
+    assert rows(empty) == [] and rows(none) == []
+
+
 def test_format_profile(spark):
     df = spark.createDataFrame([("A1",), ("A1",), (" B",), ("C D",), ("NA",), ("",), ("X-2.1",), ("é#",)], "g string")
     r = symbols.format_profile(df, "g").first()
