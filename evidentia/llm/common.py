@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows over tasks by ``keys`` and write them so: later joins and cogroups by these keys find them in place.
+
+    Adaptive planning does not tell a checkpoint how its rows are dealt, so this one job plans without it.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(parts, *keys).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
@@ -67,6 +86,16 @@ def _remove_written() -> None:
 atexit.register(_remove_written)
 
 
+def give_back() -> None:
+    """At the end of a task: memory that its worker no longer uses goes back to the system.
+
+    Workers outlive their tasks and wait for the next stage, which runs beside them.
+    """
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def single_threaded() -> None:
     """Inside a task: native libraries use the one core that the task owns."""
     for name in ("TOKENIZERS_PARALLELISM", "OMP_NUM_THREADS", "RAYON_NUM_THREADS"):

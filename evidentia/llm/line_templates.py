@@ -18,8 +18,9 @@ they are dropped.
 Lines too short for a template and lines too long to recur by chance count verbatim: a long one
 recurs in two documents, a short one in more the fewer tokens it has.
 
-Leaves too few documents reach are left out after one count of leaf hashes, so only lines that
-could recur send their tokens on.
+One pass over the texts reads leaves and verbatim lines. Leaves that enough documents reach set bits of a
+sieve of fixed size, and a second pass sends the tokens of the lines that pass it; a line that
+passes by chance recurs nowhere and changes nothing. Texts are not shuffled for this. The last pass takes the lines out.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import stored, text_of, unused
+from evidentia.llm.common import give_back, stored, text_of, unused
 from evidentia.llm.shingles import U, blocks, mixed, powers, words
 
 DEPTH = 3  # leading tokens of a path
@@ -40,6 +41,7 @@ LEAST_DOCUMENTS = 3
 LEAST_TOKENS = 5
 LONG_TOKENS = 50  # a line of as many tokens recurs verbatim in two documents
 SHORT_DOCUMENTS = 2  # documents a short line needs beyond the least for each token it lacks
+SIEVE_BITS = 1 << 27  # lines of leaves that fall on no set bit send no tokens; others may, to no effect
 CONSTANT = 0.6  # share of a template's tokens that must be constant
 VARIABLE = U(0x5851F42D4C957F2D)
 
@@ -63,57 +65,72 @@ def lines(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, least_token
     place = np.arange(len(token)) - np.repeat(begin, size)
     weight = powers(int(size.max(initial=0)) + 1)[place]
     whole, exact = (np.add.reduceat(x * weight, begin) if len(x) else x for x in (token, word))
-    long = size >= max(least_tokens, depth)
+    long = size >= least_tokens
     begin, size = begin[long], size[long]
     leaf = size.astype(np.uint64)
     for j in range(depth):
-        leaf = mixed(leaf + token[begin + j])
+        leaf = mixed(leaf + token[begin + np.minimum(j, size - 1)])
     return {
         "text": text[begin], "number": number[begin], "leaf": leaf.view(np.int64), "shape": mixed(whole[long]).view(np.int64),
         "exact": mixed(exact[long]).view(np.int64), "begin": begin, "size": size, "token": token.view(np.int64),
     }
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], depth: int, least_tokens: int) -> Iterator[pa.RecordBatch]:
-    """doc, text -> (doc, leaf), once per document and leaf."""
-    for batch in batches:
-        for at, data, offsets in blocks(batch.column(1)):
-            found = lines(data, offsets, depth, least_tokens)
-            pairs = np.unique(np.stack([found["text"], found["leaf"]], axis=1), axis=0) if len(found["text"]) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(pairs[:, 0] + at)), pa.array(pairs[:, 1], pa.int64())], ["doc", "leaf"]
-            )
+def _paired(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One hash for a text's number in its block and a value."""
+    with np.errstate(over="ignore"):
+        return mixed(value.view(U) ^ mixed(text.astype(U) + U(1)))
+
 
+def _once(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places of the first of equal (text, value) pairs."""
+    return np.sort(np.unique(_paired(text, value), return_index=True)[1])
 
-def _verbatim(batches: Iterator[pa.RecordBatch], least: int, least_tokens: int, long_tokens: int, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """doc, text -> (doc, exact, need) of the lines that count as they are, once per document and line."""
+
+def _read(
+    batches: Iterator[pa.RecordBatch], least: int, depth: int, least_tokens: int, long_tokens: int, kinds: tuple[str, ...]
+) -> Iterator[pa.RecordBatch]:
+    """doc, text -> (doc, need, value): leaves (need 0) and the lines that count as they are, once per document."""
     for batch in batches:
         for at, data, offsets in blocks(batch.column(1)):
-            found = lines(data, offsets, 0, 1)
-            size = found["size"]
+            found = lines(data, offsets, depth, 1)
+            size, text = found["size"], found["text"]
+            parts = []
+            if "template" in kinds:
+                long = np.flatnonzero(size >= max(least_tokens, depth))
+                long = long[_once(text[long], found["leaf"][long])]
+                parts.append((text[long], np.zeros(len(long), np.int64), found["leaf"][long]))
             short, long = (size < least_tokens) & ("short" in kinds), (size >= long_tokens) & ("long" in kinds)
-            need, counted = np.where(long, 2, least + SHORT_DOCUMENTS * (least_tokens - size)), short | long
-            rows = np.unique(np.stack([found["text"], found["exact"], need], axis=1)[counted], axis=0)
+            need = np.where(long, 2, least + SHORT_DOCUMENTS * (least_tokens - size))
+            exact = np.flatnonzero(short | long)
+            exact = exact[_once(text[exact], found["exact"][exact])]
+            parts.append((text[exact], need[exact], found["exact"][exact]))
+            which, needs, values = (np.concatenate(c) for c in zip(*parts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows[:, 0] + at)), pa.array(rows[:, 1], pa.int64()), pa.array(rows[:, 2], pa.int64())],
-                ["doc", "exact", "need"],
+                [batch.column(0).take(pa.array(which + at)), pa.array(needs, pa.int64()), pa.array(values, pa.int64())], ["doc", "need", "value"]
             )
+    give_back()
+
 
+def _sieve(common: DataFrame) -> np.ndarray:
+    """A fixed number of bits, set where a common leaf falls: at most 2 MB of words reach the driver
+    as 32 MB of rows, whatever the number of leaves."""
+    bit = F.col("value").bitwiseAND(SIEVE_BITS - 1)
+    words = common.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))).alias("bits"))
+    held = words.toArrow()
+    out = np.zeros(SIEVE_BITS >> 6, dtype=np.int64)
+    out[held.column("word").to_numpy()] = held.column("bits").to_numpy()
+    return out
 
-def _picked(batches: Iterator[pa.RecordBatch], depth: int, least_tokens: int) -> Iterator[pa.RecordBatch]:
-    """doc, text, leaves -> (doc, leaf, shape, tokens) of the lines in these leaves, once per document and shape."""
+
+def _picked(batches: Iterator[pa.RecordBatch], sieve: np.ndarray, depth: int, least_tokens: int) -> Iterator[pa.RecordBatch]:
+    """doc, text -> (doc, leaf, shape, tokens) of the lines that pass the sieve, once per document and shape."""
     for batch in batches:
-        wanted = [np.array(x.as_py(), dtype=np.int64) for x in batch.column(2)]
         for at, data, offsets in blocks(batch.column(1)):
-            found = lines(data, offsets, depth, least_tokens)
-            bounds = np.searchsorted(found["text"], np.arange(len(offsets)))
-            keep: list[int] = []
-            for d in range(len(offsets) - 1):
-                a, b = bounds[d], bounds[d + 1]
-                mine = a + np.flatnonzero(np.isin(found["leaf"][a:b], wanted[at + d]))
-                _, once = np.unique(found["shape"][mine], return_index=True)
-                keep.extend(mine[once].tolist())
-            keep = np.array(keep, dtype=np.int64)
+            found = lines(data, offsets, depth, max(least_tokens, depth))
+            bit = found["leaf"] & (SIEVE_BITS - 1)
+            keep = np.flatnonzero((sieve[bit >> 6] >> (bit & 63)) & 1)
+            keep = keep[_once(found["text"][keep], found["shape"][keep])]
             size = found["size"][keep]
             ends = np.concatenate([[0], np.cumsum(size)])
             at_token = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(found["begin"][keep], size)
@@ -125,15 +142,24 @@ def _picked(batches: Iterator[pa.RecordBatch], depth: int, least_tokens: int) ->
                 ],
                 ["doc", "leaf", "shape", "tokens"],
             )
+    give_back()
 
 
-def _without(text: str, hashes: list[int], least_tokens: int) -> tuple[str, int]:
-    """The text without its lines of these shapes or exact hashes, and their number."""
-    (_, data, offsets), *_ = blocks(pa.array([text]))
-    found = lines(data, offsets, 0, 1)
-    whole = np.isin(found["shape"], hashes) & (found["size"] >= least_tokens)
-    gone = set(found["number"][whole | np.isin(found["exact"], hashes)].tolist())
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), len(gone)
+def _without(texts: pa.Array, hashes: pa.Array, least_tokens: int) -> list[tuple[str, int]]:
+    """Each text without its lines of its list of shapes or exact hashes, and their number."""
+    out = []
+    for at, data, offsets in blocks(texts):
+        found = lines(data, offsets, 0, 1)
+        some = hashes.slice(at, len(offsets) - 1)
+        wanted = _paired(np.repeat(np.arange(len(some)), some.value_lengths().to_numpy()), some.flatten().to_numpy())
+        gone = np.isin(_paired(found["text"], found["shape"]), wanted) & (found["size"] >= least_tokens)
+        gone = np.flatnonzero(gone | np.isin(_paired(found["text"], found["exact"]), wanted))
+        bounds = np.searchsorted(found["text"][gone], np.arange(len(some) + 1))
+        for d in range(len(some)):
+            drop = set(found["number"][gone[bounds[d] : bounds[d + 1]]].tolist())
+            kept = texts[at + d].as_py()
+            out.append(("\n".join(x for i, x in enumerate(kept.split("\n")) if i not in drop) if drop else kept, len(drop)))
+    return out
 
 
 def templates(picked: DataFrame, least: int, constant: float) -> DataFrame:
@@ -186,19 +212,20 @@ def drop_recurring(
         F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("null")), text_of(text)))).alias(doc),
     )
     plain = marked.select(F.col(doc).alias("doc"), text_of(text).alias("text"))
+    read = stored(
+        plain.mapInArrow(lambda b: _read(b, least, depth, least_tokens, long_tokens, kinds), "doc binary, need long, value long"), "line-read"
+    )
     parts = []
     if "template" in kinds:
-        every = stored(plain.mapInArrow(lambda b: _leaves(b, depth, least_tokens), "doc binary, leaf long"), "line-leaves")
-        common = every.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
-        wanted = every.join(common, "leaf").groupBy("doc").agg(F.collect_set("leaf").alias("leaves"))
-        picked = plain.join(wanted, "doc").mapInArrow(
-            lambda b: _picked(b, depth, least_tokens), "doc binary, leaf long, shape long, tokens array<long>"
+        common = read.where("need = 0").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        sieve = docs.sparkSession.sparkContext.broadcast(_sieve(common))
+        picked = plain.mapInArrow(
+            lambda b: _picked(b, sieve.value, depth, least_tokens), "doc binary, leaf long, shape long, tokens array<long>"
         )
         picked = stored(picked, "line-picked")
         parts.append(picked.select("doc", "shape").distinct().join(templates(picked, least, constant), "shape").select("doc", "shape", "template", "need"))
     if {"short", "long"} & set(kinds):
-        exact = plain.mapInArrow(lambda b: _verbatim(b, least, least_tokens, long_tokens, kinds), "doc binary, exact long, need long")
-        exact = stored(exact.distinct(), "line-verbatim")
+        exact = read.where("need > 0").select("doc", F.col("value").alias("exact"), "need").distinct()
         again = exact.groupBy("exact").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least")).where("n >= least").select("exact")
         parts.append(exact.join(again, "exact").select("doc", F.col("exact").alias("shape"), F.col("exact").alias("template"), "need"))
     ours = reduce(DataFrame.unionAll, parts)
@@ -218,9 +245,12 @@ def drop_recurring(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, dropped = [], [], []
-            for value, shapes in zip(batch.column(at_text).to_pylist(), batch.column(len(carried)).to_pylist()):
+            values, shapes = batch.column(at_text), batch.column(len(carried))
+            touched = np.flatnonzero(shapes.is_valid().to_numpy(zero_copy_only=False))
+            without = dict(zip(touched.tolist(), _without(values.take(pa.array(touched)), shapes.take(pa.array(touched)), least_tokens)))
+            for i, value in enumerate(values.to_pylist()):
                 total.append(1 if value is None else value.count("\n") + 1)
-                value, n = (value, 0) if shapes is None else _without(value, shapes, least_tokens)
+                value, n = without.get(i, (value, 0))
                 kept.append(value)
                 dropped.append(n)
             columns = list(batch.columns[: len(carried)])
@@ -228,5 +258,6 @@ def drop_recurring(
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*carried, "n_lines", "n_dropped"]
             )
+        give_back()
 
     return out.mapInArrow(cut, schema)
