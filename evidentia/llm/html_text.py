@@ -3,7 +3,8 @@
 Every page is parsed once into a tree. A node's composite density is its characters per tag,
 adjusted by how much of the text is links; a node's score is the sum of its children's
 densities. The subtree with the largest score holds the article; the smallest density on the
-path from it up to the body is the threshold that its parts must reach. Parts that by element or name are
+path from it up to the body is the threshold that its parts must reach: parts below it that hold nothing
+but links go, unless they stand between prose or an article element says where the article is. Parts that by element or name are
 not the article (menus, headers and footers of the page, sidebars, notices, adverts, forms,
 comments by readers) take no part in any sum and give no text.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,21 +54,21 @@ OTHER_PARTS = re.compile(rf"(?:{_PLACE}[-_]+)*{_OTHER}(?:[-_]+(?:{_OTHER}|{_PLAC
 HOLDERS = frozenset("div ul ol".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile("[\"'>]")
 SPACES = re.compile(r"\s+")
+WORD = re.compile(r"\w")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "other", "chars", "tags", "links", "link_tags", "density", "score", "named")
+    __slots__ = ("name", "parent", "children", "other", "chars", "tags", "links", "link_tags", "density", "score", "named", "plain")
 
     def __init__(self, name: str, parent: Node | None, other: bool, named: bool = False):
         self.name, self.parent, self.other, self.named = name, parent, other, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.score = 0.0
+        self.plain = False  # holds a word that is no link
 
 
 def _other(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
@@ -123,59 +125,136 @@ def _spare_article(root: Node) -> None:
             node.other = node.named = False
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Place of the ``>`` that ends a tag, outside quoted values; -1 if the page ends before."""
+    while True:
+        m = QUOTE_OR_END.search(page, at)
+        if m is None:
+            return -1
+        if m.group() == ">":
+            return m.start()
+        at = page.find(m.group(), m.end()) + 1
+        if not at:
+            return -1
+
+
+class _Open:
+    """Open elements by name, in all and since the last one that bounds implied ends, so that an
+    end that meets nothing costs no climb."""
+
+    def __init__(self) -> None:
+        self.all: Counter[str] = Counter()
+        self.near = [Counter()]
+
+    def enter(self, name: str) -> None:
+        self.all[name] += 1
+        if name in SCOPES:
+            self.near.append(Counter())
+        self.near[-1][name] += 1
+
+    def leave(self, name: str) -> None:
+        self.all[name] -= 1
+        self.near[-1][name] -= 1
+        if name in SCOPES:
+            self.near.pop()
+
+
+def _tags(page: str) -> Iterator[tuple[str, bool, str, int]]:
+    """Pieces of a page in order: (text, False, "", 0) or ("", ends, name, place behind the name).
+
+    Whoever reads a tag sends back where to go on. Comments and declarations give nothing.
+    """
+    at, size = 0, len(page)
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            yield page[at:], False, "", 0
+            return
+        follows = page[start + 1 : start + 2]
+        m = TAG.match(page, start) if follows == "/" or follows.isalpha() else None
+        if m is None and follows not in ("!", "?"):
+            # A lone "<" is text.
+            yield page[at : start + 1], False, "", 0
+            at = start + 1
+            continue
+        if start > at:
+            yield page[at:start], False, "", 0
+        if m is not None:
+            at = yield "", bool(m.group(1)), m.group(2).lower(), m.end()
+            continue
+        end = "-->" if page.startswith("<!--", start) else "]]>" if page.startswith("<![CDATA[", start) else ">"
+        found = page.find(end, start + (4 if end == "-->" else 1))
+        at = found + len(end) if found >= 0 else size
+
+
 def parse(page: str) -> Node:
-    """A tree of a page as browsers would roughly build it: implied ends, void and raw elements."""
+    """A tree of a page as browsers would roughly build it: implied ends, void and raw elements.
+
+    A page with a quote that nothing closes, inside a tag, is read on without regard to quotes; a
+    tag that the page does not end is text. Work grows in proportion to the page.
+    """
     root = Node("#root", None, False)
-    top, at, articles = root, 0, 0
-    size = len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
-            top.children.append(page[at:])
-            break
-        if m.start() > at:
-            top.children.append(page[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+    top, articles, loose, is_open = root, 0, False, _Open()
+    pieces = _tags(page)
+    piece = next(pieces, None)
+    while piece is not None:
+        text, ends_one, name, at = piece
+        if not name:
+            top.children.append(text)
+            piece = next(pieces, None)
             continue
-        name = name.lower()
-        if m.group(1):
-            node = top
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
+        end = -1 if loose else _tag_end(page, at)
+        if end < 0:
+            loose, end = True, page.find(">", at)
+        if end < 0:
+            top.children.append(page[page.rfind("<", 0, at) :])
+            break
+        attributes, at = page[at:end], end + 1
+        if ends_one:
+            if is_open.all[name]:
                 while True:
                     articles -= top.name == "article"
+                    is_open.leave(top.name)
                     last, top = top, top.parent
-                    if last is node:
+                    if last.name == name:
                         break
+            piece = _next(pieces, at)
             continue
-        attributes = m.group(3)
-        ends = SAME_ENDS.get(name)
+        ends = SAME_ENDS.get(name, frozenset())
         if name in CLOSES_P:
-            ends = (ends or set()) | {"p"}
-        if ends:
-            node = top
-            while node is not root and node.name not in ends and (node.name not in SCOPES or node.name in ends):
-                node = node.parent
-            if node is not root and node.name in ends:
-                top = node.parent
+            ends = ends | {"p"}
+        if any(is_open.near[-1][e] for e in ends):
+            while True:
+                articles -= top.name == "article"
+                is_open.leave(top.name)
+                last, top = top, top.parent
+                if last.name in ends:
+                    break
         node = Node(name, top, *_other(name, attributes, articles > 0))
         top.children.append(node)
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path", "use", "math"):
+            piece = _next(pieces, at)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else size])
-            at = end.end() if end else size
+            m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            node.children.append(page[at : m.start() if m else len(page)])
+            piece = _next(pieces, m.end() if m else len(page))
             continue
         articles += name == "article"
+        is_open.enter(name)
         top = node
+        piece = _next(pieces, at)
     _spare_article(root)
     return root
 
 
+def _next(pieces, at: int):
+    try:
+        return pieces.send(at)
+    except StopIteration:
+        return None
+
+
 def _measure(root: Node) -> Node:
     """Fill in densities bottom-up; returns the body. Iterative, as trees may be very deep."""
     order, stack, body = [], [root], root
@@ -189,13 +268,15 @@ def _measure(root: Node) -> Node:
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(SPACES.sub(" ", c).strip())
+                node.plain = node.plain or WORD.search(c) is not None
             elif not c.other:
                 node.chars += c.chars
+                node.plain = node.plain or c.plain
                 node.tags += c.tags + 1
                 node.links += c.links
                 node.link_tags += c.link_tags
         if node.name == "a":
-            node.links, node.link_tags = node.chars, node.tags + 1
+            node.links, node.link_tags, node.plain = node.chars, node.tags + 1, False
     total, linked = max(body.chars, 1), body.links
     for node in reversed(order):
         node.density = _density(node, total, linked)
@@ -213,8 +294,11 @@ def _density(node: Node, total: int, linked: int) -> float:
     return chars / tags * math.log(max(chars / max(links, 1) * (tags / link_tags), 1.0 + 1e-9)) / math.log(1.0 + base)
 
 
-def _blocks(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks below a node in page order, without its other parts and thin link lists."""
+def _blocks(node: Node, threshold: float | None) -> list[str]:
+    """Texts of the blocks below a node in page order, without its other parts.
+
+    Given a threshold, parts below it that hold nothing but links go too, unless they stand between prose.
+    """
     parts: list[str] = []
     current: list[str] = []
 
@@ -224,21 +308,29 @@ def _blocks(node: Node, threshold: float) -> list[str]:
         if text:
             parts.append(text)
 
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    stack: list[tuple[Node | str, bool, bool]] = [(node, False, threshold is None)]
     while stack:
-        item, leaving = stack.pop()
+        item, leaving, whole = stack.pop()
         if isinstance(item, str):
             current.append(item)
-        elif leaving:
+            continue
+        if leaving:
+            end_block()
+            continue
+        if item.other:
+            continue
+        if not whole and item.name in BLOCK and item.density < threshold and item.links * 2 > item.chars and not item.plain and item is not node:
+            continue
+        if item.name in BLOCK:
             end_block()
-        else:
-            # Only parts that are mostly links can be too thin: short paragraphs of prose stay.
-            if item.other or (item.density < threshold and item.chars and item.links * 2 > item.chars and item.name in BLOCK):
-                continue
-            if item.name in BLOCK:
-                end_block()
-                stack.append((item, True))
-            stack.extend((c, False) for c in reversed(item.children))
+            stack.append((item, True, whole))
+        if whole:
+            stack.extend((c, False, True) for c in reversed(item.children))
+            continue
+        # What stands between prose within one part stays as a whole.
+        prose = [i for i, c in enumerate(item.children) if (WORD.search(c) if isinstance(c, str) else c.plain and not c.other)]
+        first, last = (prose[0], prose[-1]) if prose else (len(item.children), -1)
+        stack.extend((c, False, first < i < last) for i, c in reversed(list(enumerate(item.children))))
     end_block()
     return parts
 
@@ -263,7 +355,7 @@ def main_text(page: str | None) -> str:
     while outer.parent is not None and outer.name not in ("article", "main"):
         outer = outer.parent
     if outer.name in ("article", "main"):
-        best = outer
+        return " ".join(_blocks(outer, None))
     return " ".join(_blocks(best, threshold))
 
 
