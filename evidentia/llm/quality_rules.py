@@ -13,6 +13,7 @@ Only a bounded sample of labelled statistics (``TRAIN_ROWS``) reaches the driver
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ TRAIN_ROWS = 20_000  # labelled rows a list is learned from: those of the smalle
 LEAST_PRECISION = 0.9  # of a rule, on the rows it is pruned on and on those it grew on
 LEAST_COVERED = 5  # bad texts a rule must cover to be kept
 MOST_CONDITIONS = 4
+HASHES = 1 << 32
 LEAST_WORDS = 50  # base rule: fewer words fail
 REPEATED_PERCENT = 50  # base rule: more words in repeated windows fail
 
@@ -233,8 +235,12 @@ def fit(counted: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where("__key IS NOT NULL AND __label IN (0, 1)")
     known = known.groupBy("__key").agg(F.min("__label").alias("__label"), F.max("__label").alias("__high")).where("__label = __high")
     joined = counted.where(~base_failed()).join(known, F.col("key") == F.col("__key"))
-    drawn = joined.select(F.xxhash64("key", *COUNTS).alias("h"), "__label", *[c.alias(f"f_{n}") for n, c in features().items()])
-    drawn = drawn.orderBy(*drawn.columns).limit(rows).toPandas()
+    drawn = joined.select(
+        F.pmod(F.xxhash64("key", *COUNTS), F.lit(HASHES)).alias("h"), "__label", *[c.alias(f"f_{n}") for n, c in features().items()]
+    )
+    # A cut by hash keeps about as many rows as are wanted before any are ordered.
+    share = min(1.0, (rows + 8 * math.sqrt(rows) + 16) / max(drawn.count(), 1))
+    drawn = drawn.where(F.col("h") < int(share * HASHES)).orderBy(*drawn.columns).limit(rows).toPandas()
     return learned(drawn[[c for c in drawn.columns if c.startswith("f_")]].to_numpy(dtype=float), drawn["__label"].to_numpy() == 0)
 
 
