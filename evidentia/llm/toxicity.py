@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import single_threaded, text_of, unused
+from evidentia.llm.common import give_back, single_threaded, text_of, unused
 
 TRAIN_ROWS = 8_000  # labelled rows the dictionaries and weights are fitted on
 ORDINARY_BYTES = 32_768
@@ -194,11 +194,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         single_threaded()
         savings = Savings(model.ordinary, model.toxic)
         for batch in batches:
-            rows = np.array([_features(savings.of(t.as_py(), model.width)) for t in batch.column(len(carried))])
+            rows = np.array([_features(savings.of(t.as_py() or "", model.width)) for t in batch.column(at)])
             z = np.column_stack([np.ones(len(rows)), (rows.reshape(len(rows), -1) - model.mean) / model.scale]) @ model.weights if len(rows) else np.zeros(0)
             found = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(found, pa.float64())], [*carried, name])
-
+        savings.clear()
+        give_back()
+
+    # A text that is carried along anyway is not sent to the workers twice.
+    if text in carried and docs.schema[text].dataType.simpleString() == "string":
+        at = carried.index(text)
+        return docs.select(*carried).mapInArrow(scored, schema)
+    at = len(carried)
     return docs.select(*carried, text_of(text).alias(unused(carried, "__text"))).mapInArrow(scored, schema)
 
 
