@@ -20,6 +20,7 @@ a tile, and no bucket is ever held whole in a task.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACE, single_threaded, stored, text_of, unused
+from evidentia.llm.common import give_back, single_threaded, stored, text_of, unused
 from evidentia.llm.shingles import U, WIDTH, blocks, counted, mixed, shingles, words
 
 SIMILARITY = 0.8
@@ -84,12 +85,18 @@ def signatures(element: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
         best[empty], value[empty] = again.reshape(-1, t), darts.reshape(-1, t)
 
 
+def node_of(text: bytes) -> bytes:
+    """Texts equal up to white space are one node."""
+    return hashlib.md5(b" ".join(text.split())).digest()  # bytes split at space and \t to \r
+
+
 def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """node, key, text -> node, key, one hash per band."""
+    """key, h1, h2, text -> node, key, h1, h2, one hash per band."""
     single_threaded()
     for batch in batches:
         hashes = np.zeros((batch.num_rows, bands), dtype=np.uint64)
-        for at, data, offsets in blocks(batch.column(2)):
+        nodes = [node_of(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+        for at, data, offsets in blocks(batch.column("text")):
             word, first, _ = words(data, offsets)
             shingle, first = shingles(word, first)
             mine = signatures(counted(shingle, first), first, bands * rows).reshape(-1, bands, rows)
@@ -98,7 +105,10 @@ def _banded(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
                 band = mixed(band + mine[:, :, r])
             hashes[at : at + len(mine)] = band
         lists = pa.FixedSizeListArray.from_arrays(pa.array(hashes.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["node", "key", "bands"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.binary()), *[batch.column(c) for c in ("key", "h1", "h2")], lists], ["node", "key", "h1", "h2", "bands"]
+        )
+    give_back()
 
 
 def _bag(text: str) -> np.ndarray:
@@ -176,15 +186,32 @@ def _settled(tile: pa.Table, at_least: float) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
 
-def node_of(text: Column) -> Column:
-    """Texts equal up to white space are one node."""
-    return F.unhex(F.md5(F.regexp_replace(F.trim(F.regexp_replace(text, SPACE, " ")), SPACE, " ")))
+def located(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, h1, h2): two hashes of key and text tell where a text stands, so that later
+    joins need not normalise it again."""
+    plain = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    return plain.select("key", "text", *_places(F.col("key"), F.col("text")))
+
+
+def _places(key: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(key, text).alias("h1"), F.xxhash64(text, key, F.lit(1)).alias("h2")]
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, text) for the distinct places of ``wanted``; a row given several times counts once.
+
+    Places and texts meet by sorting at every size, so cost grows evenly; the sorted rows need no further
+    shuffle where they meet ``wanted`` again.
+    """
+    places = wanted.select("h1", "h2").distinct().hint("merge")
+    found = docs.select("h1", "h2", "text").join(places, ["h1", "h2"], "left_semi")
+    return found.groupBy("h1", "h2").agg(F.first("text").alias("text"))
 
 
 def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, sim) for pairs of nodes (a, b), by exact similarity of whole texts.
 
-    ``docs`` holds (node, key, text); of equal texts the one of the node's least key is read. The
+    ``docs`` comes from ``located``; ``nodes`` holds the place of one text each. The
     text of b travels once per pair to where a is; a pivot of many pairs gets one copy per
     SALT_EVERY members, so its pairs spread over tasks.
     """
@@ -198,11 +225,10 @@ def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("a").alias("node"), F.col("a").alias("pivot"), F.lit(0).alias("role"),
         F.explode(F.sequence(F.lit(0), F.col("most"))).alias("salt"),
     )
-    wanted = salted.unionByName(centres).join(nodes.select("node", "least"), "node").withColumnRenamed("node", "of")
-    rows = docs.join(wanted, (F.col("node") == F.col("of")) & F.col("key").eqNullSafe(F.col("least")))
+    wanted = stored(salted.unionByName(centres).join(nodes.select("node", "h1", "h2"), "node"), "near-wanted")
+    rows = texts_of(docs, wanted).join(wanted, ["h1", "h2"])
     rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    rows = rows.select("pivot", "salt", "role", "node", "text").mapInArrow(_compared, "a binary, b binary, sim double")
-    return rows.distinct()  # a row may be there several times
+    return rows.select("pivot", "salt", "role", "node", "text").mapInArrow(_compared, "a binary, b binary, sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,7 +258,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """All found links (a, b) between different ``nodes`` (node, least, bands) of ``docs`` (node, key, text)."""
+    """All found links (a, b) between different ``nodes`` (node, h1, h2, bands) of ``docs`` (from ``located``)."""
     members = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(
         F.xxhash64("band", "hash").alias("bucket"), "band", "node"
     )
@@ -255,8 +281,8 @@ def near_links(docs: DataFrame, nodes: DataFrame, at_least: float = SIMILARITY)
     rest = others.join(open_, "bucket").join(to_x, ["x", "node"], "left").select(
         "node", "bucket", "band", "class", "to_x", "most", F.pmod(F.xxhash64("node"), (F.col("most") + 1).cast("bigint")).cast("int").alias("own")
     )
-    rest = stored(rest.join(nodes.select("node", "least", "bands"), "node").withColumnRenamed("node", "of"), "near-open")
-    texts = docs.join(rest, (F.col("node") == F.col("of")) & F.col("key").eqNullSafe(F.col("least")))
+    rest = stored(rest.join(nodes.select("node", "h1", "h2", "bands"), "node"), "near-open")
+    texts = texts_of(docs, rest).join(rest, ["h1", "h2"])
     # Every member meets every tile of its bucket, as a row or as a column of the tile.
     tiles = texts.select(
         "node", "bucket", "band", "class", "to_x", "bands", "text", "own", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("other")
@@ -287,19 +313,21 @@ def _named(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows as (node, key), and nodes as (node, class_id, class_size, keeper), keeper being the node that stays."""
     kind = docs.schema[key].dataType.simpleString()
-    plain = docs.select(node_of(text_of(text)).alias("node"), F.col(key).alias("key"), text_of(text).alias("text"))
+    plain = located(docs, key, text)
     signed = stored(
-        plain.mapInArrow(lambda b: _banded(b, bands, rows), f"node binary, key {kind}, bands array<long>"), "near-signatures"
+        plain.mapInArrow(lambda b: _banded(b, bands, rows), f"node binary, key {kind}, h1 long, h2 long, bands array<long>"), "near-signatures"
     )
     # One row per node carries its bands on; of its texts the one of the smallest key is compared.
-    nodes = signed.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
-    nodes = stored(nodes, "near-nodes")
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h1", "h2")).alias("l")
+    nodes = signed.groupBy("node").agg(least, F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
+    nodes = stored(nodes.select("node", "bands", "n", F.col("l.none").alias("none"), F.col("l.key").alias("least"), "l.h1", "l.h2"), "near-nodes")
     label = stored(components(near_links(plain, nodes, at_least)), "near-classes")
     named = nodes.drop("bands").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    order = F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"))
-    sized = named.groupBy("class").agg(F.min(order).alias("first"), F.sum("n").cast("bigint").alias("class_size"))
+    sized = named.groupBy("class").agg(F.min(F.struct("none", "least", "node", "h1", "h2")).alias("first"), F.sum("n").cast("bigint").alias("class_size"))
     names = named.select("node", "class").join(sized, "class")
-    return signed, names.select("node", F.col("first.least").alias("class_id"), "class_size", F.col("first.node").alias("keeper"))
+    return signed, names.select(
+        "node", F.col("first.least").alias("class_id"), "class_size", F.col("first.node").alias("keeper"), "first.h1", "first.h2"
+    )
 
 
 def representatives(
@@ -312,9 +340,9 @@ def representatives(
     ``classes`` hold here too.
     """
     _, names = _named(docs, key, text, at_least, bands, rows)
-    node, keeper, least, nth = (unused(docs.columns, n) for n in ("__node", "__keeper", "__least", "__nth"))
-    kept = names.where("node = keeper").select(F.col("node").alias(keeper), F.col("class_id").alias(least))
-    marked = docs.withColumn(node, node_of(text_of(text)))
-    chosen = marked.join(kept, (F.col(node) == F.col(keeper)) & F.col(key).eqNullSafe(F.col(least)))
-    one = Window.partitionBy(keeper, least).orderBy(node)
+    h1, h2, nth = (unused(docs.columns, n) for n in ("__h1", "__h2", "__nth"))
+    kept = names.where("node = keeper").select(F.col("h1").alias(h1), F.col("h2").alias(h2))
+    first, second = _places(F.col(key), text_of(text))
+    chosen = docs.withColumns({h1: first, h2: second}).join(kept, [h1, h2])
+    one = Window.partitionBy(h1, h2).orderBy(h1)
     return chosen.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(docs.columns)
