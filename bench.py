@@ -24,6 +24,7 @@ HEADLINE = [
     "rank_sum_test", "nearest_anchor", "nearest_anchor_hubs", "histogram_by_group", "group_distribution",
     "gap_ranking", "best_stage", "arm_tallies", "feature_matrix", "grouped_folds", "pu_fold_membership",
     "ranked_metrics", "average_precision", "pu_out_of_fold", "pu_nominations", "pu_attribution", "pu_ablation",
+    "pu_tree_ablation", "burden_wide", "signature_components",
 ]
 
 
