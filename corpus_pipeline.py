@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
 Parquet in the shared folder and reads it back as the next stage's documents.
+
+Stages read the columns of documents and no others, so more of them clash with nothing. Null keys and
+repeated rows pass like any other row until near dedup, which keeps one of the rows that repeat
+key and text. Null and empty texts are never toxic by themselves, have no lines to drop, are one near
+duplicate of each other, and take no part in the mix, as they have no words. Texts are used whole at any length.
+Empty tables give an empty result.
 """
 
 from __future__ import annotations
