@@ -82,11 +82,6 @@ def joined_distinct(arr: Column, sep: str = "; ") -> Column:
     return F.coalesce(F.array_join(kept, sep), F.lit(""))
 
 
-def first_match(arr: Column, wanted, field: str) -> Column:
-    """Field of the first struct element that satisfies ``wanted``."""
-    return F.get(F.filter(arr, wanted), F.lit(0)).getField(field)
-
-
 def clip(c: Column | str, lo: Column | float, hi: Column | float) -> Column:
     """Clamp into bounds; missing stays missing."""
     x = as_col(c)
