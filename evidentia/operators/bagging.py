@@ -29,6 +29,7 @@ from evidentia.operators.ordering import quantiles, row_rank, seeded_key
 # Penalty mix and inverse strength of the linear learner.
 L1_RATIO, C = 0.5, 1.0
 _CHUNK = 4096
+_ROWS = 1 << 14  # rows of a variant that a pass adds up at once, at most
 
 
 @dataclass(frozen=True)
@@ -275,13 +276,23 @@ def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel) -> dict[int, np
 
     def partial(batches):
         totals: dict[int, np.ndarray] = {}
+        waiting: dict[int, list[pd.DataFrame]] = {}
+
+        def add(v: int) -> None:
+            cut = pd.concat(waiting.pop(v))
+            x = np.stack(cut["x"].to_numpy()).astype(float)
+            got = kernel(v, x, cut["y"].to_numpy(dtype=float), _weights(cut, shared.value[v]))
+            totals[v] = totals[v] + got if v in totals else got
+
         for pdf in batches:
             for v, part in pdf.groupby("variant", sort=False):
                 for s in range(0, len(part), _CHUNK):
-                    cut = part.iloc[s:s + _CHUNK]
-                    x = np.stack(cut["x"].to_numpy()).astype(float)
-                    got = kernel(int(v), x, cut["y"].to_numpy(dtype=float), _weights(cut, shared.value[v]))
-                    totals[v] = totals[v] + got if v in totals else got
+                    held_back = waiting.setdefault(int(v), [])
+                    held_back.append(part.iloc[s:s + _CHUNK])
+                    if sum(map(len, held_back)) > _ROWS - _CHUNK:
+                        add(int(v))
+        for v in list(waiting):
+            add(v)
         for v, m in totals.items():
             yield pd.DataFrame({"variant": v, "model": np.arange(len(m)), "sums": list(m)})
 
@@ -394,14 +405,20 @@ def fit_linear(
         def newton(v, x, y, w):
             p = sizes[v]
             z = np.concatenate([(x[:, :p] - middle[v]) / spread[v], x[:, p:], np.ones((len(x), 1))], axis=1)
-            eta = np.clip(z @ held_in[v].T, -500, 500)
-            prob = 1.0 / (1.0 + np.exp(-eta))
-            loss = np.logaddexp(0.0, eta) - y[:, None] * eta
-            grad = (w * (prob - y[:, None])).T @ z
             k = z.shape[1]
-            outer = (z[:, :, None] * z[:, None, :]).reshape(len(z), k * k)
-            curve = (w * prob * (1.0 - prob)).T @ outer
-            return np.concatenate([(w * loss).sum(0)[:, None], grad, curve], axis=1)
+            out = np.zeros((w.shape[1], 1 + k + k * k))
+            # An unlabeled row takes part in few models, so each model's sums run over its own rows.
+            model, row = np.nonzero(w.T)
+            ends = np.searchsorted(model, np.arange(w.shape[1] + 1))
+            for m in np.flatnonzero(np.diff(ends)):
+                at = row[ends[m]:ends[m + 1]]
+                zm, ym, wm = z[at], y[at], w[at, m]
+                eta = np.clip(zm @ held_in[v][m], -500, 500)
+                prob = 1.0 / (1.0 + np.exp(-eta))
+                out[m, 0] = wm @ (np.logaddexp(0.0, eta) - ym * eta)
+                out[m, 1:k + 1] = (wm * (prob - ym)) @ zm
+                out[m, k + 1:] = (zm.T @ (zm * (wm * prob * (1.0 - prob))[:, None])).ravel()
+            return out
         return newton
 
     def penalty(v, b):

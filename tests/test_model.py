@@ -294,3 +294,16 @@ def test_unscored_row_raises(spark):
     m = bagging.LinearModels(["a"], bagging.Plan(1, 2, 0), np.ones((2, 1)), np.zeros(2), np.zeros((2, 1)))
     with pytest.raises(PySparkException, match="never in a scored fold"):
         bagging.score_linear(rows_, {0: m}).collect()
+
+
+def test_a_pass_adds_up_rows_of_many_batches_at_once(spark):
+    """The cost of a call, one loop over all models, does not come with every Arrow batch."""
+    schema = "variant int, y int, fold int, bags array<int>, bags_times array<int>, x array<double>"
+    rows = spark.createDataFrame([(i % 2, i % 3 == 0 and 1 or 0, -2, [0], [], [float(i)]) for i in range(1000)], schema).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = bagging._pass(rows, {v: np.array([-1, -1]) for v in (0, 1)}, lambda v, x, y, w: np.array([[1.0, len(x)]] * 2))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all((got[v] == [[1.0, 500.0]] * 2).all() for v in (0, 1))
