@@ -119,6 +119,43 @@ def test_no_rows_and_one_class(spark):
     assert np.isfinite(alone.value).all()
 
 
+def test_a_bag_of_many_rows_takes_no_pass_per_level(spark, monkeypatch):
+    """A bag of more than 65,536 rows used to cost Spark jobs for every level of every tree."""
+    n = 70_000
+    x = F.array(F.rand(1), F.floor(F.rand(2) * 3).cast("double"), F.when(F.rand(3) < 0.1, F.rand(4)).otherwise(0.0), F.col("y") + F.rand(5))
+    none = F.array().cast("array<int>")
+    rows = spark.range(n).select(F.col("id").cast("string"), F.lit(0).alias("variant"), (F.col("id") % 2).cast("int").alias("y"), F.lit(-2).alias("fold"))
+    df = rows.withColumns({"bags": F.when(F.col("y") == 0, F.array(F.lit(0))).otherwise(none), "bags_times": none, "x": x}).checkpoint()
+    plan, settings = Plan(1, None, 1), TreeSettings(2, 3, 0.3, 0.8, 1.0, 50, 16, 1)
+    divided = fitted(df, plan, settings, 20_000)[0]
+    monkeypatch.setattr(boosting, "_fit_divided", None)
+    whole = fitted(df, plan, settings)[0]
+    assert (whole.feature == divided.feature).all() and (whole.split == divided.split).all() and (whole.cover == divided.cover).all()
+    assert np.allclose(whole.value, divided.value, atol=1e-12) and whole.cover[0, :, 0].min() > 50_000
+
+
+def test_sums_with_a_common_bin(monkeypatch):
+    """Features that mostly have one bin are added up over their other rows alone."""
+    monkeypatch.setattr(boosting, "STRIDE", 300)
+    rng = np.random.default_rng(6)
+    n, models, settings = 1000, 2, TreeSettings(1, 2, 0.3, 1.0, 1.0, 1, 8, 1)
+    bins = np.stack([rng.integers(0, 8, n), np.where(rng.random(n) < 0.05, rng.integers(0, 8, n), 3), np.full(n, 5)]).astype(np.uint8)
+    block = boosting.Block(settings, np.arange(models), bins, rng.integers(0, models, n), rng.integers(0, 2, n).astype(float),
+                           rng.integers(0, 2**60, n).astype(np.uint64), rng.integers(1, 3, n).astype(float))
+    block.margin = rng.normal(size=n)
+    block.start(0)
+    block.node = rng.integers(0, 3, n)
+    assert block.common == [-1, 3, 5] and sum(map(len, (at for part in block.listed for at, _ in part[1:]))) < 100
+    p = 1 / (1 + np.exp(-block.margin))
+    measures = block.weight * (p - block.y), block.weight * p * (1 - p), block.weight
+    want = np.zeros((models, 2, 3, 3, 8))
+    for i in np.flatnonzero(block.node >= 1):
+        for k, j in itertools.product(range(3), range(3)):
+            want[block.model[i], block.node[i] - 1, k, j, bins[j, i]] += measures[k][i]
+    got = block.sums(1)
+    assert np.allclose(got, want, atol=1e-12) and (got[:, :, 2] == want[:, :, 2]).all()
+
+
 def expected(forest, m, t, node):
     """Mean leaf value by the rows that grew the tree."""
     if forest.feature[m, t, node] < 0:

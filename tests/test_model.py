@@ -119,6 +119,22 @@ def test_draws_survive_a_cut_that_is_too_tight(table, monkeypatch):
     assert rows(bagging.draws(table, "gene", "label_all", None, plan)) == want
 
 
+def test_draws_rank_only_rows_near_the_last_one(spark, monkeypatch):
+    """All rows that a model drew used to be ranked to find its last one."""
+    df = spark.range(20_000).select(F.concat(F.lit("g"), "id").alias("gene"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    ranked = []
+    whole = bagging.row_rank
+    monkeypatch.setattr(bagging, "row_rank", lambda near, *a: ranked.append(near.count()) or whole(near, *a))
+    plan = bagging.Plan(2, None, 9)
+    labels = {r["gene"]: r["y"] for r in df.collect()}
+    got = {}
+    for r in bagging.draws(df, "gene", "y", None, plan).collect():
+        got.setdefault(r["model"], set()).add(r["id"])
+    for m in range(2):
+        assert got[m] == _expected_draws(labels, {g for g, y in labels.items() if y == 0}, 5_000, plan, m)
+    assert len(ranked) == 1 and ranked[0] < 2 * 2_000
+
+
 def test_small_pool_draws_with_replacement(table):
     flipped = table.withColumn("y", 1 - F.col("label_all"))  # now positives outnumber the pool
     plan = bagging.Plan(3, None, 1)
