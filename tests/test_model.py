@@ -192,6 +192,23 @@ def test_linear_learner_against_proximal_gradient(spark):
     assert len(scored) == 300 and all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_columns_that_follow_from_others_are_settled_with_many_rows():
+    """The more rows stood against the fixed penalty, the smaller the steps among such columns were, until the passes ran out."""
+    rng = np.random.default_rng(4)
+    two = (rng.random((2000, 1)) < 0.1) * rng.normal(size=(2000, 2))
+    x = np.c_[two, 5 * two, two[:, 1] - two[:, 0], 3 * (two[:, 1] - two[:, 0]), np.abs(two).max(1), rng.normal(size=2000)]
+    z = np.c_[(x - x.mean(0)) / x.std(0), np.ones(2000)]
+    y = (rng.random(2000) < 1 / (1 + np.exp(-two @ [2.0, -1.0]))).astype(float)
+    for copies in (1, 1_000, 100_000):
+        h, g, k = copies * z.T @ z * 0.25, copies * z.T @ (0.5 - y), z.shape[1]
+        b = bagging._penalised_minimum(h[None], g[None], np.zeros((1, k)), np.ones((1, k - 1)))[0]
+        pull = -g - h @ b - np.append(0.5 * b[:-1], 0.0)
+        on, blur = b[:-1] != 0, 1e-12 * copies * 2000
+        assert on.any() and abs(pull[-1]) <= 1e-6 + blur
+        assert pull[:-1][on] == pytest.approx(0.5 * np.sign(b[:-1][on]), abs=1e-6 + blur)
+        assert (np.abs(pull[:-1][~on]) <= 0.5 + 1e-6 + blur).all()
+
+
 def test_full_run_scores_out_of_bag(table):
     run = ranking.full_run(table, CFG)
     held = {r["id"]: r for r in run.scored.select("id", "y", "bags", "x").collect()}
