@@ -4,9 +4,9 @@ A *model* is one (held-out fold, bag) pair, numbered ``fold * n_bags + bag``; th
 final full-data run has one pseudo-fold nothing belongs to. Every model trains on all
 positives outside its fold plus an equally large random draw of unlabeled rows.
 
-Draws are decided by a hash of (seed, model, row id). Per model only the hash of its
-last drawn row is needed; with those thresholds known, membership is a per-row
-expression, so neither rows x bags nor a join is ever materialised.
+Draws are decided by a hash of (seed, model, row id). Every pair is hashed once; a row keeps the few models
+whose hash may be small enough. Per model only the hash of its last drawn row is needed;
+with those thresholds known, membership is a per-row expression without a join.
 
 The linear learner fits all models of all variants together: one pass over the
 training rows adds up gradient and curvature per model (a few hundred numbers each),
@@ -16,20 +16,24 @@ number of models and features, never on the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.digests import leading_md5
 from evidentia.operators.ordering import quantiles, row_rank, seeded_key
+from evidentia.session import checkpoint_root
 
 # Penalty mix and inverse strength of the linear learner.
 L1_RATIO, C = 0.5, 1.0
 _CHUNK = 4096
 _ROWS = 1 << 14  # rows of a variant that a pass adds up at once, at most
+_BUCKETS = 256  # of a feature's values, to find medians in
 
 
 @dataclass(frozen=True)
@@ -77,19 +81,53 @@ def draw_sizes(df: DataFrame, label: str, fold: str | None, plan: Plan) -> list[
     return [(pos - by_fold.get(f, (0, 0))[0], unl - by_fold.get(f, (0, 0))[1]) for f in range(plan.n_folds)]
 
 
-def _candidates(
-    df: DataFrame, row_id: str, label: str, fold: str | None, plan: Plan, cut: Sequence[str], start: Sequence[str] = ()
-) -> DataFrame:
-    """(model, draw, id) of unlabeled rows whose hash is below the cut of their outer split, and not below its start."""
-    models = F.explode(F.sequence(F.lit(0), F.lit(plan.n_models - 1)))
-    held = F.col(fold) if fold else F.lit(-2)
-    split = plan.held_out(F.col("model")) if plan.n_folds else F.lit(0)
-    spread = df.filter(F.col(label) == 0).select(F.col(row_id).alias("id"), held.alias("f"), models.alias("model"))
-    spread = spread.filter(F.col("f") != plan.held_out(F.col("model")))
-    drawn = spread.withColumn("draw", _draw(plan, F.col("model"), "id"))
-    of_split = lambda cuts: F.get(F.array(*[F.lit(c) for c in cuts]), split)
-    drawn = drawn.filter(F.col("draw") < of_split(cut))
-    return drawn.filter(F.col("draw") >= of_split(start)) if start else drawn
+_HASHED = "struct<model:array<int>,key:array<bigint>>"
+_LOW = 1 << 63  # keys are the leading eight bytes of a hash, moved so that signed numbers keep their order
+
+
+def _bound(prefix: str) -> int:
+    """The number that leading bytes of a hash stay below if and only if the hash sorts before ``prefix``."""
+    return 1 << 64 if prefix == "g" else int(prefix.ljust(16, "0")[:16], 16)
+
+
+def _hashed(df: DataFrame, row_id: str, label: str, fold: str | None, plan: Plan, cut: Sequence[str]) -> DataFrame:
+    """Add ``__hashed``: the models for which an unlabeled row's hash is below the cut of their outer split, and these hashes' keys."""
+    held, width = plan.held_out_array(), {}
+    bounds = [_bound(cut[max(int(h), 0)]) for h in held]
+    most = np.array([max(b - 1, 0) for b in bounds], dtype=np.uint64)
+    for m in (m for m, b in enumerate(bounds) if b):
+        width.setdefault(len(str(m)), []).append(m)
+    seed = plan.seed
+
+    @F.arrow_udf(_HASHED)
+    def hashed(unlabeled: pa.Array, own: pa.Array, tail: pa.Array) -> pa.Array:
+        open_ = unlabeled.fill_null(False).to_numpy(zero_copy_only=False) & own.is_valid().to_numpy(zero_copy_only=False)
+        folds = own.fill_null(-2).to_numpy(zero_copy_only=False)
+        tail = tail.cast(pa.large_binary())
+        starts, data = (np.frombuffer(b, k) if b else np.zeros(1, k) for b, k in zip(tail.buffers()[1:], (np.int64, np.uint8)))
+        starts = starts[tail.offset:tail.offset + len(tail) + 1]
+        sizes = np.diff(starts)
+        # Rows of one fold and one length are hashed together.
+        kind = folds.astype(np.int64) * (int(sizes.max(initial=0)) + 1) + sizes
+        found = []
+        for k in np.unique(kind[open_]):
+            rows = np.flatnonzero(open_ & (kind == k))
+            texts = data[starts[rows][:, None] + np.arange(sizes[rows[0]])]
+            for some in width.values():
+                models = np.array([m for m in some if held[m] != folds[rows[0]]], dtype=np.int32)
+                if len(models):
+                    keys = leading_md5([f"{seed}:{m}".encode() for m in models], texts)
+                    m, r = np.nonzero(keys <= most[models][:, None])
+                    found.append((rows[r], models[m], keys[m, r]))
+        row, model, key = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int32, np.uint64)))
+        order = np.lexsort((model, row))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(tail)))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (model[order], (key[order] ^ np.uint64(_LOW)).view(np.int64))]
+        return pa.StructArray.from_arrays(lists, ["model", "key"])
+
+    own = F.col(fold).cast("int") if fold else F.lit(-2)
+    tail = F.concat_ws(":", F.lit(""), F.col(row_id).cast("string"))
+    return df.withColumn("__hashed", hashed(F.col(label) == 0, own, tail))
 
 
 def _cut(wanted: int, pool: int) -> str:
@@ -113,32 +151,42 @@ def draws(df: DataFrame, row_id: str, label: str, fold: str | None, plan: Plan)
     ranked. Should a model's last row ever lie elsewhere, all its rows are ranked.
     When a pool is smaller than n_pos, its whole pool is taken.
     """
-    sizes = draw_sizes(df, label, fold, plan)
-    edges = F.array(*[F.lit(e) for e in _last_draws(df, row_id, label, fold, plan, sizes)])
-    every = _candidates(df, row_id, label, fold, plan, ["g"] * plan.outer)
-    return every.filter(F.col("draw") <= F.get(edges, F.col("model"))).select("model", "id")
+    hashed, member = _membership(df, row_id, label, fold, plan, draw_sizes(df, label, fold, plan))
+    return hashed.select(F.explode(member).alias("model"), F.col(row_id).alias("id"))
 
 
-def _last_draws(df, row_id, label, fold, plan, sizes) -> list[str]:
-    """Per model the hash of its last drawn row; ``""`` where nothing is drawn."""
+def _membership(df, row_id, label, fold, plan, sizes) -> tuple[DataFrame, Column]:
+    """Rows with ``__hashed``, written down so that they are hashed once, and the models that drew each."""
+    checkpoint_root(df.sparkSession)
     wanted = [min(sizes[max(h, 0)]) for h in plan.held_out_array()]
     targets = F.array(*[F.lit(int(n)) for n in wanted])
 
-    def search(cuts: list[str], starts: list[str]) -> dict[int, str]:
+    def search(cuts: list[str], starts: list[str]) -> tuple[DataFrame, dict[int, str]]:
+        hashed = _hashed(df, row_id, label, fold, plan, cuts).checkpoint()
+        pairs = F.arrays_zip(F.col("__hashed.model").alias("model"), F.col("__hashed.key").alias("key"))
+        entries = hashed.select(F.col(row_id).alias("id"), F.inline(pairs))
+        start = F.get(F.array(*[F.lit(_bound(starts[max(int(h), 0)]) - _LOW) for h in plan.held_out_array()]), F.col("model"))
         below = {}
         if any(starts):
-            inside = _candidates(df, row_id, label, fold, plan, starts)
+            inside = entries.filter(F.col("key") < start)
             below = {r["model"]: r["n"] for r in inside.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-        near = _candidates(df, row_id, label, fold, plan, cuts, starts if any(starts) else ())
+        near = entries.filter(F.col("key") >= start).select("id", "model", _draw(plan, F.col("model"), "id").alias("draw"))
         ranked = row_rank(near, [("draw", "asc"), ("id", "asc")], ["model"], "place")
         counted = F.array(*[F.lit(int(below.get(m, 0))) for m in range(plan.n_models)])
         last = ranked.filter(F.col("place") + F.get(counted, F.col("model")) == F.get(targets, F.col("model")))
-        return {r["model"]: r["draw"] for r in last.select("model", "draw").collect()}  # one row per model
+        return hashed, {r["model"]: r["draw"] for r in last.select("model", "draw").collect()}  # one row per model
 
-    found = search([_cut(p, u) for p, u in sizes], [_start(min(p, u), u) for p, u in sizes])
+    hashed, found = search([_cut(p, u) for p, u in sizes], [_start(min(p, u), u) for p, u in sizes])
     if any(n > 0 and m not in found for m, n in enumerate(wanted)):
-        found = search(["g"] * len(sizes), [""] * len(sizes))
-    return [found.get(m, "") for m in range(plan.n_models)]
+        hashed, found = search(["g"] * len(sizes), [""] * len(sizes))
+    last = [found.get(m, "") for m in range(plan.n_models)]
+    edges, keys = F.array(*[F.lit(e) for e in last]), F.array(*[F.lit(_bound(e) - _LOW) for e in last])
+
+    def drawn(m: Column, i: Column) -> Column:
+        key, edge = F.get("__hashed.key", i), F.get(keys, m)
+        return (key < edge) | ((key == edge) & (_draw(plan, m, row_id) <= F.get(edges, m)))
+
+    return hashed, F.filter("__hashed.model", drawn)
 
 
 def with_membership(
@@ -150,17 +198,10 @@ def with_membership(
     """
     sizes = draw_sizes(df, label, fold, plan)
     held = plan.held_out_array()
-    edge = _last_draws(df, row_id, label, fold, plan, sizes)
-    edges = F.array(*[F.lit(e) for e in edge])
-    own = F.col(fold) if fold else F.lit(-2)
-    models = F.sequence(F.lit(0), F.lit(plan.n_models - 1))
-    member = F.filter(
-        models,
-        lambda m: (own != plan.held_out(m)) & (_draw(plan, m, row_id) <= F.get(edges, m)),
-    )
+    hashed, member = _membership(df, row_id, label, fold, plan, sizes)
     short = [m for m, h in enumerate(held) if sizes[max(h, 0)][1] < sizes[max(h, 0)][0]]
     none = F.array().cast("array<int>")
-    out = df.withColumns({name: F.when(F.col(label) == 0, member).otherwise(none), f"{name}_times": none})
+    out = hashed.withColumns({name: member, f"{name}_times": none}).drop("__hashed")
     if not short:
         return out
     return _with_replacement(out, row_id, label, fold, plan, name, short, sizes)
@@ -243,30 +284,142 @@ def _weights(part: pd.DataFrame, held: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Takes:
+    """Which rows of a block take part in which models: rows and weights in order of model, which ends at ``ends``."""
+
+    ends: np.ndarray
+    row: np.ndarray
+    weight: np.ndarray
+
+    def of(self, model: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.ends[model], self.ends[model + 1])
+        return self.row[at], self.weight[at]
+
+    def models(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of a list column."""
+    whole = column.combine_chunks()
+    return whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), whole.flatten().to_numpy(zero_copy_only=False)
+
+
+def _taking(rows: pa.Table, held: np.ndarray) -> Takes:
+    """As ``_weights``, pair by pair; positives have no bags of their own."""
+    y, fold = rows.column("y").to_numpy(), rows.column("fold").to_numpy()
+    positive = np.flatnonzero(y == 1)
+    model, at = np.nonzero(held[:, None] != fold[positive][None, :])
+    n, bags = _lists(rows.column("bags"))
+    n_times, times = _lists(rows.column("bags_times"))
+    often = np.ones(len(bags))
+    often[np.repeat(n_times > 0, n)] = times
+    models = np.concatenate([model, bags]).astype(np.int32)
+    order = np.argsort(models, kind="stable")
+    row = np.concatenate([positive[at], np.repeat(np.arange(len(y)), n)])[order]
+    weight = np.concatenate([np.ones(len(at)), often])[order]
+    return Takes(np.concatenate([[0], np.cumsum(np.bincount(models, minlength=len(held)))]), row, weight)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], held: Mapping[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Takes]]:
+    """(variant, x, y, takes) of at most ``_ROWS`` training rows of a variant at once, from batches of any size."""
+    waiting: dict[int, list[pa.RecordBatch]] = {}
+
+    def whole(v: int) -> tuple[int, np.ndarray, np.ndarray, Takes]:
+        rows = pa.Table.from_batches(waiting.pop(v))
+        _, x = _lists(rows.column("x"))
+        return v, x.astype(float).reshape(rows.num_rows, -1), rows.column("y").to_numpy().astype(float), _taking(rows, held[v])
+
+    for batch in batches:
+        variants = batch.column("variant").to_numpy()
+        for v in np.unique(variants):
+            mine = batch.filter(pa.array(variants == v))
+            for s in range(0, mine.num_rows, _CHUNK):
+                held_back = waiting.setdefault(int(v), [])
+                held_back.append(mine.slice(s, _CHUNK))
+                if sum(b.num_rows for b in held_back) > _ROWS - _CHUNK:
+                    yield whole(int(v))
+    for v in list(waiting):
+        yield whole(v)
+
+
+_TRAIN = ["variant", "y", "fold", "bags", "bags_times", "x"]
+
+
+def _bucket_edges(train: DataFrame, features: Mapping[int, list[str]], missing: Mapping[int, Sequence[int]]) -> dict[int, list[np.ndarray]]:
+    """Values that cut each flagged feature of each variant into about equal buckets; they decide on the work, not on the medians."""
+    none = F.array().cast("array<struct<flag:int,v:double>>")
+    values = none
+    for v, at in missing.items():
+        p = len(features[v])
+        known = [F.struct(F.lit(k).alias("flag"), F.when(F.get("x", F.lit(p + k)) == 0, F.get("x", F.lit(j))).alias("v")) for k, j in enumerate(at)]
+        values = F.when(F.col("variant") == v, F.array(*known) if known else none).otherwise(values)
+    long = train.select("variant", F.inline(values)).where("v IS NOT NULL AND NOT isnan(v)")
+    cuts = F.percentile_approx("v", [i / _BUCKETS for i in range(1, _BUCKETS)], 4 * _BUCKETS)
+    out = {v: [np.zeros(0)] * len(at) for v, at in missing.items()}
+    for r in long.groupBy("variant", "flag").agg(cuts.alias("cuts")).collect():
+        out[r["variant"]][r["flag"]] = np.unique(r["cuts"])
+    return out
+
+
+def _buckets(x: np.ndarray, at: Sequence[int], edges: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Per flagged feature the bucket of every row, -1 where the value is not known."""
+    p = x.shape[1] - len(at)
+    return [np.where(x[:, p + k] == 0, np.searchsorted(e, x[:, j], side="left"), -1) for k, (j, e) in enumerate(zip(at, edges))]
+
+
 def bag_medians(train: DataFrame, features: Mapping[int, list[str]], plan: Plan, missing: Mapping[int, Sequence[int]]) -> DataFrame:
     """(variant, model, feature, median): medians of each model's own training rows, drawn rows as often as drawn.
 
-    One grouped scan over (variant, model, feature, value); no held-out row takes part. ``x`` of ``train``
+    A pass counts every model's values by bucket, which says where its middle lies; only the values of
+    that bucket are sent and ranked. No held-out row takes part. ``x`` of ``train``
     holds the features and then a flag for each of ``missing`` that is 1 where the value is not known.
     """
-    once = F.filter(F.sequence(F.lit(0), F.lit(plan.n_models - 1)), lambda m: plan.held_out(m) != F.col("fold"))
-    entry = lambda m, t: F.named_struct(F.lit("model"), m, F.lit("times"), t)
-    single = lambda ms: F.transform(ms, lambda m: entry(m, F.lit(1)))
-    drawn = F.when(F.size("bags_times") == 0, single(F.col("bags"))).otherwise(
-        F.zip_with("bags", "bags_times", entry)
-    )
-    takes_part = F.when(F.col("y") == 1, single(once)).otherwise(drawn)
-    none = F.array().cast("array<struct<feature:int,v:double>>")
-    values = none
-    for v, at in missing.items():
-        p = len(features[v])
-        known = [
-            F.struct(F.lit(j).alias("feature"), F.when(F.get("x", F.lit(p + k)) == 0, F.get("x", F.lit(j))).alias("v")) for k, j in enumerate(at)
-        ]
-        values = F.when(F.col("variant") == v, F.array(*known) if known else none).otherwise(values)
-    long = train.select("variant", takes_part.alias("e"), F.inline(values)).where("v IS NOT NULL")
-    long = long.select("variant", F.inline("e"), "feature", "v")
-    return quantiles(long, "v", {"median": 0.5}, ["variant", "model", "feature"], F.col("times"))
+    spark = train.sparkSession
+    edges = _bucket_edges(train, features, missing)
+    held = {v: plan.held_out_array() for v in missing}
+    starts = {v: np.cumsum([0] + [len(e) + 1 for e in es]) for v, es in edges.items()}
+
+    def counts(v, x, y, takes):
+        out, model = np.zeros((len(takes.ends) - 1, starts[v][-1])), takes.models()
+        for k, bucket in enumerate(_buckets(x, missing[v], edges[v])):
+            mine, size = bucket[takes.row], len(edges[v][k]) + 1
+            some = np.flatnonzero(mine >= 0)
+            found = np.bincount(model[some] * size + mine[some], weights=takes.weight[some], minlength=len(out) * size)
+            out[:, starts[v][k]:starts[v][k + 1]] = found.reshape(-1, size)
+        return out
+
+    windows = {}
+    for v, all_counts in _pass(train.filter(F.col("variant").isin([v for v, at in missing.items() if len(at)])), held, counts).items():
+        for k in range(len(missing[v])):
+            upto = np.cumsum(all_counts.reshape(plan.n_models, -1)[:, starts[v][k]:starts[v][k + 1]], axis=1)
+            n = upto[:, -1]
+            first, last = ((upto > half[:, None]).argmax(1) for half in (np.floor((n - 1) / 2), np.ceil((n - 1) / 2)))
+            below = np.where(first > 0, np.take_along_axis(upto, np.maximum(first - 1, 0)[:, None], 1)[:, 0], 0)
+            windows[v, k] = first, np.where(n > 0, last, -1), below.astype(np.int64), n.astype(np.int64)
+    shared = spark.sparkContext.broadcast((held, edges, windows))  # a few numbers per model and feature
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, edges, windows = shared.value
+        for v, x, _, takes in _blocks(batches, held):
+            model = takes.models()
+            for k, bucket in enumerate(_buckets(x, missing[v], edges[v])):
+                first, last, below, total = windows[v, k]
+                mine = bucket[takes.row]
+                some = np.flatnonzero((mine >= 0) & (mine >= first[model]) & (mine <= last[model]))
+                # Equal values of a block and model are one row.
+                values, number = np.unique(x[:, missing[v][k]], return_inverse=True)
+                code, at = np.unique(model[some] * len(values) + number[takes.row[some]], return_inverse=True)
+                m = code // max(len(values), 1)
+                yield pa.RecordBatch.from_pydict({
+                    "variant": np.full(len(code), v, np.int32), "model": m.astype(np.int32), "feature": np.full(len(code), missing[v][k], np.int32),
+                    "v": values[code % max(len(values), 1)], "times": np.bincount(at, weights=takes.weight[some], minlength=len(code)).astype(np.int64),
+                    "below": below[m], "total": total[m],
+                })
+
+    near = train.select(*_TRAIN).mapInArrow(around, "variant int, model int, feature int, v double, times bigint, below bigint, total bigint")
+    return quantiles(near, "v", {"median": 0.5}, ["variant", "model", "feature"], F.col("times"), ("below", "total"))
 
 
 def _fills(train: DataFrame, features: dict[int, list[str]], plan: Plan, missing: Mapping[int, Sequence[int]]) -> dict[int, np.ndarray]:
@@ -289,33 +442,24 @@ def _pass(train: DataFrame, held: dict[int, np.ndarray], kernel) -> dict[int, np
     """
     shared = train.sparkSession.sparkContext.broadcast(held)
 
-    def partial(batches):
-        totals: dict[int, np.ndarray] = {}
-        waiting: dict[int, list[pd.DataFrame]] = {}
+    def sent(v: int, models: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        ends = np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(sums, dtype=float).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), v, np.int32)), pa.array(models.astype(np.int32)), lists], ["variant", "model", "sums"])
 
-        def add(v: int) -> None:
-            cut = pd.concat(waiting.pop(v))
-            x = np.stack(cut["x"].to_numpy()).astype(float)
-            got = kernel(v, x, cut["y"].to_numpy(dtype=float), _weights(cut, shared.value[v]))
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for v, x, y, takes in _blocks(batches, shared.value):
+            got = kernel(v, x, y, takes)
             totals[v] = totals[v] + got if v in totals else got
+        for v, sums in totals.items():
+            yield sent(v, np.arange(len(sums)), sums)
+
+    def add_up(key: tuple, rows: pa.Table) -> pa.Table:
+        _, sums = _lists(rows.column("sums"))
+        return pa.Table.from_batches([sent(key[0].as_py(), np.array([key[1].as_py()]), sums.reshape(rows.num_rows, -1).sum(axis=0)[None])])
 
-        for pdf in batches:
-            for v, part in pdf.groupby("variant", sort=False):
-                for s in range(0, len(part), _CHUNK):
-                    held_back = waiting.setdefault(int(v), [])
-                    held_back.append(part.iloc[s:s + _CHUNK])
-                    if sum(map(len, held_back)) > _ROWS - _CHUNK:
-                        add(int(v))
-        for v in list(waiting):
-            add(v)
-        for v, m in totals.items():
-            yield pd.DataFrame({"variant": v, "model": np.arange(len(m)), "sums": list(m)})
-
-    def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)
-        return pd.DataFrame({"variant": [key[0]], "model": [key[1]], "sums": [total]})
-
-    parts = train.mapInPandas(partial, _SUMS).groupBy("variant", "model").applyInPandas(add_up, _SUMS)
+    parts = train.select(*_TRAIN).mapInArrow(partial, _SUMS).groupBy("variant", "model").applyInArrow(add_up, _SUMS)
     out: dict[int, list] = {v: [0.0] * len(h) for v, h in held.items()}
     for r in parts.toArrow().to_pandas().itertuples(index=False):
         out[r.variant][r.model] = out[r.variant][r.model] + np.asarray(r.sums)
@@ -402,8 +546,13 @@ def fit_linear(
     held = {v: plan.held_out_array() for v in features}
     fill = _fills(train, features, plan, missing)
 
-    def moments(v, x, y, w):
-        return np.concatenate([w.sum(0)[:, None], w.T @ x, w.T @ (x * x)], axis=1)
+    def moments(v, x, y, takes):
+        each = np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1)
+        out = np.zeros((len(takes.ends) - 1, each.shape[1]))
+        for m in np.flatnonzero(np.diff(takes.ends)):
+            at, weight = takes.of(m)
+            out[m] = weight @ each[at]
+        return out
 
     base = _pass(train, held, moments)
     centre, scale, sd, mean, put = {}, {}, {}, {}, {}
@@ -432,22 +581,22 @@ def fit_linear(
         held_in = {v: np.einsum("mij,mi->mj", put[v], b) for v, b in coef.items()}
         sizes, middle, spread = {v: len(f) for v, f in features.items()}, centre, scale
 
-        def newton(v, x, y, w):
+        def newton(v, x, y, takes):
             p = sizes[v]
             z = np.concatenate([(x[:, :p] - middle[v]) / spread[v], x[:, p:], np.ones((len(x), 1))], axis=1)
             k = z.shape[1]
-            out = np.zeros((w.shape[1], 1 + k + k * k))
+            out = np.zeros((len(takes.ends) - 1, 1 + k + k * k))
             # An unlabeled row takes part in few models, so each model's sums run over its own rows.
-            model, row = np.nonzero(w.T)
-            ends = np.searchsorted(model, np.arange(w.shape[1] + 1))
-            for m in np.flatnonzero(np.diff(ends)):
-                at = row[ends[m]:ends[m + 1]]
-                zm, ym, wm = z[at], y[at], w[at, m]
+            for m in np.flatnonzero(np.diff(takes.ends)):
+                at, wm = takes.of(m)
+                zm, ym = z[at], y[at]
                 eta = np.clip(zm @ held_in[v][m], -500, 500)
-                prob = 1.0 / (1.0 + np.exp(-eta))
-                out[m, 0] = wm @ (np.logaddexp(0.0, eta) - ym * eta)
+                far = np.exp(-np.abs(eta))
+                prob = np.where(eta < 0, far, 1.0) / (1.0 + far)
+                out[m, 0] = wm @ (np.maximum(eta, 0.0) + np.log1p(far) - ym * eta)
                 out[m, 1:k + 1] = (wm * (prob - ym)) @ zm
-                out[m, k + 1:] = (zm.T @ (zm * (wm * prob * (1.0 - prob))[:, None])).ravel()
+                zm *= np.sqrt(wm * prob * (1.0 - prob))[:, None]
+                out[m, k + 1:] = (zm.T @ zm).ravel()
             return out
         return newton
 

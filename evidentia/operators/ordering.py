@@ -174,17 +174,21 @@ def qq_points(df: DataFrame, observed: str, key: str, by: Sequence[str] = ()) ->
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), times: Column | None = None
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), times: Column | None = None,
+    part: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name.
 
     Found on the distinct values and their running counts, so no group is held in one task.
-    ``times`` says how often a row counts.
+    ``times`` says how often a row counts. ``part`` names two columns, alike within a group, when rows are only
+    those around the quantiles: how many of the group lie below all of them, and how many the group has.
     """
     often = (F.lit(1) if times is None else times).cast("bigint").alias("__times")
-    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), often)
-    counts = value_counts(known, value, by, n=F.sum("__times"))
+    known = df.filter(F.col(value).isNotNull()).select(*by, *(part or ()), F.col(value).cast("double").alias(value), often)
+    counts = value_counts(known, value, [*by, *(part or ())], n=F.sum("__times"))
     placed = scan(counts, [(value, "asc")], by, sums={"__to": F.col("n")}, totals={"__n": F.col("n")})
+    if part:
+        placed = placed.withColumns({"__to": F.col("__to") + F.col(part[0]), "__n": F.col(part[1])})
     picks = []
     for name, q in probs.items():
         picks += _neighbours(name, F.col("__to"), F.col(value), _position(q))

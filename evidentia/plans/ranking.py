@@ -45,8 +45,8 @@ def _prepared(df: DataFrame, configs: Mapping[int, RunConfig], key: str, crossed
     """Rows with fold and draw columns per label set.
 
     The rows are written down before folds are dealt, which reads them several times, and again with
-    their folds; draws refer to that copy, and the draw column is an expression on it that only
-    the training table evaluates.
+    their folds and, per label set, with the hashes that may be drawn; the draw column is an expression on
+    these that only tables with draws evaluate.
     """
     checkpoint_root(df.sparkSession)
     parts = partition_count(df)
@@ -71,13 +71,14 @@ def _plan(cfg: RunConfig, crossed: bool) -> Plan:
 
 
 def _long(
-    df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Sequence[str], flagged: bool
+    df: DataFrame, configs: Mapping[int, RunConfig], key: str, keep: Sequence[str], flagged: bool, drawn: bool = True
 ) -> tuple[DataFrame, dict[int, list[int]]]:
     """(variant, id, y, fold, bags, bags_times, x): one row per entity and variant, and the flagged features.
 
     With ``flagged``, ``x`` holds 0 for a missing value and, behind the features, a flag for every
-    feature that can be missing; otherwise missing values stay null.
+    feature that can be missing; otherwise missing values stay null. Without ``drawn`` the bags are empty.
     """
+    none = F.array().cast("array<int>")
     if any(c.use_druggability for c in configs.values()):
         df = with_family_size(df)
     raw = {v: feature_expressions(c, polarization_fill(df, c)) for v, c in configs.items()}
@@ -91,8 +92,8 @@ def _long(
             values = [F.coalesce(e, F.lit(0.0)) for e in values] + flags
         entries.append(F.struct(
             F.lit(v).alias("variant"), F.col(LABEL[c.label_set]).cast("int").alias("y"),
-            F.col(f"fold_{c.label_set}").alias("fold"), F.col(f"bags_{c.label_set}").alias("bags"),
-            F.col(f"bags_{c.label_set}_times").alias("bags_times"), F.array(*values).alias("x"),
+            F.col(f"fold_{c.label_set}").alias("fold"), (F.col(f"bags_{c.label_set}") if drawn else none).alias("bags"),
+            (F.col(f"bags_{c.label_set}_times") if drawn else none).alias("bags_times"), F.array(*values).alias("x"),
         ))
     return df.select(F.col(key).alias("id"), *keep, F.inline(F.array(*entries))), missing
 
@@ -123,51 +124,66 @@ def _fit_forests(long: DataFrame, configs: Mapping[int, RunConfig], crossed: boo
     return out
 
 
+def _numbered(configs: Mapping[str, RunConfig]) -> dict[RunConfig, int]:
+    """Settings that coincide have one number."""
+    unique: dict[RunConfig, int] = {}
+    for cfg in configs.values():
+        unique.setdefault(cfg, len(unique))
+    return unique
+
+
+def _named(df: DataFrame, configs: Mapping[str, RunConfig], *columns: str) -> DataFrame:
+    """Rows of a numbered setting under each of its names."""
+    unique = _numbered(configs)
+    names = F.array(*[
+        F.struct(F.lit(unique[c]).alias("v"), F.lit(n).alias("name")) for n, c in configs.items()
+    ])
+    # The names of a setting are a short literal list, so no join is needed.
+    named = df.withColumn("n", F.explode(F.filter(names, lambda e: e["v"] == F.col("variant"))))
+    return named.select(F.col("n.name").alias("variant"), *columns)
+
+
 def out_of_fold(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gene") -> DataFrame:
     """(variant, id, y, score) of every row under grouped cross-validation.
 
     Settings that coincide are fitted once and reported under each name.
     """
-    unique: dict[RunConfig, int] = {}
-    for cfg in configs.values():
-        unique.setdefault(cfg, len(unique))
+    return _named(_held_out_scores(df, configs, key), configs, "id", "y", "score")
+
+
+def _held_out_scores(df: DataFrame, configs: Mapping[str, RunConfig], key: str) -> DataFrame:
+    """(id, variant, y, score) under grouped cross-validation, by number of the setting."""
+    unique = _numbered(configs)
     by_number = {v: c for c, v in unique.items()}
     prepared = _prepared(df, by_number, key, crossed=True)
     parts = []
     linear = {v: c for v, c in by_number.items() if c.learner == "linear"}
     if linear:
         long, missing = _long(prepared, linear, key, [], True)
-        # Held-out rows are scored by fold alone, so the draws need not be computed again.
-        none = F.array().cast("array<int>")
-        held_out = long.withColumns({"bags": none, "bags_times": none})
+        held_out, _ = _long(prepared, linear, key, [], True, drawn=False)  # scored by fold alone
         scored = score_linear(held_out, _fit(long, linear, True, missing))
         parts.append(scored.select("id", "variant", "y", "score"))
     trees = {v: c for v, c in by_number.items() if c.learner == "trees"}
     if trees:
         long, _ = _long(prepared, trees, key, [], False)
-        none = F.array().cast("array<int>")
-        held_out = long.withColumns({"bags": none, "bags_times": none})
+        held_out, _ = _long(prepared, trees, key, [], False, drawn=False)
         scored = score_forests(held_out, _fit_forests(long, trees, True))
         parts.append(scored.select("id", "variant", "y", "score"))
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)
-    names = F.array(*[
-        F.struct(F.lit(unique[c]).alias("v"), F.lit(n).alias("name")) for n, c in configs.items()
-    ])
-    # The names of a setting are a short literal list, so no join is needed.
-    named = scores.withColumn("n", F.explode(F.filter(names, lambda e: e["v"] == F.col("variant"))))
-    return named.select(F.col("n.name").alias("variant"), "id", "y", "score")
+    return scores
 
 
 def ablation(df: DataFrame, configs: Mapping[str, RunConfig], key: str = "gene") -> DataFrame:
     """Tidy metrics (variant, k, metric, value) of every setting."""
-    scored = out_of_fold(df, configs, key).checkpoint()
+    scored = _held_out_scores(df, configs, key).checkpoint()
     ks = next(iter(configs.values())).top_k_list
-    return tidy(
+    found = tidy(
         at_top(scored, "score", "y", "id", ks, ["variant"]),
         average_precision(scored, "score", "y", ["variant"]), ["variant"],
     )
+    return _named(found, configs, "k", "metric", "value")
 
 
 @dataclass

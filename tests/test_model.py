@@ -1,10 +1,14 @@
 """Labels, features, folds, draws, learner, scores, metrics, attribution."""
 
+import hashlib
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from evidentia.functions import digests
 from evidentia.operators import attribution, bagging, boosting, features, folds, metrics
 from evidentia.operators.features import RunConfig
 from evidentia.plans import ranking
@@ -91,7 +95,6 @@ def test_folds_do_not_leak_and_balance(table):
 
 
 def _expected_draws(genes, unlabeled, n, plan, model):
-    import hashlib
 
     keyed = sorted((hashlib.md5(f"{plan.seed}:{model}:{g}".encode()).hexdigest(), g) for g in genes if g in unlabeled)
     return {g for _, g in keyed[:n]}
@@ -135,6 +138,48 @@ def test_draws_rank_only_rows_near_the_last_one(spark, monkeypatch):
     assert len(ranked) == 1 and ranked[0] < 2 * 2_000
 
 
+def test_digests_of_many_texts():
+    rng = np.random.default_rng(6)
+    for before, behind in itertools.product((1, 5, 8, 63, 64), (0, 3, 47, 55, 56, 120)):
+        heads = [bytes(rng.integers(0, 256, before, dtype=np.uint8)) for _ in range(3)]
+        tails = rng.integers(0, 256, (5, behind), dtype=np.uint8)
+        want = [[int(hashlib.md5(h + t.tobytes()).hexdigest()[:16], 16) for t in tails] for h in heads]
+        assert (digests.leading_md5(heads, tails) == np.array(want, dtype=np.uint64)).all()
+
+
+def test_a_pair_is_hashed_once(spark):
+    """Every table with draws, and the scores that need none, hashed all rows for all models again."""
+    ids = [f"g{i}" for i in range(200)] + ["g1", None, "\u00e9" * 40]
+    df = spark.createDataFrame([(g, int(i % 5 == 0), i % 4 if i % 50 else None) for i, g in enumerate(ids)], "gene string, y int, fold int")
+    plan = bagging.Plan(3, 4, 9)
+    member = bagging.with_membership(df, "gene", "y", "fold", plan)
+    text = lambda m, g: hashlib.md5(":".join([str(9), str(m)] + [g] * (g is not None)).encode()).hexdigest()
+    got = [(r["gene"], r["fold"], r["y"], set(r["bags"])) for r in member.collect()]
+    for m in range(12):
+        pool = sorted(text(m, g) for g, f, y, _ in got if y == 0 and f is not None and f != m // 3)
+        n = min(bagging.draw_sizes(df, "y", "fold", plan)[m // 3])
+        assert all((m in bags) == (y == 0 and f is not None and f != m // 3 and text(m, g) <= pool[min(n, len(pool)) - 1]) for g, f, y, bags in got)
+    leaf = member._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEval" not in leaf and "sequence" not in leaf
+
+
+def test_medians_rank_only_values_near_the_middle(spark, monkeypatch):
+    """All values of all bags used to be ranked."""
+    rng = np.random.default_rng(8)
+    x = [(float(a) if a < 70 else None, float(b)) for a, b in zip(rng.integers(0, 90, 3000), rng.normal(size=3000))]
+    bags = [[] if i % 9 == 0 else [m for m in range(4) if rng.random() < 0.3] for i in range(3000)]
+    data = [(0, int(i % 9 == 0), i % 2, [m for m in bags[i] if m // 2 != i % 2], [2] * sum(m // 2 != i % 2 for m in bags[i]),
+             [x[i][0] or 0.0, x[i][1], float(x[i][0] is None), 0.0]) for i in range(3000)]
+    df = spark.createDataFrame(data, "variant int, y int, fold int, bags array<int>, bags_times array<int>, x array<double>").repartition(3)
+    ranked, whole = [], bagging.quantiles
+    monkeypatch.setattr(bagging, "quantiles", lambda near, *a: ranked.append(near.count()) or whole(near, *a))
+    got = {(r["model"], r["feature"]): r["median"] for r in bagging.bag_medians(df, {0: ["a", "b"]}, bagging.Plan(2, 2, 1), {0: [0, 1]}).collect()}
+    for m, j in itertools.product(range(4), range(2)):
+        values = [x[i][j] for i, r in enumerate(data) if x[i][j] is not None for _ in range(r[1] and r[2] != m // 2 or 2 * (m in r[3]))]
+        assert got[m, j] == pytest.approx(np.median(values), abs=1e-12)
+    assert len(got) == 8 and ranked[0] < 400
+
+
 def test_small_pool_draws_with_replacement(table):
     flipped = table.withColumn("y", 1 - F.col("label_all"))  # now positives outnumber the pool
     plan = bagging.Plan(3, None, 1)
