@@ -95,6 +95,7 @@ def test_folds_do_not_leak_and_balance(table):
 
 
 def _expected_draws(genes, unlabeled, n, plan, model):
+    import hashlib
 
     keyed = sorted((hashlib.md5(f"{plan.seed}:{model}:{g}".encode()).hexdigest(), g) for g in genes if g in unlabeled)
     return {g for _, g in keyed[:n]}

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from evidentia.registry import load
+from evidentia.registry import load, modelling
 from tools.compare import compare, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,14 @@ def test_candidates_grow_with_the_table(spark, con):
         "WHERE label % 2 = 0 AND embedding[1] > embedding[2] AND floor(abs(embedding[3]::DOUBLE) * 2000) >= 50").fetchall()
     got = one.selectExpr("count(*)", "count_if(is_fda_target = 1)", "count(knn_max_score)").first()
     assert got[0] == got[2] == n > 400 and got[1] > 40
+
+
+def test_tree_ablation_grows_every_tree_and_bag(monkeypatch):
+    """It used to grow 20 of the 200 published trees and 10 of the 40 bags."""
+    asked = []
+    monkeypatch.setattr(modelling, "entities", lambda spark, sf: None)
+    monkeypatch.setattr(modelling, "shaped", lambda found: found)
+    monkeypatch.setattr(modelling.ranking, "ablation", lambda df, configs: asked.append(configs))
+    QUERIES["pu_tree_ablation"](None, "")
+    assert {c.learner for c in asked[0].values()} == {"trees"} and len(asked[0]) == 8
+    assert {(c.n_estimators, c.n_bags, c.n_folds) for c in asked[0].values()} == {(200, 40, 5)}
