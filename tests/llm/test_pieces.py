@@ -1,6 +1,7 @@
 """The numpy parts against plain Python."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -77,6 +78,23 @@ def test_suffix_arrays_find_owners():
             assert suffixes.least_owner(pieces, owner, length, part).tolist() == want
 
 
+def test_suffixes_are_sorted_as_numbers(monkeypatch):
+    """Places used to be sorted by key in every round, which took most of the time of a shard."""
+    rng = np.random.default_rng(3)
+    sorted_places = []
+    argsort = np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda key, *a, **b: sorted_places.append(len(key)) or argsort(key, *a, **b))
+    for letters, size in itertools.product((1, 2, 60, 256), (1, 2, 5, 9, 3_000)):
+        data = np.tile(rng.integers(0, letters, size, dtype=np.uint8), 3)
+        order, rank = suffixes.suffix_array(data)
+        text = data.tobytes()
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: text[i:]) and (rank[order] == np.arange(len(data))).all()
+    assert not sorted_places
+    key = rng.integers(0, 1 << 60, 500, dtype=np.uint64) >> np.uint64(54)
+    within, found = suffixes._in_order(key << np.uint64(57), 63)  # too wide to carry a place
+    assert sorted_places and (found >> np.uint64(57) == np.sort(key)).all() and sorted(within.tolist()) == list(range(500))
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(2)
     for letters in (1, 2, 5):
